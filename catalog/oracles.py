@@ -305,8 +305,10 @@ def mentions(source: str, keys: str) -> str:
     return rf"""
 dict(surface, label, n) AS (VALUES {_ents}),
 tok AS (SELECT {keys}, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS t FROM {source}),
-pos AS (SELECT *, unnest(range(1, len(t) + 1)) AS pos FROM tok),
-men AS (SELECT {keys}, pos, surface, label FROM pos JOIN dict ON array_to_string(t[pos:pos + n - 1], ' ') = surface)"""
+tk AS (SELECT {keys}, generate_subscripts(t, 1) AS pos, unnest(t) AS w FROM tok),
+tw AS (SELECT *, w || ' ' || lead(w) OVER (PARTITION BY {keys} ORDER BY pos) AS w2 FROM tk),
+men AS (SELECT {keys}, pos, surface, label FROM tw JOIN dict ON n = 1 AND w = surface
+  UNION ALL SELECT {keys}, pos, surface, label FROM tw JOIN dict ON n = 2 AND w2 = surface)"""
 
 
 ENT = mentions("documents", "doc_id") + """,
@@ -400,7 +402,7 @@ kp AS (SELECT doc_id, pos, phrase, CASE WHEN mx > 0 THEN score / mx ELSE score E
   SELECT *, row_number() OVER w AS pos, max(score) OVER (PARTITION BY doc_id) AS mx FROM ps
   WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, first_pos, phrase)) WHERE pos <= 8)"""
 add("phrase_table", with_(phrase_rows("documents", "text", T.PHRASE_SIGNALS)) + """
-SELECT doc_id, phrase, n, first_pos, round(score, 6) AS score FROM ps""")
+SELECT doc_id, phrase, n, first_pos, round(score, 6) AS score, round(n::DOUBLE / sum(n) OVER (PARTITION BY doc_id)::DOUBLE, 6) AS tf FROM ps""")
 add("key_phrases", with_(phrase_rows("documents", "text", params.PHRASE_SIGNALS), KEY) + """
 SELECT doc_id, pos, phrase, round(score, 6) AS score FROM kp""")
 _lab = in_list(params.PHRASE_ENTITY_LABELS)
@@ -597,7 +599,7 @@ LEFT JOIN k3 USING (doc_id) LEFT JOIN pts USING (doc_id)""")
 add("build_deck", FILL + ", " + layout(2) + f"""
 SELECT dk.doc_id, dk.sector, idx, slide_no, CAST(slot AS BIGINT) AS slot, accepted,
   CASE WHEN accepted THEN dk.url ELSE new_url END AS shown_url,
-  CAST(length(CASE WHEN accepted THEN {SHOW.replace('(k', '(sh.k').replace('(array_to_string(k', '(array_to_string(sh.k')} ELSE {SHOW.replace('(k', '(fs.k').replace('(array_to_string(k', '(array_to_string(fs.k')} END) AS BIGINT) AS n_shown
+  CAST(coalesce(length(CASE WHEN accepted THEN {SHOW.replace('(k', '(sh.k').replace('(array_to_string(k', '(array_to_string(sh.k')} ELSE {SHOW.replace('(k', '(fs.k').replace('(array_to_string(k', '(array_to_string(fs.k')} END), 0) AS BIGINT) AS n_shown
 FROM dk JOIN sh USING (doc_id) JOIN ly USING (doc_id) LEFT JOIN fs ON fs.doc_id = dk.doc_id""")
 add("preview", with_(ARTICLES, DEDUP, top(10)) + f"""
 SELECT sector, deck_pos, CASE WHEN {strip('title')} = '' THEN 'Untitled Article' ELSE {strip('title')} END AS preview_title,

@@ -328,8 +328,8 @@ def primary_category(spark, sf):
 
 @query
 def match_entities(spark, sf):
-    rows = terms.match_entities(articles(spark, sf), T.ENTITIES)
-    return rows.select("doc_id", F.explode("entities").alias("label", "names")).select("doc_id", "label", joined("names").alias("names"))
+    rows = articles(spark, sf).select("doc_id", F.explode(terms.entities("content", T.ENTITIES)).alias("label", "names"))
+    return rows.select("doc_id", "label", joined("names").alias("names"))
 
 
 @query
@@ -385,26 +385,24 @@ def summarize(spark, sf):
 
 @query
 def phrase_table(spark, sf):
-    rows = articles(spark, sf).select("doc_id", phrases.scored_phrases("content", signals=T.PHRASE_SIGNALS).alias("p"))
-    return rows.select("doc_id", F.explode("p").alias("p")).select(
-        "doc_id", "p.phrase", F.col("p.n").cast("long").alias("n"), F.col("p.first_pos").cast("long").alias("first_pos"), r6("p.score").alias("score")
+    rows = phrases.phrase_table(articles(spark, sf), ["doc_id"], signals=T.PHRASE_SIGNALS)
+    return rows.select(
+        "doc_id", "phrase", F.col("n").cast("long"), F.col("first_pos").cast("long"), r6("score").alias("score"), r6("tf").alias("tf")
     )
 
 
+def _ranked(rows):
+    return rows.select("doc_id", F.col("rank").cast("long").alias("pos"), "phrase", r6("score").alias("score"))
+
+
 @query
 def key_phrases(spark, sf):
-    rows = phrases.key_phrases(articles(spark, sf), 8)
-    return rows.select("doc_id", F.posexplode("key_phrases").alias("pos", "p")).select(
-        "doc_id", (F.col("pos") + 1).cast("long").alias("pos"), "p.phrase", r6("p.score").alias("score")
-    )
+    return _ranked(phrases.key_phrase_rows(articles(spark, sf), ["doc_id"], 8))
 
 
 @query
 def key_phrases_with_entities(spark, sf):
-    rows = phrases.key_phrases(articles(spark, sf), 8, entity_dict=T.ENTITIES)
-    return rows.select("doc_id", F.posexplode("key_phrases").alias("pos", "p")).select(
-        "doc_id", (F.col("pos") + 1).cast("long").alias("pos"), "p.phrase", r6("p.score").alias("score")
-    )
+    return _ranked(phrases.key_phrase_rows(articles(spark, sf), ["doc_id"], 8, surfaces=T.ENTITIES))
 
 
 @query
@@ -727,7 +725,7 @@ def enrich_articles(spark, sf):
 def build_deck(spark, sf):
     cands = articles(spark, sf).withColumnRenamed("description", "summary").select("sector", "provider", "provider_rank", F.concat("url", F.lit("#alt")).alias("url"), "summary", "content")
     made = deck_plan.build_deck(deck_rows(spark, sf), cands, ORDER, T.BOILERPLATE)
-    return made.cards.select("doc_id", "sector", "idx", "slide_no", F.col("slot").cast("long"), "accepted", "shown_url", F.length("display_content").cast("long").alias("n_shown"))
+    return made.cards.select("doc_id", "sector", "idx", "slide_no", F.col("slot").cast("long"), "accepted", "shown_url", F.coalesce(F.length("display_content"), F.lit(0)).cast("long").alias("n_shown"))
 
 
 @query

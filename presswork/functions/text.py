@@ -74,16 +74,18 @@ def _decode_piece(piece: Column) -> Column:
 
 def decode_entities(c: Column | str) -> Column:
     """Decode character references in one pass (``&amp;lt;`` gives ``&lt;``)."""
-    c = col(c)
-    parts = F.split(c, "&", -1)
-    decoded = let(
-        parts,
-        lambda p: F.concat(
-            F.get(p, F.lit(0)),
-            F.array_join(F.transform(F.slice(p, F.lit(2), F.size(p)), _decode_piece), ""),
-        ),
-    )
-    return F.when(c.contains("&"), decoded).otherwise(c)
+
+    def decode(x: Column) -> Column:
+        decoded = let(
+            F.split(x, "&", -1),
+            lambda p: F.concat(
+                F.get(p, F.lit(0)),
+                F.array_join(F.transform(F.slice(p, F.lit(2), F.size(p)), _decode_piece), ""),
+            ),
+        )
+        return F.when(x.contains("&"), decoded).otherwise(x)
+
+    return let(col(c), decode)
 
 
 def decode_entities_full(c: Column | str) -> Column:
@@ -101,9 +103,12 @@ def decode_entities_full(c: Column | str) -> Column:
 
 def strip_tags(c: Column | str, separator: str = "") -> Column:
     """Text outside tags, comments, scripts and styles."""
-    c = col(c)
-    bare = F.regexp_replace(F.regexp_replace(c, HIDDEN_PATTERN, separator), TAG_PATTERN, separator)
-    return F.when(c.contains("<"), bare).otherwise(c)
+
+    def bare(x: Column) -> Column:
+        shown = F.regexp_replace(x, HIDDEN_PATTERN, separator)
+        return F.when(x.contains("<"), F.regexp_replace(shown, TAG_PATTERN, separator)).otherwise(x)
+
+    return let(col(c), bare)
 
 
 def html_to_text(c: Column | str, decode=decode_entities) -> Column:
@@ -117,10 +122,19 @@ def html_to_text(c: Column | str, decode=decode_entities) -> Column:
 
 def clean_text(c: Column | str, decode=decode_entities) -> Column:
     """Lower-case ASCII words only: no markup, links, addresses, punctuation or digits."""
-    x = decode(text_or_empty(c))
-    x = decode(strip_tags(x, " "))
-    x = F.regexp_replace(x, URL_PATTERN, "")
-    x = F.regexp_replace(x, EMAIL_PATTERN, "")
+    # the guards spare most texts the backtracking patterns
+    def without(pattern: str, *signs: str):
+        def step(x: Column) -> Column:
+            present = x.contains(signs[0])
+            for sign in signs[1:]:
+                present = present | x.contains(sign)
+            return F.when(present, F.regexp_replace(x, pattern, "")).otherwise(x)
+
+        return step
+
+    x = decode(strip_tags(decode(text_or_empty(c)), " "))
+    x = let(x, without(URL_PATTERN, "http", "www."))
+    x = let(x, without(EMAIL_PATTERN, "@"))
     x = F.regexp_replace(x, r"[^\x00-\x7F]+", " ")
     x = F.translate(F.lower(x), string.punctuation + string.digits, "")
     return F.trim(F.regexp_replace(x, rf"{SPACE}+", " "))

@@ -188,7 +188,7 @@ def digest_summary(df: DataFrame, order: list[str] = DECK_ORDER, most: int = par
         texts.withColumn("_body", body)
         .filter(F.col("_body") != "")
         .groupBy("sector")
-        .agg(F.array_sort(F.collect_list(F.struct("_n", "_body"))).alias("_t"))
+        .agg(F.sort_array(F.collect_list(F.struct("_n", "_body"))).alias("_t"))
     )
     combined = F.array_join(F.col("_t._body"), "\n")
     return joined.select("sector", combined.alias("_c")).select(

@@ -35,7 +35,7 @@ def phrase_counts(phrases: Column) -> Column:
         )
         return F.when(n > 0, counted).otherwise(F.array().cast("array<struct<phrase:string,n:int>>"))
 
-    return let(F.array_sort(phrases), runs)
+    return let(F.sort_array(phrases), runs)
 
 
 def scored_phrases(text: Column | str, stopwords: Iterable[str] = params.STOPWORDS, surfaces: dict[str, str] | None = None, signals: Iterable[str] = params.PHRASE_SIGNALS) -> Column:
@@ -52,27 +52,33 @@ def scored_phrases(text: Column | str, stopwords: Iterable[str] = params.STOPWOR
         mentions = F.transform(entity_mentions(text, wanted), lambda m: F.lower(m.surface))
         all_phrases = F.concat(all_phrases, mentions)
 
-    def score(low: Column, total: Column, p: Column) -> Column:
-        at = F.instr(low, p.phrase) - 1
+    def score(doc: Column, p: Column) -> Column:
         has_signal = F.lit(False)
         for s in signals:
             has_signal = has_signal | p.phrase.contains(s)
-        n_words = F.size(F.split(p.phrase, " "))
-        bonus = F.when(at >= 0, F.lit(1.5) - at / F.length(low)).otherwise(F.lit(1.0))
-        raw = p.n / total * (F.lit(1.0) + n_words * F.lit(0.2)) * bonus
-        return F.struct(
-            (-F.round(raw * F.when(has_signal, F.lit(1.5)).otherwise(F.lit(1.0)), SCORE_DIGITS)).alias("neg"),
-            at.alias("first_pos"),
-            p.phrase.alias("phrase"),
-            p.n.alias("n"),
-        )
+        n_words = F.length(p.phrase) - F.length(F.translate(p.phrase, " ", "")) + 1
+        boost = F.when(has_signal, F.lit(1.5)).otherwise(F.lit(1.0))
+
+        def placed(at: Column) -> Column:
+            bonus = F.when(at >= 0, F.lit(1.5) - at / doc.length).otherwise(F.lit(1.0))
+            raw = p.n / doc.total * (F.lit(1.0) + n_words * F.lit(0.2)) * bonus
+            return F.struct(
+                (-F.round(raw * boost, SCORE_DIGITS)).alias("neg"),
+                at.alias("first_pos"),
+                p.phrase.alias("phrase"),
+                p.n.alias("n"),
+            )
+
+        return let(F.instr(doc.low, p.phrase) - 1, placed)
 
     def rank(phrases: Column) -> Column:
         return let(
-            F.struct(F.lower(text).alias("low"), F.size(phrases).alias("total")),
-            lambda d: F.array_sort(
-                F.transform(phrase_counts(phrases), lambda p: score(d.low, d.total, p))
+            F.struct(
+                F.lower(text).alias("low"),
+                F.length(F.lower(text)).alias("length"),
+                F.size(phrases).alias("total"),
             ),
+            lambda d: F.sort_array(F.transform(phrase_counts(phrases), lambda p: score(d, p))),
         )
 
     return F.transform(
@@ -104,17 +110,34 @@ def key_phrases(df: DataFrame, k: int = 8, text: str = "content", out: str = "ke
     return df.withColumn(out, top_phrases(scored_phrases(text, stopwords, surfaces), k))
 
 
-def phrase_table(df: DataFrame, keys: Iterable[str] = ("sector", "url"), text: str = "content", stopwords: Iterable[str] = params.STOPWORDS) -> DataFrame:
-    """One row per article and phrase: n, tf, first position and score."""
-    scored = scored_phrases(text, stopwords)
-    total = F.aggregate(F.col("_all"), F.lit(0), lambda a, p: a + p.n)
-    return (
-        df.select(*keys, scored.alias("_all"))
-        .select(*keys, total.alias("_total"), F.explode("_all").alias("_p"))
-        .select(*keys, "_p.*", (F.col("_p.n") / F.col("_total")).alias("tf"))
+def key_phrase_rows(df: DataFrame, keys: Iterable[str] = ("sector", "url"), k: int = 8, text: str = "content", stopwords: Iterable[str] = params.STOPWORDS, surfaces: dict[str, str] | None = None) -> DataFrame:
+    """One row per article and key phrase: keys, rank, phrase, score."""
+    top = top_phrases(scored_phrases(text, stopwords, surfaces), k)
+    # the expression is exploded directly: a filter inferred on a column would evaluate it twice more
+    return df.select(*keys, F.posexplode(top).alias("_i", "_p")).select(
+        *keys, (F.col("_i") + 1).alias("rank"), "_p.*"
     )
 
 
+def phrase_table(df: DataFrame, keys: Iterable[str] = ("sector", "url"), text: str = "content", stopwords: Iterable[str] = params.STOPWORDS, signals: Iterable[str] = params.PHRASE_SIGNALS) -> DataFrame:
+    """One row per article and phrase: phrase, n, first_pos, score and tf."""
+
+    def with_tf(rows: Column) -> Column:
+        return let(
+            F.aggregate(rows, F.lit(0), lambda a, p: a + p.n),
+            lambda total: F.transform(
+                rows,
+                lambda p: F.struct(
+                    p.phrase.alias("phrase"), p.n.alias("n"), p.first_pos.alias("first_pos"),
+                    p.score.alias("score"), (p.n / total).alias("tf"),
+                ),
+            ),
+        )
+
+    rows = let(scored_phrases(text, stopwords, signals=signals), with_tf)
+    return df.select(*keys, F.explode(rows).alias("_p")).select(*keys, "_p.*")
+
+
 def phrase_idf(df: DataFrame, text: str = "content", stopwords: Iterable[str] = params.STOPWORDS) -> DataFrame:
     """Corpus weight of each phrase, ``ln(articles / articles with it)``.
 

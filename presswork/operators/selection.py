@@ -162,7 +162,7 @@ def ngrams(tokens: Column, longest: int) -> Column:
 
 def _weigh(grams: Column) -> Column:
     """Sum the field weights of equal grams within one article (at most three of each)."""
-    ordered = F.array_sort(grams)
+    ordered = F.sort_array(grams)
 
     def merged(xs: Column) -> Column:
         def at(i: Column) -> Column:

@@ -67,8 +67,8 @@ def summary(text: Column | str, k: int = 8, signals: Iterable[str] = params.SENT
     text = text_or_empty(text)
 
     def choose(rows: Column) -> Column:
-        ranked = F.array_sort(F.transform(rows, lambda r: F.struct((-r.score).alias("s"), r.pos.alias("p"))))
-        best = F.array_sort(F.transform(F.slice(ranked, 1, k), lambda r: r.p))
+        ranked = F.sort_array(F.transform(rows, lambda r: F.struct((-r.score).alias("s"), r.pos.alias("p"))))
+        best = F.sort_array(F.transform(F.slice(ranked, 1, k), lambda r: r.p))
         chosen = F.array_join(F.transform(best, lambda p: F.get(rows, p).sentence), " ")
         first = F.array_join(F.transform(F.slice(rows, 1, 5), lambda r: r.sentence), " ")
         return let(

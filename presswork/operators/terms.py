@@ -67,7 +67,7 @@ def match_categories(df: DataFrame, taxonomy=params.TAXONOMY, text: str = "conte
         .groupBy(*keys, "category")
         .agg(F.min("ord").alias("ord"))
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("ord", "category"))).alias("_c"))
+        .agg(F.sort_array(F.collect_list(F.struct("ord", "category"))).alias("_c"))
         .select(*keys, F.col("_c.category").alias("categories"))
     )
     none = F.array().cast("array<string>")
@@ -125,7 +125,7 @@ def entity_mentions(text: Column | str, surfaces: dict[str, str]) -> Column:
 
     def scan(tokens: Column) -> Column:
         found = [of_length(tokens, n, names) for n, names in sorted(by_length.items())]
-        return F.array_sort(F.flatten(F.array(*found)))
+        return F.sort_array(F.flatten(F.array(*found)))
 
     return let(X.word_tokens(text, lower=False), scan)
 
@@ -179,7 +179,7 @@ def match_entities(df: DataFrame, entity_dict, text: str = "content", keys: Iter
     )
     found = (
         hits.groupBy(*keys, "label")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "surface"))).alias("_s"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "surface"))).alias("_s"))
         .groupBy(*keys)
         .agg(F.map_from_entries(F.collect_list(F.struct("label", F.col("_s.surface")))).alias("entities"))
     )
