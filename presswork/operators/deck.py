@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,13 +15,18 @@ from .selection import first_per
 DECK_ORDER = ["deck_pos"]
 
 
+def _earliest(order: list[str]) -> Column:
+    """Smallest order key; a single column keeps the aggregation hash-based."""
+    return F.min(order[0]) if len(order) == 1 else F.min(F.struct(*order))
+
+
 def by_sector(df: DataFrame, order: list[str] = DECK_ORDER) -> DataFrame:
     """Default the sector and add ``sector_ord``: the rank of sectors by first article.
 
     Only one minimum per sector and task is shuffled; articles stay where they are.
     """
     df = df.withColumn("sector", F.coalesce("sector", F.lit("General")))
-    firsts = df.groupBy("sector").agg(F.min(F.struct(*order)).alias("_first"))
+    firsts = df.groupBy("sector").agg(_earliest(order).alias("_first"))
     # the list of sectors is small; its rank needs all of it in one place
     ranked = firsts.select(
         "sector", F.row_number().over(W.orderBy("_first", "sector")).cast("long").alias("sector_ord")
@@ -29,19 +34,24 @@ def by_sector(df: DataFrame, order: list[str] = DECK_ORDER) -> DataFrame:
     return df.join(ranked, "sector")
 
 
-def deck_layout(df: DataFrame, order: list[str] = DECK_ORDER, per_slide: int = 2) -> DataFrame:
+def deck_layout(
+    df: DataFrame, order: list[str] = DECK_ORDER, per_slide: int = 2, number: str | None = None
+) -> DataFrame:
     """Slide, slot and position of every article, in decks of one or two articles a slide.
 
     Slide 1 is the title; each sector has a section slide and its article slides; a
     rejected article still takes its slot.  ``order`` has to be a total order within a
-    sector.  Adds idx, slide_no, slot, left, top, width and height.
+    sector.  ``number`` names a column that already counts 1, 2, 3 ... within the sector.
+    Adds idx, slide_no, slot, left, top, width and height.
     """
     slots = params.TWO_UP_SLOTS if per_slide == 2 else params.ONE_UP_SLOTS
     df = df.withColumn("sector", F.coalesce("sector", F.lit("General")))
     sectors = sector_slides(df, order, per_slide)
-    numbered = number_within(df, "sector", order, "_no").join(
-        sectors.select("sector", "section_slide"), "sector"
-    )
+    if number is None:
+        numbered = number_within(df, "sector", order, "_no")
+    else:
+        numbered = df.withColumn("_no", F.col(number).cast("long"))
+    numbered = numbered.join(sectors.select("sector", "section_slide"), "sector")
     idx = F.col("_no") - 1
     slot = (idx % per_slide).cast("int")
     boxes = F.array(
@@ -62,7 +72,7 @@ def deck_layout(df: DataFrame, order: list[str] = DECK_ORDER, per_slide: int = 2
 def sector_slides(df: DataFrame, order: list[str] = DECK_ORDER, per_slide: int = 2) -> DataFrame:
     """One row per sector: sector_ord, n_articles, section_slide, last_slide."""
     per_sector = df.groupBy("sector").agg(
-        F.count("*").alias("n_articles"), F.min(F.struct(*order)).alias("_first")
+        F.count("*").alias("n_articles"), _earliest(order).alias("_first")
     )
     slides = F.ceil(F.col("n_articles") / per_slide) + 1
     # one row per sector from here on
@@ -125,19 +135,18 @@ def fill_slots(
     pool = first_per(candidates, ["sector", "provider"], list(cand_order), per_provider)
     used = deck.select("sector", "url").filter(F.col("url").isNotNull()).distinct()
     pool = pool.join(used, ["sector", "url"], "left_anti")
-    pool = pool.withColumn("display_content", X.display_content("summary", "content", phrases))
-    pool = pool.filter(F.col("display_content").isNotNull())
+    pool = pool.withColumn("new_content", X.display_content("summary", "content", phrases))
+    pool = pool.filter(F.col("new_content").isNotNull())
     # the same link from both providers counts once, for the first
     pool = pool.withColumn("_p", F.when(F.col("provider") == "newsapi", 0).otherwise(1))
     pool = first_per(pool, ["sector", "url"], ["_p", *cand_order])
-    w = W.partitionBy("sector", "provider").orderBy(*cand_order, "url")
+    # at most ``pool_size`` candidates per sector are brought together
+    entry = F.struct("_p", *cand_order, F.col("url").alias("new_url"), F.col("provider").alias("new_provider"), "new_content")
+    pool = pool.groupBy("sector").agg(F.sort_array(F.collect_list(entry)).alias("_pool"))
     pool = pool.select(
-        "sector", "provider", F.col("url").alias("new_url"), F.col("display_content").alias("new_content"),
-        F.row_number().over(w).alias("_rank"),
-    )
-    sizes = pool.groupBy("sector").agg(
-        F.count_if(F.col("provider") == "newsapi").alias("_n_newsapi"),
-        F.count_if(F.col("provider") == "gnews").alias("_n_gnews"),
+        "sector",
+        F.filter("_pool", lambda c: c["_p"] == 0).alias("_newsapi"),
+        F.filter("_pool", lambda c: c["_p"] == 1).alias("_gnews"),
     )
 
     # --- gaps, by the provider they have to be filled from
@@ -149,27 +158,24 @@ def fill_slots(
     )
     gaps = deck.filter(~F.col("accepted")).select("sector", "url", *order, only.alias("_only"))
     gaps = first_per(gaps, ["sector", "_only"], list(order), pool_size, out="_k")
-    asked = gaps.groupBy("sector").agg(
-        F.count_if(F.col("_only") == "newsapi").alias("_ask_newsapi"),
-        F.count_if(F.col("_only") == "gnews").alias("_ask_gnews"),
-    )
-
-    # --- candidates numbered the way the gaps will take them
-    taken = pool.join(sizes, "sector").join(asked, "sector")
-    first_newsapi = F.least("_n_newsapi", "_ask_newsapi")
-    first_gnews = F.least("_n_gnews", "_ask_gnews")
-    is_newsapi = F.col("provider") == "newsapi"
-    spent = F.when(is_newsapi, first_newsapi).otherwise(first_gnews)
-    in_turn = F.col("_rank") <= spent
-    later = F.col("_rank") - spent + F.when(is_newsapi, F.lit(0)).otherwise(F.col("_n_newsapi") - first_newsapi)
-    offers = taken.select(
-        "sector", "new_url", "new_content",
-        F.when(in_turn, F.col("provider")).otherwise(F.lit("any")).alias("_only"),
-        F.when(in_turn, F.col("_rank")).otherwise(later).cast("int").alias("_k"),
-        F.col("provider").alias("new_provider"),
-    )
-    return gaps.join(offers, ["sector", "_only", "_k"]).select(
-        "sector", "url", *order, "new_url", "new_provider", "new_content"
+    in_sector = W.partitionBy("sector")
+    for name in ("newsapi", "gnews"):
+        gaps = gaps.withColumn(f"_ask_{name}", F.count_if(F.col("_only") == name).over(in_sector))
+
+    # --- each gap takes the candidate of its turn
+    n_newsapi, k = F.size("_newsapi"), F.col("_k")
+    spent_newsapi = F.least(n_newsapi, "_ask_newsapi").cast("int")
+    spent_gnews = F.least(F.size("_gnews"), "_ask_gnews").cast("int")
+    rest = n_newsapi - spent_newsapi
+    pick = (
+        F.when(F.col("_only") == "newsapi", F.get("_newsapi", k - 1))
+        .when(F.col("_only") == "gnews", F.get("_gnews", k - 1))
+        .when(k <= rest, F.get("_newsapi", spent_newsapi + k - 1))
+        .otherwise(F.get("_gnews", spent_gnews + k - rest - 1))
+    )
+    filled = gaps.join(pool, "sector").select("sector", "url", *order, pick.alias("_c"))
+    return filled.filter(F.col("_c").isNotNull()).select(
+        "sector", "url", *order, "_c.new_url", "_c.new_provider", "_c.new_content"
     )
 
 
