@@ -60,7 +60,7 @@ def extract_insights(
         {
             "_ents": entities(body, surfaces),
             "_cats": categories(body, inline),
-            "_phr": top_phrases(scored_phrases(body, stopwords, surfaces), 8),
+            "_phr": top_phrases(scored_phrases(body, stopwords, surfaces, best=8), 8),
             "_sum": summary(body, 8, surfaces=surfaces),
         }
     )

@@ -38,11 +38,26 @@ def phrase_counts(phrases: Column) -> Column:
     return let(F.sort_array(phrases), runs)
 
 
-def scored_phrases(text: Column | str, stopwords: Iterable[str] = params.STOPWORDS, surfaces: dict[str, str] | None = None, signals: Iterable[str] = params.PHRASE_SIGNALS) -> Column:
+#: Allowance for rounding when a phrase is ruled out by a bound on its score.
+SLACK = 1e-8
+
+
+def scored_phrases(
+    text: Column | str,
+    stopwords: Iterable[str] = params.STOPWORDS,
+    surfaces: dict[str, str] | None = None,
+    signals: Iterable[str] = params.PHRASE_SIGNALS,
+    best: int | None = None,
+) -> Column:
     """Array of (phrase, n, first_pos, score), best first; ties by position, then phrase.
 
     score = share of all phrases * (1 + 0.2 * words) * (1.5 - first_pos / length), the last
     factor 1 when the phrase is not found literally; times 1.5 with a signal term in it.
+
+    Finding every phrase in a long text is quadratic.  With ``best`` given, only phrases
+    that may be among the best ones are looked up: the first phrases of the text set a
+    score to beat, and others are searched no further than where they could still beat it.
+    The first ``best`` entries are the same as without.
     """
     text = text_or_empty(text)
     signals = list(signals)
@@ -52,33 +67,67 @@ def scored_phrases(text: Column | str, stopwords: Iterable[str] = params.STOPWOR
         mentions = F.transform(entity_mentions(text, wanted), lambda m: F.lower(m.surface))
         all_phrases = F.concat(all_phrases, mentions)
 
-    def score(doc: Column, p: Column) -> Column:
+    def length_weight(phrase: Column) -> Column:
+        blanks = F.length(phrase) - F.length(F.translate(phrase, " ", ""))
+        return F.lit(1.0) + (blanks + 1) * F.lit(0.2)
+
+    def boost(phrase: Column) -> Column:
         has_signal = F.lit(False)
         for s in signals:
-            has_signal = has_signal | p.phrase.contains(s)
-        n_words = F.length(p.phrase) - F.length(F.translate(p.phrase, " ", "")) + 1
-        boost = F.when(has_signal, F.lit(1.5)).otherwise(F.lit(1.0))
-
-        def placed(at: Column) -> Column:
-            bonus = F.when(at >= 0, F.lit(1.5) - at / doc.length).otherwise(F.lit(1.0))
-            raw = p.n / doc.total * (F.lit(1.0) + n_words * F.lit(0.2)) * bonus
-            return F.struct(
-                (-F.round(raw * boost, SCORE_DIGITS)).alias("neg"),
+            has_signal = has_signal | phrase.contains(s)
+        return F.when(has_signal, F.lit(1.5)).otherwise(F.lit(1.0))
+
+    def value(doc: Column, phrase: Column, n: Column, at: Column) -> Column:
+        bonus = F.when(at >= 0, F.lit(1.5) - at / doc.length).otherwise(F.lit(1.0))
+        raw = n / doc.total * length_weight(phrase) * bonus
+        return F.round(raw * boost(phrase), SCORE_DIGITS)
+
+    def entry(doc: Column, p: Column) -> Column:
+        return let(
+            F.instr(doc.low, p.phrase) - 1,
+            lambda at: F.struct(
+                (-value(doc, p.phrase, p.n, at)).alias("neg"),
                 at.alias("first_pos"),
                 p.phrase.alias("phrase"),
                 p.n.alias("n"),
+            ),
+        )
+
+    def to_beat(doc: Column, phrases: Column) -> Column:
+        """A score that ``best`` phrases reach; 0 if there are not that many to try."""
+        tried = F.array_distinct(F.slice(phrases, 1, 4 * best))
+        scores = F.transform(
+            tried, lambda p: value(doc, p, F.lit(1), F.instr(doc.low, p) - 1)
+        )
+        return F.coalesce(F.get(F.sort_array(scores, asc=False), F.lit(best - 1)), F.lit(0.0))
+
+    def may_rank(doc: Column, goal: Column, p: Column) -> Column:
+        def reachable(w: Column) -> Column:
+            furthest = (F.lit(1.5) - (goal - SLACK) / w) * doc.length
+            head = F.left(doc.low, F.ceil(furthest).cast("int") + F.length(p.phrase) + 1)
+            return (w + SLACK >= goal) | (
+                (w * F.lit(1.5) + SLACK >= goal) & head.contains(p.phrase)
             )
 
-        return let(F.instr(doc.low, p.phrase) - 1, placed)
+        return let(p.n / doc.total * length_weight(p.phrase) * boost(p.phrase), reachable)
 
     def rank(phrases: Column) -> Column:
+        def ranked(doc: Column) -> Column:
+            counts = phrase_counts(phrases)
+            if best is not None:
+                counts = let(
+                    to_beat(doc, phrases),
+                    lambda goal: F.filter(phrase_counts(phrases), lambda p: may_rank(doc, goal, p)),
+                )
+            return F.sort_array(F.transform(counts, lambda p: entry(doc, p)))
+
         return let(
             F.struct(
                 F.lower(text).alias("low"),
                 F.length(F.lower(text)).alias("length"),
                 F.size(phrases).alias("total"),
             ),
-            lambda d: F.sort_array(F.transform(phrase_counts(phrases), lambda p: score(d, p))),
+            ranked,
         )
 
     return F.transform(
@@ -107,12 +156,12 @@ def key_phrases(df: DataFrame, k: int = 8, text: str = "content", out: str = "ke
     surfaces = entity_surfaces(entity_dict) if entity_dict is not None else None
     if entity_dict is not None and surfaces is None:
         raise ValueError("the entity dictionary is too large for key phrases; pass its frequent part")
-    return df.withColumn(out, top_phrases(scored_phrases(text, stopwords, surfaces), k))
+    return df.withColumn(out, top_phrases(scored_phrases(text, stopwords, surfaces, best=k), k))
 
 
 def key_phrase_rows(df: DataFrame, keys: Iterable[str] = ("sector", "url"), k: int = 8, text: str = "content", stopwords: Iterable[str] = params.STOPWORDS, surfaces: dict[str, str] | None = None) -> DataFrame:
     """One row per article and key phrase: keys, rank, phrase, score."""
-    top = top_phrases(scored_phrases(text, stopwords, surfaces), k)
+    top = top_phrases(scored_phrases(text, stopwords, surfaces, best=k), k)
     # the expression is exploded directly: a filter inferred on a column would evaluate it twice more
     return df.select(*keys, F.posexplode(top).alias("_i", "_p")).select(
         *keys, (F.col("_i") + 1).alias("rank"), "_p.*"
