@@ -1,0 +1,21 @@
+"""Decoding the complete HTML5 entity set.
+
+The common entities are decoded by native expressions (``text.decode_entities``); the full
+set of names needs Python, one Arrow batch at a time.
+"""
+
+import html
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+
+@F.pandas_udf(StringType())
+def _unescape(s: pd.Series) -> pd.Series:
+    return s.map(html.unescape, na_action="ignore")
+
+
+def decode_entities_full(c: Column) -> Column:
+    return _unescape(F.col(c) if isinstance(c, str) else c)

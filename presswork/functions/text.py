@@ -88,19 +88,6 @@ def decode_entities(c: Column | str) -> Column:
     return let(col(c), decode)
 
 
-def decode_entities_full(c: Column | str) -> Column:
-    """Decode the complete HTML5 entity set, Arrow batch by Arrow batch."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def unescape(s: pd.Series) -> pd.Series:
-        import html
-
-        return s.map(html.unescape, na_action="ignore")
-
-    return unescape(col(c))
-
-
 def strip_tags(c: Column | str, separator: str = "") -> Column:
     """Text outside tags, comments, scripts and styles."""
 
@@ -344,7 +331,7 @@ def candidate_phrases(
 
 __all__ = [
     "candidate_phrases", "clean_text", "contains_term", "count_sentences", "cut_at_sentence",
-    "decode_entities", "decode_entities_full", "display_content", "display_sentences",
+    "decode_entities", "display_content", "display_sentences",
     "drop_boilerplate", "enhance_summary", "html_to_text", "paragraphs", "quote_phrase",
     "remove_stopwords", "slug", "cache_key", "split_sentences", "strip_tags", "string_array",
     "token_text", "usable_sentences", "word_tokens",
