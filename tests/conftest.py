@@ -24,4 +24,4 @@ def spark():
 def docs(spark):
     from presswork.sources import corpus
 
-    return corpus.read_documents(spark, "/root/testdata/sf0.001/documents.parquet").cache()
+    return corpus.read_documents(spark, "/root/testdata/sf0.001/documents.parquet")
