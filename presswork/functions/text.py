@@ -10,11 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import params
-from .core import SPACE, col, is_in, let, rfind, strip, string_array, text_or_empty, word_count, words
+from .core import NON_SPACE, SPACE, col, is_in, let, rfind, strip, string_array, text_or_empty, word_count, words
 
 # fixed values: patterns
-URL_PATTERN = r"(?U)https?\S+|www\.\S+"
-EMAIL_PATTERN = r"(?U)\S+@\S+\.\S+"
+URL_PATTERN = rf"https?{NON_SPACE}+|www\.{NON_SPACE}+"
+EMAIL_PATTERN = rf"{NON_SPACE}+@{NON_SPACE}+\.{NON_SPACE}+"
 SENTENCE_BREAK = r"(?<=[.!?])\s+"
 CLAUSE_BREAK = r"[,;:]\s+"
 TAG_PATTERN = r"<[a-zA-Z/!?][^>]*>"
@@ -124,7 +124,7 @@ def clean_text(c: Column | str, decode=decode_entities) -> Column:
     x = let(x, without(EMAIL_PATTERN, "@"))
     x = F.regexp_replace(x, r"[^\x00-\x7F]+", " ")
     x = F.translate(F.lower(x), string.punctuation + string.digits, "")
-    return F.trim(F.regexp_replace(x, rf"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(x, r"[\s\x1c-\x1f]+", " "))
 
 
 def remove_stopwords(c: Column | str, stopwords: Iterable[str] = params.STOPWORDS) -> Column:
@@ -298,7 +298,7 @@ def token_text(c: Column | str, lower: bool = True) -> Column:
     """Tokens (words and single punctuation marks) between blanks, with a blank at both
     ends, so that a phrase occurs exactly when ``' phrase '`` is contained."""
     c = text_or_empty(c)
-    spaced = F.regexp_replace(F.lower(c) if lower else c, r"([^\p{L}\p{N}\s])", " $1 ")
+    spaced = F.regexp_replace(F.lower(c) if lower else c, r"[^\p{L}\p{N}\s]", " $0 ")
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(spaced, r"\s+", " ")), F.lit(" "))
 
 

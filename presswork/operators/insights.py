@@ -11,7 +11,10 @@ from .. import params
 from ..functions.core import col, text_or_empty
 from .phrases import scored_phrases, top_phrases
 from .summaries import summary
-from .terms import categories, entities, entity_surfaces, primary_category, taxonomy_dict
+from .terms import (
+    categories, entities, entity_surfaces, match_categories, match_entities, primary_category,
+    surfaces_of, taxonomy_dict,
+)
 
 
 def relevance_score(cats: Column | str, phrases: Column | str, ents: Column | str, entity_boost: bool = True) -> Column:
@@ -44,26 +47,35 @@ def extract_insights(
     stopwords: Iterable[str] = params.STOPWORDS,
     text: str | None = None,
     entity_boost: bool = True,
+    keys: Iterable[str] = ("sector", "url"),
 ) -> DataFrame:
     """Add the ``insights`` record; NULL for articles without text.
 
     The text is ``cleaned_content`` where that column exists, else ``content``.  Each
-    article is worked on within its row, so this is a single pass without a shuffle.
+    article is worked on within its row, so this is a single pass without a shuffle, unless
+    a table is too large to inline; ``keys`` must then identify an article.
     """
     surfaces = entity_surfaces(entity_dict)
     inline = taxonomy_dict(taxonomy)
-    if surfaces is None or inline is None:
-        raise ValueError("match large tables with match_entities / match_categories instead")
     source = text or ("cleaned_content" if "cleaned_content" in df.columns else "content")
     body = text_or_empty(source)
-    staged = df.withColumns(
-        {
-            "_ents": entities(body, surfaces),
-            "_cats": categories(body, inline),
-            "_phr": top_phrases(scored_phrases(body, stopwords, surfaces, best=8), 8),
-            "_sum": summary(body, 8, surfaces=surfaces),
-        }
-    )
+    # --- what does not fit into the plan is matched by joins, and used per row from there on
+    if surfaces is None:
+        df = match_entities(df, entity_dict, source, keys, out="_ents")
+        known, known_phrases = surfaces_of(F.col("_ents")), surfaces_of(F.col("_ents"), params.PHRASE_ENTITY_LABELS)
+    else:
+        known = known_phrases = surfaces
+    if inline is None:
+        df = match_categories(df, taxonomy, source, keys, out="_cats")
+    made = {
+        "_phr": top_phrases(scored_phrases(body, stopwords, known_phrases, best=8), 8),
+        "_sum": summary(body, 8, surfaces=known),
+    }
+    if surfaces is not None:
+        made["_ents"] = entities(body, surfaces)
+    if inline is not None:
+        made["_cats"] = categories(body, inline)
+    staged = df.withColumns(made)
     ents, cats, phr = F.col("_ents"), F.col("_cats"), F.col("_phr")
     record = F.struct(
         ents.alias("entities"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import params
 from ..functions import text as X
 from ..functions.core import is_in, let, text_or_empty, words
-from .terms import entity_mentions, entity_surfaces
+from .terms import entity_mentions, entity_surfaces, match_entities, surfaces_of
 
 SCORE_DIGITS = 9
 
@@ -45,7 +45,7 @@ SLACK = 1e-8
 def scored_phrases(
     text: Column | str,
     stopwords: Iterable[str] = params.STOPWORDS,
-    surfaces: dict[str, str] | None = None,
+    surfaces: dict[str, str] | Column | None = None,
     signals: Iterable[str] = params.PHRASE_SIGNALS,
     best: int | None = None,
 ) -> Column:
@@ -62,8 +62,10 @@ def scored_phrases(
     text = text_or_empty(text)
     signals = list(signals)
     all_phrases = X.candidate_phrases(text, stopwords)
-    wanted = {s: lab for s, lab in (surfaces or {}).items() if lab in params.PHRASE_ENTITY_LABELS}
-    if wanted:
+    wanted = surfaces
+    if isinstance(surfaces, dict):
+        wanted = {s: lab for s, lab in surfaces.items() if lab in params.PHRASE_ENTITY_LABELS}
+    if isinstance(wanted, Column) or wanted:
         mentions = F.transform(entity_mentions(text, wanted), lambda m: F.lower(m.surface))
         all_phrases = F.concat(all_phrases, mentions)
 
@@ -152,14 +154,17 @@ def top_phrases(scored: Column, k: int = 8) -> Column:
     )
 
 
-def key_phrases(df: DataFrame, k: int = 8, text: str = "content", out: str = "key_phrases", stopwords: Iterable[str] = params.STOPWORDS, entity_dict=None) -> DataFrame:
-    surfaces = entity_surfaces(entity_dict) if entity_dict is not None else None
-    if entity_dict is not None and surfaces is None:
-        raise ValueError("the entity dictionary is too large for key phrases; pass its frequent part")
-    return df.withColumn(out, top_phrases(scored_phrases(text, stopwords, surfaces, best=k), k))
+def key_phrases(df: DataFrame, k: int = 8, text: str = "content", out: str = "key_phrases", stopwords: Iterable[str] = params.STOPWORDS, entity_dict=None, keys: Iterable[str] = ("sector", "url")) -> DataFrame:
+    """Add the key phrases.  A dictionary too large to inline is joined first, by ``keys``."""
+    surfaces = entity_surfaces(entity_dict) if entity_dict is not None else {}
+    if surfaces is not None:
+        return df.withColumn(out, top_phrases(scored_phrases(text, stopwords, surfaces, best=k), k))
+    found = match_entities(df, entity_dict, text, keys, out="_entities")
+    own = surfaces_of(F.col("_entities"), params.PHRASE_ENTITY_LABELS)
+    return found.withColumn(out, top_phrases(scored_phrases(text, stopwords, own, best=k), k)).drop("_entities")
 
 
-def key_phrase_rows(df: DataFrame, keys: Iterable[str] = ("sector", "url"), k: int = 8, text: str = "content", stopwords: Iterable[str] = params.STOPWORDS, surfaces: dict[str, str] | None = None) -> DataFrame:
+def key_phrase_rows(df: DataFrame, keys: Iterable[str] = ("sector", "url"), k: int = 8, text: str = "content", stopwords: Iterable[str] = params.STOPWORDS, surfaces: dict[str, str] | Column | None = None) -> DataFrame:
     """One row per article and key phrase: keys, rank, phrase, score."""
     top = top_phrases(scored_phrases(text, stopwords, surfaces, best=k), k)
     # the expression is exploded directly: a filter inferred on a column would evaluate it twice more

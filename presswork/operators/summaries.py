@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import params
 from ..functions import text as X
 from ..functions.core import is_in, let, text_or_empty, word_count
-from .terms import entity_mentions, entity_surfaces
+from .terms import entity_surfaces, match_entities, mentions_in, surfaces_of
 
 
 def running_start(counts: Column) -> Column:
@@ -26,29 +26,33 @@ def running_start(counts: Column) -> Column:
     )
 
 
-def scored_sentences(text: Column | str, signals: Iterable[str] = params.SENTENCE_SIGNALS, surfaces: dict[str, str] | None = None) -> Column:
+def scored_sentences(text: Column | str, signals: Iterable[str] = params.SENTENCE_SIGNALS, surfaces: dict[str, str] | Column | None = None) -> Column:
     """Array of (pos, sentence, words, tok_start, score) over the whole text.
 
     score = (entities / 2 + signal words + 1.5 - |tok_start / sentences - 0.5|) * words.
     The position term is not confined to 0..1, so late sentences score below zero.
     """
     signals = list(signals)
-    surfaces = surfaces or {}
+    has_surfaces = isinstance(surfaces, Column) or bool(surfaces)
 
     def score(sentences: Column) -> Column:
         counts = F.transform(sentences, lambda s: word_count(s))
         n = F.size(sentences)
 
         def row(s: Column, i: Column, w: Column, start: Column) -> Column:
-            signal_words = F.size(F.filter(X.word_tokens(s), lambda t: is_in(t, signals)))
-            found = F.size(entity_mentions(s, surfaces)) if surfaces else F.lit(0)
+            def hits(tokens: Column) -> Column:
+                signal_words = F.size(F.filter(tokens, lambda t: is_in(F.lower(t), signals)))
+                if not has_surfaces:
+                    return F.lit(0) * F.lit(0.5) + signal_words
+                return F.size(mentions_in(tokens, surfaces)) * F.lit(0.5) + signal_words
+
             position = F.lit(1.5) - F.abs(start / n - F.lit(0.5))
             return F.struct(
                 i.cast("int").alias("pos"),
                 F.trim(s).alias("sentence"),
                 w.alias("words"),
                 start.alias("tok_start"),
-                ((found * F.lit(0.5) + signal_words + position) * w).alias("score"),
+                ((let(X.word_tokens(s, lower=False), hits) + position) * w).alias("score"),
             )
 
         return let(
@@ -62,7 +66,7 @@ def scored_sentences(text: Column | str, signals: Iterable[str] = params.SENTENC
     return let(X.split_sentences(text_or_empty(text)), score)
 
 
-def summary(text: Column | str, k: int = 8, signals: Iterable[str] = params.SENTENCE_SIGNALS, surfaces: dict[str, str] | None = None) -> Column:
+def summary(text: Column | str, k: int = 8, signals: Iterable[str] = params.SENTENCE_SIGNALS, surfaces: dict[str, str] | Column | None = None) -> Column:
     """The ``k`` best sentences in text order; the first five if that is too short for the text."""
     text = text_or_empty(text)
 
@@ -79,11 +83,13 @@ def summary(text: Column | str, k: int = 8, signals: Iterable[str] = params.SENT
     return F.when(text == "", F.lit("")).otherwise(let(scored_sentences(text, signals, surfaces), choose))
 
 
-def summarize(df: DataFrame, k: int = 8, text: str = "content", out: str = "summary", signals: Iterable[str] = params.SENTENCE_SIGNALS, entity_dict=None) -> DataFrame:
-    surfaces = entity_surfaces(entity_dict) if entity_dict is not None else None
-    if entity_dict is not None and surfaces is None:
-        raise ValueError("the entity dictionary is too large for sentence scores; pass its frequent part")
-    return df.withColumn(out, summary(text, k, signals, surfaces))
+def summarize(df: DataFrame, k: int = 8, text: str = "content", out: str = "summary", signals: Iterable[str] = params.SENTENCE_SIGNALS, entity_dict=None, keys: Iterable[str] = ("sector", "url")) -> DataFrame:
+    """Add the summary.  A dictionary too large to inline is joined first, by ``keys``."""
+    surfaces = entity_surfaces(entity_dict) if entity_dict is not None else {}
+    if surfaces is not None:
+        return df.withColumn(out, summary(text, k, signals, surfaces))
+    found = match_entities(df, entity_dict, text, keys, out="_entities")
+    return found.withColumn(out, summary(text, k, signals, surfaces_of(F.col("_entities")))).drop("_entities")
 
 
 def sentence_table(df: DataFrame, keys: Iterable[str] = ("sector", "url"), text: str = "content", **scoring) -> DataFrame:

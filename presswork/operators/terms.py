@@ -44,7 +44,7 @@ def categories(text: Column | str, taxonomy: dict[str, list[str]] = params.TAXON
     return let(X.token_text(text), found)
 
 
-def match_categories(df: DataFrame, taxonomy=params.TAXONOMY, text: str = "content", keys: Iterable[str] = ("sector", "url")) -> DataFrame:
+def match_categories(df: DataFrame, taxonomy=params.TAXONOMY, text: str = "content", keys: Iterable[str] = ("sector", "url"), out: str = "categories") -> DataFrame:
     """Add ``categories``.
 
     A taxonomy small enough to inline is matched in place, without a shuffle.  A larger
@@ -53,7 +53,7 @@ def match_categories(df: DataFrame, taxonomy=params.TAXONOMY, text: str = "conte
     """
     inline = taxonomy_dict(taxonomy)
     if inline is not None:
-        return df.withColumn("categories", categories(text, inline))
+        return df.withColumn(out, categories(text, inline))
     keys = list(keys)
     terms = taxonomy.select(
         "category", "ord", F.trim(X.token_text("term")).alias("gram")
@@ -68,10 +68,10 @@ def match_categories(df: DataFrame, taxonomy=params.TAXONOMY, text: str = "conte
         .agg(F.min("ord").alias("ord"))
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("ord", "category"))).alias("_c"))
-        .select(*keys, F.col("_c.category").alias("categories"))
+        .select(*keys, F.col("_c.category").alias(out))
     )
     none = F.array().cast("array<string>")
-    return df.join(found, keys, "left").withColumn("categories", F.coalesce("categories", none))
+    return df.join(found, keys, "left").withColumn(out, F.coalesce(out, none))
 
 
 def primary_category(cats: Column | str) -> Column:
@@ -99,16 +99,24 @@ def entity_surfaces(entity_dict) -> dict[str, str] | None:
     return out
 
 
-def entity_mentions(text: Column | str, surfaces: dict[str, str]) -> Column:
-    """Every dictionary surface in the text, case-sensitive, as (pos, surface) in text order."""
+MENTIONS = "array<struct<pos:int,surface:string>>"
+
+
+def mentions_in(tokens: Column, surfaces: dict[str, str] | Column) -> Column:
+    """Every known surface among the tokens as (pos, surface), in text order.
+
+    ``surfaces`` is a dictionary folded into the plan, or an array column that holds
+    the surfaces of this row.
+    """
+    if isinstance(surfaces, Column):
+        return _mentions_of_row(tokens, surfaces)
     by_length: dict[int, list[str]] = {}
     for s in surfaces:
         by_length.setdefault(s.count(" ") + 1, []).append(s)
-    target = "array<struct<pos:int,surface:string>>"
     if not surfaces:
-        return F.array().cast(target)
+        return F.array().cast(MENTIONS)
 
-    def of_length(tokens: Column, n: int, names: list[str]) -> Column:
+    def of_length(n: int, names: list[str]) -> Column:
         firsts = sorted({s.split(" ")[0] for s in names})
         starts = F.filter(
             F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
@@ -120,14 +128,47 @@ def entity_mentions(text: Column | str, surfaces: dict[str, str]) -> Column:
                 i.alias("pos"), F.array_join(F.slice(tokens, i, F.lit(n)), " ").alias("surface")
             ),
         )
-        hits = F.filter(grams, lambda g: is_in(g.surface, names))
-        return F.when(F.size(tokens) >= n, hits).otherwise(F.array().cast(target))
+        hits = F.filter(grams, lambda g: is_in(g.surface, names)) if n > 1 else grams
+        return F.when(F.size(tokens) >= n, hits).otherwise(F.array().cast(MENTIONS))
+
+    found = [of_length(n, names) for n, names in sorted(by_length.items())]
+    return F.sort_array(F.flatten(F.array(*found)))
+
+
+def _mentions_of_row(tokens: Column, own: Column) -> Column:
+    def n_words(s: Column) -> Column:
+        return F.length(s) - F.length(F.translate(s, " ", "")) + 1
+
+    def scan(names: Column) -> Column:
+        longest = F.array_max(F.transform(names, n_words))
+
+        def of_length(n: Column) -> Column:
+            grams = F.transform(
+                F.sequence(F.lit(1), F.size(tokens) - n + 1),
+                lambda i: F.struct(
+                    i.alias("pos"), F.array_join(F.slice(tokens, i, n), " ").alias("surface")
+                ),
+            )
+            hits = F.filter(grams, lambda g: F.array_contains(names, g.surface))
+            return F.when(F.size(tokens) >= n, hits).otherwise(F.array().cast(MENTIONS))
+
+        every = F.flatten(F.transform(F.sequence(F.lit(1), longest), of_length))
+        return F.when(F.size(names) > 0, F.sort_array(every)).otherwise(F.array().cast(MENTIONS))
+
+    return let(own, scan)
+
+
+def entity_mentions(text: Column | str, surfaces: dict[str, str] | Column) -> Column:
+    """Every known surface in the text, case-sensitive, as (pos, surface) in text order."""
+    if isinstance(surfaces, dict) and not surfaces:
+        return F.array().cast(MENTIONS)
+    return let(X.word_tokens(text, lower=False), lambda tokens: mentions_in(tokens, surfaces))
 
-    def scan(tokens: Column) -> Column:
-        found = [of_length(tokens, n, names) for n, names in sorted(by_length.items())]
-        return F.sort_array(F.flatten(F.array(*found)))
 
-    return let(X.word_tokens(text, lower=False), scan)
+def surfaces_of(ents: Column, labels: Iterable[str] = params.ENTITY_LABELS) -> Column:
+    """Surfaces in an entity map under any of the labels."""
+    wanted = F.map_filter(ents, lambda label, _: is_in(label, labels))
+    return F.flatten(F.map_values(wanted))
 
 
 def entities(text: Column | str, surfaces: dict[str, str]) -> Column:
@@ -150,7 +191,7 @@ def entities(text: Column | str, surfaces: dict[str, str]) -> Column:
     return let(entity_mentions(text, surfaces), per_label)
 
 
-def match_entities(df: DataFrame, entity_dict, text: str = "content", keys: Iterable[str] = ("sector", "url")) -> DataFrame:
+def match_entities(df: DataFrame, entity_dict, text: str = "content", keys: Iterable[str] = ("sector", "url"), out: str = "entities") -> DataFrame:
     """Add ``entities``, a map of label to surfaces.
 
     A dictionary that can be inlined needs no shuffle.  A larger one is joined on word
@@ -159,7 +200,7 @@ def match_entities(df: DataFrame, entity_dict, text: str = "content", keys: Iter
     """
     surfaces = entity_surfaces(entity_dict)
     if surfaces is not None:
-        return df.withColumn("entities", entities(text, surfaces))
+        return df.withColumn(out, entities(text, surfaces))
     keys = list(keys)
     names = (
         entity_dict.select(
@@ -181,10 +222,10 @@ def match_entities(df: DataFrame, entity_dict, text: str = "content", keys: Iter
         hits.groupBy(*keys, "label")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "surface"))).alias("_s"))
         .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("label", F.col("_s.surface")))).alias("entities"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("label", F.col("_s.surface")))).alias(out))
     )
     none = F.create_map().cast("map<string,array<string>>")
-    return df.join(found, keys, "left").withColumn("entities", F.coalesce("entities", none))
+    return df.join(found, keys, "left").withColumn(out, F.coalesce(out, none))
 
 
 def positioned_ngrams(tokens: Column, longest: int) -> Column:

@@ -171,3 +171,17 @@ def test_mine_entities_counts_articles(spark):
     df = spark.createDataFrame([(1, "Acme Corp and Acme Corp met Big Blue Co."), (2, "the Acme Corp rose")], "doc_id int, content string")
     assert {r.surface: r.doc_count for r in terms.mine_entities(df, 1).collect()} == {"Acme Corp": 2, "Big Blue Co": 1}
     assert terms.mine_entities(df, 2).count() == 1
+
+
+def test_large_tables_give_the_same_insights(spark, docs, tiny_inline):
+    names = spark.createDataFrame(list(T.ENTITIES.items()), "surface string, label string")
+    terms_table = spark.createDataFrame([(c, t, i) for i, (c, ts) in enumerate(T.TAXONOMY.items()) for t in ts], "category string, term string, ord int")
+    inline = insights.extract_insights(docs, T.ENTITIES, T.TAXONOMY)
+    joined = insights.extract_insights(docs, names, terms_table, keys=KEYS)
+    flat = lambda df: df.select("doc_id", F.to_json("insights.categories").alias("c"), F.to_json("insights.key_phrases").alias("k"), "insights.summary", "insights.relevance_score", F.to_json("insights.detailed_analysis").alias("d"))
+    assert flat(inline).exceptAll(flat(joined)).count() == 0
+    assert docs.count() == joined.count()
+    for fn in (summaries.summarize, phrases.key_phrases):
+        a, b = fn(docs, entity_dict=T.ENTITIES), fn(docs, entity_dict=names, keys=KEYS)
+        out = (set(a.columns) - set(docs.columns)).pop()
+        assert rows(a, out) == rows(b, out)
