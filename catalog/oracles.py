@@ -531,8 +531,8 @@ add("read_snapshots", A + """
 SELECT sector, url, row_number() OVER (PARTITION BY sector, snapshot_ts ORDER BY doc_id) - 1 AS provider_rank, source_name, title,
   strftime(published_ts, '%Y-%m-%d %H:%M:%S') AS published, strftime(snapshot_ts, '%Y-%m-%d') AS snapshot_day FROM art""")
 add("write_snapshot", A + """
-SELECT doc_id, sector, strftime(published_ts, '%Y-%m-%d') AS snapshot_day FROM art
-WHERE NOT (sector IN ('S0', 'S1') AND CAST(published_ts AS DATE) = DATE '2024-01-03' AND doc_id % 16 >= 8)""")
+SELECT doc_id, sector, strftime(published_ts, '%Y-%m-01') AS snapshot_day FROM art
+WHERE NOT (sector IN ('S0', 'S1') AND published_ts < TIMESTAMP '2024-02-01' AND doc_id % 16 >= 8)""")
 add("archive_roundtrip", A + """
 SELECT title, url, source_name AS source, published_raw AS published_at, provider, '2024-06-01T00:00:00' AS fetched_at, '1.0' AS version FROM art""")
 add("write_digest", A + "SELECT doc_id, title, unnest(['2024-06-01', '2024-06-08']) AS issue FROM art")

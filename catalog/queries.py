@@ -606,9 +606,10 @@ def read_snapshots(spark, sf):
 def write_snapshot(spark, sf):
     # the second write replaces two of the partitions, the third writes nothing
     path = scratch_path(spark, "snapshot-table")
-    rows = articles(spark, sf).select("doc_id", "url", "sector", F.to_date("published_ts").alias("snapshot_date"))
+    month = F.to_date(F.date_trunc("month", "published_ts")).alias("snapshot_date")
+    rows = articles(spark, sf).select("doc_id", "url", "sector", month)
     snapshots.write_snapshot(rows, path)
-    again = rows.filter("sector in ('S0', 'S1') and snapshot_date = date'2024-01-03'")
+    again = rows.filter("sector in ('S0', 'S1') and snapshot_date = date'2024-01-01'")
     snapshots.write_snapshot(again.filter("doc_id % 16 < 8"), path)
     snapshots.write_snapshot(rows.filter("sector = 'nowhere'"), path)
     return snapshots.read_snapshot_table(spark, path).select("doc_id", "sector", F.date_format("snapshot_date", "yyyy-MM-dd").alias("snapshot_day"))
@@ -686,7 +687,7 @@ def stream_enrich(spark, sf):
     rows = document_stream(spark, sf).withColumns(
         {
             "provider_rank": F.col("doc_id"), "snapshot_file": F.lit("f"),
-            "snapshot_ts": F.col("published_ts"), "snapshot_date": F.to_date("published_ts"),
+            "snapshot_ts": F.col("published_ts"), "snapshot_date": F.to_date(F.date_trunc("month", "published_ts")),
         }
     )
     jobs.stream_enrich(rows, f"{base}/table", f"{base}/checkpoint", entity_dict=T.ENTITIES, taxonomy=T.TAXONOMY, text="content").awaitTermination()

@@ -88,7 +88,8 @@ def merge_batch(batch: DataFrame, batch_id: int, path: str, days: int = params.L
         fresh = fresh.join(stored.select("sector", "url").distinct(), ["sector", "url"], "left_anti")
     rows = enrich_articles(fresh, **enriching).withColumn("batch_id", F.lit(batch_id).cast("long"))
     (
-        rows.write.mode("overwrite")
+        rows.hint("rebalance", "snapshot_date")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch_id", "snapshot_date")
         .parquet(path)

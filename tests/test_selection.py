@@ -92,14 +92,14 @@ def test_union_fills_missing_columns(spark):
     assert sorted((r.i, r.s or "") for r in selection.union_sources(a, b).collect()) == [(1, "x"), (2, ""), (2, "")]
 
 
-@pytest.mark.parametrize("ranges", [1, 7, 64])
-def test_number_within_equals_brute_force(spark, ranges):
-    rng = random.Random(ranges)
+@pytest.mark.parametrize("per_range", [10_000, 800, 60])
+def test_number_within_equals_brute_force(spark, per_range):
+    rng = random.Random(per_range)
     rows = [("hot" if i % 3 else f"g{rng.randrange(40)}", rng.randrange(50), i) for i in range(5000)]
     rows += [(None, None, -1), (None, 3, -2), ("hot", None, -3)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "g string, a int, b int").repartition(9)
-    got = {(r.g, r.a, r.b): r.no for r in numbering.number_within(df, "g", ["a", "b"], "no", ranges).collect()}
+    got = {(r.g, r.a, r.b): r.no for r in numbering.number_within(df, "g", ["a", "b"], "no", per_range).collect()}
     by = defaultdict(list)
     for r in rows:
         by[r[0]].append(r)
@@ -112,12 +112,9 @@ def test_number_within_equals_brute_force(spark, ranges):
 
 def test_number_within_splits_a_hot_group(spark):
     df = spark.range(20_000).select(F.lit("hot").alias("g"), F.col("id").alias("o"))
-    keys = ["g", "o"]
-    sample = df.orderBy(F.xxhash64(*keys), *keys).limit(numbering.SAMPLE_ROWS).collect()
-    points = sorted({tuple(r) for r in sample})
-    step = len(points) // numbering.RANGES
-    sizes = df.groupBy(numbering._range_number(keys, points[step::step]).alias("r")).count().collect()
-    assert len(sizes) > 100 and max(r["count"] for r in sizes) < 20_000 * 0.05
+    bounds = numbering.range_bounds(df, ["g", "o"], 20_000, 100)
+    sizes = [r["count"] for r in df.groupBy(numbering.range_number(["g", "o"], bounds).alias("r")).count().collect()]
+    assert len(sizes) >= 90 and max(sizes) < 20_000 * 0.03 and sum(sizes) == 20_000
 
 
 def test_filters(spark):
