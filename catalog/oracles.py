@@ -372,7 +372,7 @@ sm AS (SELECT a.doc_id, CASE WHEN {text} = '' THEN '' WHEN {wc('c')} < 50 AND {w
 
 
 add("sentence_table", with_(sentence_rows("documents", "text", T.SIGNALS)) + """
-SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, CAST(w AS BIGINT) AS words, start AS tok_start, round(score, 6) AS score FROM sr""")
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, CAST(w AS BIGINT) AS words, start AS tok_start, round(score, 9) AS score FROM sr""")
 add("sentence_profile", f"""
 SELECT sector, CAST(count(*) FILTER (n < 5) AS BIGINT) AS short_sentences, CAST(count(*) FILTER (n > 50) AS BIGINT) AS long_sentences,
   CAST(count(*) FILTER (n BETWEEN 5 AND 50) AS BIGINT) AS kept_sentences
@@ -402,15 +402,15 @@ kp AS (SELECT doc_id, pos, phrase, CASE WHEN mx > 0 THEN score / mx ELSE score E
   SELECT *, row_number() OVER w AS pos, max(score) OVER (PARTITION BY doc_id) AS mx FROM ps
   WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, first_pos, phrase)) WHERE pos <= 8)"""
 add("phrase_table", with_(phrase_rows("documents", "text", T.PHRASE_SIGNALS)) + """
-SELECT doc_id, phrase, n, first_pos, round(score, 6) AS score, round(n::DOUBLE / sum(n) OVER (PARTITION BY doc_id)::DOUBLE, 6) AS tf FROM ps""")
+SELECT doc_id, phrase, n, first_pos, round(score, 9) AS score, round(n::DOUBLE / sum(n) OVER (PARTITION BY doc_id)::DOUBLE, 9) AS tf FROM ps""")
 add("key_phrases", with_(phrase_rows("documents", "text", params.PHRASE_SIGNALS), KEY) + """
-SELECT doc_id, pos, phrase, round(score, 6) AS score FROM kp""")
+SELECT doc_id, pos, phrase, round(score, 9) AS score FROM kp""")
 _lab = in_list(params.PHRASE_ENTITY_LABELS)
 EXTRA = f"UNION ALL SELECT doc_id, lower(surface) FROM men WHERE label IN {_lab}"
 add("key_phrases_with_entities", with_(mentions("documents", "doc_id"), phrase_rows("documents", "text", params.PHRASE_SIGNALS, EXTRA), KEY) + """
-SELECT doc_id, pos, phrase, round(score, 6) AS score FROM kp""")
+SELECT doc_id, pos, phrase, round(score, 9) AS score FROM kp""")
 add("phrase_idf", with_("src AS (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text)", phrase_rows("src", "text", params.PHRASE_SIGNALS)) + """
-SELECT phrase, count(DISTINCT doc_id) AS doc_count, round(ln((SELECT count(*) FROM src)::DOUBLE / count(DISTINCT doc_id)), 6) AS idf
+SELECT phrase, count(DISTINCT doc_id) AS doc_count, round(ln((SELECT count(*) FROM src)::DOUBLE / count(DISTINCT doc_id)), 9) AS idf
 FROM pf GROUP BY phrase""")
 _terms = f"SELECT 'S' || (doc_id % 8) AS sector, unnest({words(clean('text', True))}) AS term FROM documents"
 add("term_frequencies", f"""
@@ -423,12 +423,12 @@ MEAN3 = "k3 AS (SELECT doc_id, (coalesce(max(score) FILTER (pos = 1), 0) + coale
 BASE = "(CASE WHEN len(cats) > 0 THEN 0.3::DOUBLE ELSE 0 END + coalesce(0.2::DOUBLE * m, 0))"
 BOOST = "(CASE WHEN len(org) > 0 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN len(person) > 0 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN len(gpe) > 0 THEN 0.1::DOUBLE ELSE 0 END)"
 add("relevance_score", with_(CATS, ENT, ENT3, phrase_rows("documents", "text", params.PHRASE_SIGNALS), KEY, MEAN3) + f"""
-SELECT doc_id, round(least(1.0::DOUBLE, {BASE} + {BOOST}), 6) AS relevance, round(least(1.0::DOUBLE, {BASE}), 6) AS first_pass
+SELECT doc_id, round(least(1.0::DOUBLE, {BASE} + {BOOST}), 9) AS relevance, round(least(1.0::DOUBLE, {BASE}), 9) AS first_pass
 FROM cat JOIN e3 USING (doc_id) LEFT JOIN k3 USING (doc_id)""")
 POINTS = "pts AS (SELECT doc_id, string_agg(phrase, '|' ORDER BY pos) FILTER (pos <= 5) AS key_points FROM kp GROUP BY doc_id)"
 add("insight_records", with_(CATS, ENT, ENT3, phrase_rows("documents", "text", params.PHRASE_SIGNALS, EXTRA), KEY, MEAN3, POINTS) + f"""
 SELECT doc_id, array_to_string(cats, '|') AS categories, coalesce(cats[1], 'other') AS primary_category,
-  round(least(1.0::DOUBLE, {BASE} + {BOOST}), 6) AS relevance, coalesce(key_points, '') AS key_points,
+  round(least(1.0::DOUBLE, {BASE} + {BOOST}), 9) AS relevance, coalesce(key_points, '') AS key_points,
   array_to_string(org[1:5], '|') AS organizations, array_to_string(person[1:3], '|') AS people, array_to_string(gpe[1:3], '|') AS locations
 FROM cat JOIN e3 USING (doc_id) LEFT JOIN k3 USING (doc_id) LEFT JOIN pts USING (doc_id)""")
 
@@ -441,7 +441,7 @@ cc AS (SELECT category, count(*) AS n, min((doc_id, i)) AS first_seen FROM (
 add("category_counts", with_(CATS, COUNTS) + "SELECT category, n FROM cc")
 _cols = sql_list(params.BAR_COLOURS)
 add("category_bars", with_(CATS, COUNTS) + f"""
-SELECT bar_no, category, n, round(n::DOUBLE / mx * 6.0::DOUBLE, 6) AS bar_inches, ({_cols})[(bar_no - 1) % 5 + 1] AS colour, bar_no <= 5 AS in_legend
+SELECT bar_no, category, n, round(n::DOUBLE / mx * 6.0::DOUBLE, 9) AS bar_inches, ({_cols})[(bar_no - 1) % 5 + 1] AS colour, bar_no <= 5 AS in_legend
 FROM (SELECT *, row_number() OVER (ORDER BY first_seen) AS bar_no, max(n) OVER () AS mx FROM cc) WHERE bar_no <= 6""")
 add("by_sector", """
 WITH s AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'General' ELSE 'S' || (doc_id % 8) END AS sector FROM documents),
@@ -592,7 +592,7 @@ add("enrich_articles", with_(ARTICLES, CLEANED, CATS_CL, ENT_CL, ENT3, phrase_ro
 SELECT cl.doc_id, {clean('title', True)} AS cleaned_title, {lemmas('cl.text')} AS lemmatized_content,
   CASE WHEN cl.text <> '' THEN array_to_string(cats, '|') END AS categories,
   CASE WHEN cl.text <> '' THEN coalesce(key_points, '') END AS key_points,
-  CASE WHEN cl.text <> '' THEN round(least(1.0::DOUBLE, {BASE} + {BOOST}), 6) END AS relevance,
+  CASE WHEN cl.text <> '' THEN round(least(1.0::DOUBLE, {BASE} + {BOOST}), 9) END AS relevance,
   CASE WHEN cl.text <> '' THEN summary END AS summary
 FROM cl JOIN art USING (doc_id) JOIN cat USING (doc_id) JOIN e3 USING (doc_id) JOIN sm USING (doc_id)
 LEFT JOIN k3 USING (doc_id) LEFT JOIN pts USING (doc_id)""")

@@ -50,8 +50,8 @@ def joined(c, sep: str = "|"):
     return F.array_join(c, sep)
 
 
-def r6(c):
-    return F.round(c, 6)
+def r9(c):
+    return F.round(c, 9)
 
 
 ORDER = ["doc_id"]
@@ -369,7 +369,7 @@ def clean_articles(spark, sf):
 @query
 def sentence_table(spark, sf):
     rows = summaries.sentence_table(articles(spark, sf), ["doc_id"], signals=T.SIGNALS, surfaces=T.ENTITIES)
-    return rows.select("doc_id", F.col("pos").cast("long"), F.col("words").cast("long"), F.col("tok_start").cast("long"), r6("score").alias("score"))
+    return rows.select("doc_id", F.col("pos").cast("long"), F.col("words").cast("long"), F.col("tok_start").cast("long"), r9("score").alias("score"))
 
 
 @query
@@ -387,12 +387,12 @@ def summarize(spark, sf):
 def phrase_table(spark, sf):
     rows = phrases.phrase_table(articles(spark, sf), ["doc_id"], signals=T.PHRASE_SIGNALS)
     return rows.select(
-        "doc_id", "phrase", F.col("n").cast("long"), F.col("first_pos").cast("long"), r6("score").alias("score"), r6("tf").alias("tf")
+        "doc_id", "phrase", F.col("n").cast("long"), F.col("first_pos").cast("long"), r9("score").alias("score"), r9("tf").alias("tf")
     )
 
 
 def _ranked(rows):
-    return rows.select("doc_id", F.col("rank").cast("long").alias("pos"), "phrase", r6("score").alias("score"))
+    return rows.select("doc_id", F.col("rank").cast("long").alias("pos"), "phrase", r9("score").alias("score"))
 
 
 @query
@@ -408,7 +408,7 @@ def key_phrases_with_entities(spark, sf):
 @query
 def phrase_idf(spark, sf):
     rows = selection.dedup_by_url(articles(spark, sf)).dropDuplicates(["url"])
-    return phrases.phrase_idf(rows).select("phrase", "doc_count", r6("idf").alias("idf"))
+    return phrases.phrase_idf(rows).select("phrase", "doc_count", r9("idf").alias("idf"))
 
 
 @query
@@ -425,7 +425,7 @@ def term_frequencies_by_sector(spark, sf):
 def relevance_score(spark, sf):
     rows = terms.match_entities(terms.match_categories(articles(spark, sf), T.TAXONOMY), T.ENTITIES)
     rows = phrases.key_phrases(rows, 8)
-    score = lambda boost: r6(insights.relevance_score("categories", "key_phrases", "entities", boost))
+    score = lambda boost: r9(insights.relevance_score("categories", "key_phrases", "entities", boost))
     return rows.select("doc_id", score(True).alias("relevance"), score(False).alias("first_pass"))
 
 
@@ -436,7 +436,7 @@ def insight_records(spark, sf):
     d = i.detailed_analysis
     return rows.select(
         "doc_id", joined(i.categories).alias("categories"), i.primary_category.alias("primary_category"),
-        r6(i.relevance_score).alias("relevance"), joined(d.key_points).alias("key_points"),
+        r9(i.relevance_score).alias("relevance"), joined(d.key_points).alias("key_points"),
         joined(d.mentioned_organizations).alias("organizations"), joined(d.mentioned_people).alias("people"),
         joined(d.mentioned_locations).alias("locations"),
     )
@@ -459,7 +459,7 @@ def category_counts(spark, sf):
 def category_bars(spark, sf):
     counts = deck.category_counts(categorised(spark, sf), ORDER)
     return deck.category_bars(counts).select(
-        F.col("bar_no").cast("long"), "category", "n", r6("bar_inches").alias("bar_inches"), "colour", "in_legend"
+        F.col("bar_no").cast("long"), "category", "n", r9("bar_inches").alias("bar_inches"), "colour", "in_legend"
     )
 
 
@@ -718,7 +718,7 @@ def enrich_articles(spark, sf):
     i = F.col("insights")
     return rows.select(
         "doc_id", "cleaned_title", "lemmatized_content", joined(i.categories).alias("categories"),
-        joined(i.detailed_analysis.key_points).alias("key_points"), r6(i.relevance_score).alias("relevance"), i.summary.alias("summary"),
+        joined(i.detailed_analysis.key_points).alias("key_points"), r9(i.relevance_score).alias("relevance"), i.summary.alias("summary"),
     )
 
 

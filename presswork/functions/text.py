@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import params
-from .core import NON_SPACE, SPACE, col, is_in, let, rfind, strip, string_array, text_or_empty, word_count, words
+from .core import NON_SPACE, SPACE, col, is_in, let, rfind, small_map, strip, string_array, text_or_empty, word_count, words
 
 # fixed values: patterns
 URL_PATTERN = rf"https?{NON_SPACE}+|www\.{NON_SPACE}+"
@@ -58,7 +58,7 @@ def _decode_piece(piece: Column) -> Column:
     hexa = F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]{1,6})(?![0-9a-fA-F])", 1)
     name = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]{1,30});", 1)
     old = F.regexp_extract(piece, "^(" + "|".join(sorted(OLD_ENTITIES, key=len, reverse=True)) + ")", 1)
-    named = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
+    named = small_map(ENTITIES)
     rest = lambda pattern: F.regexp_replace(piece, pattern, "")
     number = F.when(dec != "", _char(F.conv(dec, 10, 16))).when(hexa != "", _char(hexa))
     return F.coalesce(

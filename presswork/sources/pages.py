@@ -15,10 +15,9 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _meta(html: Column, name: str) -> Column:
-    """Content of a ``<meta>`` with this name or property; NULL when there is none."""
+    """Raw content of a ``<meta>`` with this name or property; '' when there is none."""
     attr = rf'(?is)<meta\s[^>]*(?:name|property)\s*=\s*"{name}"[^>]*?content\s*=\s*"([^"]*)"'
-    found = F.regexp_extract(html, attr, 1)
-    return F.when(found != "", decode_entities(found))
+    return F.regexp_extract(html, attr, 1)
 
 
 def page_text(html: Column | str) -> Column:
@@ -28,28 +27,39 @@ def page_text(html: Column | str) -> Column:
     return html_to_text(F.when(inner == "", html).otherwise(inner))
 
 
+#: Metadata read from a page's head.
+META = [
+    "description", "og:description", "article:published_time", "author", "keywords", "og:image",
+]
+
+
 def normalize_pages(df: DataFrame) -> DataFrame:
     """Pages as article rows."""
     html = F.col("html")
-    title = F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
+    title = strip_tags(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
     lang = F.regexp_extract(html, r'(?is)<html\b[^>]*\blang\s*=\s*"([^"]*)"', 1)
     site = F.try_parse_url(F.col("url"), F.lit("HOST"))
-    author = _meta(html, "author")
-    keywords = F.filter(
-        F.transform(F.split(F.coalesce(_meta(html, "keywords"), F.lit("")), ","), strip),
-        lambda k: k != "",
-    )
     rest = [c for c in df.columns if c not in ("url", "html")]
-    return df.select(
-        *rest,
-        "url",
-        strip(decode_entities(strip_tags(title))).alias("title"),
-        page_text(html).alias("content"),
-        F.coalesce(_meta(html, "description"), _meta(html, "og:description"), F.lit("")).alias("description"),
+    # one array, so that the decoder appears once in the plan
+    heads = F.transform(F.array(title, *[_meta(html, name) for name in META]), decode_entities)
+    staged = df.select(
+        *rest, "url", heads.alias("_h"), page_text(html).alias("content"),
         F.coalesce(site, F.lit("Unknown")).alias("source_name"),
         F.when(lang == "", F.lit("en")).otherwise(lang).alias("lang"),
-        F.coalesce(_meta(html, "article:published_time"), F.lit("")).alias("published_raw"),
-        F.when(author.isNotNull(), F.array(author)).otherwise(F.array().cast("array<string>")).alias("authors"),
-        keywords.alias("keywords"),
-        _meta(html, "og:image").alias("image_url"),
+    )
+    head = {name: F.get("_h", F.lit(i)) for i, name in enumerate(["title", *META])}
+    found = {name: F.when(c != "", c) for name, c in head.items()}
+    none = F.array().cast("array<string>")
+    return staged.select(
+        *rest,
+        "url",
+        strip(head["title"]).alias("title"),
+        "content",
+        F.coalesce(found["description"], found["og:description"], F.lit("")).alias("description"),
+        "source_name",
+        "lang",
+        head["article:published_time"].alias("published_raw"),
+        F.when(head["author"] != "", F.array(head["author"])).otherwise(none).alias("authors"),
+        F.filter(F.transform(F.split(head["keywords"], ","), strip), lambda k: k != "").alias("keywords"),
+        found["og:image"].alias("image_url"),
     )
