@@ -9,10 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Whitespace as text code usually means it: the Unicode White_Space characters plus the
-# four ASCII separators 0x1c-0x1f.  Spelled out, because the (?U) flag is much slower.
-_SPACES = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACE = f"[{_SPACES}]"
-NON_SPACE = f"[^{_SPACES}]"
+# four ASCII separators 0x1c-0x1f.  The property is one test per character; the same set
+# spelled out is several times slower, and so is the (?U) flag.
+SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
+NON_SPACE = r"[^\p{IsWhite_Space}\x1c-\x1f]"
 
 
 def col(c: Column | str) -> Column:
