@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Whitespace as text code usually means it: the Unicode White_Space characters plus the
-# four ASCII separators 0x1c-0x1f.  The property is one test per character; the same set
-# spelled out is several times slower, and so is the (?U) flag.
+# four ASCII separators 0x1c-0x1f.  Counting words with the property takes about half the
+# time of the (?U) flag, and a small part of that of the same set spelled out.
 SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
 NON_SPACE = r"[^\p{IsWhite_Space}\x1c-\x1f]"
 
