@@ -40,7 +40,8 @@ def labelled_sample(
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60) -> list[float]:
     """Weights of a logistic model by Newton steps; the last one is the constant."""
-    x = np.column_stack([x, np.ones(len(x))])
+    middle, spread = x.mean(0), x.std(0) + 1e-9
+    x = np.column_stack([(x - middle) / spread, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     pull = np.full(x.shape[1], l2 * len(x))
     pull[-1] = 1e-9 * len(x)
@@ -50,4 +51,6 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60
         w -= step
         if np.abs(step).max() < 1e-8:
             break
+    w[:-1] /= spread
+    w[-1] -= w[:-1] @ middle
     return [float(v) for v in w]

@@ -3,7 +3,7 @@
 A text that is like the good examples compresses better with a zstandard dictionary made
 of them than with one made of bad examples.  The score is a logistic function, fitted on
 labelled texts that took no part in the dictionaries, of the difference of both sizes over
-the size without a dictionary, and of that size over the length.
+the size without a dictionary, of that size over the length, and of the length.
 
 The model is fitted on at most ``max_rows`` labelled rows, taken in the order of a hash of
 the id.  Every text is scored whole.
@@ -29,7 +29,8 @@ from .fitting import labelled_sample, logistic_fit
 
 #: Labelled rows used for fitting, and bytes of text in one dictionary.
 MAX_ROWS = 6_000
-DICT_BYTES = 256 << 10
+DICT_BYTES = 64 << 10
+SAMPLE_BYTES = 2048
 LEVEL = 3
 
 
@@ -49,32 +50,31 @@ class Model:
         return plain, *made
 
 
-def features(tools: tuple, text: bytes) -> tuple[float, float]:
-    """The normalised difference of sizes and the compressibility of the text alone."""
-    plain, good, bad = tools
+def features(tools: tuple, text: bytes) -> list[float]:
+    """What the three compressed sizes say about a text; zeros for an empty one."""
     if not text:
-        return 0.0, 0.0
-    alone = len(plain.compress(text))
-    return (len(bad.compress(text)) - len(good.compress(text))) / alone, alone / (len(text) + 16.0)
-
-
-def scaled(f: tuple[float, float]) -> list[float]:
-    d, r = f
-    return [math.copysign(math.sqrt(abs(d)), d), d, r, 1.0 if r else 0.0]
+        return [0.0] * 10
+    alone, good, bad = (len(t.compress(text)) for t in tools)
+    gap, long = bad - good, len(text) + 16.0
+    d, ratio, size = gap / alone, alone / long, math.log(long)
+    return [
+        d, gap / long, math.copysign(math.sqrt(abs(d)), d), math.copysign(math.log1p(abs(gap)), gap),
+        ratio, ratio * ratio, ratio * d, size, size * d, size * ratio,
+    ]
 
 
 def _dictionary(texts: list[bytes], size: int) -> bytes:
-    """Equal parts of the texts, as a raw dictionary.
+    """A trained dictionary of ``size`` bytes, or of a tenth of the texts if they are few.
 
-    Each text gives a share from its middle, so that the dictionary has a bit of everything;
-    a trained dictionary needs more samples than small tables have.
+    Texts are cut into samples of 2 KB, all of them used.  Texts too few to train on serve
+    as they are.
     """
-    share = max(64, size // max(1, len(texts)))
-    parts = []
-    for t in texts:
-        at = max(0, (len(t) - share) // 2)
-        parts.append(t[at : at + share])
-    return b"\n".join(parts)[:size]
+    samples = [t[k : k + SAMPLE_BYTES] for t in texts for k in range(0, len(t), SAMPLE_BYTES)]
+    total = sum(map(len, samples))
+    try:
+        return zstandard.train_dictionary(max(1024, min(size, total // 10)), samples).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(texts)[-size:]
 
 
 def fit(
@@ -92,13 +92,13 @@ def fit(
     texts = {(half, y): [] for half in (0, 1) for y in (0, 1)}
     for i, (text, y) in enumerate(rows):
         texts[i % 2, y].append((text or "").encode("utf-8", "replace"))
-    model = Model(_dictionary(texts[0, 1], dict_bytes), _dictionary(texts[0, 0], dict_bytes), [0.0] * 5)
+    model = Model(_dictionary(texts[0, 1], dict_bytes), _dictionary(texts[0, 0], dict_bytes), [0.0] * 11)
     if not (texts[1, 1] and texts[1, 0] and model.good and model.bad):
         return model
     tools = model.tools()
-    x = [scaled(features(tools, t)) for y in (0, 1) for t in texts[1, y]]
+    x = [features(tools, t) for y in (0, 1) for t in texts[1, y]]
     y = [y for y in (0, 1) for _ in texts[1, y]]
-    model.weights = logistic_fit(np.array(x), np.array(y, float))
+    model.weights = logistic_fit(np.array(x), np.array(y, float), l2=1e-4)
     return model
 
 
@@ -112,8 +112,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
         for b in batches:
             got = []
             for t in b.column("_text_"):
-                f = features(tools, (t.as_py() or "").encode("utf-8", "replace")) if tools else (0.0, 0.0)
-                z = sum(a * x for a, x in zip(w, [*scaled(f), 1.0]))
+                f = features(tools, (t.as_py() or "").encode("utf-8", "replace")) if tools else []
+                z = sum(a * x for a, x in zip(w, f)) + w[-1]
                 got.append(1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64())], [*b.schema.names[:-1], out])
 
