@@ -12,14 +12,10 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, use: Column | None, max_rows: int
-) -> list[tuple[str, int]]:
-    """At most ``max_rows`` pairs (text, label), in the order of a hash of the id.
+def sample_ids(labels: DataFrame, id_col: str, label_col: str, use: Column | None, max_rows: int) -> DataFrame:
+    """At most ``max_rows`` rows (_id, _y, _order), in the order of a hash of the id.
 
-    Half of the rows at most come from each label, so that a rare label is well
-    represented.  The ids are bounded in number, hence broadcast, and only the texts that
-    they name leave the scan.
+    Half of the rows at most come from each label, so that a rare label is well represented.
     """
     rows = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if use is not None:
@@ -27,12 +23,22 @@ def labelled_sample(
     rows = rows.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     rows = rows.withColumn("_order", F.xxhash64("_id"))
     half = [rows.filter(F.col("_y") == y).orderBy("_order", "_id").limit(max_rows // 2) for y in (0, 1)]
-    picked = half[0].unionAll(half[1])
+    return half[0].unionAll(half[1])
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, use: Column | None, max_rows: int
+) -> list[tuple[str, int]]:
+    """At most ``max_rows`` pairs (text, label).
+
+    The ids are bounded in number, hence broadcast, and only the texts that they name leave
+    the scan.
+    """
     got = (
         docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-        .join(F.broadcast(picked), F.col("_doc") == F.col("_id"))
-        .select("_order", "_id", "_y", "_text")
-        .dropDuplicates(["_id"])
+        .join(F.broadcast(sample_ids(labels, id_col, label_col, use, max_rows)), F.col("_doc") == F.col("_id"))
+        .groupBy("_order", "_id", "_y")
+        .agg(F.min("_text").alias("_text"))
         .collect()
     )
     return [(r["_text"], r["_y"]) for r in sorted(got, key=lambda r: (r["_order"], r["_id"]))]

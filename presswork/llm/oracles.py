@@ -38,3 +38,100 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, (size * repeats)::BIGINT AS taken
 FROM p, LATERAL (SELECT unnest(range(copies)))
 """
+
+ORACLES["op9_decontamination"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), iw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') AS words
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s FROM i WHERE len(w) > 0)
+), dw AS (
+  SELECT r, s, n, array_to_string(w[s:s + n - 1], ' ') AS words
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)
+), h AS (
+  SELECT DISTINCT r, s, n, item_id FROM dw JOIN iw USING (n, words)
+), hit AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM h) GROUP BY r
+), its AS (
+  SELECT r, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS k FROM h) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
+"""
+
+ORACLES["op6_substrings"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), win AS (
+  SELECT r, doc_id, s, array_to_string(w[s:s + 12], ' ') AS words
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13 AND doc_id IS NOT NULL)
+), first AS (
+  SELECT words, min(doc_id) AS lowest FROM win GROUP BY words HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT r, unnest(range(s, s + 13)) AS p FROM win JOIN first USING (words) WHERE doc_id > lowest
+), each AS (
+  SELECT r, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d
+), kept AS (
+  SELECT each.r, string_agg(word, ' ' ORDER BY each.p) AS text, count(*) AS n
+  FROM each LEFT JOIN gone ON each.r = gone.r AND each.p = gone.p WHERE gone.r IS NULL GROUP BY each.r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+ORACLES["op8_near_duplicates"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s + least(len(w), 5) - 1], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS s FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b USING (x) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)
+), pairs AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT doc_id AS v, doc_id AS r FROM d
+  UNION
+  SELECT pairs.b, reach.r FROM reach JOIN pairs ON pairs.a = reach.v WHERE reach.r < pairs.b
+), comp AS (
+  SELECT v, min(r) AS r FROM reach GROUP BY v
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r AS component_id, d.doc_id = r AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN comp ON comp.v = d.doc_id
+"""
+
+ORACLES["op2_near_vectors"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b USING (label)
+  WHERE a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT vec_id AS v, vec_id AS r FROM embeddings
+  UNION
+  SELECT link.b, reach.r FROM reach JOIN link ON link.a = reach.v WHERE reach.r < link.b
+), comp AS (
+  SELECT v, min(r) AS r FROM reach GROUP BY v
+), n AS (
+  SELECT a, count(*) AS n FROM link GROUP BY a
+)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, r AS component_id, vec_id = r AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN comp ON comp.v = vec_id
+"""

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fitting, mixing, quality
+from . import decontamination, fitting, mixing, near_duplicates, quality, substrings, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -28,6 +28,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_toxicity(spark, sf):
+    """Lexicon score of each document."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.fit(docs, labels, use=~fitting.held_out(F.col("doc_id")))
+    return toxicity.score(docs, model, keep=["doc_id"]).select(
+        "doc_id", fitting.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "terms"
+    )
+
+
+@query
+def op2_near_vectors(spark, sf):
+    """Near-duplicate class and number of links of each vector."""
+    return vectors.near_vectors(table(spark, sf, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 @query
 def op5_mixing(spark, sf):
     """Words that the mix takes of each document."""
@@ -38,6 +54,31 @@ def op5_mixing(spark, sf):
     )
 
 
+@query
+def op6_substrings(spark, sf):
+    """What is left of each document without passages of earlier ones."""
+    return substrings.remove_repeats(table(spark, sf, "documents")).select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
+@query
+def op8_near_duplicates(spark, sf):
+    """Near-duplicate class of each document."""
+    return near_duplicates.near_duplicates(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op9_decontamination(spark, sf):
+    """Benchmark passages in each document."""
+    rows = decontamination.find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    ids = F.coalesce(F.array_sort(F.transform("items", lambda i: i.cast("string"))), F.array().cast("array<string>"))
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query
 def op10_quality(spark, sf):
     """Compression score of each document."""
