@@ -38,8 +38,8 @@ from .fitting import logistic_fit, sample_ids
 
 MAX_ROWS = 20_000
 MAX_TERMS = 5_000
-#: Texts that must have a word, and deviations from chance, for it to enter the lexicon.
-MIN_TEXTS, MIN_Z = 4, 3.5
+#: Texts that must have a word, and its log-likelihood ratio against chance, for the lexicon.
+MIN_TEXTS, MIN_RATIO = 3, 15.0
 
 # Look-alikes of the letters a to z, and signs written for letters.
 LOOK_ALIKES = {
@@ -150,8 +150,13 @@ def fit(
             "w", F.log((F.col("a") + 0.5) / (sizes[1] + 1)) - F.log((F.col("b") + 0.5) / (sizes[0] + 1))
         )
 
-    z = F.col("w") / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    best = counted(lambda t: set(t.split())).filter((F.col("a") >= MIN_TEXTS) & (z >= MIN_Z)).orderBy(z.desc(), "term").limit(max_terms).collect()
+    n1, n0, n, k = sizes[1], sizes[0], sizes[1] + sizes[0], F.col("a") + F.col("b")
+    part = lambda seen, due: F.when(seen > 0, seen * F.log(seen / due)).otherwise(0.0)
+    ratio = 2 * (
+        part(F.col("a"), k * n1 / n) + part(F.col("b"), k * n0 / n) + part(n1 - F.col("a"), (n - k) * n1 / n) + part(n0 - F.col("b"), (n - k) * n0 / n)
+    )
+    told = (F.col("a") >= MIN_TEXTS) & (F.col("w") > 0) & (ratio >= MIN_RATIO)
+    best = counted(lambda t: set(t.split())).filter(told).orderBy(ratio.desc(), "term").limit(max_terms).collect()
     model = Model({r["term"]: r["w"] for r in best})
     if not model.terms:
         return model
