@@ -135,3 +135,43 @@ WITH RECURSIVE v AS (
 SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, r AS component_id, vec_id = r AS kept
 FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN comp ON comp.v = vec_id
 """
+
+_SECRETS = {
+    "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""",
+    "access": r"AKIA[A-Z0-9]+",
+    "hex": r"[0-9a-f]{32,}",
+    "private": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
+    "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "vendor": r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{35})",
+}
+_KEPT = {
+    "assign": r"""length(regexp_extract(m, '^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 8""",
+    "access": "length(m) >= 16",
+}
+
+
+def _found(rank: int, kind: str) -> str:
+    quoted = _SECRETS[kind].replace("'", "''")
+    return f"""
+  SELECT r, {rank} AS rank, '{kind}' AS kind, e - length(m) AS s, e, m FROM (
+    SELECT r, m, sum(gap + length(m)) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM (
+      SELECT r, unnest(range(len(ms))) AS i, unnest(ms) AS m, unnest(list_transform(gaps[1:len(ms)], lambda x: length(x))) AS gap FROM (
+        SELECT r, regexp_extract_all(t, '{quoted}') AS ms, string_split_regex(t, '{quoted}') AS gaps FROM d
+      ) WHERE len(ms) > 0
+    )
+  ) WHERE {_KEPT.get(kind, 'true')}"""
+
+
+ORACLES["op7_secrets"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({' UNION ALL '.join(_found(k, kind) for k, kind in enumerate(_SECRETS))}),
+g AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3) AS base,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS everything
+  FROM f GROUP BY r
+)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(everything, '') AS spans
+FROM d LEFT JOIN g USING (r)
+"""

@@ -8,7 +8,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fitting, mixing, near_duplicates, quality, substrings, toxicity, vectors
+from presswork.session import scratch_path
+
+from . import decontamination, fitting, mixing, near_duplicates, quality, secrets, spans, substrings, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -62,6 +64,21 @@ def op6_substrings(spark, sf):
     )
 
 
+def of_kind(found, kind: str):
+    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+@query
+def op7_secrets(spark, sf):
+    """Secrets in each document, through a new ledger in the shared folder."""
+    found = secrets.scan_secrets(table(spark, sf, "documents"), scratch_path(spark, "secret-ledger"))
+    base = F.filter("findings", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return found.select(
+        F.col("path").alias("doc_id"), *[of_kind("findings", k) for k in ("assign", "access", "hex")],
+        F.sha2(spans.listed(base), 256).alias("base_sha256"), spans.listed(F.col("findings")).alias("spans"),
+    )
+
+
 @query
 def op8_near_duplicates(spark, sf):
     """Near-duplicate class of each document."""

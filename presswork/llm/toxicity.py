@@ -6,9 +6,9 @@ joined by single blanks, are read once by an automaton of all lexicon entries an
 phrases; an entry inside an exception phrase does not count.  The sum of the weights,
 normalised by length, goes through a logistic function.
 
-The lexicon is learned: words whose share among toxic texts is significantly above their
-share among clean ones, weighted by the log ratio; exception phrases are pairs of words
-around an entry that clean texts use.  At most ``max_rows`` labelled rows are used, half of
+The lexicon is learned: words and word beginnings (``bad*``) whose share among toxic texts
+is significantly above their share among clean ones, weighted by the log ratio; exception
+phrases are pairs of words around an entry that clean texts use.  At most ``max_rows`` labelled rows are used, half of
 them for the lexicon and half for the calibration; only word counts and features of these
 reach the driver, at most ``max_terms`` words.
 
@@ -40,6 +40,8 @@ MAX_ROWS = 20_000
 MAX_TERMS = 5_000
 #: Texts that must have a word, and its log-likelihood ratio against chance, for the lexicon.
 MIN_TEXTS, MIN_RATIO = 3, 15.0
+#: Lengths of word beginnings that may be entries.
+STEMS = range(4, 9)
 
 # Look-alikes of the letters a to z, and signs written for letters.
 LOOK_ALIKES = {
@@ -81,7 +83,7 @@ class Model:
             return None
         a = ahocorasick.Automaton()
         for word, weight in self.terms.items():
-            a.add_word(f" {word} ", (word, weight))
+            a.add_word(f" {word[:-1]}" if word.endswith("*") else f" {word} ", (word, weight))
         for phrase in self.exceptions:
             a.add_word(f" {phrase} ", (phrase, None))
         a.make_automaton()
@@ -89,13 +91,18 @@ class Model:
 
 
 def matches(automaton: ahocorasick.Automaton | None, folded: str) -> list[tuple[str, float]]:
-    """Entries found outside of exception phrases."""
+    """Entries found outside of exception phrases, the heaviest one of each word."""
     if automaton is None or not folded:
         return []
-    found, spared = [], []
+    found: dict[int, tuple[str, float]] = {}
+    spared: set[int] = set()
     for end, (word, weight) in automaton.iter(folded):
-        (found if weight is not None else spared).append((end - len(word) - 1, end, word, weight))
-    return [(w, x) for s, e, w, x in found if not any(a <= s and e <= b for a, b, _, _ in spared)]
+        start = end - len(word) + (1 if word.endswith("*") else -1)
+        if weight is None:
+            spared |= {start} | {start + 1 + k for k, c in enumerate(word) if c == " "}
+        elif start not in found or found[start][1] < weight:
+            found[start] = (word, weight)
+    return [x for at, x in sorted(found.items()) if at not in spared]
 
 
 def features(found: list[tuple[str, float]], n_words: int) -> list[float]:
@@ -107,9 +114,14 @@ def features(found: list[tuple[str, float]], n_words: int) -> list[float]:
     ]
 
 
+def _entries(folded: str) -> set[str]:
+    words = set(folded.split())
+    return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
+
+
 def _pairs(folded: str, terms: dict[str, float]) -> set[str]:
     words = folded.split()
-    near = {i for i, w in enumerate(words) if w in terms}
+    near = {i for i, w in enumerate(words) if w in terms or any(w[:k] + "*" in terms for k in STEMS if len(w) > k)}
     return {f"{words[i]} {words[i + 1]}" for k in near for i in (k - 1, k) if 0 <= i < len(words) - 1}
 
 
@@ -156,7 +168,7 @@ def fit(
         part(F.col("a"), k * n1 / n) + part(F.col("b"), k * n0 / n) + part(n1 - F.col("a"), (n - k) * n1 / n) + part(n0 - F.col("b"), (n - k) * n0 / n)
     )
     told = (F.col("a") >= MIN_TEXTS) & (F.col("w") > 0) & (ratio >= MIN_RATIO)
-    best = counted(lambda t: set(t.split())).filter(told).orderBy(ratio.desc(), "term").limit(max_terms).collect()
+    best = counted(_entries).filter(told).orderBy(ratio.desc(), "term").limit(max_terms).collect()
     model = Model({r["term"]: r["w"] for r in best})
     if not model.terms:
         return model
