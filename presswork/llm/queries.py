@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from presswork.session import scratch_path
 
-from . import decontamination, fitting, mixing, near_duplicates, quality, secrets, spans, substrings, toxicity, vectors
+from . import decontamination, fitting, mixing, near_duplicates, pii, quality, secrets, spans, substrings, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -30,6 +30,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def of_kind(found, kind: str):
+    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 @query
 def op1_toxicity(spark, sf):
     """Lexicon score of each document."""
@@ -46,6 +50,18 @@ def op2_near_vectors(spark, sf):
     return vectors.near_vectors(table(spark, sf, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+@query
+def op4_pii(spark, sf):
+    """Personal data in each document."""
+    docs = table(spark, sf, "documents")
+    found = pii.find_personal_data(docs, pii.fit(docs), keep=["doc_id"])
+    base = F.filter("pii", lambda s: s["rank"] < len(pii.BASE))
+    return found.select(
+        "doc_id", *[of_kind("pii", k) for k in pii.BASE], F.sha2(spans.listed(base), 256).alias("base_sha256"),
+        spans.listed(F.col("pii")).alias("spans"),
+    )
+
+
 @query
 def op5_mixing(spark, sf):
     """Words that the mix takes of each document."""
@@ -64,10 +80,6 @@ def op6_substrings(spark, sf):
     )
 
 
-def of_kind(found, kind: str):
-    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-
-
 @query
 def op7_secrets(spark, sf):
     """Secrets in each document, through a new ledger in the shared folder."""

@@ -9,7 +9,9 @@ from presswork.functions.core import let
 
 #: Elements summed up in one step of a running sum.
 STRIDE = 128
-SPAN = "array<struct<start:int,end:int,text:string>>"
+#: Characters of context kept on either side.
+LEFT, RIGHT = 24, 12
+SPAN = "array<struct<start:int,end:int,text:string,left:string,right:string>>"
 
 
 def running_sum(sizes: Column) -> Column:
@@ -34,22 +36,31 @@ def running_sum(sizes: Column) -> Column:
 
 
 def find(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches of a pattern: array of (start, end, text).
+    """Leftmost non-overlapping matches of a pattern: array of (start, end, text, left, right).
 
-    Positions count code points from 0, the end is exclusive.  The pieces between matches
-    are only looked for in texts that have a match.
+    Positions count code points from 0, the end is exclusive; ``left`` and ``right`` are what
+    stands before and after, up to the neighbouring matches.  The pieces between matches are
+    only looked for in texts that have a match.
     """
 
     def located(found: Column) -> Column:
-        pieces = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-        sizes = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda gap, m: gap + F.length(m))
-        return let(
-            sizes,
-            lambda s: F.zip_with(
-                F.zip_with(running_sum(s), s, lambda before, size: before + size), found,
-                lambda end, m: F.struct((end - F.length(m)).cast("int").alias("start"), end.cast("int").alias("end"), m.alias("text")),
-            ),
-        )
+        def placed(pieces: Column) -> Column:
+            n = F.size(found)
+            sizes = F.zip_with(F.slice(pieces, 1, n), found, lambda gap, m: F.length(gap) + F.length(m))
+            context = F.zip_with(
+                F.slice(pieces, 1, n), F.slice(pieces, 2, n),
+                lambda a, b: F.struct(F.substring(a, -LEFT, LEFT).alias("left"), F.substring(b, 1, RIGHT).alias("right")),
+            )
+            ends = let(sizes, lambda s: F.zip_with(running_sum(s), s, lambda before, size: before + size))
+            return F.zip_with(
+                F.zip_with(ends, found, lambda end, m: F.struct(end.alias("end"), m.alias("text"))), context,
+                lambda m, c: F.struct(
+                    (m["end"] - F.length(m["text"])).cast("int").alias("start"), m["end"].cast("int").alias("end"),
+                    m["text"].alias("text"), c["left"].alias("left"), c["right"].alias("right"),
+                ),
+            )
+
+        return let(F.split(text, pattern, -1), placed)
 
     empty = F.array().cast(SPAN)
     return F.coalesce(
