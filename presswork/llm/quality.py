@@ -117,5 +117,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
                 got.append(1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64())], [*b.schema.names[:-1], out])
 
+    # The schema names the columns as they are, whatever their case or order.
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.DoubleType())])
     return docs.select(*keep, F.col(text_col).alias("_text_")).mapInArrow(run, schema)

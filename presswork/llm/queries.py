@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from presswork.session import scratch_path
 
-from . import decontamination, fitting, mixing, near_duplicates, pii, quality, secrets, spans, substrings, toxicity, vectors
+from . import decontamination, fitting, mixing, near_duplicates, pii, quality, secrets, spans, substrings, toxicity, training_order, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -50,6 +50,13 @@ def op2_near_vectors(spark, sf):
     return vectors.near_vectors(table(spark, sf, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+@query
+def op3_training_order(spark, sf):
+    """Training shards of all documents."""
+    shards = training_order.training_shards(table(spark, sf, "documents"))
+    return shards.withColumn("sha256", F.sha2("payload", 256))
+
+
 @query
 def op4_pii(spark, sf):
     """Personal data in each document."""
