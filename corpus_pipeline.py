@@ -16,7 +16,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose compression score is not low."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels, use=~fitting.held_out(F.col("doc_id")))
-    return quality.score(docs, model, out="_score").filter(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return quality.score(rows, model, keep=["row"]).filter(F.col("score") >= LEAST_QUALITY).select("row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +37,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark; a text decides for all that equal it."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("_text_key"), "text")
-    found = decontamination.find_contamination(keyed, bench, id_col="_text_key")
-    hit = written(found.filter("n_hit > 0").select(F.col("id").alias("_text_key")).distinct(), "contaminated")
-    return docs.withColumn("_text_key", F.md5(F.coalesce("text", F.lit("")))).join(hit, "_text_key", "left_anti").select(*docs.columns)
+    key = F.md5(F.coalesce("text", F.lit(""))).alias("key")
+    found = decontamination.find_contamination(docs.select(key, "text"), bench, id_col="key")
+    hit = written(found.filter("n_hit > 0").select(F.col("id").alias("key")).distinct(), "contaminated")
+    return docs.select(F.struct("*").alias("row"), key).join(hit, "key", "left_anti").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,11 +38,7 @@ def _keys(w: W.Words, length: int, span: int, gram: int) -> np.ndarray:
     """Fingerprint of the ``length`` words from each word on; junk where they leave the text."""
     if length < span:
         return W.runs(w, length) ^ np.uint64(length)
-    grams = W.runs(w, gram)
-    low = grams.copy()
-    for k in range(1, span - gram + 1):
-        low[: len(low) - k] = np.minimum(low[: len(low) - k], grams[k:])
-    return low
+    return W.sliding_min(W.runs(w, gram), span - gram + 1)
 
 
 def _windows(bench: DataFrame, id_col: str, text_col: str, span: int, gram: int) -> DataFrame:

@@ -123,16 +123,11 @@ def plan_mix(
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
     """The mixed rows themselves, each as often as the plan repeats it."""
-    plan = written(plan_mix(docs, id_col, text_col, source_col, **settings), "mix-plan")
-    plan = plan.filter("repeats > 0").select(
-        F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("repeats").alias("_repeats")
-    )
-    size = word_count(F.col(text_col))
-    return (
-        docs.join(
-            plan,
-            F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (size == F.col("_size")),
-        )
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int"))))
-        .select(*docs.columns)
+    plan = written(plan_mix(docs, id_col, text_col, source_col, **settings), "mix-plan").filter("repeats > 0")
+    plan = plan.select(F.col("id").alias("of"), F.col("source").alias("of_source"), F.col("size").alias("of_size"), "repeats")
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
     )
+    same = F.col("id").eqNullSafe(F.col("of")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size"))
+    times = F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))
+    return rows.join(plan, same).select("row", times.alias("copy")).select("row.*")

@@ -103,8 +103,8 @@ def fit(
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with the score; ``keep`` names the columns to return beside it."""
-    keep = docs.columns if keep is None else keep
+    """``docs`` with the score, in place of a column of that name; ``keep`` names the columns kept."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != out]
     good, bad, w = model.good, model.bad, model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,6 +117,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
                 got.append(1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64())], [*b.schema.names[:-1], out])
 
-    # The schema names the columns as they are, whatever their case or order.
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.DoubleType())])
     return docs.select(*keep, F.col(text_col).alias("_text_")).mapInArrow(run, schema)

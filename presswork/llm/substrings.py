@@ -43,11 +43,7 @@ _U = np.uint64
 
 
 def _fingerprints(w: W.Words, length: int, gram: int) -> np.ndarray:
-    low = W.runs(w, gram)
-    grams = low.copy()
-    for k in range(1, length - gram + 1):
-        low[: len(low) - k] = np.minimum(low[: len(low) - k], grams[k:])
-    return low
+    return W.sliding_min(W.runs(w, gram), length - gram + 1)
 
 
 def _owners(w: W.Words) -> np.ndarray:

@@ -192,8 +192,8 @@ def fit(
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with (score, terms): the score, and the lexicon entries found, in order."""
-    keep = docs.columns if keep is None else keep
+    """``docs`` with (score, terms), in place of columns of these names: the lexicon entries found, in order."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "terms")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, w = model.automaton(), model.weights

@@ -164,3 +164,11 @@ def whole(words: Words, length: int) -> np.ndarray:
     """Which words begin a run of ``length`` words within their text."""
     end = np.repeat(words.offsets[1:], words.counts)
     return np.arange(len(end)) + length <= end
+
+
+def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of ``n`` values from each place on, of fewer at the end."""
+    low = x.copy()
+    for k in range(1, min(n, len(x))):
+        np.minimum(low[:-k], x[k:], out=low[:-k])
+    return low
