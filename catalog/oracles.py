@@ -138,7 +138,7 @@ add("top_per_sector", with_(ARTICLES, DEDUP, top(5)) + "SELECT sector, deck_pos,
 add("collect_sources", with_(ARTICLES, DEDUP, top(10)) + "SELECT sector, deck_pos, provider, url FROM top")
 add("union_sources", A + "SELECT doc_id, provider, title, CASE WHEN provider = 'newsapi' THEN source_name END AS source_name FROM art")
 add("limit_per", A + "SELECT sector, provider, doc_id FROM art QUALIFY row_number() OVER (PARTITION BY sector, provider ORDER BY provider_rank) <= 7")
-add("limit_request", A + "SELECT query_idx, doc_id FROM art ORDER BY query_idx, provider_idx, provider_rank LIMIT 100")
+add("limit_request", A + "SELECT query_idx, doc_id FROM art ORDER BY query_idx, provider_idx, provider_rank LIMIT 500")
 add("order_articles", A + "SELECT doc_id, url, CAST(length(title) % 7 AS BIGINT) AS score FROM art ORDER BY score DESC, published_ts DESC, url LIMIT 50")
 add("latest_snapshot", A + "SELECT sector, doc_id, url FROM art QUALIFY rank() OVER (PARTITION BY sector ORDER BY snapshot_ts DESC) = 1")
 add("exclude_used", with_(ARTICLES, DEDUP, top(10)) + """
@@ -329,7 +329,7 @@ SELECT doc_id, upper(cats[1]) AS tag,
   array_to_string([upper(c) || ':' || printf('%.2f', least(1.5, 0.15 * length(c))) for c in cats[1:2]], '|') AS tags FROM cat""")
 add("mine_entities", r"""
 SELECT surface, count(*) AS doc_count FROM (
-  SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\p{Lu}[\p{L}\p{N}]+(?: \p{Lu}[\p{L}\p{N}]+)+')) AS surface FROM documents)
+  SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\p{Lu}[\p{L}\p{N}]+(?: \p{Lu}[\p{L}\p{N}]+)*')) AS surface FROM documents)
 GROUP BY surface HAVING count(*) >= 2""")
 _lem = "CASE w " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in T.LEMMAS.items()) + " ELSE w END"
 
@@ -388,7 +388,7 @@ def phrase_rows(source: str, text: str, signals, extra: str = "") -> str:
 pt0 AS (SELECT doc_id, lower({text}) AS low, string_split(trim({padded(text)}), ' ') AS toks FROM {source}),
 pr AS (SELECT doc_id, low, unnest([trim(r) for r in string_split(array_to_string(
    [CASE WHEN t IN {STOP} OR regexp_matches(t, '^[^\p{{L}}\p{{N}}]') THEN '|' ELSE t END for t in toks], ' '), '|')]) AS phrase FROM pt0),
-pf AS (SELECT doc_id, phrase FROM pr WHERE phrase <> '' AND len(string_split(phrase, ' ')) <= 4 {extra}),
+pf AS (SELECT doc_id, phrase FROM pr WHERE phrase <> '' {extra}),
 pc AS (SELECT doc_id, phrase, count(*) AS n FROM pf GROUP BY ALL),
 pn AS (SELECT pc.*, sum(n) OVER (PARTITION BY pc.doc_id) AS total, strpos(low, phrase) - 1 AS first_pos, length(low) AS len
   FROM pc JOIN pt0 USING (doc_id)),

@@ -749,7 +749,7 @@ def archive_sources(spark, sf):
     path = scratch_path(spark, "archive-sources")
     now = day("2024-06-01")
     rows = archive_plan.archive_rows(
-        {"newsapi": newsapi_responses(spark, sf), "gnews": gnews_responses(spark, sf)}, now, filing_feed(spark, sf), page_table(spark, sf)
+        {"newsapi": newsapi_responses(spark, sf), "gnews": gnews_responses(spark, sf)}, now, filing_feed(spark, sf), page_table(spark, sf), limit=50, filing_limit=20
     )
     shaped = rows.withColumnRenamed("source_name", "source").withColumnRenamed("published_raw", "published_at")
     archive_plan.archive_sources(shaped, path, now)

@@ -3,6 +3,7 @@ without a shuffle; the one exception is the optional full entity decoder."""
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Iterable
 
@@ -308,14 +309,22 @@ def word_tokens(c: Column | str, lower: bool = True) -> Column:
     return F.regexp_extract_all(F.lower(c) if lower else c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def token_form(term: str, lower: bool = True) -> str:
+    """A term as ``token_text`` writes it, without the outer blanks."""
+    return " ".join(re.sub(r"([^\w\s]|_)", r" \1 ", term.lower() if lower else term).split())
+
+
 def contains_term(padded: Column, term: str) -> Column:
-    return padded.contains(f" {' '.join(term.lower().split())} ")
+    return padded.contains(f" {token_form(term)} ") if token_form(term) else F.lit(False)
 
 
 def candidate_phrases(
-    c: Column | str, stopwords: Iterable[str] = params.STOPWORDS, longest: int = 4
+    c: Column | str, stopwords: Iterable[str] = params.STOPWORDS, longest: int | None = None
 ) -> Column:
-    """Runs of 1-``longest`` words between stop words and punctuation (Rose et al. 2010)."""
+    """Runs of words between stop words and punctuation (Rose et al. 2010).
+
+    ``longest`` leaves out longer runs; by default all count.
+    """
     stop = list(stopwords)
     tokens = F.split(F.trim(token_text(c)), " ", -1)
     marked = F.transform(
@@ -325,7 +334,7 @@ def candidate_phrases(
     runs = F.split(F.array_join(marked, " "), r"\|", -1)
     return F.filter(
         F.transform(runs, lambda r: F.trim(r)),
-        lambda r: (r != "") & (F.size(F.split(r, " ")) <= longest),
+        lambda r: (r != "") & ((F.size(F.split(r, " ")) <= longest) if longest else F.lit(True)),
     )
 
 

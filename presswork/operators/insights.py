@@ -11,6 +11,7 @@ from .. import params
 from ..functions.core import col, text_or_empty
 from .phrases import scored_phrases, top_phrases
 from .summaries import summary
+from ..sizing import INLINE_ROWS
 from .terms import (
     categories, entities, entity_surfaces, match_categories, match_entities, primary_category,
     surfaces_of, taxonomy_dict,
@@ -47,26 +48,26 @@ def extract_insights(
     stopwords: Iterable[str] = params.STOPWORDS,
     text: str | None = None,
     entity_boost: bool = True,
-    keys: Iterable[str] = ("sector", "url"),
+    limit: int = INLINE_ROWS,
 ) -> DataFrame:
     """Add the ``insights`` record; NULL for articles without text.
 
     The text is ``cleaned_content`` where that column exists, else ``content``.  Each
     article is worked on within its row, so this is a single pass without a shuffle, unless
-    a table is too large to inline; ``keys`` must then identify an article.
+    a table has more than ``limit`` rows (the taxonomy 1,000).
     """
-    surfaces = entity_surfaces(entity_dict)
-    inline = taxonomy_dict(taxonomy)
+    surfaces = entity_surfaces(entity_dict, limit)
+    inline = taxonomy_dict(taxonomy, min(limit, 1_000))
     source = text or ("cleaned_content" if "cleaned_content" in df.columns else "content")
     body = text_or_empty(source)
     # --- what does not fit into the plan is matched by joins, and used per row from there on
     if surfaces is None:
-        df = match_entities(df, entity_dict, source, keys, out="_ents")
+        df = match_entities(df, entity_dict, source, out="_ents", limit=limit)
         known, known_phrases = surfaces_of(F.col("_ents")), surfaces_of(F.col("_ents"), params.PHRASE_ENTITY_LABELS)
     else:
         known = known_phrases = surfaces
     if inline is None:
-        df = match_categories(df, taxonomy, source, keys, out="_cats")
+        df = match_categories(df, taxonomy, source, out="_cats", limit=min(limit, 1_000))
     made = {
         "_phr": top_phrases(scored_phrases(body, stopwords, known_phrases, best=8), 8),
         "_sum": summary(body, 8, surfaces=known),

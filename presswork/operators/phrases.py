@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import params
 from ..functions import text as X
 from ..functions.core import is_in, let, text_or_empty, words
+from ..sizing import INLINE_ROWS
 from .terms import entity_mentions, entity_surfaces, match_entities, surfaces_of
 
 SCORE_DIGITS = 9
@@ -154,12 +155,12 @@ def top_phrases(scored: Column, k: int = 8) -> Column:
     )
 
 
-def key_phrases(df: DataFrame, k: int = 8, text: str = "content", out: str = "key_phrases", stopwords: Iterable[str] = params.STOPWORDS, entity_dict=None, keys: Iterable[str] = ("sector", "url")) -> DataFrame:
-    """Add the key phrases.  A dictionary too large to inline is joined first, by ``keys``."""
-    surfaces = entity_surfaces(entity_dict) if entity_dict is not None else {}
+def key_phrases(df: DataFrame, k: int = 8, text: str = "content", out: str = "key_phrases", stopwords: Iterable[str] = params.STOPWORDS, entity_dict=None, limit: int = INLINE_ROWS) -> DataFrame:
+    """Add the key phrases.  A dictionary of more than ``limit`` rows is joined first."""
+    surfaces = entity_surfaces(entity_dict, limit) if entity_dict is not None else {}
     if surfaces is not None:
         return df.withColumn(out, top_phrases(scored_phrases(text, stopwords, surfaces, best=k), k))
-    found = match_entities(df, entity_dict, text, keys, out="_entities")
+    found = match_entities(df, entity_dict, text, out="_entities", limit=limit)
     own = surfaces_of(F.col("_entities"), params.PHRASE_ENTITY_LABELS)
     return found.withColumn(out, top_phrases(scored_phrases(text, stopwords, own, best=k), k)).drop("_entities")
 

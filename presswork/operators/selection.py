@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions import text as X
+from ..functions.core import strip, text_or_empty
 from ..schema import COLLECTION_ORDER
 from ..sizing import inline_rows
 
@@ -43,9 +44,9 @@ def top_per_sector(df: DataFrame, n: int = params.DEFAULT_ARTICLES_PER_SECTOR, o
     return first_per(df, ["sector"], list(order), n, out="deck_pos")
 
 
-def limit_per(df: DataFrame, n: int, keys: Iterable[str] = (), order: Iterable = COLLECTION_ORDER, floor: int = 1, ceiling: int = 100) -> DataFrame:
+def limit_per(df: DataFrame, n: int, keys: Iterable[str] = (), order: Iterable = COLLECTION_ORDER, floor: int = 1, ceiling: int | None = None) -> DataFrame:
     """Request limit: ``n`` forced into ``floor..ceiling``, per group or over all."""
-    n = min(max(floor, n), ceiling)
+    n = max(floor, n) if ceiling is None else min(max(floor, n), ceiling)
     keys, order = list(keys), list(order)
     return first_per(df, keys, order, n) if keys else df.orderBy(*order).limit(n)
 
@@ -75,22 +76,20 @@ def _score(parts: dict[str, Column], query: str) -> Column:
 
 
 def _bare(query: str) -> str:
-    """Token form of a search text, as ``token_text`` would write it."""
-    import re
+    """Token form of a search text without outer blanks and quotes."""
+    return X.token_form(query.strip().strip('"'))
 
-    spaced = re.sub(r"([^\w\s]|_)", r" \1 ", query.strip().strip('"').lower())
-    return " ".join(spaced.split())
 
-
-def search_articles(df: DataFrame, queries: DataFrame | list[tuple[str, int, str]]) -> DataFrame:
+def search_articles(df: DataFrame, queries: DataFrame | list[tuple[str, int, str]], limit: int = 1_000) -> DataFrame:
     """Articles that hold a search text as an exact phrase, ignoring case.
 
     ``queries`` has (sector, query_idx, query).  Gives one row per article and search with
-    the searched ``sector`` and ``query_idx`` and a ``score`` weighted by field.  Searches
-    are few and are compared in place; when there are too many to inline, articles meet
-    them by an equi-join on word n-grams.
+    the searched ``sector`` and ``query_idx`` and a ``score`` weighted by field.  Up to
+    ``limit`` searches are compared in place; more of them meet the word runs of the texts
+    in an equi-join, with the same result.
     """
-    rows = inline_rows(queries, 1_000)
+    queries = queries if isinstance(queries, DataFrame) else [tuple(q) for q in queries]
+    rows = inline_rows(queries, limit)
     base = df.drop("sector", "query_idx")
     if rows is not None:
         texts: dict[str, list[tuple[str, int]]] = {}
@@ -114,14 +113,15 @@ def search_articles(df: DataFrame, queries: DataFrame | list[tuple[str, int, str
         return exploded.select(
             *base.columns, F.col("_h.score").alias("score"), F.explode("_h.who").alias("_w")
         ).select(*base.columns, "score", "_w.sector", "_w.query_idx")
+    if not isinstance(queries, DataFrame):
+        queries = df.sparkSession.createDataFrame(queries, "sector string, query_idx int, query string")
     return _search_by_ngrams(base, queries)
 
 
 def _search_by_ngrams(base: DataFrame, queries: DataFrame) -> DataFrame:
     """Exact phrase search for any number of searches: n-gram equi-join, no cross join."""
-    q = queries.select(
-        "sector", "query_idx", F.trim(X.token_text(F.regexp_replace("query", '^"|"$', ""))).alias("gram")
-    ).filter(F.col("gram") != "")
+    bare = F.regexp_replace(strip("query"), '^"+|"+$', "")
+    q = queries.select("sector", "query_idx", F.trim(X.token_text(bare)).alias("gram")).filter(F.col("gram") != "")
     longest = q.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
     weights = [
         F.struct(F.lit(w).alias("weight"), F.split(F.trim(X.token_text(f)), " ").alias("tokens"))
@@ -136,12 +136,16 @@ def _search_by_ngrams(base: DataFrame, queries: DataFrame) -> DataFrame:
             ),
         )
     )
-    return (
-        base.select(*base.columns, F.explode(_weigh(grams)).alias("_g"))
-        .select(*base.columns, F.col("_g.gram").alias("gram"), F.col("_g.score").alias("score"))
+    # Only keys and word runs meet the searches; articles are joined by their texts once.
+    key = F.sha2(F.concat_ws("\x01", *[text_or_empty(f) for f in FIELD_WEIGHTS]), 256)
+    hits = (
+        base.select(key.alias("_k"), F.explode(_weigh(grams)).alias("_g"))
+        .select("_k", F.col("_g.gram").alias("gram"), F.col("_g.score").alias("score"))
+        .distinct()
         .join(q, "gram")
-        .select(*base.columns, "score", "sector", "query_idx")
+        .select("_k", "score", "sector", "query_idx")
     )
+    return base.withColumn("_k", key).join(hits, "_k").select(*base.columns, "score", "sector", "query_idx")
 
 
 def ngrams(tokens: Column, longest: int) -> Column:
@@ -180,7 +184,7 @@ def _weigh(grams: Column) -> Column:
 
         return F.when(F.size(xs) > 0, F.transform(starts, total))
 
-    from ..functions.core import let
+    from ..functions.core import let, strip, text_or_empty
 
     return let(ordered, merged)
 

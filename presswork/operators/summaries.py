@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import params
 from ..functions import text as X
 from ..functions.core import is_in, let, text_or_empty, word_count
+from ..sizing import INLINE_ROWS
 from .terms import entity_surfaces, match_entities, mentions_in, surfaces_of
 
 
@@ -83,12 +84,12 @@ def summary(text: Column | str, k: int = 8, signals: Iterable[str] = params.SENT
     return F.when(text == "", F.lit("")).otherwise(let(scored_sentences(text, signals, surfaces), choose))
 
 
-def summarize(df: DataFrame, k: int = 8, text: str = "content", out: str = "summary", signals: Iterable[str] = params.SENTENCE_SIGNALS, entity_dict=None, keys: Iterable[str] = ("sector", "url")) -> DataFrame:
-    """Add the summary.  A dictionary too large to inline is joined first, by ``keys``."""
-    surfaces = entity_surfaces(entity_dict) if entity_dict is not None else {}
+def summarize(df: DataFrame, k: int = 8, text: str = "content", out: str = "summary", signals: Iterable[str] = params.SENTENCE_SIGNALS, entity_dict=None, limit: int = INLINE_ROWS) -> DataFrame:
+    """Add the summary.  A dictionary of more than ``limit`` rows is joined first."""
+    surfaces = entity_surfaces(entity_dict, limit) if entity_dict is not None else {}
     if surfaces is not None:
         return df.withColumn(out, summary(text, k, signals, surfaces))
-    found = match_entities(df, entity_dict, text, keys, out="_entities")
+    found = match_entities(df, entity_dict, text, out="_entities", limit=limit)
     return found.withColumn(out, summary(text, k, signals, surfaces_of(F.col("_entities")))).drop("_entities")
 
 

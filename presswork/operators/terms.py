@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -10,17 +11,39 @@ from pyspark.sql import functions as F
 from .. import params
 from ..functions import text as X
 from ..functions.core import is_in, let, lookup, text_or_empty, words
-from ..sizing import inline_rows
+from ..sizing import INLINE_ROWS, inline_rows
 from .selection import ngrams
 
 # --------------------------------------------------------------------------- categories
 
 
-def taxonomy_dict(taxonomy) -> dict[str, list[str]] | None:
-    """Taxonomy rows (category, term, ord) as an ordered dict; ``None`` if too many to inline."""
+def as_rows(table, limit: int) -> tuple[list[tuple] | None, DataFrame | list[tuple]]:
+    """A parameter table as rows to inline, ``None`` if there are more than ``limit``, and as given."""
+    if isinstance(table, dict):
+        table = list(table.items())
+    elif not isinstance(table, DataFrame):
+        table = [tuple(r) for r in table]
+    return inline_rows(table, limit), table
+
+
+def as_table(spark, table: DataFrame | list[tuple], columns: str) -> DataFrame:
+    """A parameter table as a DataFrame."""
+    return table if isinstance(table, DataFrame) else spark.createDataFrame(table, columns)
+
+
+def text_key(text: Column | str) -> Column:
+    """What a text is joined by: rows with one text get one answer, whatever else they hold."""
+    return F.sha2(text_or_empty(text), 256)
+
+
+def taxonomy_dict(taxonomy, limit: int = 1_000) -> dict[str, list[str]] | None:
+    """Taxonomy rows (category, term, ord) as an ordered dict; ``None`` if too many to inline.
+
+    A category ranks by its smallest (ord, term) in the whole table.
+    """
     if isinstance(taxonomy, dict):
-        return taxonomy
-    rows = inline_rows(taxonomy, 1_000)
+        return taxonomy if sum(map(len, taxonomy.values())) <= limit else None
+    rows, _ = as_rows(taxonomy, limit)
     if rows is None:
         return None
     out: dict[str, list[str]] = {}
@@ -44,34 +67,40 @@ def categories(text: Column | str, taxonomy: dict[str, list[str]] = params.TAXON
     return let(X.token_text(text), found)
 
 
-def match_categories(df: DataFrame, taxonomy=params.TAXONOMY, text: str = "content", keys: Iterable[str] = ("sector", "url"), out: str = "categories") -> DataFrame:
-    """Add ``categories``.
+def match_categories(df: DataFrame, taxonomy=params.TAXONOMY, text: str = "content", out: str = "categories", limit: int = 1_000) -> DataFrame:
+    """Add ``categories``; ``taxonomy`` is a dict or rows or a table (category, term, ord).
 
-    A taxonomy small enough to inline is matched in place, without a shuffle.  A larger
-    table meets the distinct word runs of each article in an equi-join; ``keys`` must then
-    identify a row, and only the matches are shuffled.
+    Up to ``limit`` terms are matched in place, without a shuffle.  A larger table meets the
+    distinct word runs of each text in an equi-join, with the same result; only text keys
+    and matches are shuffled, and the answer is joined back by the text.
     """
-    inline = taxonomy_dict(taxonomy)
+    inline = taxonomy_dict(taxonomy, limit)
     if inline is not None:
         return df.withColumn(out, categories(text, inline))
-    keys = list(keys)
-    terms = taxonomy.select(
-        "category", "ord", F.trim(X.token_text("term")).alias("gram")
-    ).distinct()
-    longest = terms.agg(F.max(F.size(F.split("gram", " ")))).first()[0]
+    if isinstance(taxonomy, dict):
+        taxonomy = [(c, t, i) for i, (c, ts) in enumerate(taxonomy.items()) for t in ts]
+    table = as_table(df.sparkSession, as_rows(taxonomy, 0)[1], "category string, term string, ord int")
+    ranks = table.groupBy("category").agg(F.min(F.struct("ord", "term")).alias("rank"))
+    terms = table.select("category", F.trim(X.token_text("term")).alias("gram")).filter("gram != ''").distinct()
+    terms = terms.join(ranks, "category")
+    longest = terms.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
     tokens = F.split(F.trim(X.token_text(text)), " ", -1)
     grams = let(tokens, lambda t: F.array_distinct(ngrams(t, longest)))
     found = (
-        df.select(*keys, F.explode(grams).alias("gram"))
+        df.select(text_key(text).alias("_k"), F.explode(grams).alias("gram"))
         .join(terms, "gram")
-        .groupBy(*keys, "category")
-        .agg(F.min("ord").alias("ord"))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("ord", "category"))).alias("_c"))
-        .select(*keys, F.col("_c.category").alias(out))
+        .groupBy("_k")
+        .agg(F.sort_array(F.collect_set(F.struct("rank", "category"))).alias("_c"))
+        .select("_k", F.col("_c.category").alias("_found"))
     )
-    none = F.array().cast("array<string>")
-    return df.join(found, keys, "left").withColumn(out, F.coalesce(out, none))
+    return _answered(df, text, found, out, F.array().cast("array<string>"))
+
+
+def _answered(df: DataFrame, text: str, found: DataFrame, out: str, none: Column) -> DataFrame:
+    """``df`` with the answers of a table (_k, _found), joined by the text."""
+    kept = [c for c in df.columns if c != out]
+    keyed = df.withColumn("_k", text_key(text))
+    return keyed.join(found, "_k", "left").select(*kept, F.coalesce("_found", none).alias(out))
 
 
 def primary_category(cats: Column | str) -> Column:
@@ -81,16 +110,14 @@ def primary_category(cats: Column | str) -> Column:
 # --------------------------------------------------------------------------- entities
 
 
-def entity_surfaces(entity_dict) -> dict[str, str] | None:
-    """Dictionary rows (surface, label) as surface -> label, surfaces in token form."""
-    import re
+def entity_surfaces(entity_dict, limit: int = INLINE_ROWS) -> dict[str, str] | None:
+    """Dictionary rows (surface, label) as surface -> label, surfaces in token form.
 
-    if isinstance(entity_dict, dict):
-        rows = list(entity_dict.items())
-    else:
-        rows = inline_rows(entity_dict)
-        if rows is None:
-            return None
+    Of surfaces with one token form the first in the alphabet decides.
+    """
+    rows, _ = as_rows(entity_dict, limit)
+    if rows is None:
+        return None
     out = {}
     for surface, label in sorted(rows):
         token_form = " ".join(re.findall(r"[^\W_]+", surface))
@@ -191,41 +218,41 @@ def entities(text: Column | str, surfaces: dict[str, str]) -> Column:
     return let(entity_mentions(text, surfaces), per_label)
 
 
-def match_entities(df: DataFrame, entity_dict, text: str = "content", keys: Iterable[str] = ("sector", "url"), out: str = "entities") -> DataFrame:
+def match_entities(df: DataFrame, entity_dict, text: str = "content", out: str = "entities", limit: int = INLINE_ROWS) -> DataFrame:
     """Add ``entities``, a map of label to surfaces.
 
-    A dictionary that can be inlined needs no shuffle.  A larger one is joined on word
-    runs: each article sends every run once with its first position, and only matches
-    are grouped again.
+    A dictionary of up to ``limit`` rows needs no shuffle.  A larger one is joined on word
+    runs, with the same result: each text sends every run once with its first position, and
+    the answer is joined back by the text.
     """
-    surfaces = entity_surfaces(entity_dict)
+    surfaces = entity_surfaces(entity_dict, limit)
     if surfaces is not None:
         return df.withColumn(out, entities(text, surfaces))
-    keys = list(keys)
+    table = as_table(df.sparkSession, as_rows(entity_dict, 0)[1], "surface string, label string")
     names = (
-        entity_dict.select(
-            F.array_join(X.word_tokens("surface", lower=False), " ").alias("surface"), "label"
-        )
-        .filter((F.col("surface") != "") & F.col("label").isin(params.ENTITY_LABELS))
-        .groupBy("surface")
-        .agg(F.min("label").alias("label"))
+        table.filter(F.col("label").isin(params.ENTITY_LABELS))
+        .select(F.array_join(X.word_tokens("surface", lower=False), " ").alias("name"), F.struct("surface", "label").alias("of"))
+        .filter(F.col("name") != "")
+        .groupBy(F.col("name").alias("surface"))
+        .agg(F.min("of")["label"].alias("label"))
     )
-    longest = names.agg(F.max(F.size(F.split("surface", " ")))).first()[0]
+    longest = names.agg(F.max(F.size(F.split("surface", " ")))).first()[0] or 1
+    runs = let(X.word_tokens(text, lower=False), lambda t: positioned_ngrams(t, longest))
     hits = (
-        df.select(*keys, F.posexplode(let(X.word_tokens(text, lower=False), lambda t: positioned_ngrams(t, longest))).alias("_i", "_g"))
-        .select(*keys, F.col("_g.pos").alias("pos"), F.col("_g.surface").alias("surface"))
+        df.select(text_key(text).alias("_k"), F.explode(runs).alias("_g"))
+        .groupBy("_k", F.col("_g.surface").alias("surface"))
+        .agg(F.min("_g.pos").alias("pos"))
         .join(names, "surface")
-        .groupBy(*keys, "label", "surface")
-        .agg(F.min("pos").alias("pos"))
     )
+    rank = F.array_position(F.array(*[F.lit(x) for x in params.ENTITY_LABELS]), F.col("label"))
     found = (
-        hits.groupBy(*keys, "label")
+        hits.groupBy("_k", "label")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "surface"))).alias("_s"))
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("label", F.col("_s.surface")))).alias(out))
+        .groupBy("_k")
+        .agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "label", F.col("_s.surface").alias("names")))).alias("_e"))
+        .select("_k", F.map_from_entries(F.transform("_e", lambda e: F.struct(e["label"], e["names"]))).alias("_found"))
     )
-    none = F.create_map().cast("map<string,array<string>>")
-    return df.join(found, keys, "left").withColumn(out, F.coalesce(out, none))
+    return _answered(df, text, found, out, F.create_map().cast("map<string,array<string>>"))
 
 
 def positioned_ngrams(tokens: Column, longest: int) -> Column:
@@ -245,13 +272,13 @@ def positioned_ngrams(tokens: Column, longest: int) -> Column:
 
 
 def mine_entities(df: DataFrame, min_df: int = 2, text: str = "content") -> DataFrame:
-    """Runs of capitalised words with the number of articles they occur in.
+    """Capitalised words and runs of them with the number of articles they occur in.
 
     Each article counts a run once, and counts are combined per task before the shuffle,
     so a run found in every article costs one row per task.
     """
     runs = F.regexp_extract_all(
-        text_or_empty(text), F.lit(r"\p{Lu}[\p{L}\p{N}]+(?: \p{Lu}[\p{L}\p{N}]+)+"), F.lit(0)
+        text_or_empty(text), F.lit(r"\p{Lu}[\p{L}\p{N}]+(?: \p{Lu}[\p{L}\p{N}]+)*"), F.lit(0)
     )
     return (
         df.select(F.explode(F.array_distinct(runs)).alias("surface"))
@@ -271,28 +298,27 @@ def lemmatized(cleaned: Column | str, lemmas: dict[str, str], stopwords: Iterabl
     return F.array_join(F.transform(kept, lambda w: F.coalesce(lookup(lemmas, w), w)), " ")
 
 
-def lemmatize(df: DataFrame, lemma_dict, text: str = "cleaned_content", out: str = "lemmatized_content", stopwords: Iterable[str] = params.STOPWORDS, keys: Iterable[str] = ("sector", "url")) -> DataFrame:
-    """Add the lemmatised text; a dictionary too large to inline is joined per word."""
+def lemmatize(df: DataFrame, lemma_dict, text: str = "cleaned_content", out: str = "lemmatized_content", stopwords: Iterable[str] = params.STOPWORDS, limit: int = INLINE_ROWS) -> DataFrame:
+    """Add the lemmatised text; of several lemmas of a token the first in the alphabet counts.
+
+    A dictionary of more than ``limit`` rows is joined per distinct word, with the same result.
+    """
     stop = list(stopwords)
-    rows = list(lemma_dict.items()) if isinstance(lemma_dict, dict) else inline_rows(lemma_dict)
+    rows, table = as_rows(lemma_dict, limit)
     if rows is not None:
-        return df.withColumn(out, lemmatized(text, dict(rows), stop))
-    keys = list(keys)
+        return df.withColumn(out, lemmatized(text, dict(sorted(rows, reverse=True)), stop))
     kept = F.filter(words(text_or_empty(text)), lambda w: ~is_in(w, stop))
-    # distinct words only: the lemma of a word is joined once per article, whatever its count
+    lemmas = as_table(df.sparkSession, table, "token string, lemma string").groupBy("token").agg(F.min("lemma").alias("lemma"))
+    # distinct words only: the lemma of a word is joined once per text, whatever its count
     pairs = (
-        df.select(*keys, F.explode(F.array_distinct(kept)).alias("token"))
-        .join(lemma_dict.select("token", "lemma").dropDuplicates(["token"]), "token")
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_lemmas"))
+        df.select(text_key(text).alias("_k"), F.explode(F.array_distinct(kept)).alias("token"))
+        .join(lemmas, "token")
+        .groupBy("_k")
+        .agg(F.map_from_entries(F.collect_set(F.struct("token", "lemma"))).alias("_found"))
     )
-    joined = df.join(pairs, keys, "left")
-    return joined.withColumn(
-        out,
-        F.array_join(
-            F.transform(kept, lambda w: F.coalesce(F.try_element_at(F.col("_lemmas"), w), w)), " "
-        ),
-    ).drop("_lemmas")
+    joined = _answered(df, text, pairs, "_lemmas", F.create_map().cast("map<string,string>"))
+    known = lambda w: F.coalesce(F.try_element_at(F.col("_lemmas"), w), w)
+    return joined.withColumn(out, F.array_join(F.transform(kept, known), " ")).drop("_lemmas")
 
 
 def clean_articles(df: DataFrame, lemma_dict=None, stopwords: Iterable[str] = params.STOPWORDS) -> DataFrame:

@@ -9,10 +9,6 @@ from ..functions.core import text_or_empty
 from ..operators import selection
 from ..sources import archive, pages as page_source, providers
 
-#: Articles taken per request; filings are listed twenty at a time.
-REQUEST_LIMIT = 50
-FILING_LIMIT = 20
-
 
 def archive_rows(
     responses: dict[str, DataFrame],
@@ -20,25 +16,29 @@ def archive_rows(
     filings: DataFrame | None = None,
     pages: DataFrame | None = None,
     request_keys: tuple[str, ...] = ("request_id",),
-    limit: int = REQUEST_LIMIT,
+    limit: int | None = None,
+    filing_limit: int | None = None,
 ) -> DataFrame:
     """Articles of all providers in one shape, thin ones filled from their pages.
 
     ``responses`` maps provider to raw responses (``request_keys`` and ``body``); filings
-    have ``request_keys``, ``provider_rank`` and the feed fields.  Limits hold per request.
+    have ``request_keys``, ``provider_rank`` and the feed fields.  What has landed is kept
+    whole unless a limit per request is given.
     """
     normalize = {"newsapi": providers.normalize_newsapi, "gnews": providers.normalize_gnews}
     parts = []
     for name, df in responses.items():
         rows = normalize[name](providers.read_provider_responses(df, name), now)
-        rows = selection.limit_per(rows, limit, request_keys, ["provider_rank"])
+        if limit is not None:
+            rows = selection.limit_per(rows, limit, request_keys, ["provider_rank"])
         if pages is not None:
             thin = F.length(text_or_empty("content")) < 500
             rows = selection.backfill_content(rows, pages, thin)
         parts.append(rows.withColumn("provider", F.lit(name)))
     if filings is not None:
-        rows = selection.limit_per(filings, FILING_LIMIT, request_keys, ["provider_rank"])
-        parts.append(providers.normalize_filings(rows).withColumn("provider", F.lit("sec_edgar")))
+        if filing_limit is not None:
+            filings = selection.limit_per(filings, filing_limit, request_keys, ["provider_rank"])
+        parts.append(providers.normalize_filings(filings).withColumn("provider", F.lit("sec_edgar")))
     if pages is not None:
         parts.append(page_source.normalize_pages(pages).withColumn("provider", F.lit("web_scraper")))
     return selection.union_sources(*parts)
@@ -46,6 +46,4 @@ def archive_rows(
 
 def archive_sources(rows: DataFrame, path: str, now: Column) -> None:
     """Append the rows of each provider under its own stamp."""
-    for name in ("newsapi", "gnews", "sec_edgar", "web_scraper"):
-        part = rows.filter(F.col("provider") == name).drop("provider")
-        archive.write_archive(part, name, path, now)
+    archive.write_archive(rows.withColumnRenamed("provider", "_by"), F.col("_by"), path, now, drop=["_by"])

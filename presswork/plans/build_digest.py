@@ -61,7 +61,10 @@ def select_articles(
         rows = rows.drop(*extra)
     winners = selection.top_per_sector(selection.dedup_by_url(ranked, order), n, order)
     winners = written(winners.select(*keys, *extra, "deck_pos"), "winners")
-    fetched = rows.join(winners, keys)
+    same = F.lit(True)
+    for k in keys:  # identities may have gaps
+        same = same & rows[k].eqNullSafe(F.col(f"_{k}"))
+    fetched = rows.join(winners.withColumnsRenamed({k: f"_{k}" for k in keys}), same).drop(*[f"_{k}" for k in keys])
     # an article landed twice under one identity comes back twice
     fetched = selection.first_per(fetched, ["sector", "deck_pos"], ["published_ts"])
     # written as well, so the steps after it do not scan the landed articles again

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,14 +31,16 @@ def get_session(app: str = "presswork", master: str | None = None, **extra: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (unit tests, a laptop) gets a temporary
-    folder, which is then remembered in the session.
+    Only a local session without that setting (unit tests, a laptop) gets a temporary
+    folder, which is then remembered in the session; on a cluster it has to be set.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(
         "presswork.scratch.dir", None
     )
     if configured:
         return configured
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="presswork-")
     spark.conf.set("presswork.scratch.dir", made)
     return made

@@ -11,35 +11,47 @@ from .. import params, schema
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Archived articles with ``meta`` (the stored record) and ``archive_file``.
 
-    The stored field hides the file-source column of the same name, which is therefore
-    reached through ``metadataColumn``.
+    A file is either one JSON array, as archives arrive, or JSON lines, as ``write_archive``
+    leaves them; the form of each file is told by its lines.
     """
-    raw = spark.read.schema(schema.ARCHIVE_ARTICLE).option("multiLine", True).json(path)
+    lines = spark.read.text(path)
+    lines = lines.select("value", lines.metadataColumn("_metadata").getField("file_path").alias("archive_file"))
+    forms = lines.filter(F.trim("value") != "").groupBy("archive_file").agg(
+        F.bool_and(F.trim("value").rlike(r"^\{.*\}$")).alias("by_line")
+    )
+    parts = [
+        _read(spark, path, multi_line).join(forms.filter(F.col("by_line") != multi_line), "archive_file", "left_semi")
+        for multi_line in (True, False)
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def read_archive_lines(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_archive`` wrote: JSON lines, splittable at any size."""
+    return _read(spark, path, multi_line=False)
+
+
+def _read(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """The stored field ``_metadata`` hides the file-source column, hence ``metadataColumn``."""
+    raw = spark.read.schema(schema.ARCHIVE_ARTICLE).option("multiLine", multi_line).json(path)
     file_path = raw.metadataColumn("_metadata").getField("file_path")
     return raw.withColumn("archive_file", file_path).withColumnRenamed("_metadata", "meta")
 
 
-def stamp(df: DataFrame, source: str, now: Column) -> DataFrame:
+def stamp(df: DataFrame, source: str | Column, now: Column) -> DataFrame:
     return df.withColumn(
         "_metadata",
         F.struct(
-            F.lit(source).alias("source"),
+            (F.lit(source) if isinstance(source, str) else source).alias("source"),
             F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss").alias("fetched_at"),
             F.lit(params.ARCHIVE_VERSION).alias("version"),
         ),
     )
 
 
-def write_archive(df: DataFrame, source: str, path: str, now: Column) -> None:
+def write_archive(df: DataFrame, source: str | Column, path: str, now: Column, drop: tuple[str, ...] | list[str] = ()) -> None:
     """Append a stamped batch as JSON lines; an empty batch leaves nothing behind."""
     # A Parquet/JSON append of no rows still commits an empty file, so test for a first row.
     if df.isEmpty():
         return
-    stamp(df, source, now).write.mode("append").json(path)
-
-
-def read_archive_lines(spark: SparkSession, path: str) -> DataFrame:
-    """What ``write_archive`` wrote: JSON lines, splittable at any size."""
-    raw = spark.read.schema(schema.ARCHIVE_ARTICLE).json(path)
-    file_path = raw.metadataColumn("_metadata").getField("file_path")
-    return raw.withColumn("archive_file", file_path).withColumnRenamed("_metadata", "meta")
+    stamp(df, source, now).drop(*drop).write.mode("append").json(path)

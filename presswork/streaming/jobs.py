@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
-from .. import params
 from ..operators import selection
 from ..plans.enrich import enrich_articles
 from ..session import scratch_path
@@ -18,15 +17,15 @@ SALTS = 16
 def stream_dedup(df: DataFrame, ts: str = "published_ts", ttl: str = "24 hours", keys: tuple[str, ...] = ("sector", "url"), salts: int = SALTS) -> DataFrame:
     """First arrival of each link within the retention period.
 
-    Rows first meet within (link, salt), the salt coming from the whole row, so a link
-    that makes up much of the stream is thinned out by many tasks before its few
-    survivors meet.
+    Rows first meet within (link, salt), the salt coming from the task that read the row, so
+    a link that makes up much of the stream, even by rows alike in everything, is thinned
+    out by many tasks before its few survivors meet.
     """
     rows = df.withColumn(ts, F.col(ts).cast("timestamp"))
     rows = rows.filter(F.col("url").isNotNull() & (F.col("url") != ""))
     rows = rows.withWatermark(ts, ttl)
     if salts > 1:
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+        rows = rows.withColumn("_salt", F.spark_partition_id() % salts)
         rows = rows.dropDuplicatesWithinWatermark([*keys, "_salt"]).drop("_salt")
     return rows.dropDuplicatesWithinWatermark(list(keys))
 
@@ -66,26 +65,25 @@ def drain(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 def _stored_keys(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
     try:
         stored = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
-    return stored.filter(F.col("batch_id") != batch_id).select("sector", "url", "snapshot_date")
+    return stored.filter(F.col("batch_id") != batch_id).select("sector", "url")
 
 
-def merge_batch(batch: DataFrame, batch_id: int, path: str, days: int = params.LOOKBACK_DAYS, **enriching) -> None:
+def merge_batch(batch: DataFrame, batch_id: int, path: str, **enriching) -> None:
     """Enrich the articles not stored yet and add them under their batch number.
 
     Rewriting a batch replaces exactly its own partitions, so a batch repeated after a
-    failure leaves no duplicates.  Stored links are read from the look-back days only.
+    failure leaves no duplicates.  All stored links count, whatever their day.
     """
     spark = batch.sparkSession
     fresh = selection.dedup_by_url(batch, ["snapshot_ts", "provider_rank", "snapshot_file"])
     stored = _stored_keys(spark, path, batch_id)
     if stored is not None:
-        # one row; the result only prunes partitions
-        oldest = fresh.agg(F.min("snapshot_date")).first()[0]
-        if oldest is not None:
-            stored = stored.filter(F.col("snapshot_date") >= F.date_sub(F.lit(oldest), days))
-        fresh = fresh.join(stored.select("sector", "url").distinct(), ["sector", "url"], "left_anti")
+        known = stored.distinct().select(F.col("sector").alias("_s"), F.col("url").alias("_u"))
+        fresh = fresh.join(known, F.col("sector").eqNullSafe(F.col("_s")) & (F.col("url") == F.col("_u")), "left_anti")
     rows = enrich_articles(fresh, **enriching).withColumn("batch_id", F.lit(batch_id).cast("long"))
     (
         rows.hint("rebalance", "snapshot_date")

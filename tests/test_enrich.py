@@ -7,19 +7,12 @@ from pyspark.sql import functions as F
 from catalog import fixtures as T
 from presswork import params, sizing
 from presswork.functions import text as X
-from presswork.operators import insights, phrases, summaries, terms
+from presswork.operators import insights, phrases, selection, summaries, terms
 from presswork.plans import enrich as enrich_plan
 
 KEYS = ["doc_id"]
 
 
-@pytest.fixture()
-def tiny_inline(monkeypatch):
-    """Make every parameter table too large to inline, so the join forms run."""
-    none = lambda table, limit=0: None
-    monkeypatch.setattr(terms, "inline_rows", none)
-
-
 def rows(df, *cols):
     return {r.doc_id: tuple(r[c] for c in cols) for r in df.select("doc_id", *cols).collect()}
 
@@ -30,9 +23,58 @@ def test_inline_rows_is_bounded(spark):
     assert sizing.inline_rows(["a", ("b", "c")]) == [("a",), ("b", "c")]
 
 
-def test_categories_inline_equals_join(spark, docs, tiny_inline):
-    table = spark.createDataFrame([(c, t, i) for i, (c, ts) in enumerate(T.TAXONOMY.items()) for t in ts], "category string, term string, ord int")
-    assert rows(terms.match_categories(docs, T.TAXONOMY), "categories") == rows(terms.match_categories(docs, table, keys=KEYS), "categories")
+SAME = [  # rows with one link and different texts, equal texts, no link, punctuation
+    ("s", "u", "An R&D plan, a Joint-Venture."), ("s", "u", "joint venture of r d"), ("s", None, "An R&D plan, a Joint-Venture."),
+    (None, None, "Acme Corp. and ACME corp; Acme-Corp"), ("s", "u", None), ("s", "v", ""), ("s", "w", "rising rising prices; b2b r&d"),
+]
+
+
+@pytest.fixture(scope="module")
+def same(spark):
+    return spark.createDataFrame(SAME, "sector string, url string, content string").withColumn("cleaned_content", F.col("content"))
+
+
+def both(spark, same, match, table, column, columns):
+    """The answers of the inlined and of the joined form, for every kind of table."""
+    forms = [table, list(table), spark.createDataFrame(table, columns)]
+    pick = lambda df: sorted((str(r.content), str(r[column])) for r in df.collect())
+    answers = [pick(match(same, t, limit=n)) for t in forms for n in (100, 0)]
+    assert all(a == answers[0] for a in answers) and len(answers[0]) == len(SAME)
+    return dict(answers[0])
+
+
+def test_categories_have_one_meaning(spark, same):
+    table = [("late", "joint-venture", 9), ("first", "zzz", 0), ("first", "r&d", 7), ("mid", "plan", 3), ("mid", "", 5), ("none", "rd", 1)]
+    got = both(spark, same, terms.match_categories, table, "categories", "category string, term string, ord int")
+    assert got["An R&D plan, a Joint-Venture."] == "['first', 'mid', 'late']" and got["None"] == "[]"
+    assert got["joint venture of r d"] == "[]"
+
+
+def test_entities_have_one_meaning(spark, same):
+    table = [("Acme Corp", "ORG"), ("Acme-Corp", "PERSON"), ("ACME", "GPE"), ("rising", "MONEY"), ("!", "ORG")]
+    got = both(spark, same, terms.match_entities, table, "entities", "surface string, label string")
+    assert got["Acme Corp. and ACME corp; Acme-Corp"] == str({"ORG": ["Acme Corp"], "GPE": ["ACME"]})
+
+
+def test_lemmas_have_one_meaning(spark, same):
+    table = [("rising", "rise"), ("rising", "up"), ("prices;", "price")]
+    got = both(spark, same, lambda df, t, limit: terms.lemmatize(df, t, stopwords=[], limit=limit), table, "lemmatized_content", "token string, lemma string")
+    assert got["rising rising prices; b2b r&d"] == "rise rise price b2b r&d"
+
+
+def test_searches_have_one_meaning(spark, same):
+    docs = same.withColumns({"title": F.lit("Joint venture"), "description": F.lit(None).cast("string"), "query_idx": F.lit(0)})
+    queries = [("A", 0, ' "joint-venture" '), ("A", 1, '""r&d""'), ("B", 0, "Joint  Venture"), ("B", 1, '""'), ("B", 2, "absent")]
+    pick = lambda df: sorted((r.sector, r.query_idx, r.score, str(r.content)) for r in df.collect())
+    inline = pick(selection.search_articles(docs, queries))
+    assert inline == pick(selection.search_articles(docs, queries, limit=1))
+    table = spark.createDataFrame(queries, "sector string, query_idx int, query string")
+    assert inline == pick(selection.search_articles(docs, table, limit=1)) == pick(selection.search_articles(docs, table))
+    assert len([r for r in inline if r[:2] == ("A", 0)]) == 2 and len([r for r in inline if r[:2] == ("B", 0)]) == len(SAME)
+
+
+def test_categories_inline_equals_join(spark, docs):
+    assert rows(terms.match_categories(docs, T.TAXONOMY), "categories") == rows(terms.match_categories(docs, T.TAXONOMY, limit=0), "categories")
 
 
 def test_categories_match_exact_forms(spark):
@@ -42,10 +84,9 @@ def test_categories_match_exact_forms(spark):
     assert rows(terms.match_categories(df).withColumn("p", terms.primary_category("categories")), "p")[3] == ("other",)
 
 
-def test_entities_inline_equals_join(spark, docs, tiny_inline):
-    table = spark.createDataFrame(list(T.ENTITIES.items()), "surface string, label string")
+def test_entities_inline_equals_join(spark, docs):
     a = rows(terms.match_entities(docs, T.ENTITIES), "entities")
-    assert a == rows(terms.match_entities(docs, table, keys=KEYS), "entities")
+    assert a == rows(terms.match_entities(docs, T.ENTITIES, limit=0), "entities")
     assert any(v[0] for v in a.values())
 
 
@@ -56,11 +97,9 @@ def test_entities_keep_first_seen_order(spark):
     assert got == {"ORG": ["Acme", "Acme Corp"], "PERSON": ["Zed"], "GPE": ["Rome"]}
 
 
-def test_lemmas_inline_equals_join(spark, docs, tiny_inline):
+def test_lemmas_inline_equals_join(spark, docs):
     df = docs.withColumn("cleaned_content", X.clean_text("content"))
-    table = spark.createDataFrame(list(T.LEMMAS.items()), "token string, lemma string")
-    a = rows(terms.lemmatize(df, T.LEMMAS), "lemmatized_content")
-    assert a == rows(terms.lemmatize(df, table, keys=KEYS), "lemmatized_content")
+    assert rows(terms.lemmatize(df, T.LEMMAS), "lemmatized_content") == rows(terms.lemmatize(df, T.LEMMAS, limit=0), "lemmatized_content")
 
 
 def test_clean_articles_adds_fields_present(spark):
@@ -79,7 +118,7 @@ def phrase_model(text, stop, signals, extra=()):
             cur = []
         else:
             cur.append(t)
-    runs = [r for r in runs if len(r.split()) <= 4] + list(extra)
+    runs = list(runs) + list(extra)
     out = []
     for p, n in Counter(runs).items():
         at = text.lower().find(p)
@@ -168,20 +207,20 @@ def test_phrase_idf(spark):
 
 
 def test_mine_entities_counts_articles(spark):
-    df = spark.createDataFrame([(1, "Acme Corp and Acme Corp met Big Blue Co."), (2, "the Acme Corp rose")], "doc_id int, content string")
-    assert {r.surface: r.doc_count for r in terms.mine_entities(df, 1).collect()} == {"Acme Corp": 2, "Big Blue Co": 1}
+    df = spark.createDataFrame([(1, "Acme Corp and Acme Corp met Big Blue Co."), (2, "the Acme Corp rose, Intel fell")], "doc_id int, content string")
+    assert {r.surface: r.doc_count for r in terms.mine_entities(df, 1).collect()} == {"Acme Corp": 2, "Big Blue Co": 1, "Intel": 1}
     assert terms.mine_entities(df, 2).count() == 1
 
 
-def test_large_tables_give_the_same_insights(spark, docs, tiny_inline):
+def test_large_tables_give_the_same_insights(spark, docs):
     names = spark.createDataFrame(list(T.ENTITIES.items()), "surface string, label string")
     terms_table = spark.createDataFrame([(c, t, i) for i, (c, ts) in enumerate(T.TAXONOMY.items()) for t in ts], "category string, term string, ord int")
     inline = insights.extract_insights(docs, T.ENTITIES, T.TAXONOMY)
-    joined = insights.extract_insights(docs, names, terms_table, keys=KEYS)
+    joined = insights.extract_insights(docs, names, terms_table, limit=0)
     flat = lambda df: df.select("doc_id", F.to_json("insights.categories").alias("c"), F.to_json("insights.key_phrases").alias("k"), "insights.summary", "insights.relevance_score", F.to_json("insights.detailed_analysis").alias("d"))
     assert flat(inline).exceptAll(flat(joined)).count() == 0
     assert docs.count() == joined.count()
     for fn in (summaries.summarize, phrases.key_phrases):
-        a, b = fn(docs, entity_dict=T.ENTITIES), fn(docs, entity_dict=names, keys=KEYS)
+        a, b = fn(docs, entity_dict=T.ENTITIES), fn(docs, entity_dict=names, limit=0)
         out = (set(a.columns) - set(docs.columns)).pop()
         assert rows(a, out) == rows(b, out)

@@ -39,7 +39,7 @@ def test_top_per_sector_limits(spark):
 def test_request_limit_bounds(spark):
     rows = frame(spark, [("S", f"u{i}", 0, 0, i, "", "", "") for i in range(150)])
     assert selection.limit_per(rows, 3, floor=5).count() == 5
-    assert selection.limit_per(rows, 500).count() == 100
+    assert selection.limit_per(rows, 500, ceiling=100).count() == 100
 
 
 def test_expand_queries(spark):
@@ -56,7 +56,7 @@ def test_search_inline_equals_ngram_join(spark, docs):
     queries = [("A", 0, '"of the"'), ("A", 1, "orre"), ("B", 0, "of the"), ("B", 1, "de la"), ("C", 0, "absent phrase"), ("C", 1, "the")]
     inline = selection.search_articles(docs, queries)
     table = spark.createDataFrame(queries, "sector string, query_idx int, query string")
-    joined = selection._search_by_ngrams(docs.drop("sector", "query_idx"), table)
+    joined = selection.search_articles(docs, table, limit=1)
     pick = lambda df: sorted((r.doc_id, r.sector, r.query_idx, r.score) for r in df.select("doc_id", "sector", "query_idx", "score").collect())
     assert pick(inline) == pick(joined) and pick(inline)
 

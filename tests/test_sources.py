@@ -64,6 +64,10 @@ def test_archive_file_with_metadata(spark, tmp_path):
     row = archive.read_archive(spark, str(tmp_path)).collect()[0]
     assert row.meta.source == "newsapi" and row.authors == ["x"]
     assert row.archive_file.endswith("newsapi_20250626_101500.json")
+    more = spark.createDataFrame([("b", "v"), ("c", "w")], "title string, url string")
+    archive.write_archive(more, "gnews", str(tmp_path), now())
+    (tmp_path / "pretty.json").write_text(json.dumps([{"title": "d"}, {"title": "e"}], indent=1), encoding="utf-8")
+    assert sorted(r.title for r in archive.read_archive(spark, str(tmp_path)).collect()) == ["a", "b", "c", "d", "e"]
 
 
 def test_archive_sink_appends_and_skips_empty(spark, tmp_path):
@@ -150,5 +154,5 @@ def test_archive_plan(spark):
     by = {}
     for r in rows:
         by.setdefault(r.provider, []).append(r)
-    assert {k: len(v) for k, v in by.items()} == {"newsapi": 1, "sec_edgar": 20, "web_scraper": 1}
+    assert {k: len(v) for k, v in by.items()} == {"newsapi": 1, "sec_edgar": 30, "web_scraper": 1}
     assert by["newsapi"][0].content == "a much longer text than the stub"
