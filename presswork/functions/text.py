@@ -1,11 +1,13 @@
 """Text functions.  All are column expressions that run inside the JVM, row by row,
-without a shuffle; the one exception is the optional full entity decoder."""
+without a shuffle."""
 
 from __future__ import annotations
 
+import html
 import re
 import string
 from collections.abc import Iterable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,46 +24,41 @@ TAG_PATTERN = r"<[a-zA-Z/!?][^>]*>"
 HIDDEN_PATTERN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 LINE_OR_GAP = r"\R|[\x1c-\x1e]|  "
 
-# fixed values: entity names decoded natively (numeric references are computed)
-ENTITIES = {
-    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
-    "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "hellip": "…",
-    "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
-    "laquo": "«", "raquo": "»", "sect": "§", "para": "¶", "deg": "°", "plusmn": "±",
-    "times": "×", "divide": "÷", "frac12": "½", "cent": "¢", "pound": "£", "yen": "¥",
-    "euro": "€", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "uuml": "ü",
-    "ouml": "ö", "auml": "ä", "szlig": "ß", "ntilde": "ñ",
-}
-
-# fixed values: the names among them that also count without a semicolon
-OLD_ENTITIES = [
-    "amp", "lt", "gt", "quot", "nbsp", "copy", "reg", "middot", "laquo", "raquo", "sect", "para",
-    "deg", "plusmn", "times", "divide", "frac12", "cent", "pound", "yen", "eacute", "egrave",
-    "agrave", "ccedil", "uuml", "ouml", "auml", "szlig", "ntilde",
-]
+#: Names of character references, and those that also count without a semicolon: the
+#: standard's list, as the standard library has it.
+ENTITIES = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+OLD_ENTITIES = [k for k in html5 if not k.endswith(";")]
+
+#: What numbers of control characters stand for.
+CONTROLS = {str(n): html.unescape(f"&#{n};") for n in (*range(0x20), *range(0x7F, 0xA0))}
 
 
 # --------------------------------------------------------------------------- markup
 
 
-def _char(digits: Column) -> Column:
-    """Character of a hexadecimal code point; NULL for controls and surrogates."""
-    point = F.conv(digits, 16, 10).cast("int")
-    plain = point.between(0x20, 0x7E) | (
-        point.between(0xA0, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+def _char(digits: Column, base: int) -> Column:
+    """The character that a number stands for; NULL without digits."""
+    digits = F.when(digits != "", F.concat(F.lit("0"), F.ltrim(digits, F.lit("0"))))
+    point = F.conv(digits, base, 10).cast("int")
+    unknown = (F.length(digits) > 8) | (point > 0x10FFFF) | point.between(0xD800, 0xDFFF)
+    unused = point.between(0xFDD0, 0xFDEF) | ((point % 0x10000) >= 0xFFFE)
+    plain = F.decode(F.unhex(F.lpad(F.hex(point.cast("long")), 8, "0")), "UTF-32")
+    return (
+        F.when(unknown, F.lit("\ufffd"))
+        .when(unused, F.lit(""))
+        .otherwise(F.coalesce(F.try_element_at(small_map(CONTROLS), point.cast("string")), plain))
     )
-    return F.when(plain, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"))
 
 
 def _decode_piece(piece: Column) -> Column:
     """Decode what follows one ``&``: a number, a name, or an old name without semicolon."""
-    dec = F.regexp_extract(piece, r"^#([0-9]{1,7})(?![0-9])", 1)
-    hexa = F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]{1,6})(?![0-9a-fA-F])", 1)
+    dec = F.regexp_extract(piece, "^#([0-9]+)", 1)
+    hexa = F.regexp_extract(piece, "^#[xX]([0-9a-fA-F]+)", 1)
     name = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]{1,30});", 1)
     old = F.regexp_extract(piece, "^(" + "|".join(sorted(OLD_ENTITIES, key=len, reverse=True)) + ")", 1)
     named = small_map(ENTITIES)
     rest = lambda pattern: F.regexp_replace(piece, pattern, "")
-    number = F.when(dec != "", _char(F.conv(dec, 10, 16))).when(hexa != "", _char(hexa))
+    number = F.when(dec != "", _char(dec, 10)).when(hexa != "", _char(hexa, 16))
     return F.coalesce(
         F.when(
             piece.startswith("#"),

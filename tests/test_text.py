@@ -1,4 +1,5 @@
 import html
+from html.entities import html5
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -8,7 +9,6 @@ from pyspark.sql import functions as F
 from presswork import params
 from presswork.functions import core, fields
 from presswork.functions import text as X
-from presswork.functions.entities import decode_entities_full
 from presswork.operators import summaries
 
 PHRASES = ["all rights reserved", "licensed under"]
@@ -57,9 +57,11 @@ def test_decode_entities(spark):
     assert values(spark, cases, X.decode_entities) == [html.unescape(c) for c in cases]
 
 
-def test_full_entity_decoder(spark):
-    cases = ["&Aacute;&bigstar; &notit; &#150;", None, "plain"]
-    assert values(spark, cases, decode_entities_full) == [html.unescape(c) if c else c for c in cases]
+def test_every_character_reference(spark):
+    cases = [f"a &{name} b" for name in html5] + [f"&{name[:-1]}x;" for name in html5 if name.endswith(";")]
+    cases += [f"&#{n};" for n in (*range(0, 300), 0x2028, 0xD800, 0xDFFF, 0xFDD0, 0xFFFD, 0xFFFE, 0x1FFFF, 0x10FFFF, 0x110000, 10**9, 10**30)]
+    cases += ["&#x0;&#x80 &#X9F;&#xD800;&#x10FFFF;&#x110000;&#x00000041;", "&#0000065;", "&#;&#x;&#xg;", "&Aacute;&bigstar; &notit; &#150;"]
+    assert values(spark, cases, X.decode_entities) == [html.unescape(c) for c in cases]
 
 
 @pytest.mark.parametrize("page, want", [
