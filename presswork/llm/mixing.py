@@ -7,7 +7,8 @@ over the sources sorted by ``cap / weight``.
 
 A source whose target is ``e`` times its size repeats every document ``floor(e)`` times and
 draws the remaining fraction of its words without replacement, in the order of a seeded
-hash; the draw ends where the words drawn come nearest to the fraction.
+hash; the draw ends where the words drawn come nearest to the fraction, and one further
+document, the one whose size comes nearest to what is missing, closes the gap.
 
 Only (id, source, size) rows are shuffled.  The draw needs running sums within a source;
 these are taken within 4,096 hash ranges of each source, so a source with a third of all
@@ -116,8 +117,22 @@ def plan_mix(
     ).join(targets, F.col("source").eqNullSafe(F.col("of")))
     whole_times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     extra = F.col("target") - whole_times * F.col("source_size")
-    drawn = (F.col("part_from") + F.col("in_part")) * 2 + F.col("words") <= extra * 2
-    repeats = whole_times + F.when(drawn & (extra > 0) & (F.col("size") > 0), F.lit(1)).otherwise(F.lit(0))
+    drawn = ((F.col("part_from") + F.col("in_part")) * 2 + F.col("words") <= extra * 2) & (extra > 0) & (F.col("size") > 0)
+    rows = rows.select(
+        "id", "source", "size", "copies", "key", "words", "source_size", "target", whole_times.alias("times"), extra.alias("extra"), drawn.alias("drawn")
+    )
+    rows = written(rows, "mix-drawn")
+    gaps = rows.groupBy(F.col("source").alias("of")).agg(
+        (F.first("extra") - F.sum(F.when(F.col("drawn"), F.col("words")).otherwise(F.lit(0)))).alias("gap")
+    )
+    gaps = written(gaps, "mix-gaps")
+    own = F.col("source").eqNullSafe(F.col("of"))
+    off = F.abs(F.col("words") - F.col("gap"))
+    closing = rows.filter(~F.col("drawn") & (F.col("words") > 0)).join(gaps, own).filter(off < F.col("gap"))
+    closing = closing.groupBy(F.col("source").alias("of")).agg(F.min(F.struct(off.alias("off"), "key", "size")).alias("last"))
+    rows = rows.join(written(closing, "mix-closing"), own, "left")
+    closes = F.coalesce((F.col("key") == F.col("last.key")) & (F.col("size") == F.col("last.size")), F.lit(False))
+    repeats = F.col("times") + F.when(F.col("drawn") | closes, F.lit(1)).otherwise(F.lit(0))
     return rows.select("id", "source", "size", "copies", "source_size", "target", repeats.cast("long").alias("repeats"))
 
 

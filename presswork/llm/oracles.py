@@ -30,10 +30,19 @@ WITH d AS (
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
          CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS times
   FROM g JOIN t ON g.source IS NOT DISTINCT FROM t.source
-), p AS (
-  SELECT *, times + CASE WHEN size > 0 AND target > times * source_size
-    AND before * 2 + words <= (target - times * source_size) * 2 THEN 1 ELSE 0 END AS repeats
+), e AS (
+  SELECT *, target - times * source_size AS extra,
+    size > 0 AND target - times * source_size > 0 AND before * 2 + words <= (target - times * source_size) * 2 AS drawn
   FROM c
+), gap AS (
+  SELECT source, any_value(extra) - coalesce(sum(words) FILTER (drawn), 0)::BIGINT AS gap FROM e GROUP BY source
+), closing AS (
+  SELECT e.source, e.key, e.size, row_number() OVER (PARTITION BY e.source ORDER BY abs(words - gap), key, size) AS nth
+  FROM e JOIN gap ON e.source IS NOT DISTINCT FROM gap.source WHERE NOT drawn AND words > 0 AND abs(words - gap) < gap
+), p AS (
+  SELECT e.*, times + CASE WHEN drawn OR nth IS NOT NULL THEN 1 ELSE 0 END AS repeats
+  FROM e LEFT JOIN (FROM closing WHERE nth = 1) o
+    ON e.source IS NOT DISTINCT FROM o.source AND e.key = o.key AND e.size = o.size
 )
 SELECT doc_id, size, source_size, target, (size * repeats)::BIGINT AS taken
 FROM p, LATERAL (SELECT unnest(range(copies)))
