@@ -78,8 +78,12 @@ def with_sector_meta(df: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def default_sector_meta(spark) -> DataFrame:
-    rows = [(s, icon, blurb) for s, (icon, blurb) in params.SECTOR_META.items()]
-    return spark.createDataFrame(rows, "sector string, icon string, description string")
+    # literals, so that the optimizer knows how small the table is
+    rows = [
+        F.struct(F.lit(s).alias("sector"), F.lit(icon).alias("icon"), F.lit(blurb).alias("description"))
+        for s, (icon, blurb) in params.SECTOR_META.items()
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def default_sector_queries(spark) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions import text as X
+from ..session import written
 from ..functions.core import text_or_empty
 from .numbering import number_within
 from .selection import first_per
@@ -23,7 +24,9 @@ def _earliest(order: list[str]) -> Column:
 def by_sector(df: DataFrame, order: list[str] = DECK_ORDER) -> DataFrame:
     """Default the sector and add ``sector_ord``: the rank of sectors by first article.
 
-    Only one minimum per sector and task is shuffled; articles stay where they are.
+    Only one minimum per sector and task is shuffled; the table of sectors is written, so its
+    exact size decides how it is joined, and below the broadcast threshold articles stay
+    where they are.
     """
     df = df.withColumn("sector", F.coalesce("sector", F.lit("General")))
     firsts = df.groupBy("sector").agg(_earliest(order).alias("_first"))
@@ -31,7 +34,7 @@ def by_sector(df: DataFrame, order: list[str] = DECK_ORDER) -> DataFrame:
     ranked = firsts.select(
         "sector", F.row_number().over(W.orderBy("_first", "sector")).cast("long").alias("sector_ord")
     )
-    return df.join(ranked, "sector")
+    return df.join(written(ranked, "sectors"), "sector")
 
 
 def deck_layout(
@@ -51,7 +54,7 @@ def deck_layout(
         numbered = number_within(df, "sector", order, "_no")
     else:
         numbered = df.withColumn("_no", F.col(number).cast("long"))
-    numbered = numbered.join(sectors.select("sector", "section_slide"), "sector")
+    numbered = numbered.join(written(sectors.select("sector", "section_slide"), "sectors"), "sector")
     idx = F.col("_no") - 1
     slot = (idx % per_slide).cast("int")
     boxes = F.array(

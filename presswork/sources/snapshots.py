@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..session import written
 from ..functions.fields import published_ts, source_name
 
 
@@ -86,13 +87,13 @@ def read_snapshot_table(spark: SparkSession, path: str) -> DataFrame:
 def latest_snapshot(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Rows of each sector's most recent snapshot, or of the one dated ``as_of``.
 
-    The maximum is pre-aggregated per task and the few (sector, time) pairs are joined
-    back; article rows are not moved for it.
+    The maximum is pre-aggregated per task and the few (sector, time) pairs are written, so
+    their exact size decides the join: below the broadcast threshold no article row moves.
     """
     if as_of is not None:
         return df.filter(F.to_date("snapshot_ts") == F.to_date(as_of))
     newest = df.groupBy("sector").agg(F.max("snapshot_ts").alias("snapshot_ts"))
-    return df.join(newest, ["sector", "snapshot_ts"], "left_semi")
+    return df.join(written(newest, "newest"), ["sector", "snapshot_ts"], "left_semi")
 
 
 def fresh(df: DataFrame, as_of: Column, ttl_seconds: int) -> DataFrame:

@@ -32,11 +32,23 @@ def test_groups_are_limited_before_the_shuffle(spark, name):
     assert re.search(r"WindowGroupLimit .*Partial", text)
 
 
-@pytest.mark.parametrize("name", ["phrase_idf", "term_frequencies", "category_counts", "sector_stats", "mine_entities", "latest_snapshot"])
+@pytest.mark.parametrize("name", ["phrase_idf", "term_frequencies", "category_counts", "sector_stats", "mine_entities"])
 def test_aggregations_combine_per_task(spark, name):
     assert "partial_" in plan(spark, name)
 
 
+@pytest.mark.parametrize("name", ["by_sector", "latest_snapshot", "sector_meta"])
+def test_articles_stay_where_they_are(spark, name):
+    """Tables of sectors are known to be small, however low the threshold."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        text = plan(spark, name)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in text and "hashpartitioning(sector" not in text
+
+
 @pytest.mark.parametrize("name", ["search_articles", "backfill_content", "exclude_used", "category_bars", "by_sector", "deck_outline", "fill_slots", "phrase_idf", "sector_meta", "sector_stats", "expand_queries", "preview"])
 def test_no_cross_joins_and_no_python(spark, name):
     text = plan(spark, name)
