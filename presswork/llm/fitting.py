@@ -27,15 +27,15 @@ def sample_ids(labels: DataFrame, id_col: str, label_col: str, use: Column | Non
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, use: Column | None, max_rows: int
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, use: Column | None, max_rows: int, max_chars: int
 ) -> list[tuple[str, int]]:
-    """At most ``max_rows`` pairs (text, label).
+    """At most ``max_rows`` pairs (text, label), of texts with at most ``max_chars`` characters.
 
     The ids are bounded in number, hence broadcast, and only the texts that they name leave
-    the scan.
+    the scan; longer ones are left out of the sample, so that its size is bounded.
     """
     got = (
-        docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+        docs.filter(F.coalesce(F.length(text_col), F.lit(0)) <= max_chars).select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
         .join(F.broadcast(sample_ids(labels, id_col, label_col, use, max_rows)), F.col("_doc") == F.col("_id"))
         .groupBy("_order", "_id", "_y")
         .agg(F.min("_text").alias("_text"))

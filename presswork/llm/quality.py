@@ -6,7 +6,7 @@ labelled texts that took no part in the dictionaries, of the difference of both
 the size without a dictionary, of that size over the length, and of the length.
 
 The model is fitted on at most ``max_rows`` labelled rows, taken in the order of a hash of
-the id.  Every text is scored whole.
+the id, less those with very long texts.  Every text is scored whole.
 
 Defined cases: null and empty texts get the score of neutral features; labels that are null
 are not used; several labels of one id count as their largest; with no labels of either
@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from .fitting import labelled_sample, logistic_fit
 
-#: Labelled rows used for fitting, and bytes of text in one dictionary.
-MAX_ROWS = 6_000
+#: Labelled rows used for fitting and the longest text among them; bytes of a dictionary.
+MAX_ROWS, MAX_CHARS = 6_000, 32_768
 DICT_BYTES = 64 << 10
 SAMPLE_BYTES = 2048
 LEVEL = 3
@@ -85,10 +85,11 @@ def fit(
     label_col: str = "quality",
     use: Column | None = None,
     max_rows: int = MAX_ROWS,
+    max_chars: int = MAX_CHARS,
     dict_bytes: int = DICT_BYTES,
 ) -> Model:
     """Dictionaries from one half of the sampled texts, calibration on the other half."""
-    rows = labelled_sample(docs, labels, id_col, text_col, label_col, use, max_rows)
+    rows = labelled_sample(docs, labels, id_col, text_col, label_col, use, max_rows, max_chars)
     texts = {(half, y): [] for half in (0, 1) for y in (0, 1)}
     for i, (text, y) in enumerate(rows):
         texts[i % 2, y].append((text or "").encode("utf-8", "replace"))
