@@ -629,7 +629,7 @@ def archive_roundtrip(spark, sf):
     rows = articles(spark, sf).select("title", "url", F.col("source_name").alias("source"), F.col("published_raw").alias("published_at"), "description", "provider")
     for name in ("newsapi", "gnews"):
         archive.write_archive(rows.filter(F.col("provider") == name).drop("provider"), name, path, day("2024-06-01"))
-    back = archive.read_archive_lines(spark, path)
+    back = archive.read_archive(spark, path)
     return back.select("title", "url", "source", "published_at", F.col("meta.source").alias("provider"), "meta.fetched_at", "meta.version")
 
 

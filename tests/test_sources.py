@@ -3,8 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from presswork import schema
 from presswork.plans import archive as archive_plan
-from presswork.sources import archive, digest, pages, providers, snapshots
+from presswork.plans.build_digest import build_digest
+from presswork.sources import archive, articles, digest, pages, providers, snapshots
 
 def now():
     return F.lit("2025-07-01 08:00:00").cast("timestamp")
@@ -156,3 +158,19 @@ def test_archive_plan(spark):
         by.setdefault(r.provider, []).append(r)
     assert {k: len(v) for k, v in by.items()} == {"newsapi": 1, "sec_edgar": 30, "web_scraper": 1}
     assert by["newsapi"][0].content == "a much longer text than the stub"
+
+
+def test_landed_rows_feed_the_digest(spark, folder, tmp_path):
+    rows = articles.to_articles(snapshots.read_snapshots(spark, folder), provider="newsapi")
+    assert rows.columns == schema.ARTICLE_COLUMNS
+    made = build_digest(rows, n=5).collect()
+    assert {r.url for r in made} <= {r.url for r in rows.collect()} and made
+    body = json.dumps({"status": "ok", "articles": [{"title": "t", "url": "http://x/p", "content": "First one here. Second one here. Third one here.", "source": {"name": "S"}}]})
+    raw = spark.createDataFrame([(1, body)], "request_id long, body string")
+    landed = providers.normalize_newsapi(providers.read_provider_responses(raw, "newsapi"), now())
+    # no search, provider or position is known: identities are all NULL
+    bare = articles.to_articles(landed, sector="S", query_idx=F.lit(None), provider_idx=F.lit(None), provider_rank=F.lit(None))
+    assert [(r.sector, r.url, r.accepted) for r in build_digest(bare).collect()] == [("S", "http://x/p", True)]
+    archive.write_archive(landed.withColumnRenamed("source_name", "source"), "newsapi", str(tmp_path / "a"), now())
+    back = articles.to_articles(archive.read_archive(spark, str(tmp_path / "a")), sector="S").first()
+    assert (back.title, back.source_name, back.content, back.lang) == ("t", "S", "First one here. Second one here. Third one here.", "en")
