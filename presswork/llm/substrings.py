@@ -9,13 +9,15 @@ over it also starts in a document with a smaller id; windows are judged on the i
     runs, so the estimate never falls below the window's own count, with a fraction of the
     insertions.
 2.  Only windows estimated to be in two documents are grouped, exactly, by their hash (96
-    bits), for the smallest id that has them.
+    bits): they are sorted by hash and id, and whatever follows the smallest id goes.
+    Windows that the sketch holds for frequent in many tasks are dealt out by hash and salt;
+    the smallest ids of their salts meet in a second, small grouping.
 3.  Windows with a smaller id elsewhere go back to their documents, one array each.
 
-The sketch has a fixed size (two rows of 2^27 one-bit answers, 32 MB), so it may be shared
-with every task.  Beyond some hundred million distinct fingerprints it lets more windows
-through to the exact step, never fewer.  Frequent windows are combined per task before they
-meet, and joined with adaptive splitting of the frequent ones.
+The sketch has a fixed size (two rows of 2^27 one-bit answers and one of frequent slots,
+48 MB), so it may be shared with every task.  Beyond some hundred million distinct
+fingerprints it lets more windows through to the exact step, never fewer.  A group without
+salt has no more rows than a few tasks hold, and is read as a stream.
 
 Defined cases: null text has no words; documents without id neither lose words nor make
 others lose any; rows with one id are one document; an empty table gives an empty result.
@@ -31,13 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from presswork.session import written
+
 from . import words as W
 
 LENGTH, GRAM = 13, 8
 #: Slots in one row of the sketch, and slots in one block of it, as powers of two.
 SLOTS_LOG2, BLOCK_LOG2, ROWS = 27, 16, 2
-#: Fingerprints that a task gathers before it hands on what it has.
-FLUSH = 2_000_000
+#: Fingerprints that a task gathers before it hands on what it has, and the most that it
+#: counts for one slot; slots with ``FREQUENT`` or more in all are salted.
+FLUSH, MOST, FREQUENT, SALTS = 2_000_000, 8, 32, 64
 
 _U = np.uint64
 
@@ -55,7 +60,7 @@ def _slot(fp: np.ndarray, row: int, slots: int) -> np.ndarray:
 
 
 def sketch(texts: DataFrame, length: int, gram: int, slots: int = SLOTS_LOG2) -> np.ndarray:
-    """For each row of the sketch, a bitmap of the slots counted twice or more."""
+    """For each row of the sketch a bitmap of the slots counted twice or more; last, of frequent ones."""
     block_bits = min(BLOCK_LOG2, slots)
     size = 1 << block_bits
 
@@ -68,7 +73,7 @@ def sketch(texts: DataFrame, length: int, gram: int, slots: int = SLOTS_LOG2) ->
             blocks, payloads = [], []
             for row in range(ROWS):
                 slot, times = np.unique(_slot(fps, row, slots), return_counts=True)
-                slot = np.repeat(slot, np.minimum(times, 2)).astype(np.int64)
+                slot = np.repeat(slot, np.minimum(times, MOST)).astype(np.int64)
                 at = np.searchsorted(slot, np.arange(0, (1 << slots) + 1, size))
                 low = (slot & (size - 1)).astype(np.uint16)
                 for b in np.flatnonzero(np.diff(at)):
@@ -104,15 +109,18 @@ def sketch(texts: DataFrame, length: int, gram: int, slots: int = SLOTS_LOG2) ->
             for block, payload in zip(b.column("block").to_pylist(), b.column("slots")):
                 have = counts.setdefault(block, np.zeros(size, np.uint8))
                 more = np.bincount(np.frombuffer(payload.as_buffer(), np.uint16), minlength=size)
-                np.minimum(have + np.minimum(more, 2), 2, out=have, casting="unsafe")
+                np.minimum(have + more, 255, out=have, casting="unsafe")
         keys = list(counts)
         if keys:
-            bits = [np.packbits(counts[k] >= 2, bitorder="little").tobytes() for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bits, pa.binary())], ["block", "slots"])
+            for least, row in ((2, None), (FREQUENT, ROWS)):
+                of = [k for k in keys if row is None or k >> 32 == 0]
+                bits = [np.packbits(counts[k] >= least, bitorder="little").tobytes() for k in of]
+                of = [k if row is None else (row << 32) + k for k in of]
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(bits, pa.binary())], ["block", "slots"])
 
     schema = "block long, slots binary"
     merged = texts.mapInArrow(count, schema).repartition("block").mapInArrow(merge, schema)
-    bitmap = np.zeros((ROWS, 1 << (slots - 3)), np.uint8)
+    bitmap = np.zeros((ROWS + 1, 1 << (slots - 3)), np.uint8)
     for r in merged.toLocalIterator():
         row, b = r["block"] >> 32, r["block"] & 0xFFFFFFFF
         bitmap[row, b * size // 8 : (b + 1) * size // 8] = np.frombuffer(r["slots"], np.uint8)
@@ -128,13 +136,13 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram:
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
+        marked = lambda row, slot: (bitmap[row][slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
         for b in W.chunks(batches, "text"):
             w = W.split(b.column("text"), W.NON_SPACE)
             ok = W.whole(w, length)
             fp = _fingerprints(w, length, gram)
             for row in range(ROWS):
-                slot = _slot(fp, row, slots).astype(np.int64)
-                ok &= (bitmap[row][slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                ok &= marked(row, _slot(fp, row, slots).astype(np.int64))
             at = np.flatnonzero(ok)
             if not len(at):
                 continue
@@ -143,19 +151,52 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram:
             h, owner, fp = h[order], owner[order], fp[at][order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-            h, owner, more = h[new], owner[new], (W.mix(fp[new] + h[new]) >> _U(32)).astype(np.uint32)
+            h, owner, fp = h[new], owner[new], fp[new]
+            more = (W.mix(fp + h) >> _U(32)).astype(np.uint32).view(np.int32)
+            salt = np.where(marked(ROWS, _slot(fp, 0, slots).astype(np.int64)), b.column("salt").to_numpy()[owner], 0)
             ids = b.column("id").take(pa.array(owner))
             for k in range(0, len(h), 100_000):
+                part = slice(k, k + 100_000)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(k, 100_000), pa.array(h[part].view(np.int64)), pa.array(more[part]), pa.array(salt[part], pa.int8())],
+                    ["id", "hash", "more", "salt"],
+                )
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by window, salt and id: those after the smallest id, and salted smallest ones."""
+        last, first = None, None
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            h, more, salt = (b.column(c).to_numpy() for c in ("hash", "more", "salt"))
+            ids = b.column("id").to_numpy(zero_copy_only=False)
+            new = np.ones(n, bool)
+            new[1:] = (h[1:] != h[:-1]) | (more[1:] != more[:-1]) | (salt[1:] != salt[:-1])
+            new[0] = (h[0], more[0], salt[0]) != last
+            of = np.cumsum(new)
+            firsts = ids[np.concatenate([[0], np.flatnonzero(new)])]
+            if not new[0]:
+                firsts[0] = first
+            gone = ids != firsts[of]
+            last, first = (h[-1], more[-1], salt[-1]), firsts[of[-1]]
+            at = np.flatnonzero(gone | (new & (salt > 0)))
+            if len(at):
+                take = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(k, 100_000), pa.array(h[k : k + 100_000].view(np.int64)), pa.array(more[k : k + 100_000].view(np.int32))],
-                    ["id", "hash", "more"],
+                    [*(b.column(c).take(take) for c in ("id", "hash", "more")), pa.array(~gone[at])], ["id", "hash", "more", "lead"]
                 )
 
-    kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("hash", T.LongType()), T.StructField("more", T.IntegerType())])
-    picked = rows.mapInArrow(pick, schema)
-    firsts = picked.groupBy("hash", "more").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    return picked.join(firsts, ["hash", "more"]).filter("id > first").select("id", "hash")
+    own = T.StructField("id", docs.schema[id_col].dataType)
+    window = [T.StructField("hash", T.LongType()), T.StructField("more", T.IntegerType())]
+    salted = rows.withColumn("salt", (F.pmod(F.xxhash64("id"), F.lit(SALTS)) + 1).cast("byte"))
+    picked = salted.mapInArrow(pick, T.StructType([own, *window, T.StructField("salt", T.ByteType())]))
+    dealt = picked.repartition("hash", "more", "salt").sortWithinPartitions("hash", "more", "salt", "id")
+    found = written(dealt.mapInArrow(follow, T.StructType([own, *window, T.StructField("lead", T.BooleanType())])), "repeats")
+    leads = found.filter("lead").drop("lead")
+    firsts = leads.groupBy("hash", "more").agg(F.min("id").alias("first"))
+    later = leads.join(firsts, ["hash", "more"]).filter("id > first")
+    return found.filter("not lead").select("id", "hash").unionAll(later.select("id", "hash"))
 
 
 def remove_repeats(
