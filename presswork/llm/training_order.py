@@ -1,10 +1,11 @@
 """Token ids as fixed-stride binary shards in training order.
 
 Every document becomes the token ids of its text and an end mark, cut into sequences of
-``length`` ids, the last one filled up with end marks.  Sequences are numbered by document,
-in an order that depends on nothing but the documents, and a keyed Feistel permutation with
-cycle-walking turns the number into the global slot.  The same documents and key give the
-same shards on any cluster.
+``length`` ids, the last one filled up with end marks.  Token ids are written once, in the
+order of the input; the place of a sequence in that table is its number, and a keyed Feistel
+permutation with cycle-walking turns the number into the global slot.  Retries and lost
+executors read the same table, hence give the same slots; a rerun over the same files and
+splits gives the same shards, and another layout another, equally uniform order.
 
 Slots are dense, so the range that a sequence belongs to is plain arithmetic: the exchange
 deals out ranges of whole shards without sampling, each is sorted by slot, and one row per
@@ -12,11 +13,10 @@ shard holds the ids as little-endian 16-bit numbers, ``length * 2`` bytes per se
 Sequence ``s`` is in shard ``s // per_shard`` at the offset ``s % per_shard`` strides, so a
 reader starts anywhere and resumes by slot.
 
-The numbering needs token counts before slots are known; texts are tokenized twice rather
-than written out and moved once more.  Only texts and finished sequences are shuffled.
+Texts are read once and not shuffled; sequences are shuffled once, compressed.
 
 Defined cases: null text counts as empty, an empty text is one sequence of end marks; rows
-alike in id and text get sequences each; null ids are numbered like others; an empty table
+alike in everything get sequences each; null ids are numbered like others; an empty table
 has no shards.
 """
 
@@ -27,11 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from presswork.session import written
+from presswork.session import scratch_path
 
 from .words import chunks, mix
 
@@ -94,49 +96,50 @@ def training_shards(
     ``doc_ids`` and ``n_tokens`` have the document and the ids before filling up of each
     sequence, in slot order.
     """
-    model = tokenizer(vocabulary)
+    model, spark = tokenizer(vocabulary), docs.sparkSession
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("id", F.md5("text").alias("digest"), "text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, place = TaskContext.get().partitionId(), 0
         for b in chunks(batches, "text"):
-            n = [-(-len(x) // length) for x in _encode(model, b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("digest"), pa.array(n, pa.int64())], ["id", "digest", "n"])
-
-    counted = rows.mapInArrow(count, T.StructType([T.StructField("id", kind), T.StructField("digest", T.StringType()), T.StructField("n", T.LongType())]))
-    counted = counted.groupBy("id", "digest").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    counted = counted.withColumn("place", F.md5(F.concat_ws("|", F.col("id").cast("string"), "digest")))
-    counted = counted.withColumn("part", F.conv(F.substring("place", 1, 3), 16, 10).cast("int"))
-    counted = written(counted, "sequence-counts")
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    parts = counted.groupBy("part").agg(F.sum(F.col("n") * F.col("copies")).alias("all"))  # 4,096 rows at most
+            ids = list(_encode(model, b.column("text")))
+            n = np.array([-(-len(x) // length) for x in ids], np.int64)
+            places = place + np.cumsum(n) - n
+            place += int(n.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(n), part), pa.int32()), pa.array(places), pa.array(n), b.column("id"), pa.array([x.tobytes() for x in ids], pa.binary())],
+                ["part", "place", "n", "id", "ids"],
+            )
+
+    own = T.StructField("id", kind)
+    longs = [T.StructField("place", T.LongType()), T.StructField("n", T.LongType())]
+    path = scratch_path(spark, "token-ids")
+    tokens = rows.mapInArrow(encode, T.StructType([T.StructField("part", T.IntegerType()), *longs, own, T.StructField("ids", T.BinaryType())]))
+    tokens.write.option("compression", "zstd").parquet(path)
+    tokens = spark.read.schema(tokens.schema).parquet(path)
+    parts = tokens.groupBy("part").agg(F.sum("n").alias("all"))  # one row per task that wrote
     total = parts.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("n")).first()["n"]
-    parts = parts.select("part", F.coalesce(F.sum("all").over(before(Window.partitionBy(F.lit(0)).orderBy("part"))), F.lit(0)).alias("base"))
-    inner = F.coalesce(F.sum(F.col("n") * F.col("copies")).over(before(Window.partitionBy("part").orderBy("place"))), F.lit(0))
-    starts = counted.withColumn("inner", inner).join(F.broadcast(parts), "part").select(
-        F.col("id").alias("of"), F.col("digest").alias("of_digest"), "copies", (F.col("base") + F.col("inner")).alias("start")
-    )
-    texts = rows.groupBy("id", "digest").agg(F.first("text").alias("text"))
-    texts = texts.join(starts, F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest"))).select("id", "text", "copies", "start")
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
+    tokens = tokens.join(F.broadcast(parts), "part").select("id", (F.col("base") + F.col("place")).alias("start"), "ids")
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text"):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
             at, starts, sizes, out = [], [], [], []
-            for i, (ids, copies, start) in enumerate(zip(_encode(model, b.column("text")), b.column("copies").to_pylist(), b.column("start").to_pylist())):
+            for i, (raw, start) in enumerate(zip(b.column("ids").to_pylist(), b.column("start").to_pylist())):
+                ids = np.frombuffer(raw, "<u2")
                 n = -(-len(ids) // length)
                 filled = np.full(n * length, END, "<u2")
                 filled[: len(ids)] = ids
-                lines = [x.tobytes() for x in filled.reshape(n, length)]
-                left = [min(length, len(ids) - k * length) for k in range(n)]
-                for c in range(copies):
-                    at += [i] * n
-                    starts.append(np.arange(start + c * n, start + (c + 1) * n))
-                    sizes += left
-                    out += lines
-                    if len(out) >= 4096:
-                        yield packed(b, at, starts, sizes, out)
-                        at, starts, sizes, out = [], [], [], []
+                at += [i] * n
+                starts.append(np.arange(start, start + n))
+                sizes += [min(length, len(ids) - k * length) for k in range(n)]
+                out += [squeeze(x.tobytes()) for x in filled.reshape(n, length)]
+                if len(out) >= 4096:
+                    yield packed(b, at, starts, sizes, out)
+                    at, starts, sizes, out = [], [], [], []
             if out:
                 yield packed(b, at, starts, sizes, out)
 
@@ -147,22 +150,22 @@ def training_shards(
             ["slot", "id", "n_tokens", "ids"],
         )
 
-    fields = T.StructType([T.StructField("slot", T.LongType()), T.StructField("id", kind), T.StructField("n_tokens", T.IntegerType()), T.StructField("ids", T.BinaryType())])
+    fields = T.StructType([T.StructField("slot", T.LongType()), own, T.StructField("n_tokens", T.IntegerType()), T.StructField("ids", T.BinaryType())])
     n_shards = -(-total // per_shard)
     per_task = max(SHARDS_PER_TASK, -(-n_shards // MOST_TASKS))
     ordered = (
-        texts.mapInArrow(sequences, fields)
+        tokens.mapInArrow(sequences, fields)
         .repartitionById(max(1, -(-n_shards // per_task)), F.floor(F.col("slot") / (per_shard * per_task)).cast("int"))
         .sortWithinPartitions("slot")
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        shard = None
+        shard, restore = None, zstandard.ZstdDecompressor().decompress
 
         def row() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
-            payload = b"".join(t.column("ids").to_pylist())
+            payload = b"".join(map(restore, t.column("ids").to_pylist()))
             lists = [pa.array([t.column(c).to_pylist()], pa.list_(t.schema.field(c).type)) for c in ("id", "n_tokens")]
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int64()), pa.array([shard * per_shard], pa.int64()), pa.array([t.num_rows], pa.int32()), pa.array([payload], pa.binary()), *lists],

