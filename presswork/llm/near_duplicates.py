@@ -17,7 +17,8 @@ pairs of 0.85 with a safe margin are, the cluster has both.
 Verification.  Clusters are dealt out as pairs of blocks of bounded size, with full sets.
 A task walks from the set with most company downwards, finds its exact links to all others
 by counting common shingles, and goes on until every set outside of the largest component
-has been compared with all; links within a component need no further look.  Only a
+has been compared with all; links within a component need no further look.  When another
+component becomes the largest, the sets passed over so far have their turn again.  Only a
 spanning set of links leaves the task.  No step lists all pairs of a group.
 
 Defined cases: null, empty and blank texts have empty sets and are linked with nothing;
@@ -217,10 +218,14 @@ def _verify(vid: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[
     root, links = np.arange(n), []
     distinct = elements[first]
     percent = round(similarity * 100)
-    for k in np.lexsort((vid, -company)):
+    todo = np.lexsort((vid, -company))
+    while len(todo):
         members = np.bincount(root, minlength=n)
-        if members[root[k]] == members.max() and members.max() > 1 and root[k] == members.argmax():
-            continue  # whoever is outside of the largest component looks at it
+        largest = members.argmax() if members.max() > 1 else -1
+        outside = np.flatnonzero(root[todo] != largest)
+        if not len(outside):
+            break  # only sets of one component were not looked at, and all others were compared with them
+        k, todo = todo[outside[0]], np.delete(todo, outside[0])
         at = np.searchsorted(distinct, sets[k])
         where = np.repeat(first[at], times[at]) + _steps(times[at])
         common = np.bincount(owner[where], minlength=n)

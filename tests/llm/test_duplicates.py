@@ -98,6 +98,55 @@ def test_near_duplicates_in_small_blocks(odd, monkeypatch):
     assert result_near(near_duplicates.near_duplicates(odd)) == brute_near(odd_texts())
 
 
+def same_components(vid, sets, links, similarity=0.85):
+    """Whether ``links`` join just the sets that true links join."""
+    n, percent = len(sets), round(similarity * 100)
+    full = [set(s.tolist()) for s in sets]
+    want = roots(n, [(a, b) for a in range(n) for b in range(a) if 100 * len(full[a] & full[b]) >= percent * len(full[a] | full[b])])
+    at = {int(v): i for i, v in enumerate(vid)}
+    got = roots(n, [(at[a], at[b]) for a, b in links])
+    return all((got[a] == got[b]) == (want[a] == want[b]) for a in range(n) for b in range(a))
+
+
+def test_verify_when_the_largest_component_changes():
+    """k0-k-j-k1 with company in the order k0, k, k1, j: k and then j lie in the component that is largest."""
+    fresh = iter(range(10**6))
+    take = lambda count: [next(fresh) for _ in range(count)]
+
+    def changed(elements, part):
+        out = list(elements)
+        out[6 * part : 6 * part + 6] = take(6)
+        return out
+
+    k0 = take(100)
+    k = changed(k0, 0)
+    j = changed(k, 1)
+    k1 = changed(j, 2)
+    sets = [k0, k, k1, j, changed(k0, 3), changed(k1, 4), changed(k1, 5)]
+    part = lambda of, p: of[6 * p : 6 * p + 6]
+    for elements, times in ((part(k0, 0), 4), (part(k0, 1), 8), (part(k1, 2), 4), (k0[18:36], 40)):
+        sets += [elements + take(120) for _ in range(times)]
+    sets = [np.array(sorted(s), np.uint64) for s in sets]
+    vid = np.arange(len(sets)) + 50
+    assert same_components(vid, sets, near_duplicates._verify(vid, sets, 0.85))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_verify_equals_brute_force(seed):
+    """Trees of sets with a few elements changed, among sets that only give company."""
+    rng = random.Random(seed)
+    sets = [[rng.randrange(10**9) for _ in range(60)]]
+    for _ in range(40):
+        s = list(rng.choice(sets))
+        for i in rng.sample(range(60), rng.choice([2, 4, 4, 5, 8])):
+            s[i] = rng.randrange(10**9)
+        sets.append(s)
+    sets += [rng.sample(rng.choice(sets), 35) + [rng.randrange(10**9) for _ in range(20)] for _ in range(60)]
+    sets = [np.unique(np.array(s, np.uint64)) for s in sets]
+    vid = np.array(rng.sample(range(1000), len(sets)))
+    assert same_components(vid, sets, near_duplicates._verify(vid, sets, 0.85))
+
+
 def test_estimates_follow_the_similarity():
     rng = np.random.default_rng(2)
     for j in (0.3, 0.6, 0.85, 0.95):
