@@ -13,9 +13,11 @@ def held_out(id_col: Column) -> Column:
 
 
 def sample_ids(labels: DataFrame, id_col: str, label_col: str, use: Column | None, max_rows: int) -> DataFrame:
-    """At most ``max_rows`` rows (_id, _y, _order), in the order of a hash of the id.
+    """At most ``max_rows`` rows (_id, _y, _order, _weight), in the order of a hash of the id.
 
     Half of the rows at most come from each label, so that a rare label is well represented.
+    ``_weight`` is the number of usable labels of the kind that each row stands for, 1 where
+    all are taken: with it the shares of the labels are those of the whole table.
     """
     rows = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if use is not None:
@@ -23,13 +25,14 @@ def sample_ids(labels: DataFrame, id_col: str, label_col: str, use: Column | Non
     rows = rows.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     rows = rows.withColumn("_order", F.xxhash64("_id"))
     half = [rows.filter(F.col("_y") == y).orderBy("_order", "_id").limit(max_rows // 2) for y in (0, 1)]
-    return half[0].unionAll(half[1])
+    weights = rows.groupBy("_y").agg((F.count(F.lit(1)) / F.least(F.count(F.lit(1)), F.lit(max_rows // 2))).alias("_weight"))
+    return half[0].unionAll(half[1]).join(F.broadcast(weights), "_y").select("_id", "_y", "_order", "_weight")
 
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, use: Column | None, max_rows: int, max_chars: int
-) -> list[tuple[str, int]]:
-    """At most ``max_rows`` pairs (text, label), of texts with at most ``max_chars`` characters.
+) -> list[tuple[str, int, float]]:
+    """At most ``max_rows`` triples (text, label, weight), of texts with at most ``max_chars`` characters.
 
     The ids are bounded in number, hence broadcast, and only the texts that they name leave
     the scan; longer ones are left out of the sample, so that its size is bounded.
@@ -37,23 +40,28 @@ def labelled_sample(
     got = (
         docs.filter(F.coalesce(F.length(text_col), F.lit(0)) <= max_chars).select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
         .join(F.broadcast(sample_ids(labels, id_col, label_col, use, max_rows)), F.col("_doc") == F.col("_id"))
-        .groupBy("_order", "_id", "_y")
+        .groupBy("_order", "_id", "_y", "_weight")
         .agg(F.min("_text").alias("_text"))
         .collect()
     )
-    return [(r["_text"], r["_y"]) for r in sorted(got, key=lambda r: (r["_order"], r["_id"]))]
+    return [(r["_text"], r["_y"], r["_weight"]) for r in sorted(got, key=lambda r: (r["_order"], r["_id"]))]
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60) -> list[float]:
-    """Weights of a logistic model by Newton steps; the last one is the constant."""
-    middle, spread = x.mean(0), x.std(0) + 1e-9
+def logistic_fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60, weight: np.ndarray | None = None) -> list[float]:
+    """Weights of a logistic model by Newton steps; the last one is the constant.
+
+    ``weight`` is the number of rows that each row stands for.
+    """
+    of = np.ones(len(x)) if weight is None else np.asarray(weight, float)
+    middle = np.average(x, axis=0, weights=of)
+    spread = np.sqrt(np.average((x - middle) ** 2, axis=0, weights=of)) + 1e-9
     x = np.column_stack([(x - middle) / spread, np.ones(len(x))])
     w = np.zeros(x.shape[1])
-    pull = np.full(x.shape[1], l2 * len(x))
-    pull[-1] = 1e-9 * len(x)
+    pull = np.full(x.shape[1], l2 * of.sum())
+    pull[-1] = 1e-9 * of.sum()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull + 1e-9), x.T @ (p - y) + pull * w)
+        step = np.linalg.solve((x * (of * p * (1 - p))[:, None]).T @ x + np.diag(pull + 1e-9), x.T @ (of * (p - y)) + pull * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break

@@ -6,7 +6,9 @@ labelled texts that took no part in the dictionaries, of the difference of both
 the size without a dictionary, of that size over the length, and of the length.
 
 The model is fitted on at most ``max_rows`` labelled rows, taken in the order of a hash of
-the id, less those with very long texts.  Every text is scored whole.
+the id, less those with very long texts.  In the calibration each row counts for all usable
+labels of its kind that it stands for, so a score does not depend on where a label's rows
+were cut.  Every text is scored whole.
 
 Defined cases: null and empty texts get the score of neutral features; labels that are null
 are not used; several labels of one id count as their largest; with no labels of either
@@ -91,15 +93,17 @@ def fit(
     """Dictionaries from one half of the sampled texts, calibration on the other half."""
     rows = labelled_sample(docs, labels, id_col, text_col, label_col, use, max_rows, max_chars)
     texts = {(half, y): [] for half in (0, 1) for y in (0, 1)}
-    for i, (text, y) in enumerate(rows):
+    weights = {}
+    for i, (text, y, weight) in enumerate(rows):
         texts[i % 2, y].append((text or "").encode("utf-8", "replace"))
+        weights[y] = weight
     model = Model(_dictionary(texts[0, 1], dict_bytes), _dictionary(texts[0, 0], dict_bytes), [0.0] * 11)
     if not (texts[1, 1] and texts[1, 0] and model.good and model.bad):
         return model
     tools = model.tools()
     x = [features(tools, t) for y in (0, 1) for t in texts[1, y]]
     y = [y for y in (0, 1) for _ in texts[1, y]]
-    model.weights = logistic_fit(np.array(x), np.array(y, float), l2=1e-4)
+    model.weights = logistic_fit(np.array(x), np.array(y, float), l2=1e-4, weight=np.array([weights[k] for k in y]))
     return model
 
 

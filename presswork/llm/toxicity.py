@@ -9,7 +9,8 @@ normalised by length, goes through a logistic function.
 The lexicon is learned: words and word beginnings (``bad*``) whose share among toxic texts
 is significantly above their share among clean ones, weighted by the log ratio; exception
 phrases are pairs of words around an entry that clean texts use.  At most ``max_rows`` labelled rows are used, half of
-them for the lexicon and half for the calibration; only word counts and features of these
+them for the lexicon and half for the calibration, in which each row counts for all usable
+labels of its kind that it stands for; only word counts and features of these
 reach the driver, at most ``max_terms`` words.
 
 Defined cases: null and empty texts have no matches; labels that are null are not used;
@@ -140,7 +141,7 @@ def fit(
     picked = sample_ids(labels, id_col, label_col, use, max_rows)
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(
         F.broadcast(picked), F.col("_doc") == F.col("_id")
-    ).select("text", F.col("_y").alias("y"), (F.pmod(F.xxhash64(F.lit("half"), "_id"), F.lit(2)) == 0).alias("learn"))
+    ).select("text", F.col("_y").alias("y"), F.col("_weight").alias("weight"), (F.pmod(F.xxhash64(F.lit("half"), "_id"), F.lit(2)) == 0).alias("learn"))
     rows = written(rows, "toxicity-sample")
     sizes = {r["y"]: r["n"] for r in rows.filter("learn").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not (sizes.get(0) and sizes.get(1)):
@@ -181,13 +182,13 @@ def fit(
         for b in batches:
             folded = [fold(t.as_py() or "") for t in b.column("text")]
             x = [features(matches(automaton, t), t.count(" ") - 1 if t else 0) for t in folded]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("y"), b.column("weight"), pa.array(x, pa.list_(pa.float64()))], ["y", "weight", "x"])
 
-    got = rows.filter("not learn").select("y", "text").mapInArrow(measure, "y int, x array<double>").toPandas()
+    got = rows.filter("not learn").select("y", "weight", "text").mapInArrow(measure, "y int, weight double, x array<double>").toPandas()
     y = got["y"].to_numpy(float)
     if len(got) and 0 < y.sum() < len(y):
         order = np.lexsort(np.vstack([np.stack(got["x"]).T, y]))  # the same sums whatever the order of rows
-        model.weights = logistic_fit(np.stack(got["x"])[order], y[order])
+        model.weights = logistic_fit(np.stack(got["x"])[order], y[order], weight=got["weight"].to_numpy(float)[order])
     return model
 
 

@@ -1,5 +1,6 @@
 """Toxicity, personal data, secrets and quality: brute force, planted cases, held-out accuracy."""
 
+import random
 import re
 import zlib
 
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from presswork.llm import fitting, pii, quality, secrets, spans, toxicity
 from presswork.session import scratch_path
 
+from .conftest import prose
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -191,6 +194,30 @@ def test_toxicity(spark, odd, nothing):
     assert {r["score"] for r in toxicity.score(odd, toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
 
 
+def shares(spark, rows):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, quality int").withColumn("toxic", F.col("quality"))
+
+
+def test_quality_has_the_true_share_of_a_label_that_was_cut(spark):
+    """Texts that say nothing about their label score its share, however many rows are taken."""
+    rng = random.Random(8)
+    docs, labels = shares(spark, [(prose(rng, 60), int(i % 50 >= 7)) for i in range(1000)])
+    for max_rows in (6_000, 400):  # 860 and 140 rows are all taken, or cut to 200 and 140
+        scores = [r["score"] for r in quality.score(docs, quality.fit(docs, labels, max_rows=max_rows)).select("score").collect()]
+        assert abs(sum(scores) / len(scores) - 0.86) < 0.06
+
+
+def test_toxicity_has_the_true_share_of_a_label_that_was_cut(spark):
+    """A word in all of 60 toxic and in 240 of 940 clean texts decides alike, however many rows are taken."""
+    rng = random.Random(9)
+    docs, labels = shares(spark, [(prose(rng, 20) + (" idiot" if i % 50 < 15 else ""), int(i % 50 < 3)) for i in range(1000)])
+    for max_rows in (20_000, 240):  # 940 and 60 rows are all taken, or cut to 120 and 60
+        model = toxicity.fit(docs, labels, max_rows=max_rows)
+        scores = [r["score"] for r in toxicity.score(docs, model).filter("text like '%idiot'").select("score").collect()]
+        assert "idiot" in model.terms and model.weights and abs(sum(scores) / len(scores) - 0.2) < 0.12
+
+
 def test_exception_phrases():
     model = toxicity.Model({"idiot": 2.0, "idio*": 1.0}, ["no idiot"])
     a = model.automaton()
