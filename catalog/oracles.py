@@ -494,6 +494,10 @@ add("digest_summary", with_(ARTICLES, DEDUP, top(5), """
 comb AS (SELECT sector, string_agg(CASE WHEN coalesce(description, '') <> '' THEN description ELSE content END, chr(10) ORDER BY deck_pos) AS content
   FROM top WHERE coalesce(description, '') <> '' OR content <> '' GROUP BY sector),
 src AS (SELECT sector, content AS summary, content FROM comb)""", enhanced("src", "sector")) + "SELECT sector, summary AS digest_summary FROM en")
+add("digest_summary_all", with_(ARTICLES, DEDUP, top(1_000_000_000), """
+comb AS (SELECT sector, string_agg(CASE WHEN coalesce(description, '') <> '' THEN description ELSE content END, chr(10) ORDER BY deck_pos) AS content
+  FROM top WHERE coalesce(description, '') <> '' OR content <> '' GROUP BY sector),
+src AS (SELECT sector, content AS summary, content FROM comb)""", enhanced("src", "sector")) + "SELECT sector, summary AS digest_summary FROM en")
 
 # ------------------------------------------------------------------ pages and providers
 

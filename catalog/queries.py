@@ -515,6 +515,12 @@ def digest_summary(spark, sf):
     return deck.digest_summary(cards.deck_articles(rows))
 
 
+@query
+def digest_summary_all(spark, sf):
+    rows = selection.dedup_by_url(articles(spark, sf))
+    return deck.digest_summary(cards.deck_articles(rows), ["query_idx", "provider_idx", "provider_rank"])
+
+
 # --------------------------------------------------------------------------- pages and providers
 
 

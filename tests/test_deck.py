@@ -108,6 +108,24 @@ def test_digest_summary_takes_the_first_sentences(spark):
     assert got == " ".join([s for sentences in each for s in sentences][:15])
 
 
+@pytest.mark.parametrize("start", [2, 3, 32])
+def test_digest_summary_takes_all_articles(spark, start):
+    """Sixteen articles of one sentence give fifteen; texts without usable sentences do not take a place."""
+    say = lambda i: f"Article {i} says just this here."
+    rows = [row(i, "S", summary="", content=say(i)) for i in range(16)]
+    rows += [row(i, "T", summary="", content="No." if i < 40 else say(i)) for i in range(80)]
+    got = {r.sector: r.digest_summary for r in deck.digest_summary(spark.createDataFrame(rows, SCHEMA), start=start).collect()}
+    assert got == {"S": " ".join(map(say, range(15))), "T": " ".join(map(say, range(40, 55)))}
+
+
+def test_issue_summary_goes_on_in_the_next_sector(spark):
+    say = lambda s, i: f"Article {s} {i} says just this."
+    rows = [row(i, s, summary="", content=say(s, i)) for s in "SR" for i in range(12 if s == "R" else 9)]
+    got = deck.issue_summary(spark.createDataFrame(rows, SCHEMA)).collect()
+    first, second = [[say(s, i) for i in range(n)] for s, n in (("R", 12), ("S", 9))]
+    assert [r.digest_summary for r in got] == [" ".join([*first, *second][:15])]
+
+
 def test_sample_insights_are_rejected_for_length(spark):
     two = "One sentence of a body. And another one."
     shown = cards.with_display_content(spark.createDataFrame([row(0, content=two)], SCHEMA))
