@@ -140,6 +140,9 @@ add("union_sources", A + "SELECT doc_id, provider, title, CASE WHEN provider = '
 add("limit_per", A + "SELECT sector, provider, doc_id FROM art QUALIFY row_number() OVER (PARTITION BY sector, provider ORDER BY provider_rank) <= 7")
 add("limit_request", A + "SELECT query_idx, doc_id FROM art ORDER BY query_idx, provider_idx, provider_rank LIMIT 500")
 add("order_articles", A + "SELECT doc_id, url, CAST(length(title) % 7 AS BIGINT) AS score FROM art ORDER BY score DESC, published_ts DESC, url LIMIT 50")
+add("rank_articles", A + """
+SELECT doc_id, url, CAST(length(title) % 7 AS BIGINT) AS score,
+  row_number() OVER (ORDER BY length(title) % 7 DESC NULLS LAST, published_ts DESC NULLS LAST, url NULLS FIRST) AS rank FROM art""")
 add("latest_snapshot", A + "SELECT sector, doc_id, url FROM art QUALIFY rank() OVER (PARTITION BY sector ORDER BY snapshot_ts DESC) = 1")
 add("exclude_used", with_(ARTICLES, DEDUP, top(10)) + """
 SELECT doc_id, sector, url FROM art a

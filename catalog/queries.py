@@ -117,6 +117,12 @@ def order_articles(spark, sf):
     return filters.order_articles(rows, "relevance").limit(50).select("doc_id", "url", F.col("score").cast("long"))
 
 
+@query
+def rank_articles(spark, sf):
+    rows = articles(spark, sf).withColumn("score", F.length("title") % 7)
+    return filters.rank_articles(rows, "relevance").select("doc_id", "url", F.col("score").cast("long"), "rank")
+
+
 @query
 def latest_snapshot(spark, sf):
     return snapshots.latest_snapshot(articles(spark, sf)).select("sector", "doc_id", "url")

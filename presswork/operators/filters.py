@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import params
 from ..functions import text as X
 from ..functions.core import text_or_empty
+from .numbering import number_within
 
 
 def require_fields(df: DataFrame, cols: Iterable[str] = ("url",)) -> DataFrame:
@@ -74,3 +75,18 @@ def order_articles(df: DataFrame, by: str = "relevance", score: str = "score") -
     if by == "recency":
         return df.orderBy(*recency)
     raise ValueError(f"unknown order: {by}")
+
+
+def rank_articles(df: DataFrame, by: str = "relevance", score: str = "score", out: str = "rank") -> DataFrame:
+    """All rows with their place 1, 2, 3 ... in ``order_articles``, numbered by ranges."""
+    if by not in ("relevance", "recency"):
+        raise ValueError(f"unknown order: {by}")
+    date = F.unix_micros(F.col("published_ts").cast("timestamp"))
+    keys = {"_no_date": date.isNull(), "_date": -date}
+    if by == "relevance":
+        keys = {"_no_score": F.col(score).isNull(), "_score": -F.col(score)} | keys
+    # ranges are bounded by values, so missing ones have to be some value
+    keys = {k: c if k.startswith("_no") else F.coalesce(c, F.lit(0)) for k, c in keys.items()}
+    keys |= {"_no_url": F.col("url").isNotNull(), "_url": F.coalesce("url", F.lit(""))}
+    rows = df.withColumns({"_all": F.lit(0)} | keys)
+    return number_within(rows, "_all", list(keys), out).select(*df.columns, out)

@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,3 +147,17 @@ def test_landed_twice_is_chosen_once(spark, docs):
     both = digest_plan.select_articles(twice, 3)
     key = lambda df: sorted((r.sector, r.deck_pos, r.url) for r in df.collect())
     assert key(once) == key(both) and once.count() == 24
+
+
+@pytest.mark.parametrize("rows_per_range", [10, 500_000])
+def test_rank_articles_has_every_row(spark, monkeypatch, rows_per_range):
+    """More rows than the first fifty, with missing values, in one range and in many."""
+    monkeypatch.setattr(filters, "number_within", partial(filters.number_within, rows_per_range=rows_per_range))
+    df = spark.range(120).select(
+        F.when(F.col("id") % 11 != 0, F.col("id") % 7).alias("score"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"),
+        F.when(F.col("id") % 13 != 0, F.timestamp_seconds(F.col("id") % 5 * 3600)).alias("published_ts"),
+    )
+    for by in ("relevance", "recency"):
+        want = [r.url for r in filters.order_articles(df, by).collect()]
+        got = filters.rank_articles(df, by).collect()
+        assert [(r["rank"], r.url) for r in sorted(got, key=lambda r: r["rank"])] == list(enumerate(want, 1))
