@@ -557,6 +557,11 @@ add("stream_event_counts", """
 SELECT strftime(d, '%Y-%m-%d') AS day, event_type AS category, count(*) AS n FROM (
   SELECT date_trunc('day', ts)::TIMESTAMP AS d, event_type FROM events)
 WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL""")
+add("stream_category_counts_all", with_(ARTICLES, CATS) + """
+SELECT strftime(d, '%Y-%m-%d') AS day, category, count(*) AS n FROM (
+  SELECT date_trunc('day', published_ts)::TIMESTAMP AS d, unnest(cats) AS category FROM art JOIN cat USING (doc_id)) GROUP BY ALL""")
+add("stream_event_counts_all", """
+SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS category, count(*) AS n FROM events GROUP BY ALL""")
 add("stream_enrich", with_(ARTICLES, CATS) + """
 SELECT sector, url, doc_id, coalesce(cats[1], 'other') AS primary_category FROM art JOIN cat USING (doc_id)
 QUALIFY row_number() OVER (PARTITION BY sector, url ORDER BY published_ts, provider_rank) = 1""")

@@ -701,6 +701,22 @@ def stream_event_counts(spark, sf):
     return out.select(F.date_format("day_start", "yyyy-MM-dd").alias("day"), "category", "n")
 
 
+@query
+def stream_category_counts_all(spark, sf):
+    rows = document_stream(spark, sf).withColumn("categories", terms.categories("content", T.TAXONOMY))
+    out = jobs.drain_all(spark, jobs.stream_category_counts(rows), "stream-all-categories")
+    return out.select(F.date_format("day_start", "yyyy-MM-dd").alias("day"), "category", "n")
+
+
+@query
+def stream_event_counts_all(spark, sf):
+    raw = spark.read.parquet(f"{sf}/events.parquet").schema
+    events = spark.readStream.schema(raw).option("pathGlobFilter", "events.parquet").parquet(sf)
+    rows = events.select(F.col("ts").alias("published_ts"), F.array("event_type").alias("categories"))
+    out = jobs.drain_all(spark, jobs.stream_category_counts(rows), "stream-all-events")
+    return out.select(F.date_format("day_start", "yyyy-MM-dd").alias("day"), "category", "n")
+
+
 @query
 def stream_enrich(spark, sf):
     base = scratch_path(spark, "stream-enrich")

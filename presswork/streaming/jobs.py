@@ -62,6 +62,25 @@ def drain(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{base}/table")
 
 
+def drain_all(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Counts of everything that is available, windows still open included, as in batch.
+
+    ``df`` has an aggregation.  Each batch writes the whole result, rows that would be late included.
+    """
+    base = scratch_path(spark, name)
+    table = f"{base}/table"
+    spark.createDataFrame([], df.schema).write.parquet(table)
+    query = (
+        df.writeStream.option("checkpointLocation", f"{base}/checkpoint")
+        .outputMode("complete")
+        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(table))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(df.schema).parquet(table)
+
+
 def _stored_keys(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
     try:
         stored = spark.read.parquet(path)

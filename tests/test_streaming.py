@@ -98,3 +98,13 @@ def test_stream_equals_batch_dedup(spark, tmp_path, docs):
     got = jobs.drain(spark, jobs.stream_dedup(stream), "t").select("sector", "url")
     want = selection.dedup_by_url(docs).select("sector", "url")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_counts_with_open_windows_equal_batch(spark, tmp_path):
+    src = str(tmp_path / "in")
+    rows = spark.range(100).select(F.timestamp_seconds(F.col("id") * 3600).alias("published_ts"), F.array(F.concat(F.lit("c"), F.col("id") % 3)).alias("categories"))
+    rows.repartition(4).write.parquet(src)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = jobs.drain_all(spark, jobs.stream_category_counts(stream), "all").collect()
+    want = jobs.stream_category_counts(spark.read.parquet(src)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and sum(r.n for r in got) == 100
