@@ -184,3 +184,46 @@ SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_a
        sha256(coalesce(base, '')) AS base_sha256, coalesce(everything, '') AS spans
 FROM d LEFT JOIN g USING (r)
 """
+
+ORACLES["op11_filter_audit"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), first AS (
+  SELECT coalesce(text, '') AS t, min(doc_id) AS lowest FROM documents GROUP BY 1
+), l AS (
+  SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS bad FROM labels GROUP BY doc_id
+), d AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+    CASE WHEN len(words) < 100 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN w.doc_id > lowest THEN 'E' ELSE '' END AS fails
+  FROM w JOIN first USING (t) LEFT JOIN l ON l.doc_id = w.doc_id
+), c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM d GROUP BY ALL
+), orders AS (
+  SELECT '' AS o UNION ALL
+  SELECT o || x FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(o, x)
+), steps AS (
+  SELECT o, k AS step, o[k] AS f, o[1:k - 1] AS earlier FROM orders, (SELECT unnest(range(1, 6)) AS k) WHERE length(o) = 5
+), s AS (
+  SELECT part, o, step, f, earlier, fails, n, good, bad, contains(fails, f) AS now,
+         earlier <> '' AND len(list_intersect(string_split(fails, ''), string_split(earlier, ''))) > 0 AS gone
+  FROM steps, c
+), r AS (
+  SELECT part, o AS filter_order, step, f,
+    sum(CASE WHEN NOT gone AND NOT now THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN NOT gone AND now THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN gone AND now THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN fails = f THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN NOT gone AND now THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN NOT gone AND now THEN bad ELSE 0 END)::BIGINT AS toxic_lost
+  FROM s GROUP BY part, o, step, f
+)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM r
+"""

@@ -8,9 +8,10 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.session import scratch_path
+from presswork.functions.core import let
+from presswork.session import scratch_path, written
 
-from . import decontamination, fitting, mixing, near_duplicates, pii, quality, secrets, spans, substrings, toxicity, training_order, vectors
+from . import audit, decontamination, fitting, mixing, near_duplicates, pii, quality, secrets, spans, substrings, toxicity, training_order, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -123,3 +124,25 @@ def op10_quality(spark, sf):
     return quality.score(docs, model, keep=["doc_id"]).select(
         "doc_id", fitting.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+@query
+def op11_filter_audit(spark, sf):
+    """What each of five filters removes after any others, in every order and language."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    text, marks = F.coalesce("text", F.lit("")), ("quality", "toxic")
+
+    def failures(words):
+        capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+        few, same = F.size(words) < 100, 100 * F.size(F.array_distinct(words)) < 80 * F.size(words)
+        return audit.failed([few, same, 100 * capitals > 10 * F.length(text), text.rlike(r"[#$%&*|]")])
+
+    rows = docs.select(
+        "doc_id", F.coalesce("lang", F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("key"),
+        let(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), failures).alias("mask"),
+    )
+    rows = audit.mark_repeats(written(rows, "failures"), "doc_id", "key", "mask", 4)
+    known = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(*[F.max((F.col(m) == 1).cast("int")).alias(m) for m in marks])
+    rows = rows.join(known, F.col("doc_id") == F.col("_id"), "left")
+    found = audit.audit(rows, list("ABCDE"), "part", "mask", {"quality": "good_lost", "toxic": "toxic_lost"})
+    return found.drop("filter")
