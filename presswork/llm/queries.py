@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from presswork.functions.core import let
 from presswork.session import scratch_path, written
 
-from . import audit, decontamination, fitting, mixing, near_duplicates, pii, quality, secrets, spans, substrings, toxicity, training_order, vectors
+from . import audit, decontamination, fitting, mixing, near_duplicates, packing, pii, quality, secrets, spans, substrings, toxicity, training_order, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -146,3 +146,12 @@ def op11_filter_audit(spark, sf):
     rows = rows.join(known, F.col("doc_id") == F.col("_id"), "left")
     found = audit.audit(rows, list("ABCDE"), "part", "mask", {"quality": "good_lost", "toxic": "toxic_lost"})
     return found.drop("filter")
+
+
+@query
+def op13_packing(spark, sf):
+    """The sequence and offset of every piece of every document."""
+    placed = packing.pack(table(spark, sf, "documents"))
+    return placed.select(
+        F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc32").alias("ids_crc32"), F.col("sequence").alias("sequence_id"), "offset"
+    )
