@@ -227,3 +227,36 @@ SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, uniq
        (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
 FROM r
 """
+
+ORACLES["op12_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), g AS (
+  SELECT lang, k, w[s:s + k - 1] AS words
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)
+), f AS (
+  SELECT lang, k, array_to_string(words, ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL
+), total AS (
+  SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang
+), often AS (
+  SELECT * FROM f WHERE f >= 100
+), cuts AS (
+  SELECT c.lang, c.phrase, c.k AS words, c.f AS a, unnest(range(1, c.k)) AS cut, string_split(c.phrase, ' ') AS w FROM often c WHERE c.k > 1
+), scored AS (
+  SELECT c.lang, c.phrase, c.words, a, cut, x.f AS l, y.f AS r, n::BIGINT AS n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN often x ON x.lang = c.lang AND x.phrase = array_to_string(w[:cut], ' ')
+  JOIN often y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ') JOIN total ON total.lang = c.lang
+), best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM scored) WHERE o = 1
+), kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM often x WHERE x.lang = b.lang AND x.k > b.words AND 100 * x.f >= 100 * b.a AND contains(' ' || x.phrase || ' ', ' ' || b.phrase || ' '))
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""

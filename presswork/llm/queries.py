@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from presswork.functions.core import let
 from presswork.session import scratch_path, written
 
-from . import audit, decontamination, fitting, mixing, near_duplicates, packing, pii, quality, secrets, spans, substrings, toxicity, training_order, vectors
+from . import audit, collocations, decontamination, fitting, mixing, near_duplicates, packing, pii, quality, secrets, spans, substrings, toxicity, training_order, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -148,6 +148,12 @@ def op11_filter_audit(spark, sf):
     return found.drop("filter")
 
 
+@query
+def op12_collocations(spark, sf):
+    """Each language's first 2,000 phrases by how much their words keep company."""
+    return collocations.collocations(table(spark, sf, "documents"), top=2000)
+
+
 @query
 def op13_packing(spark, sf):
     """The sequence and offset of every piece of every document."""
