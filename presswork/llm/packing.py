@@ -26,6 +26,7 @@ length takes a place depends on the input's splits.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -48,9 +49,20 @@ SMALL_PART, GROUPS = 3, 64
 #: Column generation ends when no configuration is better than this, or after so many.
 GAIN, MOST_COLUMNS = 1e-4, 3000
 #: Words whose ids a Python worker keeps, and the longest such word in bytes.
-KEPT_WORDS, LONGEST_KEPT = 400_000, 64
+KEPT_WORDS, LONGEST_KEPT = 800_000, 64
 
 _encoders: dict[int, tuple] = {}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: 1: ASCII letters, 2: signs that keep their word whole; second bytes of two-byte letters.
+_KIND = np.zeros(256, np.uint8)
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[[39, 60]] = _KIND[128:] = 2
+_LATIN = np.zeros(256, bool)
+_LATIN[128:192] = True
+_LATIN[[0x97, 0xB7]] = False
+#: What the rules of a vocabulary have to hold so that parts of words can be encoded by themselves.
+RULES = ['{"type": "NFC"}', '{"type": "Lowercase"}', json.dumps("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")]
 
 
 def default_vocabulary() -> str:
@@ -63,46 +75,85 @@ def default_vocabulary() -> str:
 
 
 def _encoder(model: str) -> tuple:
-    """The tokenizer and the ids of words seen by this worker."""
+    """The tokenizer, the ids of parts seen by this worker, and which ids end a word.
+
+    The last is None for a vocabulary whose rules are others than ``RULES``.
+    """
     key = zlib.crc32(model.encode())
     if key not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _encoders[key] = (Tokenizer.from_str(model), {})
+        parts = json.loads(model)
+        rules = json.dumps([parts["normalizer"], parts["pre_tokenizer"]])
+        ends = None
+        if all(r in rules for r in RULES):
+            vocabulary, mark = parts["model"]["vocab"], parts["model"]["end_of_word_suffix"]
+            ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            ends[[k for word, k in vocabulary.items() if word.endswith(mark)]] = True
+        _encoders[key] = (Tokenizer.from_str(model), {}, ends)
     return _encoders[key]
 
 
+def _encode_parts(encoder, parts: list[str], word_ends: np.ndarray) -> dict[str, bytes]:
+    """Little-endian ids of each part; those of plain letters, one word each, are encoded as one text."""
+    plain = [x for x in parts if x.isascii() and x.isalpha()]
+    ids = np.array(encoder.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
+    ends = (4 * (np.flatnonzero(word_ends[ids]) + 1)).tolist()
+    if len(ends) != len(plain):  # not one word each after all
+        plain, ends = [], []
+    raw = ids.tobytes()
+    found = {x: raw[a:b] for x, a, b in zip(plain, [0, *ends], ends)}
+    rest = [x for x in parts if x not in found]
+    found.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(rest, encoder.encode_batch_fast(rest, add_special_tokens=False)))
+    return found
+
+
 def encode(model: str, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each followed by ``end``, and where each text begins.
 
-    White space separates tokens of every vocabulary that drops it, so distinct words are
-    encoded once and their ids are put together.
+    A vocabulary whose rules are ``RULES`` cuts a word where letters meet other signs, but for
+    apostrophes, and knows no capitals, so equal parts have equal ids wherever they are:
+    distinct parts are encoded once and their ids are put together.  Words with an
+    apostrophe, a ``<`` (a special token may begin there) or characters beyond the Latin
+    letters of one and two bytes stay whole.  Other vocabularies get whole texts.
     """
-    encoder, known = _encoder(model)
+    encoder, known, word_ends = _encoder(model)
+    if word_ends is None:
+        ids = [np.array([*e.ids, end], "<u4") for e in encoder.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
     w = W.split(texts, W.NON_SPACE)
-    n_words, n_texts = len(w.starts), len(w.counts)
-    if not n_words:
+    n_texts = len(w.counts)
+    if not len(w.starts):
         return np.full(n_texts, end, "<u4"), np.arange(n_texts + 1)
-    ends = np.concatenate([[0], np.cumsum(w.ends - w.starts)])
-    inside = np.zeros(len(w.data) + 1, np.int8)
-    np.add.at(inside, w.starts, 1)
-    np.subtract.at(inside, w.ends, 1)
-    letters = w.data[np.cumsum(inside[:-1]).astype(bool)]
-    each = pa.Array.from_buffers(pa.large_string(), n_words, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(letters.tobytes())])
-    each = each.dictionary_encode()
-    distinct, which = each.dictionary.to_pylist(), each.indices.to_numpy()
+    letters = w.data[W.NON_SPACE[w.data]]
+    size = w.ends - w.starts
+    first = np.cumsum(size) - size
+    kind = _KIND[letters]
+    latin = (letters[:-1] == 0xC3) & _LATIN[letters[1:]]  # two bytes, one letter
+    kind[:-1][latin] = kind[1:][latin] = 1
+    whole = np.maximum.reduceat(kind, first) == 2
+    new = np.empty(len(letters), bool)
+    new[0], new[1:] = True, kind[1:] != kind[:-1]
+    low = _LOWER[letters]
+    for s, n in zip(first[whole].tolist(), size[whole].tolist()):
+        new[s : s + n], low[s : s + n] = False, letters[s : s + n]
+    new[first] = True
+    letters, starts = low, np.flatnonzero(new)
+    owner = np.repeat(np.repeat(np.arange(n_texts), w.counts), np.add.reduceat(new, first, dtype=np.int64))
+    ends = np.append(starts, len(letters)).astype(np.int64)
+    parts = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(letters.tobytes())]).dictionary_encode()
+    distinct, which = parts.dictionary.to_pylist(), parts.indices.to_numpy()
     if len(known) > KEPT_WORDS:
         known.clear()
     new = [x for x in distinct if x not in known]
-    found = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in encoder.encode_batch(new, add_special_tokens=False))))
-    parts = [found[x] if x in found else known[x] for x in distinct]
+    found = _encode_parts(encoder, new, word_ends)
     known.update((x, ids) for x, ids in found.items() if len(x) <= LONGEST_KEPT)
-    sizes = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
-    flat, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
+    ids = [known[x] if x in known else found[x] for x in distinct]
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
     sizes, starts = sizes[which], starts[which]
     before = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(n_texts), w.counts)
     out = np.full(int(sizes.sum()) + n_texts, end, "<u4")
     steps = np.arange(int(sizes.sum())) - np.repeat(before, sizes)
     out[np.repeat(before + owner, sizes) + steps] = flat[np.repeat(starts, sizes) + steps]
