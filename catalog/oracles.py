@@ -501,6 +501,18 @@ add("digest_summary_all", with_(ARTICLES, DEDUP, top(1_000_000_000), """
 comb AS (SELECT sector, string_agg(CASE WHEN coalesce(description, '') <> '' THEN description ELSE content END, chr(10) ORDER BY deck_pos) AS content
   FROM top WHERE coalesce(description, '') <> '' OR content <> '' GROUP BY sector),
 src AS (SELECT sector, content AS summary, content FROM comb)""", enhanced("src", "sector")) + "SELECT sector, summary AS digest_summary FROM en")
+add("issue_summary", with_(ARTICLES, DEDUP, """
+so AS (SELECT sector, row_number() OVER (ORDER BY min((query_idx, provider_idx, provider_rank)), sector) AS o FROM ded GROUP BY sector),
+src AS (SELECT 'issue' AS issue, content AS summary, content FROM (
+  SELECT string_agg(CASE WHEN coalesce(description, '') <> '' THEN description ELSE content END, chr(10) ORDER BY o, query_idx, provider_idx, provider_rank) AS content
+  FROM ded JOIN so USING (sector) WHERE coalesce(description, '') <> '' OR content <> ''))""", enhanced("src", "issue")) + "SELECT summary AS digest_summary FROM en")
+add("digest_summary_odd", with_("""
+odd AS (SELECT doc_id, 'S' || (doc_id % 8) AS sector, CASE doc_id % 8
+   WHEN 1 THEN translate(text, '.!?', '') WHEN 2 THEN substr(text, 1, 60) WHEN 3 THEN replace(translate(text, '!?', ''), '. ', chr(10) || chr(10))
+   WHEN 4 THEN array_to_string(string_split(text, ' ')[1:4], ' ') || '.'
+   WHEN 5 THEN CASE WHEN doc_id % 80 <> 5 THEN substr(text, 1, 5) || '!' || chr(10) ELSE text END ELSE text END AS t FROM documents),
+comb AS (SELECT sector, string_agg(t, chr(10) ORDER BY doc_id) AS content FROM odd WHERE t <> '' GROUP BY sector),
+src AS (SELECT sector, content AS summary, content FROM comb)""", enhanced("src", "sector")) + "SELECT sector, summary AS digest_summary FROM en")
 
 # ------------------------------------------------------------------ pages and providers
 

@@ -527,6 +527,28 @@ def digest_summary_all(spark, sf):
     return deck.digest_summary(cards.deck_articles(rows), ["query_idx", "provider_idx", "provider_rank"])
 
 
+@query
+def issue_summary(spark, sf):
+    rows = selection.dedup_by_url(articles(spark, sf))
+    return deck.issue_summary(cards.deck_articles(rows), ["query_idx", "provider_idx", "provider_rank"])
+
+
+@query
+def digest_summary_odd(spark, sf):
+    """Sectors of unusual texts: without full stops, cut off, of short sentences, of paragraphs."""
+    k, text = F.col("doc_id") % 8, F.col("content")
+    odd = (
+        F.when(k == 1, F.translate(text, ".!?", ""))
+        .when(k == 2, F.substring(text, 1, 60))
+        .when(k == 3, F.replace(F.translate(text, "!?", ""), F.lit(". "), F.lit("\n\n")))
+        .when(k == 4, F.concat(F.array_join(F.slice(F.split(text, " "), 1, 4), " "), F.lit(".")))
+        .when((k == 5) & (F.col("doc_id") % 80 != 5), F.concat(F.substring(text, 1, 5), F.lit("!\n")))
+        .otherwise(text)
+    )
+    rows = articles(spark, sf).select("doc_id", "sector", F.lit("").alias("summary"), odd.alias("content"))
+    return deck.digest_summary(rows, ORDER)
+
+
 # --------------------------------------------------------------------------- pages and providers
 
 

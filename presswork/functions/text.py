@@ -165,50 +165,62 @@ def paragraphs(c: Column | str) -> Column:
     return F.split(col(c), "\n\n", -1)
 
 
-def usable_sentences(content: Column | str) -> Column:
-    """Sentences of 5-50 words; longer ones only as clauses of 5-30 words each."""
+def sentence_pieces(sentence: Column) -> Column:
+    """What a sentence adds to a summary: itself with 5-50 words, its clauses if it is longer
+    and each of them has 5-30 words, else nothing."""
 
-    def pieces(sentence: Column) -> Column:
-        def clauses(parts: Column) -> Column:
-            fits = (F.size(parts) > 1) & F.forall(parts, lambda p: word_count(p).between(5, 30))
-            return F.when(fits, parts).otherwise(F.array().cast("array<string>"))
+    def clauses(parts: Column) -> Column:
+        fits = (F.size(parts) > 1) & F.forall(parts, lambda p: word_count(p).between(5, 30))
+        return F.when(fits, parts).otherwise(F.array().cast("array<string>"))
 
+    def pieces(bare: Column) -> Column:
         return let(
-            word_count(sentence),
+            word_count(bare),
             lambda n: F.when(n < 5, F.array().cast("array<string>"))
-            .when(n <= 50, F.array(sentence))
-            .otherwise(let(F.split(sentence, CLAUSE_BREAK, -1), clauses)),
+            .when(n <= 50, F.array(bare))
+            .otherwise(let(F.split(bare, CLAUSE_BREAK, -1), clauses)),
         )
 
-    return F.flatten(F.transform(split_sentences(content), lambda s: let(strip(s), pieces)))
+    return let(strip(sentence), pieces)
+
+
+def usable_sentences(content: Column | str) -> Column:
+    """Sentences of 5-50 words; longer ones only as clauses of 5-30 words each."""
+    return F.flatten(F.transform(split_sentences(content), sentence_pieces))
+
+
+def top_up(partial: Column, rest: Column, target: int = 15) -> Column:
+    """A summary of too few sentences with more of them from the text that follows."""
+
+    def with_more(more: Column) -> Column:
+        need = F.lit(target) - F.size(F.split(partial, r"\. ", -1))
+        take = F.when(need >= 0, need).otherwise(F.greatest(F.size(more) + need, F.lit(0)))
+        return strip(F.concat_ws(" ", partial, F.array_join(F.slice(more, F.lit(1), take), " ")))
+
+    return let(split_sentences(rest), with_more)
+
+
+def cut_head(head: Column) -> Column:
+    """The beginning of a text up to its last full stop, if that does not come too early."""
+    return F.when(rfind(head, ".") > 500, F.substr(head, F.lit(1), rfind(head, ".") + 1)).otherwise(head)
 
 
 def enhance_summary(summary: Column | str, content: Column | str, target: int = 15) -> Column:
     """A summary of ``target`` usable sentences, with fallbacks for thin articles."""
     summary, content = text_or_empty(summary), text_or_empty(content)
 
-    def topped_up(partial: Column) -> Column:
-        def with_more(more: Column) -> Column:
-            need = F.lit(target) - F.size(F.split(partial, r"\. ", -1))
-            take = F.when(need >= 0, need).otherwise(F.greatest(F.size(more) + need, F.lit(0)))
-            return strip(F.concat_ws(" ", partial, F.array_join(F.slice(more, F.lit(1), take), " ")))
-
-        rest = F.substr(content, F.length(partial) + 1, F.lit(1000))
-        return let(split_sentences(rest), with_more)
-
     def unusable() -> Column:
         long_ones = F.filter(paragraphs(content), lambda p: word_count(p) > 10)
-        head = F.substring(content, 1, 2000)
-        cut = F.when(rfind(head, ".") > 500, F.substr(head, F.lit(1), rfind(head, ".") + 1)).otherwise(head)
         return let(
             long_ones,
-            lambda ps: F.when(F.size(ps) > 0, F.array_join(F.slice(ps, 1, 5), " ")).otherwise(cut),
+            lambda ps: F.when(F.size(ps) > 0, F.array_join(F.slice(ps, 1, 5), " ")).otherwise(cut_head(F.substring(content, 1, 2000))),
         )
 
     def from_sentences(kept: Column) -> Column:
+        rest = lambda partial: F.substr(content, F.length(partial) + 1, F.lit(1000))
         return (
             F.when(F.size(kept) >= target, F.array_join(F.slice(kept, 1, target), " "))
-            .when(F.size(kept) > 0, let(F.array_join(kept, " "), topped_up))
+            .when(F.size(kept) > 0, let(F.array_join(kept, " "), lambda partial: top_up(partial, rest(partial), target)))
             .otherwise(unusable())
         )
 
@@ -339,6 +351,6 @@ __all__ = [
     "candidate_phrases", "clean_text", "contains_term", "count_sentences", "cut_at_sentence",
     "decode_entities", "display_content", "display_sentences",
     "drop_boilerplate", "enhance_summary", "html_to_text", "paragraphs", "quote_phrase",
-    "remove_stopwords", "slug", "cache_key", "split_sentences", "strip_tags", "string_array",
+    "remove_stopwords", "slug", "cache_key", "sentence_pieces", "split_sentences", "strip_tags", "string_array",
     "token_text", "usable_sentences", "word_tokens",
 ]

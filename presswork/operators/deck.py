@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +9,8 @@ from pyspark.sql import functions as F
 from .. import params
 from ..functions import text as X
 from ..session import written
-from ..functions.core import let, text_or_empty
+from ..functions.core import text_or_empty
+from . import digests
 from .numbering import number_within
 from .selection import first_per
 
@@ -187,34 +186,23 @@ def fill_slots(
 # --------------------------------------------------------------------------- summary slide
 
 
+def _body() -> Column:
+    """What an article adds to a summary."""
+    return F.when(text_or_empty("summary") != "", F.col("summary")).otherwise(text_or_empty("content"))
+
+
 def digest_summary(df: DataFrame, order: list[str] = DECK_ORDER, start: int = 32) -> DataFrame:
     """One enhanced summary per sector over the texts of all its articles, by ``order``.
 
-    A summary ends with its fifteenth usable sentence, so the first ``start`` texts mostly
-    decide it, and only these meet.  Sectors in which they do not are gone through again
-    with eight times as many texts, until the sentences suffice or no text is left.
+    Texts are shrunk to what a summary may take of them and joined a few at a time; see
+    ``digests``.
     """
-    body = F.when(text_or_empty("summary") != "", F.col("summary")).otherwise(text_or_empty("content"))
-    rest = df.withColumn("_body", body).filter(F.col("_body") != "").select("sector", *order, "_body")
-    parts = []
-    while True:
-        joined = (
-            first_per(rest, ["sector"], list(order), start, out="_n")
-            .groupBy("sector")
-            .agg(F.sort_array(F.collect_list(F.struct("_n", "_body"))).alias("_t"))
-            .select("sector", F.size("_t").alias("_size"), F.array_join(F.col("_t._body"), "\n").alias("_c"))
-        )
-        # the last sentence may go on in the next text
-        whole = let(X.split_sentences(F.col("_c")), lambda s: F.array_join(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), " "))
-        decided = (F.col("_size") < start) | (F.size(X.usable_sentences(whole)) >= 15)
-        parts.append(joined.filter(decided).select("sector", X.enhance_summary("_c", "_c").alias("digest_summary")))
-        # the list of sectors is small
-        undecided = written(joined.filter(~decided).select(F.col("sector").alias("_s")), "undecided-sectors")
-        if undecided.isEmpty():
-            break
-        rest = rest.join(undecided, F.col("sector").eqNullSafe(F.col("_s")), "left_semi")
-        start *= 8
-    return reduce(DataFrame.unionByName, parts)
+    return digests.summaries(df, "sector", order, _body(), start)
+
+
+def digest_lines(df: DataFrame, order: list[str] = DECK_ORDER) -> DataFrame:
+    """Line by line, the long paragraphs that stand for a sector without usable sentences."""
+    return digests.summary_lines(df, "sector", order, _body())
 
 
 def issue_summary(df: DataFrame, order: list[str] = DECK_ORDER) -> DataFrame:
