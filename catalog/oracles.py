@@ -156,6 +156,17 @@ SELECT doc_id, sector, CAST(query_idx AS INTEGER) AS query_idx,
      + contains(c, ' ' || term || ' ')::INT AS BIGINT) AS score
 FROM pad, q
 WHERE contains(t, ' ' || term || ' ') OR contains(d, ' ' || term || ' ') OR contains(c, ' ' || term || ' ')""")
+# each search against all runs of as many tokens
+MANY = with_(ARTICLES, f"""
+q(sector, query_idx, term) AS (VALUES {_q} UNION ALL SELECT sector, CAST(doc_id + 10 AS INTEGER), array_to_string((string_split(trim({padded('content')}), ' '))[1:3], ' ') FROM art),
+fl AS (SELECT doc_id, 3 AS weight, string_split(trim({padded('title')}), ' ') AS w FROM art UNION ALL SELECT doc_id, 2, string_split(trim({padded('description')}), ' ') FROM art
+  UNION ALL SELECT doc_id, 1, string_split(trim({padded('content')}), ' ') FROM art),
+sz AS (SELECT DISTINCT len(string_split(term, ' ')) AS n FROM q WHERE term <> ''),
+gr AS (SELECT DISTINCT doc_id, weight, array_to_string(w[s:s + n - 1], ' ') AS term
+  FROM (SELECT doc_id, weight, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM fl, sz WHERE len(w) >= n))""") + """
+SELECT doc_id, sector, query_idx, CAST(sum(weight) AS BIGINT) AS score FROM gr JOIN q USING (term) GROUP BY doc_id, sector, query_idx, term"""
+add("search_many", MANY)
+add("search_index", MANY)
 add("expand_queries", """
 WITH own(sector, queries) AS (VALUES ('S0', ['of the', 'orre']), ('S1', ['de la', 'und', '"und der"'])),
 s AS (SELECT DISTINCT 'S' || (doc_id % 8) AS sector FROM documents),
@@ -298,6 +309,21 @@ hit AS (SELECT DISTINCT doc_id, ord, category FROM pads, tax WHERE contains(p, '
 cat AS (SELECT d.doc_id, coalesce(list(category ORDER BY ord) FILTER (category IS NOT NULL), []) AS cats
         FROM documents d LEFT JOIN hit USING (doc_id) GROUP BY d.doc_id)"""
 add("match_categories", with_(CATS) + "SELECT doc_id, array_to_string(cats, '|') AS categories FROM cat")
+_RUNS = """
+run AS (SELECT doc_id, array_to_string(w[k:k + 1], ' ') AS run FROM pads, (SELECT unnest([1, 3, 5, 7, 9, 11]) AS k) WHERE len(w) >= k AND array_to_string(w[k:k + 1], ' ') <> ''),
+gr AS (SELECT doc_id, array_to_string(w[s:s + n - 1], ' ') AS run, s FROM (
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM pads, (SELECT unnest([1, 2]) AS n) WHERE len(w) >= n))"""
+add("match_categories_large", with_(ARTICLES, f"""
+pads AS (SELECT doc_id, string_split(trim({padded('content')}), ' ') AS w FROM art)""", _RUNS, """
+tax AS (SELECT 'c' || (doc_id % 89) AS category, run, doc_id % 7 AS ord FROM run),
+rk AS (SELECT category, min((ord, run)) AS rank FROM tax GROUP BY category),
+hit AS (SELECT DISTINCT doc_id, category, rank FROM gr JOIN tax USING (run) JOIN rk USING (category))""") + """
+SELECT doc_id, coalesce(string_agg(category, '|' ORDER BY rank, category), '') AS categories FROM art LEFT JOIN hit USING (doc_id) GROUP BY doc_id""")
+add("match_entities_large", with_(ARTICLES, r"""
+pads AS (SELECT doc_id, regexp_extract_all(content, '[\p{L}\p{N}]+') AS w FROM art)""", _RUNS, f"""
+dict AS (SELECT DISTINCT run, ({sql_list(params.ENTITY_LABELS)})[length(run) % {len(params.ENTITY_LABELS)} + 1] AS label FROM run),
+men AS (SELECT doc_id, label, run, min(s) AS pos FROM gr JOIN dict USING (run) GROUP BY ALL)""") + """
+SELECT doc_id, label, string_agg(run, '|' ORDER BY pos, run) AS names FROM men GROUP BY doc_id, label""")
 add("primary_category", with_(CATS) + "SELECT doc_id, coalesce(cats[1], 'other') AS primary_category FROM cat")
 
 _ents = ", ".join(f"({lit(s)}, {lit(l)}, {s.count(' ') + 1})" for s, l in T.ENTITIES.items())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from presswork import params, schema
 from presswork.functions import fields as C
 from presswork.functions import text as X
+from presswork.operators import search_index as index
 from presswork.operators import (
     cards, deck, filters, insights, phrases, selection, stats, summaries, terms,
 )
@@ -142,6 +143,30 @@ def search_articles(spark, sf):
     )
 
 
+def own_searches(spark, sf):
+    """Far more searches than are compared one by one: what each document begins with, and the usual ones."""
+    words = F.split(F.trim(X.token_text("content")), " ")
+    own = articles(spark, sf).select("sector", (F.col("doc_id") + 10).cast("int").alias("query_idx"), F.concat(F.lit('"'), F.array_join(F.slice(words, 1, 3), " "), F.lit('"')).alias("query"))
+    return own.unionByName(spark.createDataFrame(T.QUERIES, "sector string, query_idx int, query string"))
+
+
+@query
+def search_many(spark, sf):
+    rows = selection.search_articles(articles(spark, sf), own_searches(spark, sf), limit=100)
+    return rows.select("doc_id", "sector", "query_idx", F.col("score").cast("long"))
+
+
+@query
+def search_index(spark, sf):
+    """An index of half of the articles, extended by all of them, then compacted and asked."""
+    path, rows = scratch_path(spark, "search-index"), articles(spark, sf)
+    index.extend_index(rows.filter("doc_id % 2 = 0"), path, "doc_id")
+    index.extend_index(rows, path, "doc_id")
+    index.compact_index(spark, path)
+    found = index.search_index(spark, path, own_searches(spark, sf))
+    return found.select(F.col("id").alias("doc_id"), "sector", "query_idx", F.col("score").cast("long"))
+
+
 @query
 def expand_queries(spark, sf):
     rows = articles(spark, sf).select("sector").distinct()
@@ -346,6 +371,33 @@ def match_entities(spark, sf):
     return rows.select("doc_id", "label", joined("names").alias("names"))
 
 
+def runs_of_words(spark, sf, tokens):
+    """(doc_id, pos, run): two tokens each from the beginnings of all documents, for large dictionaries."""
+    pairs = F.transform(F.sequence(F.lit(1), F.lit(11), F.lit(2)), lambda k: F.array_join(F.slice(tokens, k, 2), " "))
+    rows = articles(spark, sf).select("doc_id", F.posexplode(pairs).alias("pos", "run"))
+    return rows.filter("run != ''")
+
+
+@query
+def match_categories_large(spark, sf):
+    """A taxonomy of six terms for each document, walked as a table."""
+    runs = runs_of_words(spark, sf, F.split(F.trim(X.token_text("content")), " "))
+    table = runs.select(F.concat(F.lit("c"), (F.col("doc_id") % 89).cast("string")).alias("category"), F.col("run").alias("term"), (F.col("doc_id") % 7).cast("int").alias("ord"))
+    rows = terms.match_categories(articles(spark, sf), table)
+    return rows.select("doc_id", joined("categories").alias("categories"))
+
+
+@query
+def match_entities_large(spark, sf):
+    """A dictionary of six surfaces for each document, walked as a table."""
+    runs = runs_of_words(spark, sf, X.word_tokens("content", lower=False))
+    labels = F.array(*[F.lit(x) for x in params.ENTITY_LABELS])
+    table = runs.select(F.col("run").alias("surface"), F.element_at(labels, (F.length("run") % len(params.ENTITY_LABELS) + 1).cast("int")).alias("label"))
+    rows = terms.match_entities(articles(spark, sf), table.distinct(), limit=1000)
+    rows = rows.select("doc_id", F.explode("entities").alias("label", "names"))
+    return rows.select("doc_id", "label", joined("names").alias("names"))
+
+
 @query
 def entity_line(spark, sf):
     rows = terms.match_entities(articles(spark, sf), T.ENTITIES)

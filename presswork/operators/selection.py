@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions import text as X
-from ..functions.core import strip, text_or_empty
+from ..functions.core import let, text_or_empty
 from ..schema import COLLECTION_ORDER
+from ..session import written
 from ..sizing import inline_rows
+from . import trie
 
 
 def union_sources(*dfs: DataFrame) -> DataFrame:
@@ -80,13 +82,15 @@ def _bare(query: str) -> str:
     return X.token_form(query.strip().strip('"'))
 
 
-def search_articles(df: DataFrame, queries: DataFrame | list[tuple[str, int, str]], limit: int = 1_000) -> DataFrame:
+def search_articles(df: DataFrame, queries: DataFrame | list[tuple[str, int, str]], limit: int = 1_000, trie_limit: int | None = None) -> DataFrame:
     """Articles that hold a search text as an exact phrase, ignoring case.
 
     ``queries`` has (sector, query_idx, query).  Gives one row per article and search with
     the searched ``sector`` and ``query_idx`` and a ``score`` weighted by field.  Up to
-    ``limit`` searches are compared in place; more of them meet the word runs of the texts
-    in an equi-join, with the same result.
+    ``limit`` searches are compared in place one by one, up to ``trie_limit`` (by default
+    ``trie.TRIE_ROWS``) by walking a table of all of them, both in place; beyond that the searches' own
+    tokens are looked up by their positions.  All ways give the same result; for a corpus
+    that is searched again and again, ``search_index`` keeps the positions in files.
     """
     queries = queries if isinstance(queries, DataFrame) else [tuple(q) for q in queries]
     rows = inline_rows(queries, limit)
@@ -115,58 +119,45 @@ def search_articles(df: DataFrame, queries: DataFrame | list[tuple[str, int, str
         ).select(*base.columns, "score", "_w.sector", "_w.query_idx")
     if not isinstance(queries, DataFrame):
         queries = df.sparkSession.createDataFrame(queries, "sector string, query_idx int, query string")
-    return _search_by_ngrams(base, queries)
-
-
-def _search_by_ngrams(base: DataFrame, queries: DataFrame) -> DataFrame:
-    """Exact phrase search for any number of searches: n-gram equi-join, no cross join."""
-    bare = F.regexp_replace(strip("query"), '^"+|"+$', "")
-    q = queries.select("sector", "query_idx", F.trim(X.token_text(bare)).alias("gram")).filter(F.col("gram") != "")
-    longest = q.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
-    weights = [
-        F.struct(F.lit(w).alias("weight"), F.split(F.trim(X.token_text(f)), " ").alias("tokens"))
-        for f, w in FIELD_WEIGHTS.items()
-    ]
-    grams = F.flatten(
-        F.transform(
-            F.array(*weights),
-            lambda p: F.transform(
-                F.array_distinct(ngrams(p.tokens, longest)),
-                lambda g: F.struct(g.alias("gram"), p.weight.alias("weight")),
-            ),
-        )
-    )
-    # Only keys and word runs meet the searches; articles are joined by their texts once.
+    from .search_index import bare_queries
+
+    asked = bare_queries(queries).groupBy("sector", "query_idx", "phrase").agg(F.count(F.lit(1)).alias("times"))
+    asked = written(asked, "searches")
+    return _search_by_trie(base, asked) if trie.fits(asked, trie_limit) else _search_by_positions(base, asked)
+
+
+def _field_tokens(field: str) -> Column:
+    return F.split(F.trim(X.token_text(field)), " ", -1)
+
+
+def _search_by_trie(base: DataFrame, asked: DataFrame) -> DataFrame:
+    """Searches as one goto table; nothing is shuffled."""
+    terms = asked.select("phrase", F.struct("sector", "query_idx", "times", "phrase").alias("value"))
+
+    def in_field(field: str, weight: int) -> Column:
+        values = F.array_distinct(F.transform(trie.matches(terms, _field_tokens(field)), lambda m: m["value"]))
+        return F.transform(values, lambda v: F.struct(v.alias("gram"), F.lit(weight).alias("weight")))
+
+    hits = _weigh(F.flatten(F.array(*[in_field(f, w) for f, w in FIELD_WEIGHTS.items()])))
+    found = base.select(*base.columns, F.explode(hits).alias("_h"))
+    found = found.select(*base.columns, F.col("_h.score").alias("score"), F.explode(F.array_repeat(F.col("_h.gram"), F.col("_h.gram.times").cast("int"))).alias("_w"))
+    return found.select(*base.columns, "score", "_w.sector", "_w.query_idx")
+
+
+def _search_by_positions(base: DataFrame, asked: DataFrame) -> DataFrame:
+    """Searches of any number: only their own tokens meet, and articles are joined by their texts once."""
+    from .postings import phrase_hits, token_postings
+    from .search_index import scored_hits
+
     key = F.sha2(F.concat_ws("\x01", *[text_or_empty(f) for f in FIELD_WEIGHTS]), 256)
-    hits = (
-        base.select(key.alias("_k"), F.explode(_weigh(grams)).alias("_g"))
-        .select("_k", F.col("_g.gram").alias("gram"), F.col("_g.score").alias("score"))
-        .distinct()
-        .join(q, "gram")
-        .select("_k", "score", "sector", "query_idx")
-    )
-    return base.withColumn("_k", key).join(hits, "_k").select(*base.columns, "score", "sector", "query_idx")
-
-
-def ngrams(tokens: Column, longest: int) -> Column:
-    """All runs of 1..``longest`` tokens, joined by a blank."""
-    starts = F.sequence(F.lit(1), F.size(tokens))
-    return F.when(F.size(tokens) == 0, F.array().cast("array<string>")).otherwise(
-        F.flatten(
-            F.transform(
-                starts,
-                lambda i: F.transform(
-                    F.sequence(F.lit(1), F.least(F.lit(longest), F.size(tokens) - i + 1)),
-                    lambda n: F.array_join(F.slice(tokens, i, n), " "),
-                ),
-            )
-        )
-    )
+    keyed = base.withColumn("_k", key)
+    hits = scored_hits(phrase_hits(token_postings(keyed, "_k", {f: _field_tokens(f) for f in FIELD_WEIGHTS}), asked))
+    hits = hits.join(asked, "phrase").select(F.col("id").alias("_k"), "score", "sector", "query_idx", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_copy"))
+    return keyed.join(hits, "_k").select(*base.columns, "score", "sector", "query_idx")
 
 
 def _weigh(grams: Column) -> Column:
     """Sum the field weights of equal grams within one article (at most three of each)."""
-    ordered = F.sort_array(grams)
 
     def merged(xs: Column) -> Column:
         def at(i: Column) -> Column:
@@ -184,9 +175,7 @@ def _weigh(grams: Column) -> Column:
 
         return F.when(F.size(xs) > 0, F.transform(starts, total))
 
-    from ..functions.core import let, strip, text_or_empty
-
-    return let(ordered, merged)
+    return let(F.sort_array(grams), merged)
 
 
 def exclude_used(candidates: DataFrame, deck: DataFrame) -> DataFrame:

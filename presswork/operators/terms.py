@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from .. import params
 from ..functions import text as X
 from ..functions.core import is_in, let, lookup, text_or_empty, words
+from ..session import written
 from ..sizing import INLINE_ROWS, inline_rows
-from .selection import ngrams
+from . import trie
+from .postings import phrase_hits, token_postings
 
 # --------------------------------------------------------------------------- categories
 
@@ -67,12 +69,13 @@ def categories(text: Column | str, taxonomy: dict[str, list[str]] = params.TAXON
     return let(X.token_text(text), found)
 
 
-def match_categories(df: DataFrame, taxonomy=params.TAXONOMY, text: str = "content", out: str = "categories", limit: int = 1_000) -> DataFrame:
+def match_categories(df: DataFrame, taxonomy=params.TAXONOMY, text: str = "content", out: str = "categories", limit: int = 1_000, trie_limit: int | None = None) -> DataFrame:
     """Add ``categories``; ``taxonomy`` is a dict or rows or a table (category, term, ord).
 
-    Up to ``limit`` terms are matched in place, without a shuffle.  A larger table meets the
-    distinct word runs of each text in an equi-join, with the same result; only text keys
-    and matches are shuffled, and the answer is joined back by the text.
+    Up to ``limit`` terms are compared one by one, up to ``trie_limit`` (by default
+    ``trie.TRIE_ROWS``) by walking a table of all of them; both in place, without a shuffle.
+    Of a still larger table the tokens are looked up by their positions, and the answer is
+    joined back by the text.  All ways give the same result.
     """
     inline = taxonomy_dict(taxonomy, limit)
     if inline is not None:
@@ -81,16 +84,17 @@ def match_categories(df: DataFrame, taxonomy=params.TAXONOMY, text: str = "conte
         taxonomy = [(c, t, i) for i, (c, ts) in enumerate(taxonomy.items()) for t in ts]
     table = as_table(df.sparkSession, as_rows(taxonomy, 0)[1], "category string, term string, ord int")
     ranks = table.groupBy("category").agg(F.min(F.struct("ord", "term")).alias("rank"))
-    terms = table.select("category", F.trim(X.token_text("term")).alias("gram")).filter("gram != ''").distinct()
-    terms = terms.join(ranks, "category")
-    longest = terms.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
+    terms = table.select("category", F.trim(X.token_text("term")).alias("phrase")).filter("phrase != ''").distinct()
+    terms = written(terms.join(ranks, "category").select("phrase", F.struct("rank", "category").alias("value")), "taxonomy")
     tokens = F.split(F.trim(X.token_text(text)), " ", -1)
-    grams = let(tokens, lambda t: F.array_distinct(ngrams(t, longest)))
+    if trie.fits(terms, trie_limit):
+        found = F.sort_array(F.array_distinct(F.transform(trie.matches(terms, tokens), lambda m: m["value"])))
+        return df.withColumn(out, F.transform(found, lambda v: v["category"]))
+    hits = phrase_hits(token_postings(df.withColumn("_k", text_key(text)), "_k", {"text": tokens}), terms)
     found = (
-        df.select(text_key(text).alias("_k"), F.explode(grams).alias("gram"))
-        .join(terms, "gram")
-        .groupBy("_k")
-        .agg(F.sort_array(F.collect_set(F.struct("rank", "category"))).alias("_c"))
+        hits.join(terms, "phrase")
+        .groupBy(F.col("id").alias("_k"))
+        .agg(F.sort_array(F.collect_set("value")).alias("_c"))
         .select("_k", F.col("_c.category").alias("_found"))
     )
     return _answered(df, text, found, out, F.array().cast("array<string>"))
@@ -198,32 +202,35 @@ def surfaces_of(ents: Column, labels: Iterable[str] = params.ENTITY_LABELS) -> C
     return F.flatten(F.map_values(wanted))
 
 
+def _by_label(hits: Column, names_of) -> Column:
+    """Map of label to distinct surfaces; ``names_of`` gives those of a label in text order, or None."""
+    entries = []
+    for label in params.ENTITY_LABELS:
+        names = names_of(hits, label)
+        if names is not None:
+            entries.append(F.struct(F.lit(label).alias("key"), F.array_distinct(names).alias("value")))
+    if not entries:
+        return F.create_map().cast("map<string,array<string>>")
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e.value) > 0))
+
+
 def entities(text: Column | str, surfaces: dict[str, str]) -> Column:
     """Map of label to distinct surfaces in order of first mention; labels found only."""
 
-    def named(hits: Column, own: list[str]) -> Column:
-        mine = F.filter(hits, lambda h: is_in(h.surface, own))
-        return F.array_distinct(F.transform(mine, lambda h: h.surface))
+    def named(hits: Column, label: str) -> Column | None:
+        own = [s for s, lab in surfaces.items() if lab == label]
+        return F.transform(F.filter(hits, lambda h: is_in(h.surface, own)), lambda h: h.surface) if own else None
 
-    def per_label(hits: Column) -> Column:
-        entries = []
-        for label in params.ENTITY_LABELS:
-            own = [s for s, lab in surfaces.items() if lab == label]
-            if own:
-                entries.append(F.struct(F.lit(label).alias("key"), named(hits, own).alias("value")))
-        if not entries:
-            return F.create_map().cast("map<string,array<string>>")
-        return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e.value) > 0))
+    return let(entity_mentions(text, surfaces), lambda hits: _by_label(hits, named))
 
-    return let(entity_mentions(text, surfaces), per_label)
 
-
-def match_entities(df: DataFrame, entity_dict, text: str = "content", out: str = "entities", limit: int = INLINE_ROWS) -> DataFrame:
+def match_entities(df: DataFrame, entity_dict, text: str = "content", out: str = "entities", limit: int = INLINE_ROWS, trie_limit: int | None = None) -> DataFrame:
     """Add ``entities``, a map of label to surfaces.
 
-    A dictionary of up to ``limit`` rows needs no shuffle.  A larger one is joined on word
-    runs, with the same result: each text sends every run once with its first position, and
-    the answer is joined back by the text.
+    A dictionary of up to ``limit`` rows is folded into the plan, one of up to ``trie_limit``
+    (by default ``trie.TRIE_ROWS``) is walked as a table; both in place, without a shuffle.  Of
+    a still larger one the tokens are looked up by their positions, and the answer is joined
+    back by the text.  All ways give the same result.
     """
     surfaces = entity_surfaces(entity_dict, limit)
     if surfaces is not None:
@@ -231,19 +238,18 @@ def match_entities(df: DataFrame, entity_dict, text: str = "content", out: str =
     table = as_table(df.sparkSession, as_rows(entity_dict, 0)[1], "surface string, label string")
     names = (
         table.filter(F.col("label").isin(params.ENTITY_LABELS))
-        .select(F.array_join(X.word_tokens("surface", lower=False), " ").alias("name"), F.struct("surface", "label").alias("of"))
-        .filter(F.col("name") != "")
-        .groupBy(F.col("name").alias("surface"))
-        .agg(F.min("of")["label"].alias("label"))
-    )
-    longest = names.agg(F.max(F.size(F.split("surface", " ")))).first()[0] or 1
-    runs = let(X.word_tokens(text, lower=False), lambda t: positioned_ngrams(t, longest))
-    hits = (
-        df.select(text_key(text).alias("_k"), F.explode(runs).alias("_g"))
-        .groupBy("_k", F.col("_g.surface").alias("surface"))
-        .agg(F.min("_g.pos").alias("pos"))
-        .join(names, "surface")
+        .select(F.array_join(X.word_tokens("surface", lower=False), " ").alias("phrase"), F.struct("surface", "label").alias("of"))
+        .filter(F.col("phrase") != "")
+        .groupBy("phrase")
+        .agg(F.min("of")["label"].alias("value"))
     )
+    names = written(names, "entity-names")
+    tokens = X.word_tokens(text, lower=False)
+    if trie.fits(names, trie_limit):
+        named = lambda hits, label: F.transform(F.filter(hits, lambda h: h["value"] == label), lambda h: h["path"])
+        return df.withColumn(out, let(F.sort_array(trie.matches(names, tokens)), lambda hits: _by_label(hits, named)))
+    hits = phrase_hits(token_postings(df.withColumn("_k", text_key(text)), "_k", {"text": tokens}), names)
+    hits = hits.join(names, "phrase").select(F.col("id").alias("_k"), F.col("value").alias("label"), F.array_min("starts").alias("pos"), F.col("phrase").alias("surface"))
     rank = F.array_position(F.array(*[F.lit(x) for x in params.ENTITY_LABELS]), F.col("label"))
     found = (
         hits.groupBy("_k", "label")
@@ -255,22 +261,6 @@ def match_entities(df: DataFrame, entity_dict, text: str = "content", out: str =
     return _answered(df, text, found, out, F.create_map().cast("map<string,array<string>>"))
 
 
-def positioned_ngrams(tokens: Column, longest: int) -> Column:
-    starts = F.sequence(F.lit(1), F.size(tokens))
-    empty = F.array().cast("array<struct<pos:int,surface:string>>")
-    return F.when(F.size(tokens) == 0, empty).otherwise(
-        F.flatten(
-            F.transform(
-                starts,
-                lambda i: F.transform(
-                    F.sequence(F.lit(1), F.least(F.lit(longest), F.size(tokens) - i + 1)),
-                    lambda n: F.struct(i.alias("pos"), F.array_join(F.slice(tokens, i, n), " ").alias("surface")),
-                ),
-            )
-        )
-    )
-
-
 def mine_entities(df: DataFrame, min_df: int = 2, text: str = "content") -> DataFrame:
     """Capitalised words and runs of them with the number of articles they occur in.
 
