@@ -5,21 +5,24 @@ has fewer).  Register ``i`` holds ``floor(1 - log_b(min h_i))`` over the set, tr
 the range of the register: exponentially spaced minima, which merge by the larger value and
 are equal in two sets with a probability that rises with their similarity.
 
-Candidates.  Documents with one set are one vertex.  Sixteen bands of four registers put
-vertices into buckets; at similarity 0.85 a pair shares no bucket once in a hundred
-thousand.  In a bucket everybody is compared with the vertex that shares most buckets
-overall, the likely original; the similarity is estimated by maximum likelihood from the
-numbers of larger, smaller and equal registers and both set sizes.  Those that are unlike
-it are compared with one another, in blocks.  What is alike even loosely becomes one
-cluster, so a true pair is never divided: if both are within 0.25 of a common centre, as
-pairs of 0.85 with a safe margin are, the cluster has both.
-
-Verification.  Clusters are dealt out as pairs of blocks of bounded size, with full sets.
-A task walks from the set with most company downwards, finds its exact links to all others
-by counting common shingles, and goes on until every set outside of the largest component
-has been compared with all; links within a component need no further look.  When another
-component becomes the largest, the sets passed over so far have their turn again.  Only a
-spanning set of links leaves the task.  No step lists all pairs of a group.
+Candidates.  Documents with the same words are one vertex.  Bands of registers put vertices
+into buckets; how many registers a band has follows from the similarity, so that a pair at
+the threshold shares no bucket once in some thousand times (at 0.85 once in a hundred
+thousand); lower similarities than 0.12 are refused.  In a bucket everybody is compared with
+the vertex that shares most buckets overall, the likely original; the similarity is
+estimated by maximum likelihood from the numbers of larger, smaller and equal registers
+and both set sizes.  Those that are unlike it are compared with one another, in blocks.
+What is alike even loosely becomes one cluster, so a true pair is never divided: both margins
+follow from the similarity, as distances of sets add up.
+
+Verification.  A cluster of bounded size is one group: a task walks from the set with most
+company downwards, finds its exact links to all others by counting common shingles, and
+goes on until every set outside of the largest component has been compared with all; links
+within a component need no further look.  When another component becomes the largest, the
+sets passed over so far have their turn again.  A larger cluster is dealt out in blocks: all
+members are compared with the cluster's centre first, and only those that are not linked
+to it meet every block.  A link is confirmed on the words of both texts before it counts.
+Only a spanning set of links leaves the task.  No step lists all pairs of a group.
 
 Defined cases: null, empty and blank texts have empty sets and are linked with nothing;
 documents without id are linked with nothing, have no component and count as kept; rows
@@ -28,11 +31,13 @@ with one id are one document in the result's ``component_id``; equal sets are li
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,9 +48,10 @@ from . import words as W
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.85
-REGISTERS, BAND = 64, 4
+REGISTERS, MISSED = 64, 4e-4
 BASE, TOP = 1.02, 2**16 - 2
-#: Estimates from which a vertex belongs to its centre, and from which it joins the cluster.
+#: Estimates from which a vertex belongs to its centre, and from which it joins the cluster,
+#: for links of 0.85.
 LIKE, LOOSE = 0.75, 0.55
 #: Vertices in one block of unlike bucket members; shingles in one block of a cluster.
 BUCKET_BLOCK, CLUSTER_BLOCK = 1024, 1 << 21
@@ -90,8 +96,27 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def bands(regs: np.ndarray) -> np.ndarray:
-    packed = np.ascontiguousarray(regs).view(_U)  # four 16-bit registers are one word
+def band_size(similarity: float) -> int:
+    """Registers in a band: the most of 4, 2 or 1 with which pairs at the threshold are not missed."""
+    for size in (4, 2, 1):
+        if (1 - similarity**size) ** (REGISTERS // size) <= MISSED:
+            return size
+    raise ValueError(f"{REGISTERS} registers cannot find pairs of a similarity of {similarity}")
+
+
+def margins(similarity: float) -> tuple[float, float]:
+    """``LIKE`` and ``LOOSE`` for links of this similarity.
+
+    Distances (1 less the similarity) add up: a set linked with one that is like the centre
+    is at most ``1 - similarity`` further away.
+    """
+    lower = 0.85 - similarity
+    return max(LIKE - lower, 0.0), max(LOOSE - 2 * lower, 0.0)
+
+
+def bands(regs: np.ndarray, size: int = 4) -> np.ndarray:
+    kind = {4: np.uint64, 2: np.uint32, 1: np.uint16}[size]
+    packed = np.ascontiguousarray(regs).view(kind).astype(_U)
     return W.mix(packed + np.arange(1, packed.shape[1] + 1, dtype=_U) * _U(0x9FB21C651E98DF25))
 
 
@@ -114,21 +139,29 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return np.take_along_axis(j, score.argmax(1)[:, None], 1)[:, 0]
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
+def text_keys(texts: pa.Array) -> list[bytes | None]:
+    """A digest of each text's words, lower-cased and joined by blanks; None without words."""
+    w = W.split(texts, W.NON_SPACE, lower=True)
+    plain, starts, ends = w.plain
+    at = w.offsets.tolist()
+    return [blake2b(plain[starts[a] : ends[b - 1]], digest_size=16).digest() if b > a else None for a, b in zip(at[:-1], at[1:])]
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, band: int = 4) -> DataFrame:
     """(id, n_shingles, set_key, regs, bands) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.chunks(batches, "text"):
             sets = shingle_sets(b.column("text"), size)
             regs = registers(sets)
-            keys = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            band = bands(regs)
-            at = pa.array(np.arange(len(sets) + 1) * band.shape[1], pa.int32())
+            keys = text_keys(b.column("text"))
+            rows = bands(regs, band)
+            at = pa.array(np.arange(len(sets) + 1) * rows.shape[1], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
                     pa.array([r.tobytes() for r in regs], pa.binary()),
-                    pa.ListArray.from_arrays(at, pa.array(band.reshape(-1).view(np.int64))),
+                    pa.ListArray.from_arrays(at, pa.array(rows.reshape(-1).view(np.int64))),
                 ],
                 ["id", "n_shingles", "set_key", "regs", "bands"],
             )
@@ -158,26 +191,27 @@ def _estimated(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
-def cluster_links(vertices: DataFrame) -> DataFrame:
+def cluster_links(vertices: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) of vertices that are loosely alike."""
-    rows = vertices.select(F.explode("bands").alias("bucket"), "vid")
-    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    like_from, loose_from = margins(similarity)
+    rows = written(vertices.select(F.explode("bands").alias("bucket"), "vid"), "bands")
+    # tables of buckets are written, so that a join can split the rows of a large one
+    counts = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "bucket-sizes")
     rows = written(rows.join(counts, "bucket"), "buckets")
     company = rows.groupBy("vid").agg(F.sum("many").alias("company"))
-    rows = rows.join(company, "vid")
+    rows = written(rows.join(company, "vid"), "company")
     centres = rows.groupBy("bucket").agg(F.max(F.struct("company", F.negative("vid").alias("vid"))).alias("c"))
-    rows = written(
-        rows.join(centres.select("bucket", F.negative(F.col("c.vid")).alias("centre")), "bucket").select("bucket", "vid", "centre"),
-        "centred",
-    )
+    centres = written(centres.select("bucket", F.negative(F.col("c.vid")).alias("centre")), "centres")
+    rows = written(rows.join(centres, "bucket").select("bucket", "vid", "centre"), "centred")
     stars = written(
-        _estimated(rows.filter("vid != centre").select(F.col("vid").alias("a"), F.col("centre").alias("b")).distinct(), vertices).filter(F.col("similarity") >= LOOSE),
+        _estimated(rows.filter("vid != centre").select(F.col("vid").alias("a"), F.col("centre").alias("b")).distinct(), vertices).filter(F.col("similarity") >= loose_from),
         "stars",
     )
     # Members unlike their centre meet one another.
-    like = stars.filter(F.col("similarity") >= LIKE).select(F.col("a").alias("vid"), F.col("b").alias("centre"))
+    like = stars.filter(F.col("similarity") >= like_from).select(F.col("a").alias("vid"), F.col("b").alias("centre"))
     odd = rows.filter("vid != centre").join(like, ["vid", "centre"], "left_anti").select("bucket", "vid")
-    sizes = odd.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    odd = written(odd, "unlike")
+    sizes = written(odd.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "unlike-sizes")
     odd = odd.join(sizes, "bucket").join(vertices.select("vid", "n", "regs"), "vid")
     blocks = F.ceil(F.col("many") / BUCKET_BLOCK).cast("int")
     odd = odd.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
@@ -194,8 +228,8 @@ def cluster_links(vertices: DataFrame) -> DataFrame:
                 continue
             got = estimate(regs, np.broadcast_to(regs[k], regs.shape), n, np.full(len(n), n[k]))
             got[k] = 1.0
-            near = np.flatnonzero(got >= LOOSE)
-            todo &= got < LIKE
+            near = np.flatnonzero(got >= loose_from)
+            todo &= got < like_from
             a += vid[near[near != k]].tolist()
             b += [int(vid[k])] * int((near != k).sum())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -204,20 +238,54 @@ def cluster_links(vertices: DataFrame) -> DataFrame:
     return stars.select("a", "b").unionAll(found)
 
 
-def _verify(vid: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that span the components of the given sets."""
-    n = len(vid)
-    sizes = np.array([len(s) for s in sets])
-    elements = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), sizes)
-    order = np.argsort(elements, kind="stable")
-    elements, owner = elements[order], owner[order]
-    first = np.flatnonzero(np.concatenate([[True], elements[1:] != elements[:-1]]))
-    times = np.diff(np.concatenate([first, [len(elements)]]))
-    company = np.bincount(owner, weights=np.repeat(times, times), minlength=n) / np.maximum(sizes, 1)
+def word_shingles(text: str | None, size: int) -> set[bytes]:
+    """The shingles themselves, as words joined by blanks."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode("utf-8", "surrogatepass").lower())
+    if len(words) < size:
+        return {b" ".join(words)} if words else set()
+    return {b" ".join(words[k : k + size]) for k in range(len(words) - size + 1)}
+
+
+def alike(a: str | None, b: str | None, size: int, percent: int) -> bool:
+    """Whether two texts are linked, by their words."""
+    x, y = word_shingles(a, size), word_shingles(b, size)
+    common = len(x & y)
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+class _Inverted:
+    """Sets by their elements, to count what each has in common with another one."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        elements = np.concatenate(sets) if sets else np.zeros(0, _U)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(elements, kind="stable")
+        elements, self.owner = elements[order], owner[order]
+        self.first = np.flatnonzero(np.concatenate([[True], elements[1:] != elements[:-1]])) if len(elements) else np.zeros(0, np.int64)
+        self.times = np.diff(np.concatenate([self.first, [len(elements)]]))
+        self.distinct = elements[self.first]
+
+    def common(self, s: np.ndarray) -> np.ndarray:
+        """Elements that each set shares with ``s``."""
+        at = np.searchsorted(self.distinct, s)
+        known = at < len(self.distinct)
+        at, s = at[known], s[known]
+        at = at[self.distinct[at] == s]
+        where = np.repeat(self.first[at], self.times[at]) + _steps(self.times[at])
+        return np.bincount(self.owner[where], minlength=len(self.sizes))
+
+    def linked(self, s: np.ndarray, percent: int) -> np.ndarray:
+        common = self.common(s)
+        return np.flatnonzero(100 * common >= percent * (self.sizes + len(s) - common))
+
+
+def _verify(vid: np.ndarray, sets: list[np.ndarray], similarity: float, confirm: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Links that span the components of the given sets; ``confirm`` decides on two places."""
+    n, percent = len(sets), round(similarity * 100)
+    index = _Inverted(sets)
+    company = np.bincount(index.owner, weights=np.repeat(index.times, index.times), minlength=n) / np.maximum(index.sizes, 1)
     root, links = np.arange(n), []
-    distinct = elements[first]
-    percent = round(similarity * 100)
     todo = np.lexsort((vid, -company))
     while len(todo):
         members = np.bincount(root, minlength=n)
@@ -226,14 +294,13 @@ def _verify(vid: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[
         if not len(outside):
             break  # only sets of one component were not looked at, and all others were compared with them
         k, todo = todo[outside[0]], np.delete(todo, outside[0])
-        at = np.searchsorted(distinct, sets[k])
-        where = np.repeat(first[at], times[at]) + _steps(times[at])
-        common = np.bincount(owner[where], minlength=n)
-        linked = np.flatnonzero(100 * common >= percent * (sizes + sizes[k] - common))
+        linked = index.linked(sets[k], percent)
         for r in np.unique(root[linked]):
             if r != root[k]:
-                links.append((int(vid[k]), int(vid[linked[root[linked] == r][0]])))
-                root[root == r] = root[k]
+                at = next((int(x) for x in linked[root[linked] == r] if confirm is None or confirm(int(k), int(x))), None)
+                if at is not None:
+                    links.append((int(vid[k]), int(vid[at])))
+                    root[root == r] = root[k]
     return links
 
 
@@ -243,19 +310,90 @@ def _steps(times: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) - np.repeat(total - times, times)
 
 
+def _distinct(t: pa.Table) -> tuple[list[int], list[str]]:
+    """Vertices of a group, in order, and their texts."""
+    found = dict(zip(t.column("vertex").to_pylist(), t.column("text").to_pylist()))
+    return sorted(found), [found[v] for v in sorted(found)]
+
+
+def _large_clusters(large: DataFrame, loose: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that span the components within clusters of several blocks.
+
+    ``large`` has (root, blocks, mine, vertex, text).  The vertex with most loose links is the
+    centre; it goes to every block.  What is not linked to it meets all blocks, in blocks
+    of its own, so rows are copied as often as there are blocks of such vertices.
+    """
+    roots = large.select("root", "blocks").distinct()
+    ends = loose.select(F.col("a").alias("vertex")).unionAll(loose.select("b"))
+    degree = ends.groupBy("vertex").agg(F.count(F.lit(1)).alias("degree")).join(clusters, "vertex").join(roots, "root")
+    centres = degree.groupBy("root").agg(F.max(F.struct("degree", F.negative("vertex").alias("v"))).alias("c"))
+    centres = written(centres.select("root", F.negative(F.col("c.v")).alias("centre")), "cluster-centres")
+    found = large.join(centres, (large["vertex"] == centres["centre"])).select(large["root"], "vertex", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine"))
+    first = large.select("root", "mine", "vertex", "text", F.lit(False).alias("centre")).unionByName(found.withColumn("centre", F.lit(True)))
+
+    def near_centre(t: pa.Table) -> pa.Table:
+        middle = t.filter(t.column("centre"))
+        centre, text = middle.column("vertex")[0].as_py(), middle.column("text")[0].as_py()
+        vid, texts = _distinct(t)
+        sets = shingle_sets(pa.array([text, *texts], pa.large_string()), size)
+        linked = {int(k) for k in _Inverted(sets[1:]).linked(sets[0], percent)}
+        linked = {k for k in linked if vid[k] != centre and alike(text, texts[k], size, percent)}
+        rows = [(centre, v, k not in linked) for k, v in enumerate(vid) if v != centre]
+        a, b, left = zip(*rows) if rows else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "left": pa.array(left, pa.bool_())})
+
+    met = written(first.groupBy("root", "mine").applyInArrow(near_centre, "a long, b long, left boolean"), "centre-links")
+    links = met.filter("not left").select("a", "b")
+    left = written(met.filter("left").select(F.col("b").alias("vertex")), "unlinked")
+    if left.isEmpty():
+        return links
+    rest = large.join(left, "vertex")
+    # as many rows as the vertices left bring, a character being no shorter than its share of a shingle
+    shares = rest.groupBy("root").agg(F.ceil(F.sum(F.length("text")) / (4 * CLUSTER_BLOCK)).cast("int").alias("parts"))
+    shares = written(shares, "unlinked-sizes")
+    rest = rest.join(shares, "root").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "vertex"), F.col("parts")).cast("int"))
+    rest = rest.select("root", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine"), "vertex", "text", F.lit(True).alias("left"))
+    others = large.join(left.withColumn("own", F.lit(True)), "vertex", "left").join(shares, "root")
+    others = others.select(
+        "root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "mine", "vertex", "text", F.lit(False).alias("left"), F.col("own").isNull().alias("settled")
+    )
+    both = others.unionByName(rest.withColumn("settled", F.lit(False)))
+
+    def meet(t: pa.Table) -> pa.Table:
+        mine = t.filter(t.column("left"))
+        vid, text = _distinct(mine)
+        other = t.filter(pc.invert(t.column("left")))
+        ids, texts = _distinct(other)
+        settled = dict(zip(other.column("vertex").to_pylist(), other.column("settled").to_pylist()))
+        sets = shingle_sets(pa.array([*text, *texts], pa.large_string()), size)
+        index = _Inverted(sets[len(vid) :])
+        links = []
+        for k, v in enumerate(vid):
+            done = False  # one settled vertex stands for all of them
+            for x in index.linked(sets[k], percent).tolist():
+                if ids[x] == v or (done and settled[ids[x]]) or not alike(text[k], texts[x], size, percent):
+                    continue
+                done = done or settled[ids[x]]
+                links.append((v, ids[x]))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return links.unionAll(both.groupBy("root", "part", "mine").applyInArrow(meet, "a long, b long"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY
 ) -> DataFrame:
     """One row per document: (id, n_shingles, component_id, kept)."""
-    rows = written(sketches(docs, id_col, text_col, size), "sketches")
+    rows = written(sketches(docs, id_col, text_col, size, band_size(similarity)), "sketches")
     vertices = rows.filter("set_key is not null and id is not null").groupBy("set_key").agg(
         F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")
     )
     vertices = written(vertices.withColumn("vid", F.monotonically_increasing_id()), "vertices")
-    clusters = components(cluster_links(vertices))
+    loose = written(cluster_links(vertices, similarity), "loose-links")
+    clusters = components(loose)
     sizes = clusters.join(vertices.select(F.col("vid").alias("vertex"), "n"), "vertex").groupBy("root").agg(F.sum("n").alias("shingles"))
     dealt = (
-        clusters.join(sizes, "root")
+        clusters.join(written(sizes, "cluster-sizes"), "root")
         .withColumn("blocks", F.ceil(F.col("shingles") / CLUSTER_BLOCK).cast("int"))
         .withColumn("mine", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
         .join(vertices.select(F.col("vid").alias("vertex"), "id", "set_key"), "vertex")
@@ -266,33 +404,28 @@ def near_duplicates(
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.chunks(batches, "text"):
-            sets = shingle_sets(b.column("text"), size)
-            keys = b.column("set_key").to_pylist()
-            # Rows that repeat an id with another text are not the set that was meant.
-            right = [i for i, s in enumerate(sets) if len(s) and blake2b(s.tobytes(), digest_size=16).digest() == keys[i]]
+            # Rows that repeat an id with another text are not the one that was meant.
+            right = [i for i, (mine, key) in enumerate(zip(text_keys(b.column("text")), b.column("set_key").to_pylist())) if mine == key]
             at = pa.array(right, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c).take(at) for c in ("root", "blocks", "mine", "vertex")), pa.array([sets[i].tobytes() for i in right], pa.binary())],
-                ["root", "blocks", "mine", "vertex", "elements"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column(c).take(at) for c in names], names)
 
-    loaded = dealt.select("root", "blocks", "mine", "vertex", "set_key", "text").mapInArrow(
-        load, "root long, blocks int, mine int, vertex long, elements binary"
-    )
-    loaded = loaded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "vertex", "elements"
-    )
+    names = ["root", "blocks", "mine", "vertex", "text"]
+    loaded = dealt.select("root", "blocks", "mine", "vertex", "set_key", "text").mapInArrow(load, "root long, blocks int, mine int, vertex long, text string")
+    loaded = written(loaded, "cluster-texts")
+    percent = round(similarity * 100)
 
     def check(t: pa.Table) -> pa.Table:
-        sets: dict[int, np.ndarray] = {}
-        for v, raw in zip(t.column("vertex").to_pylist(), t.column("elements")):
-            if v not in sets:
-                sets[v] = np.frombuffer(raw.as_buffer(), _U)
-        order = sorted(sets)
-        links = _verify(np.array(order), [sets[v] for v in order], similarity)
+        """Spanning links of a whole cluster."""
+        vid, text = _distinct(t)
+        sets = shingle_sets(pa.array(text, pa.large_string()), size)
+        links = _verify(np.array(vid), sets, similarity, lambda x, y: alike(text[x], text[y], size, percent))
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    roots = components(loaded.groupBy("root", "i", "j").applyInArrow(check, "a long, b long"))
+    links = loaded.filter("blocks = 1").select("root", "vertex", "text").groupBy("root").applyInArrow(check, "a long, b long")
+    large = loaded.filter("blocks > 1")
+    if not large.isEmpty():
+        links = links.unionAll(_large_clusters(large, loose, clusters, size, percent))
+    roots = components(links)
     named = vertices.select("vid", "set_key", "id").join(roots, F.col("vid") == F.col("vertex"), "left").withColumn("root", F.coalesce("root", "vid"))
     lowest = named.groupBy("root").agg(F.min("id").alias("lowest"))
     named = named.join(lowest, "root").select("set_key", "lowest")

@@ -102,7 +102,7 @@ def op7_secrets(spark, sf):
 @query
 def op8_near_duplicates(spark, sf):
     """Near-duplicate class of each document."""
-    return near_duplicates.near_duplicates(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+    return near_duplicates.near_duplicates(table(spark, sf, "documents"), similarity=0.85).withColumnRenamed("id", "doc_id")
 
 
 @query

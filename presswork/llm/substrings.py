@@ -8,8 +8,9 @@ over it also starts in a document with a smaller id; windows are judged on the i
     ``GRAM``-word run, which neighbouring windows mostly share: equal windows have equal
     runs, so the estimate never falls below the window's own count, with a fraction of the
     insertions.
-2.  Only windows estimated to be in two documents are grouped, exactly, by their hash (96
-    bits): they are sorted by hash and id, and whatever follows the smallest id goes.
+2.  Only windows estimated to be in two documents are grouped: by their hash and, as hashes
+    of words may agree by chance, a cryptographic digest of their words (64 bits each).  They
+    are sorted by both and id, and whatever follows the smallest id goes.
     Windows that the sketch holds for frequent in many tasks are dealt out by hash and salt;
     the smallest ids of their salts meet in a second, small grouping.
 3.  Windows with a smaller id elsewhere go back to their documents, one array each.
@@ -26,6 +27,7 @@ others lose any; rows with one id are one document; an empty table gives an empt
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,13 @@ def _fingerprints(w: W.Words, length: int, gram: int) -> np.ndarray:
     return W.sliding_min(W.runs(w, gram), length - gram + 1)
 
 
+def _digests(w: W.Words, at: np.ndarray, length: int) -> np.ndarray:
+    """A digest of the ``length`` words from each of these words on."""
+    plain, starts, ends = w.plain
+    raw = b"".join(blake2b(plain[a:b], digest_size=8).digest() for a, b in zip(starts[at].tolist(), ends[at + length - 1].tolist()))
+    return np.frombuffer(raw, np.int64)
+
+
 def _owners(w: W.Words) -> np.ndarray:
     return np.repeat(np.arange(len(w.counts)), w.counts)
 
@@ -128,7 +137,7 @@ def sketch(texts: DataFrame, length: int, gram: int, slots: int = SLOTS_LOG2) ->
 
 
 def find_repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, slots: int) -> DataFrame:
-    """(id, hash) of windows that also start in a document with a smaller id."""
+    """(id, hash, more) of windows that also start in a document with a smaller id."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(
         F.col("id").isNotNull() & F.col("text").isNotNull()
     )
@@ -152,7 +161,7 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram:
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
             h, owner, fp = h[new], owner[new], fp[new]
-            more = (W.mix(fp + h) >> _U(32)).astype(np.uint32).view(np.int32)
+            more = _digests(w, at[order][new], length)
             salt = np.where(marked(ROWS, _slot(fp, 0, slots).astype(np.int64)), b.column("salt").to_numpy()[owner], 0)
             ids = b.column("id").take(pa.array(owner))
             for k in range(0, len(h), 100_000):
@@ -188,7 +197,7 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram:
                 )
 
     own = T.StructField("id", docs.schema[id_col].dataType)
-    window = [T.StructField("hash", T.LongType()), T.StructField("more", T.IntegerType())]
+    window = [T.StructField("hash", T.LongType()), T.StructField("more", T.LongType())]
     salted = rows.withColumn("salt", (F.pmod(F.xxhash64("id"), F.lit(SALTS)) + 1).cast("byte"))
     picked = salted.mapInArrow(pick, T.StructType([own, *window, T.StructField("salt", T.ByteType())]))
     dealt = picked.repartition("hash", "more", "salt").sortWithinPartitions("hash", "more", "salt", "id")
@@ -196,7 +205,7 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram:
     leads = found.filter("lead").drop("lead")
     firsts = leads.groupBy("hash", "more").agg(F.min("id").alias("first"))
     later = leads.join(firsts, ["hash", "more"]).filter("id > first")
-    return found.filter("not lead").select("id", "hash").unionAll(later.select("id", "hash"))
+    return found.filter("not lead").select("id", "hash", "more").unionAll(later.select("id", "hash", "more"))
 
 
 def remove_repeats(
@@ -209,23 +218,24 @@ def remove_repeats(
 ) -> DataFrame:
     """One row per document: (id, n_words, n_removed, kept_text), kept words joined by blanks."""
     repeats = find_repeats(docs, id_col, text_col, length, gram, slots)
-    gone = repeats.groupBy(F.col("id").alias("_id")).agg(F.collect_list("hash").alias("hashes"))
+    gone = repeats.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("hash", "more")).alias("windows"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(gone, F.col("id") == F.col("_id"), "left").select("id", "text", "hashes")
+    rows = rows.join(gone, F.col("id") == F.col("_id"), "left").select("id", "text", "windows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.chunks(batches, "text"):
             w = W.split(b.column("text"), W.NON_SPACE)
-            n = len(w.hashes)
-            lists = b.column("hashes")
+            n = len(w.starts)
+            lists = b.column("windows")
             at = np.flatnonzero(W.whole(w, length))
             gone = np.zeros(n + 1, np.int64)
             if lists.null_count < len(lists) and len(at):
                 h, owner = W.runs(w, length)[at], _owners(w)[at]
                 first, last = np.searchsorted(owner, np.arange(len(lists))), np.searchsorted(owner, np.arange(len(lists)), "right")
                 for i in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)):
-                    bad = lists[int(i)].values.to_numpy(zero_copy_only=False).view(_U)
-                    s = at[first[i] : last[i]][np.isin(h[first[i] : last[i]], bad)]
+                    bad, digests = (lists[int(i)].values.field(c).to_numpy(zero_copy_only=False) for c in ("hash", "more"))
+                    s = at[first[i] : last[i]][np.isin(h[first[i] : last[i]], bad.view(_U))]
+                    s = s[np.isin(_digests(w, s, length), digests)]  # the words decide
                     gone[s] += 1
                     gone[s + length] -= 1
             removed = np.cumsum(gone)[:n] > 0

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,14 @@ import pyarrow as pa
 CHUNK_BYTES = 4 << 20
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 5
-_powers: tuple[np.ndarray, np.ndarray] | None = None
+#: Hashes of words are polynomials modulo a prime, for two random bases.
+_PRIME, _BITS = _U(2**31 - 1), _U(31)
+_random = np.random.default_rng(0x77A1D5)
+_BASES = [int(x) for x in _random.integers(2**20, 2**31 - 2, 2)]
+_LETTERS = _random.permutation(np.arange(1, 2**31 - 1, (2**31 - 2) // 256, dtype=_U))[:256]
+#: Bytes that one running sum goes over.
+_STRETCH = 1 << 18
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,22 +38,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least ``n`` of them."""
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        n = max(n, 1 << 16)
-        both = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(n, _U(base & (2**64 - 1)))
-            p[0] = _U(1)
-            both.append(np.multiply.accumulate(p))
-        _powers = (both[0], both[1])
+def _tables() -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of each base and of its inverse."""
+    if not _powers:
+        prime = int(_PRIME)
+        for base in _BASES:
+            both = []
+            for b in (base, pow(base, -1, prime)):
+                p = np.ones(1, _U)
+                while len(p) < _STRETCH:
+                    p = np.concatenate([p, p * _U(pow(b, len(p), prime)) % _PRIME])
+                both.append(p)
+            _powers.append((both[0], both[1]))
     return _powers
 
 
+def _part(x: np.ndarray) -> np.ndarray:
+    """A smaller number with the same remainder."""
+    return (x & _PRIME) + (x >> _BITS)
+
+
 def _byte_table(lower: bool) -> np.ndarray:
-    table = mix(np.arange(1, 257, dtype=_U) * _U(0xD1342543DE82EF95))
+    table = _LETTERS.copy()
     if lower:
         table[65:91] = table[97:123]
     return table
@@ -71,7 +84,30 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     offsets: np.ndarray
-    hashes: np.ndarray
+    lower: bool = False
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return _hashes(self.data, self.starts, self.ends, self.lower)
+
+    @cached_property
+    def plain(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All words, each followed by one blank, and where each begins and ends.
+
+        The words ``i`` to ``j`` joined by blanks are ``plain[starts[i]:ends[j]]`` if they are
+        of one text; words of a ``lower`` split have no capitals from A to Z.
+        """
+        size = self.ends - self.starts
+        inside = np.zeros(len(self.data) + 1, np.int8)
+        inside[self.starts] += 1
+        inside[self.ends] -= 1
+        letters = self.data[np.cumsum(inside[:-1]).astype(bool)]
+        if self.lower:
+            letters = np.where((letters >= 65) & (letters < 91), letters + 32, letters).astype(np.uint8)
+        out = np.full(len(letters) + len(size), 32, np.uint8)
+        out[np.arange(len(letters)) + np.repeat(np.arange(len(size)), size)] = letters
+        ends = np.cumsum(size + 1) - 1
+        return out.tobytes(), ends - size, ends
 
     @property
     def counts(self) -> np.ndarray:
@@ -126,29 +162,51 @@ def split(texts: pa.Array, kind: np.ndarray, lower: bool = False) -> Words:
         after[at[1:][at[1:] > 0] - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    return Words(data, starts, ends, np.searchsorted(starts, at), _hashes(data, starts, ends, lower))
+    return Words(data, starts, ends, np.searchsorted(starts, at), lower)
 
 
 def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """A polynomial hash of each word, from running sums over stretches of the bytes."""
+    """A hash of each word; two words agree by chance, whatever they are made of.
+
+    The remainders come from running sums over stretches of the bytes; a longer word is put
+    together from several.
+    """
     out = np.empty(len(starts), _U)
     table, first = _byte_table(lower), 0
     while first < len(starts):
         begin = starts[first]
-        last = max(first + 1, int(np.searchsorted(ends, begin + (1 << 18), "right")))
-        piece = data[begin : ends[last - 1]]
-        up, down = _tables(len(piece) + 1)
-        sums = np.zeros(len(piece) + 1, _U)
-        np.cumsum(table[piece] * up[: len(piece)], out=sums[1:])
+        last = int(np.searchsorted(ends, begin + _STRETCH, "right"))
+        if last <= first:
+            out[first] = _long_hash(table, data[begin : ends[first]])
+            first += 1
+            continue
+        letters = table[data[begin : ends[last - 1]]]
         s, e = starts[first:last] - begin, ends[first:last] - begin
-        out[first:last] = (sums[e] - sums[s]) * down[s] + (e - s).astype(_U) * _U(0xA24BAED4963EE407)
+        both = []
+        for up, down in _tables():
+            sums = np.zeros(len(letters) + 1, _U)
+            np.cumsum(_part(letters * up[: len(letters)]), out=sums[1:])
+            rest = _part(_part(_part(sums[e] - sums[s]) * down[s]))
+            both.append(np.where(rest >= _PRIME, rest - _PRIME, rest))
+        out[first:last] = both[0] | (both[1] << _BITS)
         first = last
-    return mix(out)
+    return mix(out + (ends - starts).astype(_U) * _U(0xA24BAED4963EE407))
+
+
+def _long_hash(table: np.ndarray, word: np.ndarray) -> int:
+    prime, both = int(_PRIME), []
+    for base, (up, _) in zip(_BASES, _tables()):
+        rest = 0
+        for k in range(0, len(word), _STRETCH):
+            letters = table[word[k : k + _STRETCH]]
+            rest += int(_part(letters * up[: len(letters)]).sum()) * pow(base, k, prime)
+        both.append(rest % prime)
+    return both[0] | (both[1] << 31)
 
 
 def runs(words: Words, length: int) -> np.ndarray:
     """Hash of the ``length`` words from each word on; those that leave their text are junk."""
-    h, n = words.hashes, len(words.hashes)
+    h, n = words.hashes, len(words.starts)
     out = np.zeros(n, _U)
     m = n - length + 1
     if m > 0:

@@ -238,3 +238,90 @@ def test_decontamination(spark, odd, nothing):
 def test_digests_are_of_the_kept_text(spark):
     row = substrings.remove_repeats(spark.createDataFrame([(1, " a  b\n")], "doc_id long, text string")).first()
     assert hashlib.sha256(row["kept_text"].encode()).hexdigest() == hashlib.sha256(b"a b").hexdigest()
+
+
+def colliding_words():
+    """Two words of 1,024 letters that any polynomial hash modulo a power of two takes for one."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    x, y = colliding_words()
+    w = words.split(pa.array([f"{x} {y}"]), words.NON_SPACE)
+    assert w.hashes[0] != w.hashes[1]
+    rest = [f"r{k}" for k in range(12)]
+    rows = [(1, " ".join([x, *rest]), None), (2, " ".join([y, *rest]), None), (3, x, None), (4, y, None)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    assert result_near(near_duplicates.near_duplicates(df)) == brute_near(rows)
+    assert sorted(tuple(r) for r in substrings.remove_repeats(df, slots=10).collect()) == brute_substrings(rows)
+
+
+def test_long_words_are_hashed_piece_by_piece(monkeypatch):
+    texts = ["ab" * 500, "ab" * 500 + "a", "x", "b" + "ab" * 500]
+    whole = words.split(pa.array(texts), words.NON_SPACE).hashes.tolist()
+    monkeypatch.setattr(words, "_STRETCH", 64)
+    assert words.split(pa.array(texts), words.NON_SPACE).hashes.tolist() == whole and len(set(whole)) == 4
+
+
+def test_plain_words():
+    w = words.split(pa.array(["A  b\n", None, "", "Ünï\tÇ x", "Z"]), words.NON_SPACE, lower=True)
+    plain, starts, ends = w.plain
+    assert plain.decode() == "a b Ünï Ç x z " and [plain[a:b].decode() for a, b in zip(starts, ends)] == ["a", "b", "Ünï", "Ç", "x", "z"]
+
+
+def test_results_do_not_rest_on_the_hash(spark, odd, monkeypatch):
+    """With hashes that agree all the time the words still decide what is linked and what goes."""
+    w = words.split(pa.array(["a b c d e f", "a b c d e g", "q w e r t y"]), words.NON_SPACE)
+    assert not near_duplicates.alike("a b c d e f", "q w e r t y", 5, 85) and near_duplicates.alike("A b c", "a  B c", 5, 85)
+    sets = [np.array([1, 2], np.uint64)] * 3
+    texts = ["a b c d e f", "a b c d e f", "q w e r t y"]
+    links = near_duplicates._verify(np.array([7, 8, 9]), sets, 0.85, lambda x, y: near_duplicates.alike(texts[x], texts[y], 5, 85))
+    assert {frozenset(x) for x in links} == {frozenset((7, 8))} and len(w.starts) == 18
+
+
+@pytest.mark.parametrize("similarity", [0.45, 0.6, 0.8, 0.85, 0.95])
+def test_links_at_any_similarity_are_found(spark, similarity):
+    """Pairs just above the threshold among documents that only give company."""
+    rng = random.Random(int(100 * similarity))
+    rows, n = [], 200
+    for k in range(80):
+        base = [f"p{k}w{i}" for i in range(n + 4)]
+        # d changed words at distances of five or more cost five shingles each
+        d = max(d for d in range(1, 40) if (n - 5 * d) / (n + 5 * d) >= similarity + 0.001)
+        other = list(base)
+        for i in range(d):
+            other[4 + 5 * i] = f"x{k}y{i}"
+        rows += [(2 * k, " ".join(base), None), (2 * k + 1, " ".join(other), None)]
+    rows += [(1000 + k, prose(rng, 150), None) for k in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in near_duplicates.near_duplicates(df, similarity=similarity).collect()}
+    found = sum(got[2 * k + 1] == 2 * k for k in range(80))
+    assert found >= 0.97 * 80
+    assert all(got[1000 + k] == 1000 + k for k in range(60))
+
+
+def test_similarities_that_cannot_be_found_are_refused(spark, nothing):
+    with pytest.raises(ValueError):
+        near_duplicates.near_duplicates(nothing, similarity=0.1)
+
+
+@pytest.mark.parametrize("block", [150, 1000])
+def test_large_clusters_by_their_centre(spark, monkeypatch, block):
+    """Chains and stars in clusters of many blocks: members far from the centre meet all others."""
+    monkeypatch.setattr(near_duplicates, "CLUSTER_BLOCK", block)
+    rng = random.Random(block)
+    base = [f"w{i}" for i in range(90)]
+    rows, texts = [], [base]
+    for i in range(70):
+        t = list(rng.choice(texts[-6:] if i % 3 else texts))
+        for _ in range(rng.randint(0, 2)):
+            t[rng.randrange(len(t))] = f"e{i}{rng.randrange(99)}"
+        texts.append(t)
+    rows = [(i, " ".join(t), None) for i, t in enumerate(texts)] + [(3, "other words under an id that is there", None)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4)
+    want = {r[0]: r[2] for r in brute_near(rows[:-1])}
+    got = {(r["id"], r["n_shingles"]): r["component_id"] for r in near_duplicates.near_duplicates(df).collect()}
+    assert {i: c for (i, n), c in got.items() if n > 20} == want and len(set(want.values())) > 1
