@@ -10,6 +10,8 @@ from presswork.session import written
 
 #: Documents that score less are rejected.
 LEAST_QUALITY = 0.3
+#: Documents that share this part of their five-word shingles are near-duplicates.
+SIMILARITY = 0.8
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that share an id stand or fall together; of rows alike in everything one stays.
     """
-    found = near_duplicates.near_duplicates(docs)
+    found = near_duplicates.near_duplicates(docs, similarity=SIMILARITY)
     gone = written(found.filter(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct(), "near-copies")
     repeated = written(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
