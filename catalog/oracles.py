@@ -519,6 +519,29 @@ left_over AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY CASE pro
 fs AS (SELECT * FROM m1 UNION ALL
    SELECT gap.doc_id, gap.sector, gap.url, new_url, provider, k FROM gap JOIN left_over l ON l.sector = gap.sector AND gap.want = 'any' AND l.r2 = gap.g)""")
 add("fill_slots", FILL + "SELECT doc_id, sector, url, new_url, new_provider FROM fs")
+# gaps of the sector General choose one after the other
+add("fill_slots_general", with_(ARTICLES, SRC, SHOWN, f"""
+dk AS (SELECT doc_id, CASE WHEN doc_id % 8 < 3 THEN 'General' ELSE sector END AS sector, url, k IS NOT NULL AND doc_id % 3 <> 0 AS accepted,
+   array_to_string((string_split(title, ' '))[1:2], ' ') AS title,
+   CASE doc_id % 3 WHEN 0 THEN ['newsapi'] WHEN 1 THEN ['gnews'] ELSE ['newsapi', 'gnews'] END AS want FROM art JOIN sh USING (doc_id)),
+gap AS (SELECT *, trim({padded('title')}) AS term, row_number() OVER (ORDER BY doc_id) AS turn FROM dk WHERE sector = 'General' AND NOT accepted AND title <> ''),
+fl AS (SELECT doc_id, 3 AS weight, string_split(trim({padded('title')}), ' ') AS w FROM art UNION ALL SELECT doc_id, 2, string_split(trim({padded('description')}), ' ') FROM art
+  UNION ALL SELECT doc_id, 1, string_split(trim({padded('content')}), ' ') FROM art),
+sz AS (SELECT DISTINCT len(string_split(term, ' ')) AS n FROM gap WHERE term <> ''),
+gr AS (SELECT DISTINCT doc_id, weight, array_to_string(w[s:s + n - 1], ' ') AS term
+  FROM (SELECT doc_id, weight, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM fl, sz WHERE len(w) >= n)
+  WHERE array_to_string(w[s:s + n - 1], ' ') IN (SELECT term FROM gap)),
+hit AS (SELECT turn, gr.doc_id AS c, sum(weight) AS score FROM gap JOIN gr USING (term) GROUP BY turn, gr.doc_id),
+best AS (SELECT hit.turn, provider, art.url || '#alt' AS new_url, sh.k, row_number() OVER (PARTITION BY hit.turn, provider ORDER BY score DESC, provider_rank) AS r
+  FROM hit JOIN art ON art.doc_id = c JOIN sh ON sh.doc_id = c QUALIFY r <= 5),
+ok AS (SELECT best.turn, provider, new_url, r FROM best JOIN gap USING (turn) WHERE best.k IS NOT NULL AND list_contains(want, provider)
+  AND NOT EXISTS (SELECT 1 FROM dk WHERE dk.sector = 'General' AND dk.url = new_url)),
+wish AS (SELECT turn, list(new_url ORDER BY provider DESC, r) AS urls, list(provider ORDER BY provider DESC, r) AS providers FROM ok GROUP BY turn)""").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+each AS (SELECT gap.turn, coalesce(urls, []) AS urls FROM gap LEFT JOIN wish USING (turn)),
+go(turn, used, pick) AS (SELECT 0::BIGINT, []::VARCHAR[], NULL::VARCHAR UNION ALL
+  SELECT each.turn, CASE WHEN p IS NULL THEN used ELSE list_append(used, p) END, p
+  FROM (SELECT go.turn + 1 AS next, used FROM go) g JOIN each ON each.turn = g.next, LATERAL (SELECT list_filter(each.urls, lambda u: NOT list_contains(used, u))[1] AS p))
+SELECT doc_id, sector, url, pick AS new_url, providers[list_position(urls, pick)] AS new_provider FROM go JOIN gap USING (turn) JOIN wish USING (turn) WHERE pick IS NOT NULL""")
 add("digest_summary", with_(ARTICLES, DEDUP, top(5), """
 comb AS (SELECT sector, string_agg(CASE WHEN coalesce(description, '') <> '' THEN description ELSE content END, chr(10) ORDER BY deck_pos) AS content
   FROM top WHERE coalesce(description, '') <> '' OR content <> '' GROUP BY sector),
@@ -547,6 +570,12 @@ SELECT page_id, url, {strip(unescape(untag(r"regexp_extract(html, '(?is)<title\b
   regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS source_name,
   CASE WHEN regexp_extract(html, '(?is)<html\b[^>]*\blang\s*=\s*"([^"]*)"', 1) = '' THEN 'en' ELSE regexp_extract(html, '(?is)<html\b[^>]*\blang\s*=\s*"([^"]*)"', 1) END AS lang,
   '' AS description FROM pt""")
+add("page_metadata", r"""
+SELECT doc_id, 'http://s.example/A' || doc_id AS url, 'T A' || doc_id AS title,
+  trim(regexp_replace(translate(substr(text, 1, 200), '<>&' || chr(10), '    ') || 'inner end', '\s+', ' ', 'g')) AS content,
+  CASE WHEN doc_id % 5 = 4 THEN '' ELSE 'about ' || source || ' A' || doc_id END AS description, 's.example' AS source_name,
+  CASE WHEN doc_id % 5 = 4 THEN 'en' ELSE 'fr' END AS lang, '2024-01-02' AS published_raw, 'A' || doc_id || ' & co' AS authors,
+  'x|A' || doc_id || '|y' AS keywords, 'http://i/A' || doc_id || '?a=b' AS image_url FROM documents""")
 NEWSAPI = """
 na AS (SELECT doc_id // 10 AS request_id, CAST(doc_id % 10 AS BIGINT) AS provider_rank, url, title, published_raw, source_name, doc_id, content, description
   FROM art WHERE (doc_id // 10) % 7 <> 0)"""
@@ -575,6 +604,11 @@ SELECT request_id, provider_rank, company || ' - ' || filing_type AS title, 'htt
 add("read_snapshots", A + """
 SELECT sector, url, row_number() OVER (PARTITION BY sector, snapshot_ts ORDER BY doc_id) - 1 AS provider_rank, source_name, title,
   strftime(published_ts, '%Y-%m-%d %H:%M:%S') AS published, strftime(snapshot_ts, '%Y-%m-%d') AS snapshot_day FROM art""")
+add("bad_snapshots", A + """
+SELECT sector AS file, CASE WHEN sector IN ('S3', 'S5', 'S6') THEN 1 ELSE count(*) END AS n,
+  CASE sector WHEN 'S3' THEN 'unreadable' WHEN 'S5' THEN 'empty' WHEN 'S6' THEN 'no sector' ELSE 'read' END AS reason FROM art GROUP BY sector""")
+add("stream_bad_snapshots", A + """
+SELECT DISTINCT sector AS file, CASE sector WHEN 'S3' THEN 'unreadable' ELSE 'no sector' END AS reason FROM art WHERE sector IN ('S3', 'S6')""")
 add("write_snapshot", A + """
 SELECT doc_id, sector, strftime(published_ts, '%Y-%m-01') AS snapshot_day FROM art
 WHERE NOT (sector IN ('S0', 'S1') AND published_ts < TIMESTAMP '2024-02-01' AND doc_id % 16 >= 8)""")

@@ -567,6 +567,17 @@ def fill_slots(spark, sf):
     return out.select("doc_id", "sector", "url", "new_url", "new_provider")
 
 
+@query
+def fill_slots_general(spark, sf):
+    """A deck with the sector General, whose gaps are searched by their titles."""
+    rows = cards.with_display_content(deck_rows(spark, sf).withColumn("sector", F.when(F.col("doc_id") % 8 < 3, "General").otherwise(F.col("sector"))), T.BOILERPLATE)
+    # a third of the cards are rejected; titles are cut, so that several articles hold them
+    rows = rows.withColumns({"accepted": F.col("accepted") & (F.col("doc_id") % 3 != 0), "title": F.array_join(F.slice(F.split("title", " "), 1, 2), " ")})
+    cands = articles(spark, sf).withColumnRenamed("description", "summary").select("sector", "provider", "provider_rank", F.concat("url", F.lit("#alt")).alias("url"), "title", "summary", "content")
+    out = deck.fill_slots(rows, cands, ORDER, phrases=T.BOILERPLATE)
+    return out.filter("sector = 'General'").select("doc_id", "sector", "url", "new_url", "new_provider")
+
+
 @query
 def digest_summary(spark, sf):
     rows = selection.top_per_sector(selection.dedup_by_url(articles(spark, sf)), 5)
@@ -609,6 +620,28 @@ def normalize_pages(spark, sf):
     return pages.normalize_pages(page_table(spark, sf)).select("page_id", "url", "title", "content", "source_name", "lang", "description")
 
 
+@query
+def page_metadata(spark, sf):
+    """Heads in all orders and quotings, and pages of two articles, around the documents' words."""
+    k, a = F.col("doc_id") % 5, F.concat(F.lit("A"), F.col("doc_id").cast("string"))
+    about = F.concat_ws(" ", F.lit("about"), F.col("source"), a)
+    tag = lambda form: F.format_string(form, about)
+    description = (
+        F.when(k == 0, tag("<meta name=\"description\" content=\"%s\">")).when(k == 1, tag("<META content='%s' NAME='Description' />"))
+        .when(k == 2, tag("<meta content=\"%s\"\n property=og:description>")).when(k == 3, tag("<!-- <meta name=description content=no> --><meta data-x='a>b' name = description content = '%s' content=no>"))
+        .otherwise(F.lit("<meta name=description>"))
+    )
+    lang = F.when(k == 0, " lang=\"fr\"").when(k == 1, " lang='fr'").when(k == 2, " xml:lang=fr").when(k == 3, " class=x LANG = \"fr\"").otherwise("")
+    rest = F.format_string("<meta content='%s &amp; co' name=author><meta property=article:published_time content=2024-01-02><meta name='keywords' content=\"x, %s ,, y\"><meta content=http://i/%s?a=b property='og:image'>", a, a, a)
+    body = F.concat(F.lit("<article>short</article><nav>skip</nav><article id='a>b'>"), F.translate(F.substring("text", 1, 200), "<>&\n", "    "), F.lit("<article>inner</article> end</article><p>after</p>"))
+    html = F.concat(F.lit("<html"), lang, F.lit("><head><title>T "), a, F.lit("</title>"), description, rest, F.lit("</head><body>"), body, F.lit("</body></html>"))
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat(F.lit("http://s.example/"), a).alias("url"), html.alias("html"))
+    out = pages.normalize_pages(rows)
+    return out.select(
+        "doc_id", "url", "title", F.regexp_replace("content", r"\s+", " ").alias("content"), "description", "source_name", "lang", "published_raw", joined("authors").alias("authors"), joined("keywords").alias("keywords"), "image_url"
+    )
+
+
 def _request(col):
     return F.floor(F.col(col) / 10).cast("long").alias("request_id")
 
@@ -696,6 +729,40 @@ def read_snapshots(spark, sf):
     return rows.select("sector", "url", "provider_rank", "source_name", "title", F.date_format("published_ts", "yyyy-MM-dd HH:mm:ss").alias("published"), F.date_format("snapshot_date", "yyyy-MM-dd").alias("snapshot_day"))
 
 
+def odd_snapshot_files(spark, sf, path):
+    """One snapshot file per sector: that of S3 cut off, that of S5 blank, that of S6 without its sector."""
+    art = F.struct(F.col("title"), F.col("url"), F.col("published_raw").alias("publishedAt"))
+    rows = articles(spark, sf).groupBy("sector").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", art.alias("a")))), lambda x: x.a).alias("articles"))
+    whole = F.to_json(F.struct(F.col("sector").alias("query"), F.lit("2024-06-01T00:00:00").alias("date"), "articles"))
+    nameless = F.to_json(F.struct(F.lit("2024-06-01T00:00:00").alias("date"), "articles"))
+    body = (
+        F.when(F.col("sector") == "S3", F.left(whole, F.length(whole) - 20)).when(F.col("sector") == "S5", F.lit(" "))
+        .when(F.col("sector") == "S6", nameless).otherwise(whole)
+    )
+    rows.select(body.alias("value"), F.col("sector").alias("file")).write.partitionBy("file").text(path)
+
+
+def _of_file(rows):
+    return rows.withColumn("file", F.regexp_extract("snapshot_file", "file=(S[0-9])", 1))
+
+
+@query
+def bad_snapshots(spark, sf):
+    path = scratch_path(spark, "odd-snapshots")
+    odd_snapshot_files(spark, sf, path)
+    good = _of_file(snapshots.read_snapshots(spark, path)).groupBy("file").agg(F.count("url").alias("n")).withColumn("reason", F.lit("read"))
+    bad = _of_file(snapshots.bad_snapshots(spark, path)).groupBy("file", "reason").agg(F.count("*").alias("n"))
+    return good.unionByName(bad)
+
+
+@query
+def stream_bad_snapshots(spark, sf):
+    path = scratch_path(spark, "odd-snapshot-stream")
+    odd_snapshot_files(spark, sf, path)
+    bad = jobs.drain(spark, snapshots.stream_bad_snapshots(spark, path), "bad-snapshots")
+    return _of_file(bad).select("file", "reason")
+
+
 @query
 def write_snapshot(spark, sf):
     # the second write replaces two of the partitions, the third writes nothing

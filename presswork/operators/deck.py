@@ -12,7 +12,7 @@ from ..session import written
 from ..functions.core import text_or_empty
 from . import digests
 from .numbering import number_within
-from .selection import first_per
+from .selection import first_per, search_articles
 
 DECK_ORDER = ["deck_pos"]
 
@@ -133,7 +133,14 @@ def fill_slots(
     taking the next candidate.  The remaining gaps take what is left, NewsAPI before
     GNews.  A pool is at most twice ``per_provider``, so no more gaps than that are
     numbered per sector, and the rest stay empty.
+
+    The sector 'general' says nothing to search for: its gaps are filled by ``fill_by_title``
+    if both tables have titles.
     """
+    if "title" in deck.columns and "title" in candidates.columns:
+        general = F.lower(F.coalesce("sector", F.lit("General"))) == "general"
+        rest = fill_slots(deck.filter(~general).drop("title"), candidates, order, cand_order, per_provider, phrases)
+        return rest.unionByName(fill_by_title(deck.filter(general), candidates, order, cand_order, per_provider, phrases))
     pool_size = 2 * per_provider
     # --- pools: bounded per (sector, provider) before anything is compared
     pool = first_per(candidates, ["sector", "provider"], list(cand_order), per_provider)
@@ -183,6 +190,68 @@ def fill_slots(
     )
 
 
+def fill_by_title(
+    deck: DataFrame,
+    candidates: DataFrame,
+    order: list[str] = DECK_ORDER,
+    cand_order: tuple[str, ...] = ("provider_rank",),
+    per_provider: int = params.REPLACEMENTS_PER_PROVIDER,
+    phrases=params.BOILERPLATE,
+) -> DataFrame:
+    """Replacement for each rejected article, found by the article's own title.
+
+    The title is searched as a phrase among all candidates (title, summary and content, as
+    ``search_articles`` scores them); each provider gives its ``per_provider`` best hits, and
+    of these links of the sector's deck and articles unfit for a card are passed over.  Gaps
+    take their turn in deck order: each takes the first of its hits, NewsAPI's before
+    GNews's, that no earlier gap has taken.  A gap without a title finds nothing.
+    """
+    source = F.lower(text_or_empty("source"))
+    providers = (
+        F.when(source.contains("gnews"), F.array(F.lit("newsapi")))
+        .when(source.contains("newsapi"), F.array(F.lit("gnews")))
+        .otherwise(F.array(F.lit("newsapi"), F.lit("gnews")))
+    )
+    gaps = deck.filter(~F.col("accepted") & (text_or_empty("title") != ""))
+    gaps = written(gaps.select("sector", "url", "title", *order, providers.alias("_providers")).withColumn("_gap", F.monotonically_increasing_id()), "gaps")
+    searches = gaps.select(F.col("_gap").cast("string").alias("sector"), F.lit(0).alias("query_idx"), F.concat(F.lit('"'), "title", F.lit('"')).alias("query"))
+    found = candidates.select("provider", "url", "title", "summary", "content", *cand_order).withColumn("description", F.col("summary"))
+    hits = search_articles(found, searches).select(
+        F.col("sector").cast("long").alias("_gap"), "provider", F.col("url").alias("new_url"), "score", *cand_order,
+        X.display_content("summary", "content", phrases).alias("new_content"),
+    )
+    # a provider's answer is what it ranks first, whether it can be used or not
+    answers = first_per(hits, ["_gap", "provider"], [F.desc("score"), *cand_order, "new_url"], per_provider, out="_rank")
+    answers = answers.join(gaps.select("_gap", "_providers", F.col("sector").alias("_s"), F.struct(*order).alias("_turn")), "_gap")
+    answers = answers.filter(F.array_contains("_providers", F.col("provider")) & F.col("new_content").isNotNull() & F.col("new_url").isNotNull())
+    used = deck.select(F.col("sector").alias("_s2"), F.col("url").alias("_u")).filter("_u is not null").distinct()
+    answers = answers.join(used, F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("new_url") == F.col("_u")), "left_anti")
+    place = F.struct(F.when(F.col("provider") == "newsapi", 0).otherwise(1).alias("p"), F.col("_rank").alias("r"))
+    answers = written(answers.select("_gap", "_s", "_turn", place.alias("_place"), "new_url", F.col("provider").alias("new_provider"), "new_content"), "answers")
+    taken = take_turns(answers.select("_gap", "_s", "_turn", "_place", "new_url"))
+    chosen = answers.join(taken.select("_gap", "_place"), ["_gap", "_place"]).select("_gap", "new_url", "new_provider", "new_content")
+    return gaps.join(chosen, "_gap").select("sector", "url", *order, "new_url", "new_provider", "new_content")
+
+
+def take_turns(wishes: DataFrame) -> DataFrame:
+    """(_gap, _place) that each gap gets when gaps choose one after the other, by ``_turn``.
+
+    ``wishes`` has (_gap, _s, _turn, _place, new_url), unique within (_gap, _place); a link is
+    given once per ``_s``.  In each round every gap asks for its first wish that has not been
+    refused, and of those who ask for one link all but the earliest are refused it.  A
+    refusal is final, as earlier gaps only come to a link and never leave it to a later
+    one; without refusals everybody has what they would have chosen in turn.
+    """
+    left = wishes
+    while True:
+        asked = written(first_per(left, ["_gap"], ["_place"]), "asked")
+        first = first_per(asked, ["_s", "new_url"], ["_turn", "_gap"])
+        refused = written(asked.join(first.select("_gap", "_place"), ["_gap", "_place"], "left_anti").select("_gap", "_place"), "refused")
+        if refused.isEmpty():
+            return asked.select("_gap", "_place")
+        left = written(left.join(refused, ["_gap", "_place"], "left_anti"), "wishes")
+
+
 # --------------------------------------------------------------------------- summary slide
 
 

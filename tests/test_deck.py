@@ -152,3 +152,47 @@ def test_preview(spark):
     got = preview_plan.preview(rows, cards.default_sector_meta(spark)).collect()
     assert len(got) == 1
     assert (got[0].preview_title, got[0].sector_icon, got[0].heading) == ("T", "📦", "Supply Chain Sector (1 articles)")
+
+
+def turns_model(rows, cands):
+    """Gaps of 'General' one after the other: each takes its first hit that nobody has."""
+    taken, out = {(r[1], r[2]) for r in rows}, {}
+    for r in sorted(rows):
+        if r[1].lower() != "general" or r[7] != BAD or not r[3]:
+            continue
+        source = r[4].lower()
+        wanted = ["newsapi"] if "gnews" in source else ["gnews"] if "newsapi" in source else ["newsapi", "gnews"]
+        for p in wanted:
+            holds = lambda c: [w for w, text in ((3, c[6]), (2, c[4]), (1, c[5])) if f" {r[3]} " in f" {text.replace('.', ' . ')} "]
+            hits = sorted((c for c in cands if c[1] == p and holds(c)), key=lambda c: (-sum(holds(c)), c[2], c[3]))[:5]
+            free = [c[3] for c in hits if (r[1], c[3]) not in taken and c[5] == GOOD]
+            if free:
+                out[r[0]] = free[0]
+                taken.add((r[1], free[0]))
+                break
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_general_gaps_are_searched_by_title(spark, seed):
+    rng = random.Random(seed)
+    words = ["oil", "gas", "oil gas", "sentence"]
+    rows = [(i, rng.choice(["General", "general", "A"]), f"n{i}" if i % 5 else f"c{i}", rng.choice([*words, ""]), rng.choice(["GNews x", "newsapi", "BBC"]), "2025", "", rng.choice([GOOD, BAD, BAD]), None) for i in range(40)]
+    cands = [(rng.choice("AB"), p, k % 7, rng.choice([f"c{k}", f"{p}{k}"]), rng.choice(["", "gas", "oil gas now"]), rng.choice([GOOD, GOOD, BAD]), rng.choice(["oil", "gas oil gas", "", "sentence"])) for p in ("newsapi", "gnews") for k in range(14)]
+    df = cards.with_display_content(spark.createDataFrame(rows, SCHEMA))
+    cdf = spark.createDataFrame(cands, "sector string, provider string, provider_rank int, url string, summary string, content string, title string").repartition(3)
+    general = {r[0] for r in rows if r[1] != "A"}
+    filled = deck.fill_slots(df, cdf).collect()
+    assert {r.deck_pos: r.new_url for r in filled if r.deck_pos in general} == turns_model(rows, cands)
+    assert {r.deck_pos for r in filled} - general == set(fill_model([r for r in rows if r[1] == "A"], cands))
+
+
+def test_turns_that_push_each_other_along(spark):
+    """Each gap wants what the one before it gets: refusals go through the whole chain."""
+    wishes = [(i, "s", i, j, f"u{i - 1 + j}") for i in range(12) for j in range(2)] + [(50, "t", 1, 0, "u0"), (51, "t", 0, 0, "u0")]
+    df = spark.createDataFrame(wishes, "_gap long, _s string, _turn int, _place int, new_url string")
+    got = {(r["_gap"], r["_place"]) for r in deck.take_turns(df).collect()}
+    assert got == {(i, 0) for i in range(12)} | {(51, 0)}
+    again = [(i, "s", i, j, f"u{j}") for i in range(6) for j in range(4)]
+    got = {(r["_gap"], r["_place"]) for r in deck.take_turns(spark.createDataFrame(again, df.schema)).collect()}
+    assert got == {(i, i) for i in range(4)}

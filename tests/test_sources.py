@@ -174,3 +174,70 @@ def test_landed_rows_feed_the_digest(spark, folder, tmp_path):
     archive.write_archive(landed.withColumnRenamed("source_name", "source"), "newsapi", str(tmp_path / "a"), now())
     back = articles.to_articles(archive.read_archive(spark, str(tmp_path / "a")), sector="S").first()
     assert (back.title, back.source_name, back.content, back.lang) == ("t", "S", "First one here. Second one here. Third one here.", "en")
+
+
+HEADS = [
+    """<HTML class=x lang='fr'><head><meta content="about it" name="Description"/></head>""",
+    """<html xml:lang="fr"><meta content='about it' property='og:description'>""",
+    """<!-- <meta name="description" content="hidden"> --><html lang=fr><META NAME=description CONTENT="about it">""",
+    """<html lang="fr" lang="de"><script>'<meta name="description" content="no">'</script><meta name=description content=""><meta data-x="a>b" name="description" content="about it" content="other">""",
+    """<html\nlang\n=\n"fr"><meta name='description'\n content\n=\n'about it'>""",
+]
+
+
+@pytest.mark.parametrize("head", HEADS)
+def test_metadata_in_any_order_and_quoting(spark, head):
+    html = head + """<meta content='Jo "J" Doe' name=author><meta property=article:published_time content=2025-01-02T03:04:05Z><meta name="keywords" content='a &amp; b, c'>
+        <meta content=http://i/1.png?a=b property="og:image"><title>T</title><body>x</body></html>"""
+    r = pages.normalize_pages(spark.createDataFrame([("http://s/p", html)], "url string, html string")).first()
+    assert (r.lang, r.description, r.authors, r.published_raw) == ("fr", "about it", ['Jo "J" Doe'], "2025-01-02T03:04:05Z")
+    assert (r.keywords, r.image_url, r.title) == (["a & b", "c"], "http://i/1.png?a=b", "T")
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<article>one</article><nav>NAV</nav><article>two, the longer</article>", "two, the longer"),
+    ("<article>a<article class='x>y'>inner</article>b</article><article>c</article>", "ainnerb"),
+    ("</article><article>open <p>end", "open end"), ("<articles>no</articles><p>all</p>", "noall"), ("<!--<article>-->x<article>y</article>", "y"),
+    ("<ARTICLE\n id=1>z</Article >w", "z"), ("", ""), ("<article></article>rest", ""),
+])
+def test_choice_of_the_article(spark, html, text):
+    assert spark.createDataFrame([(html,)], "html string").select(pages.page_text("html").alias("t")).first().t == text
+
+
+def test_pages_without_markup(spark):
+    df = spark.createDataFrame([("u", None), ("v", "")], "url string, html string")
+    assert [(r.title, r.content, r.description, r.lang) for r in pages.normalize_pages(df).collect()] == [("", "", "", "en")] * 2
+
+
+def put_bad_files(folder):
+    (folder / "empty.json").write_text("", encoding="utf-8")
+    (folder / "blank.json").write_text(" \n\n ", encoding="utf-8")
+    (folder / "other type.json").write_text('{"query": "X", "articles": 5}', encoding="utf-8")
+    (folder / "nameless.json").write_text('{"date": "2025-01-01", "articles": []}', encoding="utf-8")
+
+
+def test_bad_snapshots_are_listed(spark, folder, tmp_path):
+    put_bad_files(tmp_path)
+    rows = snapshots.read_snapshots(spark, folder)
+    assert {r.sector for r in rows.collect()} == {"Finance", "Real Estate"}
+    bad = {r.snapshot_file.rsplit("/", 1)[1]: (r.reason, r.record) for r in snapshots.bad_snapshots(spark, folder).collect()}
+    assert {k: v[0] for k, v in bad.items()} == {
+        "broken_20250626.json": "unreadable", "empty.json": "empty", "blank.json": "empty", "other%20type.json": "unreadable", "nameless.json": "no sector"}
+    assert bad["broken_20250626.json"][1] == '{"query": "Broken", "articles": ['
+
+
+def test_bad_lines_are_listed(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"query": "A", "date": "d", "articles": []}\n{"query": "B", \n\n{"date": "d"}\n', encoding="utf-8")
+    assert [r.sector for r in snapshots.read_snapshots(spark, str(tmp_path), multi_line=False).collect()] == ["A"]
+    bad = snapshots.bad_snapshots(spark, str(tmp_path), multi_line=False).collect()
+    assert sorted((r.reason, r.record or "") for r in bad) == [("no sector", ""), ("unreadable", '{"query": "B", ')]
+
+
+def test_bad_snapshots_of_a_stream(spark, folder, tmp_path):
+    from presswork.streaming import jobs
+
+    put_bad_files(tmp_path)
+    bad = jobs.drain(spark, snapshots.stream_bad_snapshots(spark, folder), "bad-snapshots").collect()
+    assert {(r.snapshot_file.rsplit("/", 1)[1], r.reason) for r in bad} >= {("broken_20250626.json", "unreadable"), ("other%20type.json", "unreadable"), ("nameless.json", "no sector")}
+    good = jobs.drain(spark, snapshots.stream_snapshots(spark, folder), "good-snapshots").collect()
+    assert {r.sector for r in good} == {"Finance", "Real Estate"}
