@@ -47,30 +47,50 @@ def deck_layout(
     rejected article still takes its slot.  ``order`` has to be a total order within a
     sector.  ``number`` names a column that already counts 1, 2, 3 ... within the sector.
     Adds idx, slide_no, slot, left, top, width and height.
+
+    Articles are numbered by their sector and order alone; the table of slots is written, and
+    articles meet it once, where they are if it is small enough to be broadcast.
     """
-    slots = params.TWO_UP_SLOTS if per_slide == 2 else params.ONE_UP_SLOTS
     df = df.withColumn("sector", F.coalesce("sector", F.lit("General")))
+    if number is not None:
+        return _slotted(df, df, order, per_slide, number)
+    return join_slots(df, slots(df, order, per_slide), order)
+
+
+def slots(df: DataFrame, order: list[str] = DECK_ORDER, per_slide: int = 2) -> DataFrame:
+    """(sector, *order, idx, slide_no, slot, left, top, width, height): the layout without the articles."""
+    keys = df.select(F.coalesce("sector", F.lit("General")).alias("sector"), *order)
+    return _slotted(number_within(keys, "sector", order, "_no"), keys, order, per_slide, "_no").drop("_no")
+
+
+def join_slots(df: DataFrame, placed: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with what a table of slots has for its (sector, *order)."""
+    keys = ["sector", *order]
+    placed = written(placed, "slots").withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = F.col("sector") == F.col("_key_sector")
+    for k in order:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return df.join(placed, same).drop(*[f"_key_{k}" for k in keys])
+
+
+def _slotted(numbered: DataFrame, df: DataFrame, order: list[str], per_slide: int, number: str) -> DataFrame:
     sectors = sector_slides(df, order, per_slide)
-    if number is None:
-        numbered = number_within(df, "sector", order, "_no")
-    else:
-        numbered = df.withColumn("_no", F.col(number).cast("long"))
-    numbered = numbered.join(written(sectors.select("sector", "section_slide"), "sectors"), "sector")
-    idx = F.col("_no") - 1
+    rows = numbered.join(written(sectors.select("sector", "section_slide"), "sectors"), "sector")
+    idx = F.col(number).cast("long") - 1
     slot = (idx % per_slide).cast("int")
     boxes = F.array(
         *[
             F.struct(*[F.lit(v).alias(n) for n, v in zip(("left", "top", "width", "height"), s)])
-            for s in slots
+            for s in (params.TWO_UP_SLOTS if per_slide == 2 else params.ONE_UP_SLOTS)
         ]
     )
-    return numbered.select(
-        *df.columns,
+    return rows.select(
+        *numbered.columns,
         idx.alias("idx"),
         (F.col("section_slide") + 1 + F.floor(idx / per_slide)).cast("long").alias("slide_no"),
         slot.alias("slot"),
         F.get(boxes, slot).alias("_box"),
-    ).select(*df.columns, "idx", "slide_no", "slot", "_box.*")
+    ).select(*numbered.columns, "idx", "slide_no", "slot", "_box.*")
 
 
 def sector_slides(df: DataFrame, order: list[str] = DECK_ORDER, per_slide: int = 2) -> DataFrame:
@@ -143,8 +163,9 @@ def fill_slots(
         return rest.unionByName(fill_by_title(deck.filter(general), candidates, order, cand_order, per_provider, phrases))
     pool_size = 2 * per_provider
     # --- pools: bounded per (sector, provider) before anything is compared
-    pool = first_per(candidates, ["sector", "provider"], list(cand_order), per_provider)
-    used = deck.select("sector", "url").filter(F.col("url").isNotNull()).distinct()
+    pool = written(first_per(candidates, ["sector", "provider"], list(cand_order), per_provider), "pool")
+    # of the deck's links only those that a pool has are of interest
+    used = deck.select("sector", "url").join(pool.select("sector", "url").distinct(), ["sector", "url"], "left_semi").distinct()
     pool = pool.join(used, ["sector", "url"], "left_anti")
     pool = pool.withColumn("new_content", X.display_content("summary", "content", phrases))
     pool = pool.filter(F.col("new_content").isNotNull())

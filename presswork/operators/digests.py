@@ -176,14 +176,14 @@ def summaries(df: DataFrame, group: str, order: list[str], body: Column, start:
     """
     rows = df.select(F.col(group).alias("_g"), *order, body.alias("_body")).filter(F.col("_body") != "")
     first = first_per(rows, ["_g"], order, start, out="_n").select("_g", "_n", shrunk("_body").alias("_s"))
-    first = written(_joined(first, ["_g"]), "first-texts")
+    first = _joined(first, ["_g"])
     # the last sentence may go on in the next text
     whole = let(X.split_sentences("_s"), lambda s: F.array_join(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), " "))
     complete = F.when(F.col("_size") < start, F.col("_s")).otherwise(whole)
-    kept = written(_from_pieces(first.withColumn("_s", complete)), "first-sentences")
+    kept = _from_pieces(first.withColumn("_s", complete))
     decided = F.size("_kept") >= TARGET
     parts = [kept.filter(decided).select("_g", F.array_join("_kept", " ").alias("_summary"))]
-    undecided = kept.filter(~decided).select(F.col("_g").alias("_g2"))
+    undecided = written(kept.filter(~decided).select(F.col("_g").alias("_g2")), "undecided-groups")
     if not undecided.isEmpty():
         rest = rows.join(undecided, F.col("_g").eqNullSafe(F.col("_g2")), "left_semi")
         texts = _numbered(rest, order)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,18 +15,20 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Archived articles with ``meta`` (the stored record) and ``archive_file``.
 
     A file is either one JSON array, as archives arrive, or JSON lines, as ``write_archive``
-    leaves them; the form of each file is told by its lines.
+    leaves them; the form of each file is told by its lines.  Each file is then parsed once, in
+    its form: lines in as many splits as the file has, arrays as a whole.
     """
     lines = spark.read.text(path)
     lines = lines.select("value", lines.metadataColumn("_metadata").getField("file_path").alias("archive_file"))
     forms = lines.filter(F.trim("value") != "").groupBy("archive_file").agg(
         F.bool_and(F.trim("value").rlike(r"^\{.*\}$")).alias("by_line")
-    )
-    parts = [
-        _read(spark, path, multi_line).join(forms.filter(F.col("by_line") != multi_line), "archive_file", "left_semi")
-        for multi_line in (True, False)
-    ]
-    return parts[0].unionByName(parts[1])
+    ).collect()  # the names of the files, as the driver lists them for any reader
+    parts = []
+    for multi_line in (True, False):
+        files = [unquote(r["archive_file"]) for r in forms if r["by_line"] != multi_line]
+        if files:
+            parts.append(_read(spark, files, multi_line))
+    return reduce(DataFrame.unionByName, parts) if parts else _read(spark, path, False).limit(0)
 
 
 def read_archive_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -31,7 +36,7 @@ def read_archive_lines(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, multi_line=False)
 
 
-def _read(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+def _read(spark: SparkSession, path: str | list[str], multi_line: bool) -> DataFrame:
     """The stored field ``_metadata`` hides the file-source column, hence ``metadataColumn``."""
     raw = spark.read.schema(schema.ARCHIVE_ARTICLE).option("multiLine", multi_line).json(path)
     file_path = raw.metadataColumn("_metadata").getField("file_path")

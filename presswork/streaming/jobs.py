@@ -9,7 +9,8 @@ from pyspark.sql.utils import AnalysisException
 
 from ..operators import selection
 from ..plans.enrich import enrich_articles
-from ..session import scratch_path
+from ..session import scratch_path, written
+from . import keys
 
 SALTS = 16
 
@@ -69,39 +70,61 @@ def drain_all(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """
     base = scratch_path(spark, name)
     table = f"{base}/table"
-    spark.createDataFrame([], df.schema).write.parquet(table)
+    spark.createDataFrame([], df.schema).write.parquet(f"{table}/batch_id=-1")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        # under its number, so a failure while writing leaves what was there before
+        batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+
     query = (
         df.writeStream.option("checkpointLocation", f"{base}/checkpoint")
         .outputMode("complete")
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(table))
+        .foreachBatch(keep)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(table)
+    newest = query.lastProgress["batchId"] if query.lastProgress else -1
+    return spark.read.schema(df.schema).parquet(f"{table}/batch_id={newest}")
+
 
+#: What tells enriched articles apart.
+KEYS = ("sector", "url")
 
-def _stored_keys(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+
+def _key_store(spark: SparkSession, path: str) -> str:
+    """The folder of the table's key store, made from the table if that is older than stores."""
+    store = f"{path.rstrip('/')}_keys"
+    try:
+        spark.read.schema("sector string").parquet(f"{store}/delta")
+        return store
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
     try:
-        stored = spark.read.parquet(path)
+        table = spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return None
-    return stored.filter(F.col("batch_id") != batch_id).select("sector", "url")
+        return store
+    for r in table.select("batch_id").distinct().collect():  # one for each batch so far
+        keys.add(table.filter(F.col("batch_id") == r["batch_id"]), store, r["batch_id"], KEYS)
+    return store
 
 
 def merge_batch(batch: DataFrame, batch_id: int, path: str, **enriching) -> None:
     """Enrich the articles not stored yet and add them under their batch number.
 
     Rewriting a batch replaces exactly its own partitions, so a batch repeated after a
-    failure leaves no duplicates.  All stored links count, whatever their day.
+    failure leaves no duplicates.  All stored links count, whatever their day; they are
+    looked up in a store of keys beside the table, of which a batch reads its own buckets.
     """
     spark = batch.sparkSession
     fresh = selection.dedup_by_url(batch, ["snapshot_ts", "provider_rank", "snapshot_file"])
-    stored = _stored_keys(spark, path, batch_id)
-    if stored is not None:
-        known = stored.distinct().select(F.col("sector").alias("_s"), F.col("url").alias("_u"))
+    store = _key_store(spark, path)
+    known = keys.known(fresh, store, batch_id, KEYS)
+    if known is not None:
+        known = written(known, "known-links").select(F.col("sector").alias("_s"), F.col("url").alias("_u"))
         fresh = fresh.join(known, F.col("sector").eqNullSafe(F.col("_s")) & (F.col("url") == F.col("_u")), "left_anti")
     rows = enrich_articles(fresh, **enriching).withColumn("batch_id", F.lit(batch_id).cast("long"))
     (
@@ -111,6 +134,15 @@ def merge_batch(batch: DataFrame, batch_id: int, path: str, **enriching) -> None
         .partitionBy("batch_id", "snapshot_date")
         .parquet(path)
     )
+    try:
+        added = spark.read.parquet(path).filter(F.col("batch_id") == batch_id)
+    except AnalysisException as e:  # nothing has been added so far
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return
+    keys.add(added, store, batch_id, KEYS)
+    if batch_id % keys.COMPACT_AFTER == keys.COMPACT_AFTER - 1:
+        keys.compact(added, store, batch_id - 1, KEYS)
 
 
 def stream_enrich(df: DataFrame, path: str, checkpoint: str, **enriching) -> StreamingQuery:

@@ -5,6 +5,7 @@ import re
 import pytest
 
 from catalog.queries import REGISTRY
+from presswork.sources import archive
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +61,22 @@ def test_filters_and_columns_reach_the_scan(spark):
     text = plan(spark, "language")
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in text
     assert "ReadSchema: struct<doc_id:bigint,lang:string>" in text
+
+
+@pytest.mark.parametrize("name", ["build_deck", "deck_layout_2"])
+def test_article_texts_are_not_exchanged_for_a_layout(spark, name):
+    """Only keys are numbered; articles meet the written slots where they are."""
+    text = plan(spark, name)
+    assert "hashpartitioning(sector" not in text and "rangepartitioning" not in text
+    assert re.findall(r"Exchange .*?(REPARTITION_BY_NUM|ENSURE_REQUIREMENTS)", text) == ["REPARTITION_BY_NUM"]
+
+
+def test_archive_files_are_parsed_once(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"title": "a"}]', encoding="utf-8")
+    (tmp_path / "b c.json").write_text('{"title": "b"}\n{"title": "c"}\n', encoding="utf-8")
+    rows = archive.read_archive(spark, str(tmp_path))
+    scans = re.findall(r"Location: InMemoryFileIndex\((\d+) paths?\)", rows._jdf.queryExecution().executedPlan().toString())
+    assert scans == ["1", "1"] and sorted(r.title for r in rows.collect()) == ["a", "b", "c"]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.json").write_text("\n", encoding="utf-8")
+    assert archive.read_archive(spark, str(tmp_path / "none")).count() == 0

@@ -1,11 +1,12 @@
 import json
+import re
 
 from pyspark.sql import functions as F
 
 from presswork.operators import selection
 from presswork.session import scratch_path, shared_dir
 from presswork.sources import snapshots
-from presswork.streaming import jobs
+from presswork.streaming import jobs, keys
 
 
 def land(folder, name, sector, date, urls):
@@ -108,3 +109,57 @@ def test_counts_with_open_windows_equal_batch(spark, tmp_path):
     got = jobs.drain_all(spark, jobs.stream_category_counts(stream), "all").collect()
     want = jobs.stream_category_counts(spark.read.parquet(src)).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and sum(r.n for r in got) == 100
+
+
+def test_a_batch_reads_the_buckets_of_its_keys(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = lambda names: spark.createDataFrame([("S", n, 1) for n in names], "sector string, url string, v int")
+    assert keys.known(rows(["a"]), path, 0, jobs.KEYS) is None
+    keys.add(rows([f"u{i}" for i in range(500)]), path, 0, jobs.KEYS)
+    keys.add(rows(["x", "y", "y"]), path, 1, jobs.KEYS)
+    few = rows(["u7", "x", "new"])
+    found = keys.known(few, path, 2, jobs.KEYS)
+    assert {r.url for r in found.collect()} == {"u7", "x"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket[^\]]*IN", plan)
+    # a repeated batch does not know its own keys, and replaces them
+    assert {r.url for r in keys.known(few, path, 1, jobs.KEYS).collect()} == {"u7"}
+    keys.add(rows(["z"]), path, 1, jobs.KEYS)
+    assert {r.url for r in keys.known(rows(["x", "z"]), path, 2, jobs.KEYS).collect()} == {"z"}
+
+
+def test_compacted_keys_are_the_same_keys(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = lambda names: spark.createDataFrame([("S", n) for n in names], "sector string, url string")
+    for b in range(4):
+        keys.add(rows([f"u{b}", "again"]), path, b, jobs.KEYS)
+    everything = rows(["u0", "u1", "u2", "u3", "u4", "again"])
+    want = {"u0", "u1", "u2", "u3", "again"}
+    assert {r.url for r in keys.known(everything, path, 4, jobs.KEYS).collect()} == want
+    keys.compact(everything, path, 2, jobs.KEYS)
+    keys.compact(everything, path, 1, jobs.KEYS)
+    assert {r.url for r in keys.known(everything, path, 4, jobs.KEYS).collect()} == want
+    # a base without its mark, as after a lost driver, does not count
+    rows(["ghost"]).write.parquet(path + "/base/upto=3/bucket=5")
+    assert "ghost" not in {r.url for r in keys.known(rows(["ghost"]), path, 4, jobs.KEYS).collect()}
+    keys.add(rows(["u4"]), path, 4, jobs.KEYS)
+    assert {r.url for r in keys.known(everything, path, 5, jobs.KEYS).collect()} == want | {"u4"}
+
+
+def test_enrichment_of_a_table_without_a_key_store(spark, tmp_path, monkeypatch):
+    src = tmp_path / "in"
+    src.mkdir()
+    out = str(tmp_path / "out")
+    land(src, "a.json", "A", "2025-06-26T10:00:00", ["u1", "u2"])
+    land(src, "b.json", "A", "2025-06-27T10:00:00", ["u2", "u3"])
+    read = lambda name: snapshots.read_snapshots(spark, str(src / name))
+    jobs.merge_batch(read("a.json"), 0, out)
+    spark.read.parquet(out).write.partitionBy("batch_id", "snapshot_date").parquet(str(tmp_path / "old"))
+    jobs.merge_batch(read("b.json"), 1, str(tmp_path / "old"))
+    assert sorted((r.url, r.batch_id) for r in spark.read.parquet(str(tmp_path / "old")).collect()) == [("u1", 0), ("u2", 0), ("u3", 1)]
+    # with a base made of earlier batches
+    monkeypatch.setattr(keys, "COMPACT_AFTER", 2)
+    jobs.merge_batch(read("b.json"), 1, out)
+    land(src, "c.json", "A", "2025-06-28T10:00:00", ["u1", "u3", "u4"])
+    jobs.merge_batch(read("c.json"), 2, out)
+    assert sorted((r.url, r.batch_id) for r in spark.read.parquet(out).collect()) == [("u1", 0), ("u2", 0), ("u3", 1), ("u4", 2)]
