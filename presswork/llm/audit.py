@@ -13,8 +13,8 @@ once and orders of the filters cost nothing.
     without it.
 
 Only narrow rows are shuffled: a key of the text, the id, the part and a bit mask.  A text,
-an id or a part with a third of all rows is counted per task before it is sent, and met by a
-join that adaptive execution can split.
+or a part with a third of all rows is counted per task before it is sent; joins are by id,
+and adaptive execution splits those of an id that is repeated as often.
 
 Defined cases: null text is empty; a null part and an empty one are the same part; rows
 without id repeat nothing and are repeated by nothing; rows of one id and one text do not
@@ -42,11 +42,14 @@ def failed(failures: list[Column]) -> Column:
 
 
 def mark_repeats(rows: DataFrame, id_col: str, key: str, mask: str, bit: int) -> DataFrame:
-    """``rows`` with ``bit`` added to ``mask`` where a smaller id has the same ``key``."""
-    firsts = rows.groupBy(F.col(key).alias("_key")).agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    firsts = firsts.filter("_n > 1").select("_key", "_first")
-    met = rows.join(firsts, F.col(key) == F.col("_key"), "left")
-    later = F.coalesce(F.col(id_col) > F.col("_first"), F.lit(False))
+    """``rows`` with ``bit`` added to ``mask`` where a smaller id has the same ``key``.
+
+    The smallest id of a key is found by partial minima, and rows look for themselves among
+    these by key and id, so the rows of one key are spread by their ids.
+    """
+    firsts = rows.filter(F.col(id_col).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(id_col).alias("_first"))
+    met = rows.join(firsts, (F.col(key) == F.col("_key")) & (F.col(id_col) == F.col("_first")), "left")
+    later = F.col(id_col).isNotNull() & F.col("_first").isNull()
     return met.withColumn(mask, F.col(mask).bitwiseOR(F.when(later, 1 << bit).otherwise(0))).select(*rows.columns)
 
 

@@ -8,14 +8,19 @@ over the sources sorted by ``cap / weight``.
 A source whose target is ``e`` times its size repeats every document ``floor(e)`` times and
 draws the remaining fraction of its words without replacement, in the order of a seeded
 hash; the draw ends where the words drawn come nearest to the fraction, and one further
-document, the one whose size comes nearest to what is missing, closes the gap.
+document, the one whose size comes nearest to what is missing, closes the gap.  Rows alike in
+id, source and size stand beside one another in that order and are drawn one by one.
+
+Targets are worked out over the table of sources in one task: hundreds of thousands of
+sources are fine, more are refused (``MOST_SOURCES``).
 
 Only (id, source, size) rows are shuffled.  The draw needs running sums within a source;
 these are taken within 4,096 hash ranges of each source, so a source with a third of all
 rows is spread over as many tasks.
 
-Defined cases: null text has size 0; null source is a source, sorted last; rows alike in
-id, source and size are repeated alike; an empty table gives an empty result.
+Defined cases: null text has size 0; null source is a source, sorted last; of rows alike in
+id, source and size some may be repeated once more than others; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -28,6 +33,9 @@ from presswork.session import written
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
+MOST_SOURCES = 1_000_000
+#: Alike rows that are put into one array.
+COPIES_STEP = 1024
 SEED = "mix-1"
 
 
@@ -88,10 +96,10 @@ def plan_mix(
     max_epochs: int = MAX_EPOCHS,
     seed: str = SEED,
 ) -> DataFrame:
-    """How often each document is used: (id, source, size, copies, source_size, target, repeats).
+    """How often each document is used: (id, source, size, copies, source_size, target, repeats, more).
 
-    One row for each distinct (id, source, size); ``copies`` is the number of such rows and
-    ``repeats`` holds for each of them.
+    One row for each distinct (id, source, size); ``copies`` is the number of such rows,
+    ``repeats`` holds for each of them, and ``more`` of them are used once more.
     """
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
@@ -103,7 +111,10 @@ def plan_mix(
         "mix-rows",
     )
     parts = written(rows.groupBy("source", "part").agg(F.sum("words").alias("words")), "mix-parts")
-    targets = water_fill(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
+    sizes = written(parts.groupBy("source").agg(F.sum("words").alias("source_size")), "mix-sources")
+    if sizes.count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    targets = water_fill(sizes, weights, max_epochs)
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("source", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("part_from"))
     targets = written(targets, "mix-targets").withColumnRenamed("source", "of")
@@ -117,32 +128,63 @@ def plan_mix(
     ).join(targets, F.col("source").eqNullSafe(F.col("of")))
     whole_times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     extra = F.col("target") - whole_times * F.col("source_size")
-    drawn = ((F.col("part_from") + F.col("in_part")) * 2 + F.col("words") <= extra * 2) & (extra > 0) & (F.col("size") > 0)
+    # of the copies, those before whose middle the fraction is not reached
+    before = F.col("part_from") + F.col("in_part")
+    reached = F.floor((extra * 2 - F.col("size") - before * 2) / (F.col("size") * 2)) + 1
+    drawn = F.when((extra > 0) & (F.col("size") > 0), F.greatest(F.lit(0), F.least(F.col("copies"), reached))).otherwise(F.lit(0)).cast("long")
     rows = rows.select(
-        "id", "source", "size", "copies", "key", "words", "source_size", "target", whole_times.alias("times"), extra.alias("extra"), drawn.alias("drawn")
+        "id", "source", "size", "copies", "key", "source_size", "target", whole_times.alias("times"), extra.alias("extra"), drawn.alias("drawn")
     )
     rows = written(rows, "mix-drawn")
-    gaps = rows.groupBy(F.col("source").alias("of")).agg(
-        (F.first("extra") - F.sum(F.when(F.col("drawn"), F.col("words")).otherwise(F.lit(0)))).alias("gap")
-    )
+    gaps = rows.groupBy(F.col("source").alias("of")).agg((F.first("extra") - F.sum(F.col("drawn") * F.col("size"))).alias("gap"))
     gaps = written(gaps, "mix-gaps")
     own = F.col("source").eqNullSafe(F.col("of"))
-    off = F.abs(F.col("words") - F.col("gap"))
-    closing = rows.filter(~F.col("drawn") & (F.col("words") > 0)).join(gaps, own).filter(off < F.col("gap"))
+    off = F.abs(F.col("size") - F.col("gap"))
+    closing = rows.filter((F.col("drawn") < F.col("copies")) & (F.col("size") > 0)).join(gaps, own).filter(off < F.col("gap"))
     closing = closing.groupBy(F.col("source").alias("of")).agg(F.min(F.struct(off.alias("off"), "key", "size")).alias("last"))
     rows = rows.join(written(closing, "mix-closing"), own, "left")
     closes = F.coalesce((F.col("key") == F.col("last.key")) & (F.col("size") == F.col("last.size")), F.lit(False))
-    repeats = F.col("times") + F.when(F.col("drawn") | closes, F.lit(1)).otherwise(F.lit(0))
-    return rows.select("id", "source", "size", "copies", "source_size", "target", repeats.cast("long").alias("repeats"))
+    more = F.col("drawn") + F.when(closes, F.lit(1)).otherwise(F.lit(0))
+    return rows.select(
+        "id", "source", "size", "copies", "source_size", "target", F.col("times").cast("long").alias("repeats"), more.cast("long").alias("more")
+    )
+
+
+def each_copy(plan: DataFrame) -> DataFrame:
+    """The plan with one row per document and ``uses``, how often it is used; no array holds all copies of a row."""
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES_STEP)))
+    rows = plan.withColumn("_step", steps)
+    first = F.col("_step") * COPIES_STEP + 1
+    rows = rows.withColumn("_copy", F.explode(F.sequence(first, F.least(F.col("copies"), first + COPIES_STEP - 1))))
+    return rows.withColumn("uses", F.col("repeats") + (F.col("_copy") <= F.col("more")).cast("long")).drop("_step", "_copy")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """The mixed rows themselves, each as often as the plan repeats it."""
-    plan = written(plan_mix(docs, id_col, text_col, source_col, **settings), "mix-plan").filter("repeats > 0")
-    plan = plan.select(F.col("id").alias("of"), F.col("source").alias("of_source"), F.col("size").alias("of_size"), "repeats")
+    """The mixed rows themselves, each as often as the plan uses it.
+
+    Of alike rows that are not all used as often, the first ones of the table get one use
+    more; they are numbered by task, so that no group of them has to fit one.
+    """
+    plan = written(plan_mix(docs, id_col, text_col, source_col, **settings), "mix-plan").filter("repeats + more > 0")
+    keys = {"id": "of", "source": "of_source", "size": "of_size"}
     rows = docs.select(
         F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
     )
-    same = F.col("id").eqNullSafe(F.col("of")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size"))
-    times = F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))
-    return rows.join(plan, same).select("row", times.alias("copy")).select("row.*")
+    same = lambda: F.col("id").eqNullSafe(F.col("of")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size"))
+    times = lambda n: F.explode(F.sequence(F.lit(1), n.cast("int")))
+    alike = plan.filter("more = 0 or more = copies").withColumnsRenamed(keys)
+    alike = alike.select("of", "of_source", "of_size", (F.col("repeats") + F.when(F.col("more") > 0, 1).otherwise(0)).alias("uses"))
+    out = rows.join(alike, same()).select("row", times(F.col("uses")).alias("copy")).select("row.*")
+    some = written(plan.filter("more > 0 and more < copies").withColumnsRenamed(keys).select("of", "of_source", "of_size", "repeats", "more"), "mix-some")
+    if some.isEmpty():
+        return out
+    chosen = written(rows.join(some, same()).drop("of", "of_source", "of_size"), "mix-alike").withColumn("_at", F.monotonically_increasing_id())
+    group, part = ["id", "source", "size"], F.shiftright("_at", 33)
+    chosen = chosen.withColumn("_part", part).withColumn("_n", F.row_number().over(Window.partitionBy(*group, "_part").orderBy("_at")))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = chosen.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_all")).withColumn("_before", F.coalesce(F.sum("_all").over(before), F.lit(0)))
+    parts = parts.select(*[F.col(g).alias(keys[g]) for g in group], F.col("_part").alias("_p"), "_before")
+    numbered = chosen.join(parts, same() & (F.col("_part") == F.col("_p")))
+    uses = F.col("repeats") + (F.col("_n") + F.col("_before") <= F.col("more")).cast("long")
+    numbered = numbered.withColumn("uses", uses).filter("uses > 0")
+    return out.unionAll(numbered.select("row", times(F.col("uses")).alias("copy")).select("row.*"))

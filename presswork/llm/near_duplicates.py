@@ -54,7 +54,7 @@ BASE, TOP = 1.02, 2**16 - 2
 #: for links of 0.85.
 LIKE, LOOSE = 0.75, 0.55
 #: Vertices in one block of unlike bucket members; shingles in one block of a cluster.
-BUCKET_BLOCK, CLUSTER_BLOCK = 1024, 1 << 21
+BUCKET_BLOCK, CLUSTER_BLOCK = 1024, 1 << 19
 
 _U = np.uint64
 _rng = np.random.default_rng(20240611)

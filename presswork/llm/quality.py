@@ -5,10 +5,10 @@ of them than with one made of bad examples.  The score is a logistic function, f
 labelled texts that took no part in the dictionaries, of the difference of both sizes over
 the size without a dictionary, of that size over the length, and of the length.
 
-The model is fitted on at most ``max_rows`` labelled rows, taken in the order of a hash of
-the id, less those with very long texts.  In the calibration each row counts for all usable
-labels of its kind that it stands for, so a score does not depend on where a label's rows
-were cut.  Every text is scored whole.
+The model is fitted on at most ``max_rows`` labelled documents, taken in the order of a hash
+of the id until their texts reach ``max_bytes``.  In the calibration each row counts for all
+labelled documents of its kind that it stands for, so a score does not depend on where a
+label's rows were cut.  Every text is scored whole.
 
 Defined cases: null and empty texts get the score of neutral features; labels that are null
 are not used; several labels of one id count as their largest; with no labels of either
@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 from .fitting import labelled_sample, logistic_fit
 
-#: Labelled rows used for fitting and the longest text among them; bytes of a dictionary.
-MAX_ROWS, MAX_CHARS = 6_000, 32_768
+#: Labelled rows used for fitting and the bytes of their texts; bytes of a dictionary.
+MAX_ROWS, MAX_BYTES = 6_000, 48 << 20
 DICT_BYTES = 64 << 10
 SAMPLE_BYTES = 2048
 LEVEL = 3
@@ -87,11 +87,11 @@ def fit(
     label_col: str = "quality",
     use: Column | None = None,
     max_rows: int = MAX_ROWS,
-    max_chars: int = MAX_CHARS,
+    max_bytes: int = MAX_BYTES,
     dict_bytes: int = DICT_BYTES,
 ) -> Model:
     """Dictionaries from one half of the sampled texts, calibration on the other half."""
-    rows = labelled_sample(docs, labels, id_col, text_col, label_col, use, max_rows, max_chars)
+    rows = labelled_sample(docs, labels, id_col, text_col, label_col, use, max_rows, max_bytes)
     texts = {(half, y): [] for half in (0, 1) for y in (0, 1)}
     weights = {}
     for i, (text, y, weight) in enumerate(rows):

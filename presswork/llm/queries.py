@@ -74,9 +74,8 @@ def op4_pii(spark, sf):
 def op5_mixing(spark, sf):
     """Words that the mix takes of each document."""
     plan = mixing.plan_mix(table(spark, sf, "documents"))
-    one_each = plan.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return one_each.select(
-        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken")
+    return mixing.each_copy(plan).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("uses")).alias("taken")
     )
 
 

@@ -1,21 +1,25 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton on folded text.
 
 Folding undoes disguises: compatibility forms, upper case, zero-width and combining marks,
-look-alike letters of other scripts, digits and signs put for letters.  The folded words,
+look-alike letters of other scripts, signs put for letters, and digits put for letters where
+a word has letters as well (a plain number stays a number).  The folded words,
 joined by single blanks, are read once by an automaton of all lexicon entries and exception
 phrases; an entry inside an exception phrase does not count.  The sum of the weights,
 normalised by length, goes through a logistic function.
 
-The lexicon is learned: words and word beginnings (``bad*``) whose share among toxic texts
-is significantly above their share among clean ones, weighted by the log ratio; exception
-phrases are pairs of words around an entry that clean texts use.  At most ``max_rows`` labelled rows are used, half of
-them for the lexicon and half for the calibration, in which each row counts for all usable
-labels of its kind that it stands for; only word counts and features of these
-reach the driver, at most ``max_terms`` words.
+The lexicon is learned: words whose share among toxic texts is significantly above their
+share among clean ones, weighted by the log ratio.  A word beginning (``bad*``) is an entry only
+if ``CARRIERS`` different words that toxic texts use more begin with it and no clean text's word
+does more often; it is weighed by the words that are no entries themselves.  Exception phrases
+are pairs of words around an entry that clean texts use.  At most ``max_rows`` labelled
+documents are used, half of them for the lexicon and half for the calibration, in which each
+row counts for all labelled documents of its kind that it stands for; only word counts and
+features of these reach the driver, at most ``max_terms`` words.
 
 Defined cases: null and empty texts have no matches; labels that are null are not used;
 several labels of one id count as their largest; without labels of both kinds, or with an
-empty lexicon, every score is 0.
+empty lexicon, every score is 0, as it is where one label is missing in the half for the
+calibration.
 """
 
 from __future__ import annotations
@@ -35,14 +39,16 @@ from pyspark.sql import types as T
 
 from presswork.session import written
 
-from .fitting import logistic_fit, sample_ids
+from .fitting import labelled_rows, logistic_fit
 
-MAX_ROWS = 20_000
+MAX_ROWS, MAX_BYTES = 20_000, 160 << 20
 MAX_TERMS = 5_000
 #: Texts that must have a word, and its log-likelihood ratio against chance, for the lexicon.
 MIN_TEXTS, MIN_RATIO = 3, 15.0
-#: Lengths of word beginnings that may be entries.
-STEMS = range(4, 9)
+#: Lengths of word beginnings that may be entries, and the different words that must have one.
+STEMS, CARRIERS = range(4, 9), 3
+#: Words whose folded form a worker keeps, and the longest of them.
+KEPT_WORDS, LONGEST_KEPT = 300_000, 40
 
 # Look-alikes of the letters a to z, and signs written for letters.
 LOOK_ALIKES = {
@@ -53,7 +59,7 @@ LOOK_ALIKES = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "2": "z"}
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "+": "t"}
 
-_FOLD = {ord(c): k for k, v in {**LOOK_ALIKES}.items() for c in v} | {ord(k): v for k, v in DIGITS.items()}
+_FOLD = {ord(c): k for k, v in LOOK_ALIKES.items() for c in v}
 _FOLD |= {c: None for c in (0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
 _SIGN = re.compile(r"(?<=[^\W_])[@$!|€+](?=[^\W_])")
 _MARK = re.compile("[̀-ͯ]")
@@ -61,14 +67,35 @@ _WORD = re.compile(r"[^\W_]+")
 _LONG_RUN = re.compile(r"(\w)\1{2,}")
 
 
+_DIGIT = str.maketrans(DIGITS)
+_kept: dict[str, str] = {}
+
+
+def _fold_word(word: str) -> str:
+    """The folded words in a stretch without white space, joined by blanks."""
+    if not word.isascii():
+        word = _MARK.sub("", unicodedata.normalize("NFKC", word)).lower().translate(_FOLD)
+    else:
+        word = word.lower()
+    found = _WORD.findall(_LONG_RUN.sub(r"\1", _SIGN.sub(lambda m: SIGNS[m[0]], word)))
+    # digits stand for letters only beside letters; what that makes threefold is shortened as well
+    return " ".join(w if w.isdigit() or w.isalpha() else _LONG_RUN.sub(r"\1", w.translate(_DIGIT)) for w in found)
+
+
 def fold(text: str) -> str:
     """Folded words, with a blank before and after each."""
-    if not text.isascii():
-        text = _MARK.sub("", unicodedata.normalize("NFKC", text))
-    text = text.lower()
-    text = _SIGN.sub(lambda m: SIGNS[m[0]], text).translate(_FOLD)
-    words = _WORD.findall(_LONG_RUN.sub(r"\1", text))
-    return f" {' '.join(words)} " if words else ""
+    out = []
+    for word in text.split():
+        folded = _kept.get(word)
+        if folded is None:
+            folded = _fold_word(word)
+            if len(word) <= LONGEST_KEPT:
+                if len(_kept) >= KEPT_WORDS:
+                    _kept.clear()
+                _kept[word] = folded
+        if folded:
+            out.append(folded)
+    return f" {' '.join(out)} " if out else ""
 
 
 @dataclass
@@ -115,9 +142,8 @@ def features(found: list[tuple[str, float]], n_words: int) -> list[float]:
     ]
 
 
-def _entries(folded: str) -> set[str]:
-    words = set(folded.split())
-    return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
+def _beginnings(word: str) -> list[str]:
+    return [word[:k] + "*" for k in STEMS if len(word) > k]
 
 
 def _pairs(folded: str, terms: dict[str, float]) -> set[str]:
@@ -134,14 +160,14 @@ def fit(
     label_col: str = "toxic",
     use: Column | None = None,
     max_rows: int = MAX_ROWS,
+    max_bytes: int = MAX_BYTES,
     max_terms: int = MAX_TERMS,
     exceptions: tuple[str, ...] = (),
 ) -> Model:
     """Lexicon, exception phrases and calibration; ``exceptions`` adds phrases of one's own."""
-    picked = sample_ids(labels, id_col, label_col, use, max_rows)
-    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(
-        F.broadcast(picked), F.col("_doc") == F.col("_id")
-    ).select("text", F.col("_y").alias("y"), F.col("_weight").alias("weight"), (F.pmod(F.xxhash64(F.lit("half"), "_id"), F.lit(2)) == 0).alias("learn"))
+    rows = labelled_rows(docs, labels, id_col, text_col, label_col, use, max_rows, max_bytes).select(
+        F.col("_text").alias("text"), F.col("_y").alias("y"), F.col("_weight").alias("weight"), (F.pmod(F.xxhash64(F.lit("half"), "_id"), F.lit(2)) == 0).alias("learn")
+    )
     rows = written(rows, "toxicity-sample")
     sizes = {r["y"]: r["n"] for r in rows.filter("learn").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not (sizes.get(0) and sizes.get(1)):
@@ -156,7 +182,7 @@ def fit(
                     w, of = zip(*out[k : k + 50_000])
                     yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(of, pa.int32())], ["term", "y"])
 
-        made = rows.filter("learn").select("text", "y").mapInArrow(run, "term string, y int")
+        made = rows.filter("learn").select("text", "y").mapInArrow(run, "term string, y int")  # each text's terms once
         toxic = F.sum((F.col("y") == 1).cast("int"))
         clean = F.sum((F.col("y") == 0).cast("int"))
         return made.groupBy("term").agg(toxic.alias("a"), clean.alias("b")).withColumn(
@@ -169,10 +195,21 @@ def fit(
         part(F.col("a"), k * n1 / n) + part(F.col("b"), k * n0 / n) + part(n1 - F.col("a"), (n - k) * n1 / n) + part(n0 - F.col("b"), (n - k) * n0 / n)
     )
     told = (F.col("a") >= MIN_TEXTS) & (F.col("w") > 0) & (ratio >= MIN_RATIO)
-    best = counted(_entries).filter(told).orderBy(ratio.desc(), "term").limit(max_terms).collect()
+    words = written(counted(lambda t: set(t.split())), "toxicity-words")
+    best = words.filter(told).orderBy(ratio.desc(), "term").limit(max_terms).collect()
     model = Model({r["term"]: r["w"] for r in best})
     if not model.terms:
         return model
+    # beginnings that several words share which toxic texts use more, and that no clean word has more often
+    begins = F.filter(F.transform(F.array(*[F.lit(k) for k in STEMS]), lambda k: F.when(F.length("term") > k, F.concat(F.left(F.col("term"), k), F.lit("*")))), lambda x: x.isNotNull())
+    shared = words.select("a", "b", "w", F.explode(begins).alias("begin")).groupBy("begin").agg(
+        F.count_if((F.col("a") >= MIN_TEXTS) & (F.col("w") > 0)).alias("carriers"), F.max("a").alias("most"), F.max("b").alias("clean")
+    )
+    shared = shared.filter((F.col("carriers") >= CARRIERS) & (F.col("clean") <= F.col("most"))).orderBy(F.desc("carriers"), "begin").limit(max_terms)
+    allowed, whole = {r["begin"] for r in shared.select("begin").collect()}, set(model.terms)
+    if allowed:
+        unexplained = counted(lambda t: {s for w in set(t.split()) - whole for s in _beginnings(w) if s in allowed})
+        model.terms |= {r["term"]: r["w"] for r in unexplained.filter(told).orderBy(ratio.desc(), "term").limit(max_terms - len(model.terms)).collect()}
     terms = model.terms
     spared = counted(lambda t: _pairs(t, terms)).filter((F.col("b") >= MIN_TEXTS) & (F.col("w") < 0)).orderBy("w", "term").limit(max_terms)
     model.exceptions = [r["term"] for r in spared.collect()] + [fold(x).strip() for x in exceptions if fold(x)]

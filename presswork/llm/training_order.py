@@ -9,7 +9,8 @@ splits gives the same shards, and another layout another, equally uniform order.
 
 Slots are dense, so the range that a sequence belongs to is plain arithmetic: the exchange
 deals out ranges of whole shards without sampling, each is sorted by slot, and one row per
-shard holds the ids as little-endian 16-bit numbers, ``length * 2`` bytes per sequence.
+shard holds the ids as little-endian numbers of 16 bits, or of 32 bits for vocabularies of over
+65,536 ids, so each sequence has the same number of bytes.
 Sequence ``s`` is in shard ``s // per_shard`` at the offset ``s % per_shard`` strides, so a
 reader starts anywhere and resumes by slot.
 
@@ -37,7 +38,7 @@ from presswork.session import scratch_path
 
 from .words import chunks, mix
 
-#: A public vocabulary; its end mark has the id 2.
+#: A public vocabulary and the id of its end mark.
 VOCABULARY, END = "/opt/tokenizers/piece_bpe_32k.model", 2
 LENGTH, PER_SHARD, KEY = 512, 4096, 20240611
 ROUNDS = 6
@@ -74,12 +75,21 @@ def tokenizer(path: str) -> bytes:
         return f.read()
 
 
-def _encode(model: bytes, texts: pa.Array) -> Iterator[np.ndarray]:
+def id_format(model: bytes, end: int | None = None) -> tuple[int, str]:
+    """The end mark of a vocabulary, its own unless one is given, and the numpy type of its ids."""
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    end = sp.eos_id() if end is None else end
+    if not 0 <= end < sp.get_piece_size():
+        raise ValueError("the vocabulary has no end mark; name an id to end sequences with")
+    return end, "<u2" if sp.get_piece_size() <= 1 << 16 else "<u4"
+
+
+def _encode(model: bytes, texts: pa.Array, end: int, kind: str) -> Iterator[np.ndarray]:
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
     words = [t or "" for t in texts.to_pylist()]
     for k in range(0, len(words), 64):
         for ids in sp.encode(words[k : k + 64], num_threads=1):
-            yield np.array([*ids, END], "<u2")
+            yield np.array([*ids, end], kind)
 
 
 def training_shards(
@@ -90,6 +100,7 @@ def training_shards(
     length: int = LENGTH,
     per_shard: int = PER_SHARD,
     key: int = KEY,
+    end: int | None = None,
 ) -> DataFrame:
     """One row per shard: (shard, first_slot, n_sequences, payload, doc_ids, n_tokens).
 
@@ -97,13 +108,14 @@ def training_shards(
     sequence, in slot order.
     """
     model, spark = tokenizer(vocabulary), docs.sparkSession
+    end, width = id_format(model, end)
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place = TaskContext.get().partitionId(), 0
         for b in chunks(batches, "text"):
-            ids = list(_encode(model, b.column("text")))
+            ids = list(_encode(model, b.column("text"), end, width))
             n = np.array([-(-len(x) // length) for x in ids], np.int64)
             places = place + np.cumsum(n) - n
             place += int(n.sum())
@@ -129,9 +141,9 @@ def training_shards(
         for b in batches:
             at, starts, sizes, out = [], [], [], []
             for i, (raw, start) in enumerate(zip(b.column("ids").to_pylist(), b.column("start").to_pylist())):
-                ids = np.frombuffer(raw, "<u2")
+                ids = np.frombuffer(raw, width)
                 n = -(-len(ids) // length)
-                filled = np.full(n * length, END, "<u2")
+                filled = np.full(n * length, end, width)
                 filled[: len(ids)] = ids
                 at += [i] * n
                 starts.append(np.arange(start, start + n))
@@ -205,7 +217,8 @@ def read_sequences(shards: DataFrame, start: int = 0, stop: int | None = None, l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, payload, ids in zip(b.column("first_slot").to_pylist(), b.column("payload").to_pylist(), b.column("doc_ids").to_pylist()):
-                lines = np.frombuffer(payload, "<u2").reshape(-1, length).astype(np.int32)
+                width = "<u2" if len(payload) == 2 * length * len(ids) else "<u4"
+                lines = np.frombuffer(payload, width).reshape(-1, length).astype(np.int32)
                 keep = [k for k in range(len(lines)) if first + k >= start and (stop is None or first + k < stop)]
                 if keep:
                     yield pa.RecordBatch.from_arrays(
