@@ -525,19 +525,17 @@ dk AS (SELECT doc_id, CASE WHEN doc_id % 8 < 3 THEN 'General' ELSE sector END AS
    array_to_string((string_split(title, ' '))[1:2], ' ') AS title,
    CASE doc_id % 3 WHEN 0 THEN ['newsapi'] WHEN 1 THEN ['gnews'] ELSE ['newsapi', 'gnews'] END AS want FROM art JOIN sh USING (doc_id)),
 gap AS (SELECT *, trim({padded('title')}) AS term, row_number() OVER (ORDER BY doc_id) AS turn FROM dk WHERE sector = 'General' AND NOT accepted AND title <> ''),
-fl AS (SELECT doc_id, 3 AS weight, string_split(trim({padded('title')}), ' ') AS w FROM art UNION ALL SELECT doc_id, 2, string_split(trim({padded('description')}), ' ') FROM art
-  UNION ALL SELECT doc_id, 1, string_split(trim({padded('content')}), ' ') FROM art),
-sz AS (SELECT DISTINCT len(string_split(term, ' ')) AS n FROM gap WHERE term <> ''),
-gr AS (SELECT DISTINCT doc_id, weight, array_to_string(w[s:s + n - 1], ' ') AS term
-  FROM (SELECT doc_id, weight, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM fl, sz WHERE len(w) >= n)
-  WHERE array_to_string(w[s:s + n - 1], ' ') IN (SELECT term FROM gap)),
-hit AS (SELECT turn, gr.doc_id AS c, sum(weight) AS score FROM gap JOIN gr USING (term) GROUP BY turn, gr.doc_id),
+pads AS MATERIALIZED (SELECT doc_id, {padded('title')} AS t, {padded('description')} AS d, {padded('content')} AS c FROM art),
+terms AS (SELECT DISTINCT term, ' ' || term || ' ' AS held FROM gap WHERE term <> ''),
+hs AS MATERIALIZED (SELECT term, doc_id, 3 * contains(t, held)::INT + 2 * contains(d, held)::INT + contains(c, held)::INT AS score FROM pads, terms
+  WHERE contains(t, held) OR contains(d, held) OR contains(c, held)),
+hit AS (SELECT turn, hs.doc_id AS c, score FROM gap JOIN hs USING (term)),
 best AS (SELECT hit.turn, provider, art.url || '#alt' AS new_url, sh.k, row_number() OVER (PARTITION BY hit.turn, provider ORDER BY score DESC, provider_rank) AS r
   FROM hit JOIN art ON art.doc_id = c JOIN sh ON sh.doc_id = c QUALIFY r <= 5),
 ok AS (SELECT best.turn, provider, new_url, r FROM best JOIN gap USING (turn) WHERE best.k IS NOT NULL AND list_contains(want, provider)
   AND NOT EXISTS (SELECT 1 FROM dk WHERE dk.sector = 'General' AND dk.url = new_url)),
-wish AS (SELECT turn, list(new_url ORDER BY provider DESC, r) AS urls, list(provider ORDER BY provider DESC, r) AS providers FROM ok GROUP BY turn)""").replace("WITH ", "WITH RECURSIVE ", 1) + """,
-each AS (SELECT gap.turn, coalesce(urls, []) AS urls FROM gap LEFT JOIN wish USING (turn)),
+wish AS MATERIALIZED (SELECT turn, list(new_url ORDER BY provider DESC, r) AS urls, list(provider ORDER BY provider DESC, r) AS providers FROM ok GROUP BY turn)""").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+each AS MATERIALIZED (SELECT gap.turn, coalesce(urls, []) AS urls FROM gap LEFT JOIN wish USING (turn)),
 go(turn, used, pick) AS (SELECT 0::BIGINT, []::VARCHAR[], NULL::VARCHAR UNION ALL
   SELECT each.turn, CASE WHEN p IS NULL THEN used ELSE list_append(used, p) END, p
   FROM (SELECT go.turn + 1 AS next, used FROM go) g JOIN each ON each.turn = g.next, LATERAL (SELECT list_filter(each.urls, lambda u: NOT list_contains(used, u))[1] AS p))
