@@ -694,3 +694,14 @@ SELECT provider, source, count(*) AS n, CAST(sum(length(title)) AS BIGINT) AS ti
   UNION ALL SELECT 'sec_edgar', 'SEC EDGAR', company || ' - ' || filing_type FROM fl
   UNION ALL SELECT 'web_scraper', regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), {strip(unescape(untag(r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1)", '')))} FROM pt)
 GROUP BY ALL""")
+add("archive_sources_all", with_(ARTICLES, PAGE_TEXT, NEWSAPI, GNEWS, FILINGS) + rf"""
+SELECT provider, title, url, source, published_at, md5(content) AS content_md5, description FROM (
+  SELECT 'newsapi' AS provider, title, url, CASE WHEN doc_id % 4 <> 3 THEN source_name ELSE 'Unknown' END AS source,
+    CASE WHEN doc_id % 2 = 0 THEN published_raw ELSE '2024-06-01T00:00:00' END AS published_at, content, description FROM na
+  UNION ALL SELECT 'gnews', title, url, source_name, published_raw, {strip('content')}, {strip('description')} FROM gn
+  UNION ALL SELECT 'sec_edgar', company || ' - ' || filing_type, 'https://f.example/' || provider_rank || '.txt', 'SEC EDGAR', published_raw,
+    description, filing_type || ' filing from ' || company FROM fl JOIN (SELECT doc_id AS provider_rank, description FROM art) USING (provider_rank)
+  UNION ALL SELECT 'web_scraper', {strip(unescape(untag(r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1)", '')))}, url,
+    regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '', page_text, '' FROM pt)""")
+add("stream_enrich_records", "SELECT r.* FROM (" + ORACLES["insight_records"] + ") r JOIN (" + with_(ARTICLES) + """
+SELECT doc_id FROM art QUALIFY row_number() OVER (PARTITION BY sector, url ORDER BY published_ts, provider_rank) = 1) USING (doc_id)""")

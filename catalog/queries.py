@@ -498,6 +498,10 @@ def relevance_score(spark, sf):
 @query
 def insight_records(spark, sf):
     rows = insights.extract_insights(articles(spark, sf), T.ENTITIES, T.TAXONOMY)
+    return _records(rows)
+
+
+def _records(rows):
     i = F.col("insights")
     d = i.detailed_analysis
     return rows.select(
@@ -871,6 +875,21 @@ def stream_enrich(spark, sf):
     return spark.read.parquet(f"{base}/table").select("sector", "url", "doc_id", "insights.primary_category")
 
 
+@query
+def stream_enrich_records(spark, sf):
+    """The whole records that the stream leaves, as the batch makes them."""
+    base = scratch_path(spark, "stream-enrich-records")
+    rows = document_stream(spark, sf).withColumns(
+        {
+            "provider_rank": F.col("doc_id"), "snapshot_file": F.lit("f"),
+            "snapshot_ts": F.col("published_ts"), "snapshot_date": F.to_date(F.date_trunc("month", "published_ts")),
+        }
+    )
+    for _ in range(2):  # the second run finds nothing new
+        jobs.stream_enrich(rows, f"{base}/table", f"{base}/checkpoint", entity_dict=T.ENTITIES, taxonomy=T.TAXONOMY, text="content").awaitTermination()
+    return _records(spark.read.parquet(f"{base}/table"))
+
+
 # --------------------------------------------------------------------------- pipelines
 
 
@@ -924,3 +943,19 @@ def archive_sources(spark, sf):
     archive_plan.archive_sources(shaped, path, now)
     back = archive.read_archive_lines(spark, path)
     return back.groupBy(F.col("meta.source").alias("provider"), "source").agg(F.count("*").alias("n"), F.sum(F.length("title")).alias("title_chars"))
+
+
+@query
+def archive_sources_all(spark, sf):
+    """Everything that has landed, article by article, as the archive holds it."""
+    path = scratch_path(spark, "archive-sources-all")
+    now = day("2024-06-01")
+    landed = {"newsapi": newsapi_responses(spark, sf), "gnews": gnews_responses(spark, sf)}
+    rows = archive_plan.archive_rows(landed, now, filing_feed(spark, sf), page_table(spark, sf))
+    shaped = rows.withColumnRenamed("source_name", "source").withColumnRenamed("published_raw", "published_at")
+    archive_plan.archive_sources(shaped, path, now)
+    back = archive.read_archive(spark, path)
+    return back.select(
+        F.col("meta.source").alias("provider"), "title", "url", "source", "published_at", F.md5("content").alias("content_md5"),
+        F.coalesce("description", F.lit("")).alias("description"),
+    )
