@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,9 +48,44 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Paths made since each of the open ``discarding`` blocks began.
+_recording: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for record in _recording:
+        record.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table made by this session, wherever the shared folder is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def discarding(spark: SparkSession) -> Iterator[None]:
+    """Removes the intermediate tables that are made inside, when their result has been written."""
+    record: list[str] = []
+    _recording.append(record)
+    try:
+        yield
+    finally:
+        _recording[:] = [r for r in _recording if r is not record]
+        for path in record:
+            remove(spark, path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """What ``make`` returns as a written table, and its path; the tables made on the way are removed."""
+    path = scratch_path(spark, name)
+    with discarding(spark):
+        made = make()
+        made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path), path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..operators import selection
 from ..plans.enrich import enrich_articles
-from ..session import scratch_path, written
+from ..session import discarding, scratch_path, written
 from . import keys
 
 SALTS = 16
@@ -118,7 +118,13 @@ def merge_batch(batch: DataFrame, batch_id: int, path: str, **enriching) -> None
     Rewriting a batch replaces exactly its own partitions, so a batch repeated after a
     failure leaves no duplicates.  All stored links count, whatever their day; they are
     looked up in a store of keys beside the table, of which a batch reads its own buckets.
+    Tables made on the way are removed.
     """
+    with discarding(batch.sparkSession):
+        _merge(batch, batch_id, path, **enriching)
+
+
+def _merge(batch: DataFrame, batch_id: int, path: str, **enriching) -> None:
     spark = batch.sparkSession
     fresh = selection.dedup_by_url(batch, ["snapshot_ts", "provider_rank", "snapshot_file"])
     store = _key_store(spark, path)

@@ -1,10 +1,12 @@
 import json
+import os
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from presswork.operators import selection
-from presswork.session import scratch_path, shared_dir
+from presswork.session import discarding, remove, scratch_path, settled, shared_dir
 from presswork.sources import snapshots
 from presswork.streaming import jobs, keys
 
@@ -163,3 +165,23 @@ def test_enrichment_of_a_table_without_a_key_store(spark, tmp_path, monkeypatch)
     land(src, "c.json", "A", "2025-06-28T10:00:00", ["u1", "u3", "u4"])
     jobs.merge_batch(read("c.json"), 2, out)
     assert sorted((r.url, r.batch_id) for r in spark.read.parquet(out).collect()) == [("u1", 0), ("u2", 0), ("u3", 1), ("u4", 2)]
+
+
+def test_tables_made_on_the_way_are_removed(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(scratch_path(spark, "on-the-way"))
+        spark.range(5).write.parquet(made[0])
+        return spark.read.parquet(made[0]).filter("id > 2")
+
+    rows, path = settled(spark, make, "kept")
+    assert sorted(r.id for r in rows.collect()) == [3, 4]
+    assert os.path.isdir(path) and not os.path.exists(made[0])
+    with pytest.raises(RuntimeError), discarding(spark):
+        lost = scratch_path(spark, "lost")
+        spark.range(1).write.parquet(lost)
+        raise RuntimeError
+    assert not os.path.exists(lost)
+    remove(spark, path)
+    assert not os.path.exists(path)
