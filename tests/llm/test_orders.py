@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -193,3 +194,14 @@ def test_pipeline(spark, odd, nothing):
         assert stage(spark, nothing, SF).count() == 0
     assert corpus_pipeline.one_of_each(spark, odd, SF).filter("doc_id between 8 and 10").count() == 1
     assert corpus_pipeline.run(spark, SF).agg(F.sum("n_sequences")).first()[0] > 0
+
+
+def test_pipeline_leaves_its_result_only(spark, monkeypatch):
+    from presswork import session
+
+    paths = []
+    fresh = session.scratch_path
+    monkeypatch.setattr(session, "scratch_path", lambda s, name: paths.append(fresh(s, name)) or paths[-1])
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    left = [p for p in paths if Path(p.removeprefix("file://")).exists()]
+    assert len(paths) > 20 and len(left) == 1 and "token-ID" in left[0]
