@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswork.llm import decontamination, fitting, mixing, near_duplicates, quality, training_order
-from presswork.session import written
+from presswork.session import remove, settled, written
 
 #: Documents that score less are rejected.
 LEAST_QUALITY = 0.3
@@ -68,8 +68,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in turn, each written and read again.
+
+    A stage's own tables go when it has been written, its input when the next one has.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = settled(spark, lambda: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            remove(spark, before)
+        before = path
     return docs
