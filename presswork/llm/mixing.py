@@ -96,10 +96,10 @@ def plan_mix(
     max_epochs: int = MAX_EPOCHS,
     seed: str = SEED,
 ) -> DataFrame:
-    """How often each document is used: (id, source, size, copies, source_size, target, repeats, more).
+    """How often each document is used: (id, source, size, copies, source_size, target, repeats).
 
-    One row for each distinct (id, source, size); ``copies`` is the number of such rows,
-    ``repeats`` holds for each of them, and ``more`` of them are used once more.
+    ``copies`` rows of that id, source and size are used ``repeats`` times each.  Where only
+    some of the rows alike are used once more, there is a row of the plan for either part.
     """
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
@@ -145,18 +145,18 @@ def plan_mix(
     rows = rows.join(written(closing, "mix-closing"), own, "left")
     closes = F.coalesce((F.col("key") == F.col("last.key")) & (F.col("size") == F.col("last.size")), F.lit(False))
     more = F.col("drawn") + F.when(closes, F.lit(1)).otherwise(F.lit(0))
-    return rows.select(
-        "id", "source", "size", "copies", "source_size", "target", F.col("times").cast("long").alias("repeats"), more.cast("long").alias("more")
-    )
+    part = lambda n, times: F.struct(n.cast("long").alias("copies"), times.cast("long").alias("repeats"))
+    parts = F.filter(F.array(part(more, F.col("times") + 1), part(F.col("copies") - more, F.col("times"))), lambda p: p["copies"] > 0)
+    rows = rows.select("id", "source", "size", "source_size", "target", F.explode(parts).alias("p"))
+    return rows.select("id", "source", "size", "p.copies", "source_size", "target", "p.repeats")
 
 
 def each_copy(plan: DataFrame) -> DataFrame:
-    """The plan with one row per document and ``uses``, how often it is used; no array holds all copies of a row."""
+    """The plan with one row per document; no array holds all copies of a row."""
     steps = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES_STEP)))
     rows = plan.withColumn("_step", steps)
     first = F.col("_step") * COPIES_STEP + 1
-    rows = rows.withColumn("_copy", F.explode(F.sequence(first, F.least(F.col("copies"), first + COPIES_STEP - 1))))
-    return rows.withColumn("uses", F.col("repeats") + (F.col("_copy") <= F.col("more")).cast("long")).drop("_step", "_copy")
+    return rows.withColumn("_copy", F.explode(F.sequence(first, F.least(F.col("copies"), first + COPIES_STEP - 1)))).drop("_step", "_copy")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
@@ -165,17 +165,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Of alike rows that are not all used as often, the first ones of the table get one use
     more; they are numbered by task, so that no group of them has to fit one.
     """
-    plan = written(plan_mix(docs, id_col, text_col, source_col, **settings), "mix-plan").filter("repeats + more > 0")
+    plan = written(plan_mix(docs, id_col, text_col, source_col, **settings), "mix-plan")
     keys = {"id": "of", "source": "of_source", "size": "of_size"}
     rows = docs.select(
         F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
     )
     same = lambda: F.col("id").eqNullSafe(F.col("of")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size"))
     times = lambda n: F.explode(F.sequence(F.lit(1), n.cast("int")))
-    alike = plan.filter("more = 0 or more = copies").withColumnsRenamed(keys)
-    alike = alike.select("of", "of_source", "of_size", (F.col("repeats") + F.when(F.col("more") > 0, 1).otherwise(0)).alias("uses"))
-    out = rows.join(alike, same()).select("row", times(F.col("uses")).alias("copy")).select("row.*")
-    some = written(plan.filter("more > 0 and more < copies").withColumnsRenamed(keys).select("of", "of_source", "of_size", "repeats", "more"), "mix-some")
+    plan = plan.withColumnsRenamed(keys).groupBy(*keys.values()).agg(
+        F.min("repeats").alias("repeats"), F.max("repeats").alias("most"), F.max_by("copies", "repeats").alias("more")
+    )
+    plan = written(plan, "mix-uses")
+    alike = plan.filter("repeats = most and repeats > 0").select(*keys.values(), "repeats")
+    out = rows.join(alike, same()).select("row", times(F.col("repeats")).alias("copy")).select("row.*")
+    some = written(plan.filter("repeats < most").select(*keys.values(), "repeats", "more"), "mix-some")
     if some.isEmpty():
         return out
     chosen = written(rows.join(some, same()).drop("of", "of_source", "of_size"), "mix-alike").withColumn("_at", F.monotonically_increasing_id())

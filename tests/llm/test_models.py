@@ -216,10 +216,10 @@ def test_alike_rows_are_drawn_one_by_one(spark, alike):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
     plan = mixing.plan_mix(df)
     each = mixing.each_copy(plan).collect()
-    assert len(each) == len(rows) and all(0 <= r["uses"] <= 3 for r in each)
+    assert len(each) == len(rows) and all(0 <= r["repeats"] <= 3 for r in each)
     taken, mixed = Counter(), Counter()
     for r in each:
-        taken[r["source"]] += r["size"] * r["uses"]
+        taken[r["source"]] += r["size"] * r["repeats"]
     for r in mixing.mix(df).collect():
         mixed[r["source"]] += len(r["text"].split())
     assert taken == mixed
