@@ -53,7 +53,8 @@ BASE, TOP = 1.02, 2**16 - 2
 #: Estimates from which a vertex belongs to its centre, and from which it joins the cluster,
 #: for links of 0.85.
 LIKE, LOOSE = 0.75, 0.55
-#: Vertices in one block of unlike bucket members; shingles in one block of a cluster.
+#: Vertices in one block of unlike bucket members; shingles in one block of a cluster, of which
+#: a task holds the texts, the sets and an index at once (some 150 MB).
 BUCKET_BLOCK, CLUSTER_BLOCK = 1024, 1 << 19
 
 _U = np.uint64
