@@ -43,6 +43,8 @@ from . import words as W
 MOST_WORDS, LEAST, UNKNOWN = 5, 100, "und"
 #: Phrases in one range of a stream, most ranges, and sampled phrases per range.
 ROWS_PER_RANGE, MOST_RANGES, SAMPLES = 50_000, 4096, 20
+#: Parts of a language's phrases that are listed by themselves before the list of all.
+PARTS = 32
 #: Bits of the bitmap per frequent phrase, its least and greatest size, and one block of it.
 BITS_EACH, LEAST_LOG2, MOST_LOG2, BLOCK_LOG2 = 16, 16, 30, 16
 
@@ -342,8 +344,13 @@ def collocations(
     rows = phrase_statistics(frequent).filter(F.size("words") > 1).filter(100 * F.col("longer") < covered * F.col("a"))
     rows = rows.join(totals, "lang").withColumn("cut", _lowest_cut(F.col("a"), F.col("n"), F.col("beginnings"), F.col("endings")))
     rows = rows.select("lang", F.array_join("words", " ").alias("phrase"), "a", "cut.l", "cut.r", "n", "cut.score")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    rows = rows.withColumn("rank", place.cast("long"))
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    if top is not None:
+        # a language's phrases are listed in parts first, so that its list is made of bounded ones
+        part = Window.partitionBy("lang", "_part").orderBy(*order)
+        rows = rows.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).withColumn("_rank", F.row_number().over(part))
+        rows = rows.filter(F.col("_rank") <= top)
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     if top is not None:
         rows = rows.filter(F.col("rank") <= top)
-    return rows.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return rows.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -88,3 +88,10 @@ def test_nothing(spark, nothing):
     assert collocations.collocations(nothing).count() == 0
 
 
+
+
+@pytest.mark.parametrize("top", [1, 3, 40])
+def test_lists_are_made_of_bounded_parts(spark, monkeypatch, top):
+    monkeypatch.setattr(collocations, "PARTS", 3)
+    rows = make(3, 60)
+    assert got(spark, rows, least=4, top=top) == by_counting(rows, 5, 4, 100, top)
