@@ -21,6 +21,9 @@ def published_ts(c: Column | str) -> Column:
     return F.try_to_timestamp(col(c))
 
 
+# The texts and the date form that the next functions show.
+
+
 def preview_title(c: Column | str) -> Column:
     stripped = strip(text_or_empty(c))
     return F.when(stripped == "", F.lit("Untitled Article")).otherwise(stripped)

@@ -29,6 +29,7 @@ def preview_cards(df: DataFrame) -> DataFrame:
 def deck_articles(df: DataFrame) -> DataFrame:
     """Articles in the shape a deck takes."""
     extra = [c for c in ("deck_pos", *("query_idx", "provider_idx", "provider_rank")) if c in df.columns]
+    # fixed values: texts in place of missing ones
     return df.select(
         "sector",
         "url",

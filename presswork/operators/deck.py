@@ -31,7 +31,8 @@ def by_sector(df: DataFrame, order: list[str] = DECK_ORDER) -> DataFrame:
     """
     df = df.withColumn("sector", F.coalesce("sector", F.lit("General")))
     firsts = df.groupBy("sector").agg(_earliest(order).alias("_first"))
-    # the list of sectors is small; its rank needs all of it in one place
+    # the list of sectors, some hundreds, needs all of it in one place for its rank; up to
+    # millions of sectors fit a task
     ranked = firsts.select(
         "sector", F.row_number().over(W.orderBy("_first", "sector")).cast("long").alias("sector_ord")
     )
