@@ -6,9 +6,9 @@ scanned, also where nothing was found.  A run scans the pairs that the ledger la
 blob once however many paths hold it, appends them in one commit, and joins the findings
 back to all paths.  A new version of a rule scans all blobs for that rule alone.
 
-The blobs to scan are chosen from narrow rows; a representative path brings the text, so a
-blob with very many paths is neither shuffled nor scanned more than once.  Scanning is
-column expressions only.
+The blobs to scan are chosen from narrow rows; a representative path brings the text.  Texts
+are exchanged once, by (blob, path), to meet what was chosen, and a blob is scanned once
+however many paths it has.  Scanning is column expressions only.
 
 Defined cases: null text is the empty blob; null paths are paths; rows alike in everything
 each get their findings; an empty table leaves the ledger as it is.
