@@ -23,7 +23,9 @@ has no shards.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from pyspark.sql import types as T
 
 from presswork.session import scratch_path
 
-from .words import chunks, mix
+from .words import chunks, mix, split, text_bytes
 
 #: A public vocabulary and the id of its end mark.
 VOCABULARY, END = "/opt/tokenizers/piece_bpe_32k.model", 2
@@ -45,7 +47,13 @@ ROUNDS = 6
 #: Shards dealt to one task, and the number of tasks that is not exceeded.
 SHARDS_PER_TASK, MOST_TASKS = 4, 100_000
 
+#: What a vocabulary has in place of a blank; a text that shows whether others are rewritten; words kept by a worker.
+BLANK, PROBE, KEPT_WORDS = "\u2581", "A\u00a0\t\ufb01  b ", 1_000_000
+
 _U = np.uint64
+_NOT_BLANK = np.ones(256, bool)
+_NOT_BLANK[32] = False
+_encoders: dict[int, tuple] = {}
 
 
 def permute(index: np.ndarray, size: int, key: int, back: bool = False) -> np.ndarray:
@@ -84,12 +92,53 @@ def id_format(model: bytes, end: int | None = None) -> tuple[int, str]:
     return end, "<u2" if sp.get_piece_size() <= 1 << 16 else "<u4"
 
 
+def _encoder(model: bytes) -> tuple:
+    """The tokenizer, the ids of words seen by this worker, and whether words can be encoded one by one.
+
+    They can if no piece goes on beyond a blank and texts are not rewritten first.
+    """
+    key = zlib.crc32(model)
+    if key not in _encoders:
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        parted = not any(BLANK in sp.id_to_piece(i).lstrip(BLANK) for i in range(sp.get_piece_size()))
+        as_is = sp.normalize(PROBE) == BLANK + PROBE.replace(" ", BLANK)
+        _encoders[key] = (sp, {}, parted and as_is)
+    return _encoders[key]
+
+
 def _encode(model: bytes, texts: pa.Array, end: int, kind: str) -> Iterator[np.ndarray]:
-    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-    words = [t or "" for t in texts.to_pylist()]
-    for k in range(0, len(words), 64):
-        for ids in sp.encode(words[k : k + 64], num_threads=1):
-            yield np.array([*ids, end], kind)
+    """The ids of each text and the end mark.
+
+    A text whose words stand between single blanks has the ids of its words, one after the
+    other: distinct words are encoded once.  Other texts are encoded whole.
+    """
+    sp, known, by_word = _encoder(model)
+    w = split(texts, _NOT_BLANK)
+    lengths = np.diff(text_bytes(texts)[1])
+    size = w.ends - w.starts
+    before = np.concatenate([[0], np.cumsum(size)])
+    plain = (w.counts > 0) & (before[w.offsets[1:]] - before[w.offsets[:-1]] + w.counts - 1 == lengths) & by_word
+    letters = w.data[_NOT_BLANK[w.data]]
+    words = pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(before.astype(np.int64).tobytes()), pa.py_buffer(letters.tobytes())])
+    words = words.dictionary_encode()
+    distinct = words.dictionary.to_pylist()
+    ids = [known.get(x) for x in distinct]
+    at = [k for k, x in enumerate(ids) if x is None] if plain.any() else []
+    if len(known) + len(at) > KEPT_WORDS:
+        known.clear()
+    lists = sp.encode([distinct[k] for k in at], num_threads=1)
+    ends = (np.cumsum([0, *map(len, lists)]) * np.dtype(kind).itemsize).tolist()
+    raw = np.fromiter(chain.from_iterable(lists), kind).tobytes()
+    for k, a, b in zip(at, ends[:-1], ends[1:]):
+        known[distinct[k]] = ids[k] = raw[a:b]
+    which, mark = words.indices.to_numpy().tolist(), np.array([end], kind).tobytes()
+    at = w.offsets.tolist()
+    for i, text in enumerate(texts):
+        whole = None if plain[i] else text.as_py() or ""
+        if whole is None and BLANK not in (whole := text.as_py()):
+            yield np.frombuffer(b"".join([ids[k] for k in which[at[i] : at[i + 1]]]) + mark, kind)
+        else:
+            yield np.array([*sp.encode(whole), end], kind)
 
 
 def training_shards(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from presswork.llm import fitting, mixing, pii, quality, toxicity, training_order
 
-from .conftest import prose
+from .conftest import odd_texts, prose
 
 SF = "/root/testdata/sf0.01"
 
@@ -275,3 +275,22 @@ def test_end_mark_and_width_of_ids(spark, monkeypatch):
     narrow = read()
     monkeypatch.setattr(training_order, "id_format", lambda model, end=None: (end, "<u4"))
     assert read() == narrow and narrow[0][2][-1] == 9 or any(9 in ids for _, _, ids in narrow)
+
+
+def test_ids_by_word_are_those_of_the_whole_text():
+    import pyarrow as pa
+    import sentencepiece
+
+    texts = ["a  b", " lead", "trail ", "a\nb c\td", "▁x y", "a▁ b", "", None, "x" * 3000, "é ü   z", "\U0001f600 q", "a b c", "  ", "same words same words", "<s> </s> <unk>"]
+    texts += [t for _, t, _ in odd_texts()]
+    sp = sentencepiece.SentencePieceProcessor(model_file=training_order.VOCABULARY)
+    model = training_order.tokenizer(training_order.VOCABULARY)
+    assert training_order._encoder(model)[2]
+    for _ in range(2):  # the second time from the words that are kept
+        got = training_order._encode(model, pa.array(texts), training_order.END, "<u2")
+        assert [x.tolist() for x in got] == [[*sp.encode(t or ""), training_order.END] for t in texts]
+    sp, known, _ = training_order._encoders[next(iter(training_order._encoders))]
+    training_order._encoders[next(iter(training_order._encoders))] = (sp, known, False)  # a vocabulary that joins words
+    got = training_order._encode(model, pa.array(texts), training_order.END, "<u2")
+    assert [x.tolist() for x in got] == [[*sp.encode(t or ""), training_order.END] for t in texts]
+    training_order._encoders.clear()
