@@ -72,7 +72,6 @@ class Pieces:
         self.data[np.arange(len(letters)) + np.repeat(np.arange(n), size)] = letters
         self.ends = np.cumsum(size + 1) - 1
         self.starts = self.ends - size
-        self.hashes = w.hashes
         owner = np.repeat(np.arange(len(w.counts)), w.counts)
         piece = np.cumsum(_breaks[w.data])[w.starts] if n else np.zeros(0, np.int64)
         #: Whether the next word belongs to the same piece.
@@ -84,8 +83,17 @@ class Pieces:
         self.seed = seeds[self.lang] if n else np.zeros(0, _U)
 
     def grams(self, n: int) -> np.ndarray:
-        """A hash of the ``n`` words from each word on and their language."""
-        return W.mix(_run_hashes(self.hashes, n) + self.seed)
+        """A hash of the ``n`` words from each word on and their language.
+
+        A word goes in by its length and its first and last eight bytes, which cost one look
+        each; what that confuses only lets more phrases through the bitmap.
+        """
+        eight = np.ndarray(len(self.data), _U, self.data.tobytes() + bytes(7), 0, (1,))
+        size = self.ends - self.starts
+        first = eight[self.starts] << (8 * np.maximum(8 - size, 0)).astype(_U)
+        last = np.where(size > 8, eight[np.maximum(self.ends - 8, 0)], _U(0))
+        words = W.mix(first * _U(0x9E3779B97F4A7C15) + W.mix(last + size.astype(_U)))
+        return W.mix(_run_hashes(words, n) + self.seed)
 
     def whole(self, n: int) -> np.ndarray:
         """Which words begin ``n`` words of one piece."""
