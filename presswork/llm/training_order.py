@@ -48,7 +48,7 @@ ROUNDS = 6
 SHARDS_PER_TASK, MOST_TASKS = 4, 100_000
 
 #: What a vocabulary has in place of a blank; a text that shows whether others are rewritten; words kept by a worker.
-BLANK, PROBE, KEPT_WORDS = "\u2581", "A\u00a0\t\ufb01  b ", 1_000_000
+BLANK, PROBE, KEPT_WORDS = "\u2581", "A\u00a0\t\ufb01  b ", 250_000
 
 _U = np.uint64
 _NOT_BLANK = np.ones(256, bool)
