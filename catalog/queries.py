@@ -812,10 +812,15 @@ def stream_snapshots(spark, sf):
     return out.select("sector", "url", "provider_rank", "source_name", "title")
 
 
+def table_stream(spark, sf, name):
+    """A table as a stream, whether it is one file or a folder of part files."""
+    raw = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    # a pattern, as the path of a stream has to be a folder or a pattern; the table's own name is its only match
+    return spark.readStream.schema(raw).parquet(f"{sf}/{name}.parque[t]")
+
+
 def document_stream(spark, sf):
-    raw = spark.read.parquet(f"{sf}/documents.parquet").schema
-    docs = spark.readStream.schema(raw).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    return docs.select(
+    return table_stream(spark, sf, "documents").select(
         "doc_id",
         F.concat(F.lit("S"), (F.col("doc_id") % 8).cast("string")).alias("sector"),
         F.concat(F.lit("doc://"), F.md5("text")).alias("url"),
@@ -839,9 +844,7 @@ def stream_category_counts(spark, sf):
 
 @query
 def stream_event_counts(spark, sf):
-    raw = spark.read.parquet(f"{sf}/events.parquet").schema
-    events = spark.readStream.schema(raw).option("pathGlobFilter", "events.parquet").parquet(sf)
-    rows = events.select(F.col("ts").alias("published_ts"), F.array("event_type").alias("categories"))
+    rows = table_stream(spark, sf, "events").select(F.col("ts").alias("published_ts"), F.array("event_type").alias("categories"))
     out = jobs.drain(spark, jobs.stream_category_counts(rows), "stream-events")
     return out.select(F.date_format("day_start", "yyyy-MM-dd").alias("day"), "category", "n")
 
@@ -855,9 +858,7 @@ def stream_category_counts_all(spark, sf):
 
 @query
 def stream_event_counts_all(spark, sf):
-    raw = spark.read.parquet(f"{sf}/events.parquet").schema
-    events = spark.readStream.schema(raw).option("pathGlobFilter", "events.parquet").parquet(sf)
-    rows = events.select(F.col("ts").alias("published_ts"), F.array("event_type").alias("categories"))
+    rows = table_stream(spark, sf, "events").select(F.col("ts").alias("published_ts"), F.array("event_type").alias("categories"))
     out = jobs.drain_all(spark, jobs.stream_category_counts(rows), "stream-all-events")
     return out.select(F.date_format("day_start", "yyyy-MM-dd").alias("day"), "category", "n")
 

@@ -71,10 +71,13 @@ def drain_all(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     base = scratch_path(spark, name)
     table = f"{base}/table"
     spark.createDataFrame([], df.schema).write.parquet(f"{table}/batch_id=-1")
+    newest = -1  # a query without input reports a batch that never ran
 
     def keep(batch: DataFrame, batch_id: int) -> None:
+        nonlocal newest
         # under its number, so a failure while writing leaves what was there before
         batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        newest = batch_id
 
     query = (
         df.writeStream.option("checkpointLocation", f"{base}/checkpoint")
@@ -84,7 +87,6 @@ def drain_all(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    newest = query.lastProgress["batchId"] if query.lastProgress else -1
     return spark.read.schema(df.schema).parquet(f"{table}/batch_id={newest}")
 
 

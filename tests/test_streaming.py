@@ -185,3 +185,23 @@ def test_tables_made_on_the_way_are_removed(spark, tmp_path):
     assert not os.path.exists(lost)
     remove(spark, path)
     assert not os.path.exists(path)
+
+
+@pytest.mark.parametrize("name", ["stream_category_counts_all", "stream_enrich", "stream_enrich_records"])
+def test_stream_reads_a_table_of_part_files(spark, tmp_path, name):
+    from catalog.queries import REGISTRY
+
+    docs = spark.createDataFrame([(i, f"The number {i} of the house. It is {'big' if i % 2 else 'small'}.", "en", "web", 30) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long")
+    folder, single = tmp_path / "folder", tmp_path / "single"
+    docs.repartition(3).write.parquet(str(folder / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(single / "made"))
+    os.link(next((single / "made").glob("part-*.parquet")), single / "documents.parquet")
+    got, want = (sorted(map(str, REGISTRY[name](spark, str(sf)).collect())) for sf in (folder, single))
+    assert got == want and got
+
+
+def test_all_windows_of_a_stream_without_rows(spark, tmp_path):
+    kind = "published_ts timestamp, categories array<string>"
+    spark.createDataFrame([], kind).write.parquet(str(tmp_path / "rows"))
+    rows = spark.readStream.schema(kind).parquet(str(tmp_path / "rows"))
+    assert jobs.drain_all(spark, jobs.stream_category_counts(rows), "no-rows").collect() == []
