@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -134,10 +136,15 @@ def _merge(batch: DataFrame, batch_id: int, path: str, **enriching) -> None:
     if known is not None:
         known = written(known, "known-links").select(F.col("sector").alias("_s"), F.col("url").alias("_u"))
         fresh = fresh.join(known, F.col("sector").eqNullSafe(F.col("_s")) & (F.col("url") == F.col("_u")), "left_anti")
+    # articles are dealt to their days before they are enriched, as records are several times as wide; a batch of
+    # few days is cut finer, as enriching takes more time than writing
+    parts = math.ceil(spark.sparkContext.defaultParallelism / max(1, batch.select("snapshot_date").distinct().count()))
+    fresh = fresh.withColumn("_part", F.pmod(F.xxhash64("url"), F.lit(parts))).hint("rebalance", "snapshot_date", "_part").drop("_part")
     rows = enrich_articles(fresh, **enriching).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    if any(isinstance(v, DataFrame) for v in enriching.values()):  # may be joined, which deals rows anew
+        rows = rows.hint("rebalance", "snapshot_date")
     (
-        rows.hint("rebalance", "snapshot_date")
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch_id", "snapshot_date")
         .parquet(path)
