@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,8 +89,7 @@ def match_categories(df: DataFrame, taxonomy=params.TAXONOMY, text: str = "conte
     terms = written(terms.join(ranks, "category").select("phrase", F.struct("rank", "category").alias("value")), "taxonomy")
     tokens = F.split(F.trim(X.token_text(text)), " ", -1)
     if trie.fits(terms, trie_limit):
-        found = F.sort_array(F.array_distinct(F.transform(trie.matches(terms, tokens), lambda m: m["value"])))
-        return df.withColumn(out, F.transform(found, lambda v: v["category"]))
+        return df.withColumn(out, _categories_by_trie(terms, tokens))
     hits = phrase_hits(token_postings(df.withColumn("_k", text_key(text)), "_k", {"text": tokens}), terms)
     found = (
         hits.join(terms, "phrase")
@@ -100,6 +100,15 @@ def match_categories(df: DataFrame, taxonomy=params.TAXONOMY, text: str = "conte
     return _answered(df, text, found, out, F.array().cast("array<string>"))
 
 
+def _categories_by_trie(terms: DataFrame, tokens: Column) -> Column:
+    """Names of the categories found; within the walk a category is its place in the taxonomy's order."""
+    # of categories there are at most as many as rows that fit
+    names = terms.select("value").distinct().orderBy("value").toArrow()["value"].combine_chunks().field("category")
+    places = terms.sparkSession.createDataFrame(pa.table({"category": names, "_place": pa.array(range(len(names)), pa.int32())}))
+    placed = terms.select("phrase", F.col("value.category").alias("category")).join(places, "category").select("phrase", F.col("_place").alias("value"))
+    return trie.named(placed, tokens, names)
+
+
 def _answered(df: DataFrame, text: str, found: DataFrame, out: str, none: Column) -> DataFrame:
     """``df`` with the answers of a table (_k, _found), joined by the text."""
     kept = [c for c in df.columns if c != out]

@@ -1,9 +1,11 @@
 """Phrases looked up one by one, by a goto table and by positions give the same answers."""
 
+import pickle
 import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +151,21 @@ def test_a_search_reads_the_buckets_of_its_tokens(spark, tmp_path):
     text = mine._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", text)
     assert {r.token for r in mine.select("token").distinct().collect()} >= {"york"}
+
+
+def test_a_phrase_with_many_searches_and_values(spark):
+    # each of 3,000 searches for one phrase, asked twice: values are listed per phrase, not compared with each other
+    df = spark.createDataFrame([(k, "new york", "new york", "in new york", "S", "", "") for k in range(40)], ARTICLE)
+    queries = [(f"S{k}", k, "new york") for k in range(3_000)] * 2
+    found = selection.search_articles(df, queries, limit=5)
+    assert found.agg(F.count("*"), F.countDistinct("doc_id", "sector", "query_idx"), F.min("score"), F.max("score")).first()[:] == (240_000, 120_000, 6, 6)
+    cats = terms.match_categories(df, [(f"c{k:04}", "new york", k) for k in range(3_000)], limit=5).select("categories").distinct().collect()
+    assert [r.categories for r in cats] == [[f"c{k:04}" for k in range(3_000)]]
+
+
+def test_a_dictionary_row_takes_some_tens_of_bytes():
+    n = 250_000
+    table = trie.GotoTable(pa.table({"phrase": [f"w{k % 5003} x{k}" for k in range(n)], "value": [{"rank": k % 7, "category": f"c{k % 89}"} for k in range(n)]}))
+    assert n < trie.TRIE_ROWS and len(pickle.dumps(table)) < 100 * n
+    lists = pa.array([["a", "w2", "x5005", "w2"], None, [], ["x5005", "w2"], ["w3", "x3"]])
+    assert [x.tolist() for x in table.find(lists)[:2]] == [[0, 4], [1, 0]]
