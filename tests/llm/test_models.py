@@ -294,3 +294,19 @@ def test_ids_by_word_are_those_of_the_whole_text():
     got = training_order._encode(model, pa.array(texts), training_order.END, "<u2")
     assert [x.tolist() for x in got] == [[*sp.encode(t or ""), training_order.END] for t in texts]
     training_order._encoders.clear()
+
+
+def test_personal_data_is_learned_from_every_document(spark):
+    # 30,000 documents, far more than weigh in full: every labelled span counts, scaled to the share of so many
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("call +49 30 "), F.lpad((F.col("id") * 7919).cast("string"), 9, "4"), F.lit(" now")).alias("text"))
+    found = pii.labelled(docs)
+    assert found.filter("s.kind = 'phone' and label = 1").count() == 30_000
+    tallies = pii.tallied(found).collect()
+    assert sum(r.n for r in tallies) == found.count() and len(tallies) < 1_000
+    seen = []
+    kept, pii.fit_trees = pii.fit_trees, lambda rows: (None, seen.append(rows.agg(F.sum(F.when(F.col("s.kind") == "phone", F.col("weight")))).first()[0]) or [])
+    try:
+        pii.fit(docs, weight_docs=3_000)
+    finally:
+        pii.fit_trees = kept
+    assert abs(seen[0] - 3_000) < 1e-6
