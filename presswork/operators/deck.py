@@ -236,22 +236,26 @@ def fill_by_title(
     )
     gaps = deck.filter(~F.col("accepted") & (text_or_empty("title") != ""))
     gaps = written(gaps.select("sector", "url", "title", *order, providers.alias("_providers")).withColumn("_gap", F.monotonically_increasing_id()), "gaps")
-    searches = gaps.select(F.col("_gap").cast("string").alias("sector"), F.lit(0).alias("query_idx"), F.concat(F.lit('"'), "title", F.lit('"')).alias("query"))
-    found = candidates.select("provider", "url", "title", "summary", "content", *cand_order).withColumn("description", F.col("summary"))
-    hits = search_articles(found, searches).select(
-        F.col("sector").cast("long").alias("_gap"), "provider", F.col("url").alias("new_url"), "score", *cand_order,
-        X.display_content("summary", "content", phrases).alias("new_content"),
+    # a title is searched once, however many gaps have it, and hits are narrow: texts stay in the table of candidates
+    searches = gaps.select(F.col("title").alias("sector"), F.lit(0).alias("query_idx"), F.concat(F.lit('"'), "title", F.lit('"')).alias("query")).distinct()
+    found = candidates.select(
+        "provider", F.col("url").alias("new_url"), "title", F.col("summary").alias("description"), "content", *cand_order,
+        X.display_content("summary", "content", phrases).alias("new_content"), F.monotonically_increasing_id().alias("_cand"),
     )
+    found = written(found.withColumn("_fit", F.col("new_content").isNotNull() & F.col("new_url").isNotNull()), "candidates")
+    hits = search_articles(found, searches).select(F.col("sector").alias("title"), "provider", "new_url", "score", *cand_order, "_cand", "_fit")
     # a provider's answer is what it ranks first, whether it can be used or not
-    answers = first_per(hits, ["_gap", "provider"], [F.desc("score"), *cand_order, "new_url"], per_provider, out="_rank")
-    answers = answers.join(gaps.select("_gap", "_providers", F.col("sector").alias("_s"), F.struct(*order).alias("_turn")), "_gap")
-    answers = answers.filter(F.array_contains("_providers", F.col("provider")) & F.col("new_content").isNotNull() & F.col("new_url").isNotNull())
+    answers = first_per(hits, ["title", "provider"], [F.desc("score"), *cand_order, "new_url"], per_provider, out="_rank")
+    answers = answers.filter("_fit").select("title", "provider", "new_url", "_rank", "_cand")
+    answers = answers.join(gaps.select("_gap", "title", "_providers", F.col("sector").alias("_s"), F.struct(*order).alias("_turn")), "title")
+    answers = answers.filter(F.array_contains("_providers", F.col("provider")))
     used = deck.select(F.col("sector").alias("_s2"), F.col("url").alias("_u")).filter("_u is not null").distinct()
     answers = answers.join(used, F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("new_url") == F.col("_u")), "left_anti")
     place = F.struct(F.when(F.col("provider") == "newsapi", 0).otherwise(1).alias("p"), F.col("_rank").alias("r"))
-    answers = written(answers.select("_gap", "_s", "_turn", place.alias("_place"), "new_url", F.col("provider").alias("new_provider"), "new_content"), "answers")
+    answers = written(answers.select("_gap", "_s", "_turn", place.alias("_place"), "new_url", F.col("provider").alias("new_provider"), "_cand"), "answers")
     taken = take_turns(answers.select("_gap", "_s", "_turn", "_place", "new_url"))
-    chosen = answers.join(taken.select("_gap", "_place"), ["_gap", "_place"]).select("_gap", "new_url", "new_provider", "new_content")
+    chosen = answers.join(taken.select("_gap", "_place"), ["_gap", "_place"]).select("_gap", "new_url", "new_provider", "_cand")
+    chosen = chosen.join(found.select("_cand", "new_content"), "_cand")
     return gaps.join(chosen, "_gap").select("sector", "url", *order, "new_url", "new_provider", "new_content")
 
 

@@ -196,3 +196,16 @@ def test_turns_that_push_each_other_along(spark):
     again = [(i, "s", i, j, f"u{j}") for i in range(6) for j in range(4)]
     got = {(r["_gap"], r["_place"]) for r in deck.take_turns(spark.createDataFrame(again, df.schema)).collect()}
     assert got == {(i, i) for i in range(4)}
+
+
+def test_gaps_with_one_title_share_its_search(spark, monkeypatch):
+    gaps = [("General", f"g{k:03}", "s", False, "new york", k) for k in range(200)]
+    body = "This is one sentence of it. " * 8
+    cands = [("x", "newsapi" if k % 2 else "gnews", k, f"u{k:03}", "new york" if k % 3 else "other", None, body) for k in range(60)]
+    deck_rows = spark.createDataFrame(gaps, "sector string, url string, source string, accepted boolean, title string, deck_pos long")
+    found = spark.createDataFrame(cands, "sector string, provider string, provider_rank long, url string, title string, summary string, content string")
+    asked, search = [], deck.search_articles
+    monkeypatch.setattr(deck, "search_articles", lambda rows, queries: asked.append(queries.count()) or search(rows, queries))
+    got = sorted((r.deck_pos, r.new_url) for r in deck.fill_by_title(deck_rows, found).collect())
+    best = [[f"u{k:03}" for k in range(60) if k % 3 and k % 2 == odd][: params.REPLACEMENTS_PER_PROVIDER] for odd in (1, 0)]
+    assert got == list(enumerate(best[0] + best[1])) and asked == [1]
