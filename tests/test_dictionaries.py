@@ -9,7 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from presswork.operators import postings, search_index, selection, terms, trie
+from presswork.functions import text as X
+from presswork.operators import blocks, postings, search_index, selection, terms, trie
 
 WORDS = ["new", "york", "New", "York", "the", "of", "fed", "rate", "x", "é", "-", "U.S."]
 ARTICLE = "doc_id long, title string, description string, content string, sector string, id string, token string"
@@ -153,6 +154,43 @@ def test_a_search_reads_the_buckets_of_its_tokens(spark, tmp_path):
     assert {r.token for r in mine.select("token").distinct().collect()} >= {"york"}
 
 
+def test_an_index_has_rows_per_block_and_not_per_article(spark, tmp_path):
+    path, n = str(tmp_path / "index"), 500
+    search_index.extend_index(spark.createDataFrame([(k, f"new york {k}", "new york", "in new york", "S", "", "") for k in range(n)], ARTICLE).coalesce(1), path, "doc_id")
+    part = search_index._part(spark, path, "postings").filter("token = 'york'")
+    # 1,500 fields have it; rows are cut at 1,024 places
+    assert part.count() < 50 and part.agg(F.sum(F.size("gaps"))).first()[0] == 3 * n
+    found = search_index.search_index(spark, path, asked(spark, ["new york", "york 7"]))
+    assert sorted((r.id, r.query_idx, r.score) for r in found.collect()) == sorted([(k, 0, 6) for k in range(n)] + [(7, 1, 3)])
+    nothing = spark.createDataFrame([("S", 0, '""')], "sector string, query_idx int, query string")
+    assert search_index.search_index(spark, path, nothing).collect() == []
+
+
+@pytest.mark.parametrize("limit", [None, 5])
+def test_blocks_of_any_size_answer_alike(spark, tmp_path, monkeypatch, limit):
+    rows, phrases = make(11, 40)
+    df, path, q = spark.createDataFrame(rows, ARTICLE), str(tmp_path / "index"), asked(spark, phrases)
+    monkeypatch.setattr(blocks, "BLOCK", 300)
+    monkeypatch.setattr(search_index, "live_batches", lambda *_: [])
+    search_index.extend_index(df.filter("doc_id < 20"), path, "doc_id")
+    # a job that did not see the first one indexes its articles again; they count once
+    search_index.extend_index(df, path, "doc_id")
+    monkeypatch.undo()
+    assert search_index._part(spark, path, "ids").agg(F.countDistinct("block"), F.count("*")).first()[:] >= (10, 60)
+    pick = lambda found, key: sorted((r[key], r.sector, r.query_idx, r.score) for r in found.collect())
+    want = pick(selection.search_articles(spark.createDataFrame(once(rows), ARTICLE), q), "doc_id")
+    assert pick(search_index.search_index(spark, path, q, trie_limit=limit), "id") == want and want
+
+
+def test_first_tokens_are_those_of_the_whole_text(spark):
+    texts = [None, "", "  ", "a", " \t\n a-b  c d", "...", "U.S.A", "x" * 100_000 + " y-z", "\u00a0a\u2028b c", "ΟΔΟΣ ΟΔΟΣ. x", "İi ǅ 𝒳𝒴 😀😀 z", "１２ ४५ _a_b", "a\x1cb\x0bc\x85d", "e\u0301e\u0301"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = F.split(F.trim(X.token_text("t")), " ")
+    for n in (1, 3):
+        for r in df.select("t", X.first_tokens("t", n).alias("some"), F.slice(whole, 1, n).alias("of")).collect():
+            assert r.some == r.of, r.t
+
+
 def test_a_phrase_with_many_searches_and_values(spark):
     # each of 3,000 searches for one phrase, asked twice: values are listed per phrase, not compared with each other
     df = spark.createDataFrame([(k, "new york", "new york", "in new york", "S", "", "") for k in range(40)], ARTICLE)
