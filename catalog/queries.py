@@ -375,14 +375,14 @@ def match_entities(spark, sf):
 def runs_of_words(spark, sf, tokens):
     """(doc_id, pos, run): two tokens each from the beginnings of all documents, for large dictionaries."""
     pairs = F.transform(F.sequence(F.lit(1), F.lit(11), F.lit(2)), lambda k: F.array_join(F.slice(tokens, k, 2), " "))
-    rows = articles(spark, sf).select("doc_id", F.posexplode(pairs).alias("pos", "run"))
+    rows = corpus.read_documents(spark, f"{sf}/documents.parquet", spread=False).select("doc_id", F.posexplode(pairs).alias("pos", "run"))
     return rows.filter("run != ''")
 
 
 @query
 def match_categories_large(spark, sf):
     """A taxonomy of six terms for each document, walked as a table."""
-    runs = runs_of_words(spark, sf, F.split(F.trim(X.token_text("content")), " "))
+    runs = runs_of_words(spark, sf, X.first_tokens("content", 12))
     table = runs.select(F.concat(F.lit("c"), (F.col("doc_id") % 89).cast("string")).alias("category"), F.col("run").alias("term"), (F.col("doc_id") % 7).cast("int").alias("ord"))
     rows = terms.match_categories(articles(spark, sf), table)
     return rows.select("doc_id", joined("categories").alias("categories"))

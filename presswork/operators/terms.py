@@ -8,13 +8,14 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import params
 from ..functions import text as X
 from ..functions.core import is_in, let, lookup, text_or_empty, words
 from ..session import written
 from ..sizing import INLINE_ROWS, inline_rows
-from . import trie
+from . import asking, trie
 from .postings import phrase_hits, token_postings
 
 # --------------------------------------------------------------------------- categories
@@ -75,8 +76,8 @@ def match_categories(df: DataFrame, taxonomy=params.TAXONOMY, text: str = "conte
 
     Up to ``limit`` terms are compared one by one, up to ``trie_limit`` (by default
     ``trie.TRIE_ROWS``) by walking a table of all of them; both in place, without a shuffle.
-    Of a still larger table the tokens are looked up by their positions, and the answer is
-    joined back by the text.  All ways give the same result.
+    Of a still larger table blocks of texts ask for what they may have (``asking.py``), and the
+    answer is joined back by the text.  All ways give the same result.
     """
     inline = taxonomy_dict(taxonomy, limit)
     if inline is not None:
@@ -84,12 +85,19 @@ def match_categories(df: DataFrame, taxonomy=params.TAXONOMY, text: str = "conte
     if isinstance(taxonomy, dict):
         taxonomy = [(c, t, i) for i, (c, ts) in enumerate(taxonomy.items()) for t in ts]
     table = as_table(df.sparkSession, as_rows(taxonomy, 0)[1], "category string, term string, ord int")
+    # what the table is made of is not read again for the ranks
+    table = written(table.select("category", "term", "ord"), "taxonomy-rows")
     ranks = table.groupBy("category").agg(F.min(F.struct("ord", "term")).alias("rank"))
     terms = table.select("category", F.trim(X.token_text("term")).alias("phrase")).filter("phrase != ''").distinct()
     terms = written(terms.join(ranks, "category").select("phrase", F.struct("rank", "category").alias("value")), "taxonomy")
-    tokens = F.split(F.trim(X.token_text(text)), " ", -1)
+    joined = F.trim(X.token_text(text))
+    tokens, none = F.split(joined, " ", -1), F.array().cast("array<string>")
     if trie.fits(terms, trie_limit):
-        return df.withColumn(out, _categories_by_trie(terms, tokens))
+        placed, names = _placed(terms)
+        return df.withColumn(out, trie.named(placed, tokens, names))
+    # names may be shipped, as of a table that fits
+    if trie.fits(terms.select("value").distinct()):
+        return _answered(df, text, _categories_by_asking(df, text, joined, terms), out, none)
     hits = phrase_hits(token_postings(df.withColumn("_k", text_key(text)), "_k", {"text": tokens}), terms)
     found = (
         hits.join(terms, "phrase")
@@ -97,16 +105,28 @@ def match_categories(df: DataFrame, taxonomy=params.TAXONOMY, text: str = "conte
         .agg(F.sort_array(F.collect_set("value")).alias("_c"))
         .select("_k", F.col("_c.category").alias("_found"))
     )
-    return _answered(df, text, found, out, F.array().cast("array<string>"))
+    return _answered(df, text, found, out, none)
 
 
-def _categories_by_trie(terms: DataFrame, tokens: Column) -> Column:
-    """Names of the categories found; within the walk a category is its place in the taxonomy's order."""
+def _placed(terms: DataFrame) -> tuple[DataFrame, pa.Array]:
+    """Terms with their category's place in the taxonomy's order, and the names in that order."""
     # of categories there are at most as many as rows that fit
     names = terms.select("value").distinct().orderBy("value").toArrow()["value"].combine_chunks().field("category")
     places = terms.sparkSession.createDataFrame(pa.table({"category": names, "_place": pa.array(range(len(names)), pa.int32())}))
-    placed = terms.select("phrase", F.col("value.category").alias("category")).join(places, "category").select("phrase", F.col("_place").alias("value"))
-    return trie.named(placed, tokens, names)
+    return terms.select("phrase", F.col("value.category").alias("category")).join(places, "category").select("phrase", F.col("_place").alias("value")), names
+
+
+def _categories_by_asking(df: DataFrame, text: str, joined: Column, terms: DataFrame) -> DataFrame:
+    """(_k, _found): the names of the categories of each text that has any."""
+    placed, names = _placed(terms)
+    shared = df.sparkSession.sparkContext.broadcast(names)
+
+    def made(n, owner, number, first, places, phrases) -> pa.Array:
+        owner, place = asking.values(owner, number, first, places)
+        return trie._listed(owner, n, shared.value.take(pa.array(place)), pa.list_(pa.string()))
+
+    found = asking.found(df.select(text_key(text).alias("id"), joined.alias("_text")), F.col("_text"), written(placed.withColumnRenamed("value", "place"), "placed-terms"), made, T.ArrayType(T.StringType()))
+    return found.select(F.col("id").alias("_k"), F.col("found").alias("_found"))
 
 
 def _answered(df: DataFrame, text: str, found: DataFrame, out: str, none: Column) -> DataFrame:
