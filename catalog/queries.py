@@ -391,7 +391,7 @@ def match_categories_large(spark, sf):
 @query
 def match_entities_large(spark, sf):
     """A dictionary of six surfaces for each document, walked as a table."""
-    runs = runs_of_words(spark, sf, X.word_tokens("content", lower=False))
+    runs = runs_of_words(spark, sf, X.first_words("content", 12, lower=False))
     labels = F.array(*[F.lit(x) for x in params.ENTITY_LABELS])
     table = runs.select(F.col("run").alias("surface"), F.element_at(labels, (F.length("run") % len(params.ENTITY_LABELS) + 1).cast("int")).alias("label"))
     rows = terms.match_entities(articles(spark, sf), table.distinct(), limit=1000)

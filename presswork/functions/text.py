@@ -325,6 +325,13 @@ def word_tokens(c: Column | str, lower: bool = True) -> Column:
     return F.regexp_extract_all(F.lower(c) if lower else c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def first_words(c: Column | str, n: int, lower: bool = True) -> Column:
+    """The first ``n`` of ``word_tokens``, without making the others."""
+    pattern = rf"^(?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}]++){{0,{n}}}+"
+    c = text_or_empty(c)
+    return word_tokens(F.regexp_extract(F.lower(c) if lower else c, pattern, 0), lower=False)
+
+
 def token_form(term: str, lower: bool = True) -> str:
     """A term as ``token_text`` writes it, without the outer blanks."""
     return " ".join(re.sub(r"([^\w\s]|_)", r" \1 ", term.lower() if lower else term).split())

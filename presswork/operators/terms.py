@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import params
 from ..functions import text as X
@@ -129,11 +132,11 @@ def _categories_by_asking(df: DataFrame, text: str, joined: Column, terms: DataF
     return found.select(F.col("id").alias("_k"), F.col("found").alias("_found"))
 
 
-def _answered(df: DataFrame, text: str, found: DataFrame, out: str, none: Column) -> DataFrame:
-    """``df`` with the answers of a table (_k, _found), joined by the text."""
+def _answered(df: DataFrame, text: str, found: DataFrame, out: str, none: Column, read: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """``df`` with the answers of a table (_k, _found), joined by the text and then read by ``read``."""
     kept = [c for c in df.columns if c != out]
     keyed = df.withColumn("_k", text_key(text))
-    return keyed.join(found, "_k", "left").select(*kept, F.coalesce("_found", none).alias(out))
+    return keyed.join(found, "_k", "left").select(*kept, F.coalesce(read(F.col("_found")), none).alias(out))
 
 
 def primary_category(cats: Column | str) -> Column:
@@ -258,8 +261,8 @@ def match_entities(df: DataFrame, entity_dict, text: str = "content", out: str =
 
     A dictionary of up to ``limit`` rows is folded into the plan, one of up to ``trie_limit``
     (by default ``trie.TRIE_ROWS``) is walked as a table; both in place, without a shuffle.  Of
-    a still larger one the tokens are looked up by their positions, and the answer is joined
-    back by the text.  All ways give the same result.
+    a still larger one blocks of texts ask for what they may have (``asking.py``), and the answer
+    is joined back by the text.  All ways give the same result.
     """
     surfaces = entity_surfaces(entity_dict, limit)
     if surfaces is not None:
@@ -272,22 +275,33 @@ def match_entities(df: DataFrame, entity_dict, text: str = "content", out: str =
         .groupBy("phrase")
         .agg(F.min("of")["label"].alias("value"))
     )
-    names = written(names, "entity-names")
-    tokens = X.word_tokens(text, lower=False)
+    rank = F.array_position(F.array(*[F.lit(x) for x in params.ENTITY_LABELS]), F.col("value")) - 1
+    names = written(names.select("phrase", rank.cast("int").alias("value")), "entity-names")
+    tokens, none = X.word_tokens(text, lower=False), F.create_map().cast("map<string,array<string>>")
     if trie.fits(names, trie_limit):
-        named = lambda hits, label: F.transform(F.filter(hits, lambda h: h["value"] == label), lambda h: h["path"])
-        return df.withColumn(out, let(F.sort_array(trie.matches(names, tokens)), lambda hits: _by_label(hits, named)))
-    hits = phrase_hits(token_postings(df.withColumn("_k", text_key(text)), "_k", {"text": tokens}), names)
-    hits = hits.join(names, "phrase").select(F.col("id").alias("_k"), F.col("value").alias("label"), F.array_min("starts").alias("pos"), F.col("phrase").alias("surface"))
-    rank = F.array_position(F.array(*[F.lit(x) for x in params.ENTITY_LABELS]), F.col("label"))
-    found = (
-        hits.groupBy("_k", "label")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "surface"))).alias("_s"))
-        .groupBy("_k")
-        .agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "label", F.col("_s.surface").alias("names")))).alias("_e"))
-        .select("_k", F.map_from_entries(F.transform("_e", lambda e: F.struct(e["label"], e["names"]))).alias("_found"))
-    )
-    return _answered(df, text, found, out, F.create_map().cast("map<string,array<string>>"))
+        return df.withColumn(out, _labelled(trie.first_hits(names, tokens, _names_by_label, T.ArrayType(_LABELLED))))
+    asked = df.select(text_key(text).alias("id"), F.array_join(tokens, " ").alias("_text"))
+    found = asking.found(asked, F.col("_text"), names.withColumnRenamed("value", "place"), _names_by_label, T.ArrayType(_LABELLED))
+    return _answered(df, text, found.select(F.col("id").alias("_k"), F.col("found").alias("_found")), out, none, _labelled)
+
+
+def _labelled(found: Column) -> Column:
+    """A map of label to names; they come as one string a label, and are taken apart only here."""
+    labels = F.array(*[F.lit(x) for x in params.ENTITY_LABELS])
+    return F.map_from_entries(F.transform(found, lambda e: F.struct(F.get(labels, e["label"]), F.split(e["names"], "\n", -1))))
+
+
+_LABELLED = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("names", T.StringType())])
+
+
+def _names_by_label(n, owner, number, first, places, phrases) -> pa.Array:
+    """For each text its labels, and the names of a label as one string, in text order."""
+    size = len(params.ENTITY_LABELS)
+    key = owner * size + places[first[number]]
+    order = np.argsort(key, kind="stable")
+    groups, count = np.unique(key, return_counts=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), phrases.take(pa.array(number[order])))
+    return trie._listed(groups // size, n, [pa.array(groups % size, pa.int32()), pc.binary_join(lists, "\n")], to_arrow_type(T.ArrayType(_LABELLED)))
 
 
 def mine_entities(df: DataFrame, min_df: int = 2, text: str = "content") -> DataFrame:

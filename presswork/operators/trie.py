@@ -151,6 +151,27 @@ def matches(terms: DataFrame, tokens: Column) -> Column:
     return walk(tokens)
 
 
+def first_hits(terms: DataFrame, tokens: Column, made: Callable[..., pa.Array], kind: T.DataType) -> Column:
+    """What ``made`` makes of the phrases among the tokens, as in ``asking.found``; ``terms`` has (phrase, value).
+
+    Each phrase counts once a text, in the order of its first place, and only what is made of it leaves the walk.
+    """
+    shared, arrow = _shared(terms), to_arrow_type(kind)
+
+    def find(lists: pa.Array) -> pa.Array:
+        table, _ = shared.value
+        owner, _, phrase = table.find(lists)
+        first = np.sort(np.unique(owner * max(1, len(table.phrases)) + phrase, return_index=True)[1])
+        return made(len(lists), owner[first], phrase[first], table.first, table.values.to_numpy(), table.phrases).cast(arrow)
+
+    @F.arrow_udf(kind)
+    def walk(lists: pa.Array) -> pa.Array:
+        return _in_parts(lists, find)
+
+    # else a filter that is inferred from a generator would be pushed below and walk all texts a second time
+    return walk.asNondeterministic()(tokens)
+
+
 def named(terms: DataFrame, tokens: Column, names: pa.Array) -> Column:
     """The distinct names of the phrases among the tokens, in the order of ``names``; a value of ``terms`` is a place there."""
     kind = T.ArrayType(T.StringType())

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from presswork.functions import text as X
 from presswork.operators import asking, packed, postings, terms
 from tests.test_dictionaries import ARTICLE, make
 
@@ -43,13 +44,16 @@ def test_blocks_and_parts_of_any_size(spark, monkeypatch, seed, full):
     rows = [r for r in rows if not full or len(r[3] or "") < 1000]
     df = spark.createDataFrame(rows * 2, ARTICLE).repartition(3)
     taxonomy = [(f"c{k % 7}", p, (k * 5) % 11) for k, p in enumerate(phrases)]
+    labels = ["ORG", "PERSON", "GPE", "NORP", "OTHER"]
+    surfaces = [(p, labels[k % 5]) for k, p in enumerate(phrases)]
     pick = lambda found, c: Counter((r.doc_id, str(r[c])) for r in found.select("doc_id", c).collect())
-    want = pick(terms.match_categories(df, taxonomy), "categories")
+    want = pick(terms.match_categories(df, taxonomy), "categories"), pick(terms.match_entities(df, surfaces), "entities")
     for name, value in (("BLOCK", 300), ("EXPANDED", 20), ("PART", 3), ("PARTS", 2)):
         monkeypatch.setattr(asking, name, value)
     if full:
         monkeypatch.setattr(asking, "_bitmap", lambda _: np.full(asking.BITS // 8, 255, np.uint8))
-    assert pick(terms.match_categories(df, taxonomy, limit=3, trie_limit=3), "categories") == want
+    assert pick(terms.match_categories(df, taxonomy, limit=3, trie_limit=3), "categories") == want[0]
+    assert pick(terms.match_entities(df, surfaces, limit=3, trie_limit=3), "entities") == want[1]
 
 
 def written_rows(monkeypatch):
@@ -82,3 +86,28 @@ def test_a_large_taxonomy_writes_no_row_per_token(spark, monkeypatch):
         assert r.categories == [c for c in rank if c in met]
     # some 17,000 pairs of text and token; two blocks ask 128 parts
     assert max(n for _, n in found) <= max(len(pairs), len(texts) + 2 * asking.PARTS)
+
+
+def test_a_large_dictionary_writes_no_row_per_token(spark, monkeypatch):
+    df, texts, pairs = wide(spark)
+    found = written_rows(monkeypatch)
+    labels = ["PERSON", "ORG"]
+    got = terms.match_entities(df, [(p, labels[k % 2]) for k, p in enumerate(pairs)], limit=3, trie_limit=3)
+    of = {p: labels[k % 2] for k, p in enumerate(pairs)}
+    for r in got.select("doc_id", "entities").collect():
+        words, want = texts[r.doc_id].split(), {}
+        for k in range(len(words) - 1):
+            pair = " ".join(words[k : k + 2])
+            if pair in of and pair not in want.setdefault(of[pair], []):
+                want[of[pair]].append(pair)
+        assert r.entities == want
+    assert max(n for _, n in found) <= max(len(pairs), len(texts) + 2 * asking.PARTS)
+
+
+@pytest.mark.parametrize("lower", [True, False])
+def test_first_words_are_those_of_the_whole_text(spark, lower):
+    texts = [None, "", "  ", "a", " -a-b  c d", "...", "U.S.A", "x" * 100_000 + " y-z", "İi ǅ 𝒳𝒴 😀😀 z", "İİİ", "１２ ४५ _a_b", "éé", "ΟΔΟΣ ΟΔΟΣ. x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 3):
+        for r in df.select("t", X.first_words("t", n, lower).alias("some"), F.slice(X.word_tokens("t", lower), 1, n).alias("of")).collect():
+            assert r.some == r.of, r.t
