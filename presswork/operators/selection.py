@@ -133,9 +133,10 @@ def _field_tokens(field: str) -> Column:
 def _search_by_trie(base: DataFrame, asked: DataFrame) -> DataFrame:
     """Searches as one goto table; nothing is shuffled."""
     terms = asked.select("phrase", F.struct("sector", "query_idx", "times").alias("value"))
-    hits = trie.scored(terms, [(_field_tokens(f), w) for f, w in FIELD_WEIGHTS.items()])
+    hits, values = trie.scored(terms, [(F.trim(X.token_text(f)), w) for f, w in FIELD_WEIGHTS.items()])
     found = base.select(*base.columns, F.explode(hits).alias("_h"))
-    return found.select(*base.columns, F.col("_h.score").alias("score"), "_h.value.sector", "_h.value.query_idx")
+    found = found.select(*base.columns, F.col("_h.score").alias("score"), F.explode(values(F.col("_h"))).alias("_w"))
+    return found.select(*base.columns, "score", "_w.sector", "_w.query_idx")
 
 
 def _search_by_positions(base: DataFrame, asked: DataFrame) -> DataFrame:

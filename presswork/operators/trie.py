@@ -11,6 +11,7 @@ ends where no phrase goes on.  No run of tokens is made or sent anywhere.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 TRIE_ROWS = 2_000_000
 #: Texts of a batch that are walked at a time.
 PART = 500
+#: Values of a phrase that are put into one list.
+LISTED = 256
 
 
 def fits(terms: DataFrame, most: int | None = None) -> bool:
@@ -101,6 +104,11 @@ class GotoTable:
         order = np.argsort(start, kind="stable")
         return start[order], phrase[order]
 
+    @cached_property
+    def upto(self) -> np.ndarray:
+        """How many values there are before each value and in all, each as often as its field ``times`` says."""
+        return np.concatenate([[0], np.cumsum(self.values.field("times").to_numpy(), dtype=np.int64)])
+
     def values_of(self, phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For phrases, the number of the phrase and the place in ``values`` of all their values."""
         return _spans(self.first[phrase], self.first[phrase + 1] - self.first[phrase])
@@ -126,7 +134,9 @@ def _listed(owner: np.ndarray, n: int, fields: list[pa.Array] | pa.Array, kind:
 
 def _in_parts(lists: pa.Array, find: Callable[[pa.Array], pa.Array]) -> pa.Array:
     """``find`` of a batch, some texts at a time, as a walk takes several arrays of all their tokens."""
-    return pa.concat_arrays([find(lists.slice(i, PART)) for i in range(0, max(1, len(lists)), PART)])
+    made = pa.concat_arrays([find(lists.slice(i, PART)) for i in range(0, max(1, len(lists)), PART)])
+    pa.default_memory_pool().release_unused()
+    return made
 
 
 def matches(terms: DataFrame, tokens: Column) -> Column:
@@ -191,29 +201,56 @@ def named(terms: DataFrame, tokens: Column, names: pa.Array) -> Column:
     return walk(tokens)
 
 
-def scored(terms: DataFrame, fields: list[tuple[Column, int]]) -> Column:
-    """Array of (score, value) for the values of all phrases that some field has.
+def scored(terms: DataFrame, fields: list[tuple[Column, int]]) -> tuple[Column, Callable[[Column], Column]]:
+    """Array of (score, begin, size) for the phrases that some field has, and what gives such an entry's values.
 
-    ``fields`` are token arrays with their weights; a phrase's score is the sum of the weights
-    of the fields that have it.  ``terms`` has (phrase, value), and a value is given as often
-    as its field ``times`` says.
+    ``fields`` are tokens joined by one blank, with their weights: of a batch of texts strings take
+    a part of what token arrays take.  A phrase's score is the sum of the weights of the fields
+    that have it.  ``terms`` has (phrase, value), and a value is given as often as its field
+    ``times`` says.  A phrase has an entry for every ``LISTED`` values, as a phrase that is
+    common among texts and searches alike has far more of them than a batch of texts can hold.
     """
-    kind = T.ArrayType(T.StructType([T.StructField("score", T.IntegerType()), T.StructField("value", terms.schema["value"].dataType)]))
+    kind = T.ArrayType(T.StructType([T.StructField("score", T.IntegerType()), T.StructField("begin", T.LongType()), T.StructField("size", T.IntegerType())]))
     shared, arrow = _shared(terms), to_arrow_type(kind)
     weights = np.array([w for _, w in fields])
 
     def find(lists: pa.Array) -> pa.Array:
         (table, _), n, size = shared.value, len(weights), len(shared.value[0].phrases) or 1
-        field, phrase = _once(table, *table.find(lists.flatten())[::2])
+        field, phrase = _once(table, *table.find(pc.split_pattern(lists.flatten(), " "))[::2])
         rows, which = np.unique(field // n * size + phrase, return_inverse=True)
         score = np.bincount(which, weights[field % n], minlength=len(rows)).astype(np.int32)
-        hit, at = table.values_of(rows % size)
-        times = table.values.field("times").to_numpy()[at]
-        hit, at = np.repeat(hit, times), np.repeat(at, times)
-        return _listed(rows[hit] // size, len(lists), [pa.array(score[hit]), table.values.take(pa.array(at))], arrow)
+        return _listed(*entries_of(table, rows // size, rows % size, score, len(lists)), arrow)
 
     @F.arrow_udf(kind)
     def walk(lists: pa.Array) -> pa.Array:
         return _in_parts(lists, find)
 
-    return walk(F.array(*[tokens for tokens, _ in fields]))
+    return walk.asNondeterministic()(F.array(*[text for text, _ in fields])), values_by(shared, terms)
+
+
+def entries_of(table: GotoTable, owner: np.ndarray, phrase: np.ndarray, score: np.ndarray, n: int) -> tuple[np.ndarray, int, list[pa.Array]]:
+    """The entries (score, begin, size) of hits, and whose they are; places count each value as often as its ``times`` says."""
+    begin, end = table.upto[table.first[phrase]], table.upto[table.first[phrase + 1]]
+    size = end - begin
+    hit, entry = _spans(np.zeros(len(size), np.int64), -(-size // LISTED))
+    at = entry * LISTED
+    return owner[hit], n, [pa.array(score[hit]), pa.array(begin[hit] + at), pa.array(np.minimum(LISTED, size[hit] - at).astype(np.int32))]
+
+
+def values_by(shared, terms: DataFrame) -> Callable[[Column], Column]:
+    """From an entry with ``begin`` and ``size`` to the array of its values, without ``times``."""
+    given = [f for f in terms.schema["value"].dataType.fields if f.name != "times"]
+    kind = T.ArrayType(T.StructType(given))
+    arrow = to_arrow_type(kind)
+
+    @F.arrow_udf(kind)
+    def values(begin: pa.Array, size: pa.Array) -> pa.Array:
+        table, _ = shared.value
+        owner, place = _spans(begin.to_numpy(), size.to_numpy().astype(np.int64))
+        # where no value is given twice, a place is that of the value
+        at = place if table.upto[-1] == len(table.values) else np.searchsorted(table.upto, place, side="right") - 1
+        made = _listed(owner, len(begin), [table.values.field(f.name).take(pa.array(at)) for f in given], arrow)
+        pa.default_memory_pool().release_unused()
+        return made
+
+    return lambda entry: values.asNondeterministic()(entry["begin"], entry["size"])

@@ -201,6 +201,18 @@ def test_a_phrase_with_many_searches_and_values(spark):
     assert [r.categories for r in cats] == [[f"c{k:04}" for k in range(3_000)]]
 
 
+def test_no_list_of_searches_is_longer_than_its_bound(spark):
+    # 700 searches, every third asked two or three times: what comes out of one row of a batch has to be bounded
+    df = spark.createDataFrame([(1, "new york", "", "new york", "S", "", ""), (2, "", "", "x", "S", "", "")], ARTICLE)
+    rows = [("new york", (f"S{k}", k, 1 + k % 3 if k % 3 else 1)) for k in range(700)] + [("x", ("S", 9, 1_000))]
+    asked = spark.createDataFrame(rows, "phrase string, value struct<sector:string,query_idx:int,times:int>")
+    hits, values = trie.scored(asked, [(F.trim(X.token_text(f)), w) for f, w in selection.FIELD_WEIGHTS.items()])
+    entries = df.select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.score", values(F.col("h")).alias("v")).collect()
+    assert max(len(r.v) for r in entries) <= trie.LISTED < 700
+    got = Counter((r.doc_id, r.score, tuple(v)) for r in entries for v in r.v)
+    assert got == Counter({**{(1, 4, (s, q)): n for p, (s, q, n) in rows if p == "new york"}, (2, 1, ("S", 9)): 1_000})
+
+
 def test_a_dictionary_row_takes_some_tens_of_bytes():
     n = 250_000
     table = trie.GotoTable(pa.table({"phrase": [f"w{k % 5003} x{k}" for k in range(n)], "value": [{"rank": k % 7, "category": f"c{k % 89}"} for k in range(n)]}))
