@@ -166,6 +166,28 @@ def test_an_index_has_rows_per_block_and_not_per_article(spark, tmp_path):
     assert search_index.search_index(spark, path, nothing).collect() == []
 
 
+def test_places_are_bytes_and_a_search_sends_only_its_own(spark, tmp_path):
+    path, n = str(tmp_path / "index"), 300
+    long = " ".join(f"w{k}" for k in range(70_000))
+    rows = [(k, "new york", "", f"in new york {k}", "S", "", "") for k in range(n)] + [(n, "york", "", f"york {long} new york", "S", "", "")]
+    search_index.extend_index(spark.createDataFrame(rows, ARTICLE).coalesce(1), path, "doc_id")
+    part = search_index._part(spark, path, "postings")
+    assert dict(part.dtypes)["gaps"] == "array<tinyint>"
+    # a step of 70,000 takes three bytes, one of less than 128 a single one
+    assert part.filter("token = 'york'").agg(F.sum(F.size("gaps"))).first()[0] == 2 * n + 5
+    queries = asked(spark, ["new york", "york w0", f"in new york {n - 1}"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = search_index.search_index(spark, path, queries)
+        text = found._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted((r.id, r.query_idx, r.score) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted([(k, 0, 4) for k in range(n)] + [(n, 0, 1), (n, 1, 1), (n - 1, 2, 1)])
+    # no join by phrase, and the one with the tokens leaves places where they are
+    assert text.count("Join") == 1 and "LeftSemi" in text and "rightHint=(strategy=broadcast)" in text
+
+
 @pytest.mark.parametrize("limit", [None, 5])
 def test_blocks_of_any_size_answer_alike(spark, tmp_path, monkeypatch, limit):
     rows, phrases = make(11, 40)
